@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmer.llm import exact_dedup, simhash
+from kinmer.llm import exact_dedup, media, packing, sharding, simhash
 from kinmer.llm.shared import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -19,7 +31,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_exact_dedup, op10_simhash)
+    f.__name__: f for f in (op2_packing, op4_sharding, op6_media, op7_exact_dedup, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.SQL}
