@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmer.llm import exact_dedup, media, packing, sharding, simhash
+from kinmer.llm import bpe, exact_dedup, media, packing, sharding, simhash
 from kinmer.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op4_sharding, op6_media, op7_exact_dedup, op10_simhash)
+    f.__name__: f for f in (op2_packing, op3_bpe, op4_sharding, op6_media, op7_exact_dedup, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.SQL}
