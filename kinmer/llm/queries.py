@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmer.llm import bpe, exact_dedup, media, packing, sharding, simhash
+from kinmer.llm import bpe, exact_dedup, html_extract, media, packing, sharding, simhash
 from kinmer.llm.shared import table
 
 
@@ -30,12 +30,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_bpe, op4_sharding, op6_media, op7_exact_dedup, op10_simhash)
+    f.__name__: f for f in (op2_packing, op3_bpe, op4_sharding, op6_media, op7_exact_dedup, op9_html, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.SQL}
