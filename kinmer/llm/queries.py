@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmer.llm import bpe, exact_dedup, html_extract, media, packing, sharding, simhash
+from kinmer.llm import bpe, exact_dedup, html_extract, licenses, media, packing, quality, sharding, simhash, url_filter
 from kinmer.llm.shared import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_pages(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -30,6 +39,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -39,7 +52,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_bpe, op4_sharding, op6_media, op7_exact_dedup, op9_html, op10_simhash)
+    f.__name__: f
+    for f in (
+        op1_url_filter,
+        op2_packing,
+        op3_bpe,
+        op4_sharding,
+        op5_quality,
+        op6_media,
+        op7_exact_dedup,
+        op8_licenses,
+        op9_html,
+        op10_simhash,
+    )
 }
 
-ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": url_filter.SQL,
+    "op7_exact_dedup": exact_dedup.SQL,
+    "op8_licenses": licenses.SQL,
+}
