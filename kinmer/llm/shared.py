@@ -16,14 +16,19 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests, a laptop)
     a temporary one is made. Unlike localCheckpoint the files survive lost executors.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(_checkpoint_dir(df.sparkSession))
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinmer-checkpoint-")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share."""
+    return (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or tempfile.mkdtemp(prefix="kinmer-checkpoint-")
+    )
 
 
 def ascii_lower(col: Column) -> Column:
