@@ -3,8 +3,8 @@
 Plan: every row gets two digests of its text in the scan. Grouping on (hash, text) folds copies in
 the scan's own tasks, so a text that fills a third of the table reaches its reducer as one row from
 each task; the text is part of the key, so rows share a group only if their bytes are equal. What is
-joined back are digests and two numbers, never texts. That join is a plain equi join: adaptive
-execution splits a hot digest's partition on the documents' side.
+joined back are digests and two numbers, never texts. Both sides of that join are shuffled for it, so
+adaptive execution can split a hot digest's partition on the documents' side.
 """
 
 from __future__ import annotations
@@ -18,23 +18,17 @@ from kinmer.llm.shared import text_or_empty
 def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: str = "largest") -> DataFrame:
     """One row for each distinct text: (_hash, _sha, keep_id, group_size).
 
-    `_hash` is the 128-bit MD5, `_sha` the SHA-256; both are of the text's UTF-8 bytes. Should two
-    different texts share both digests the query stops rather than merge them.
+    `_hash` is the 128-bit MD5 of the text's UTF-8 bytes, `_sha` their SHA-256. Texts that share an MD5
+    are told apart by their bytes here; what is joined later is told apart by both digests.
     """
     best = F.max if keep == "largest" else F.min
-    body = text_or_empty(text)
-    by_bytes = (
-        docs.select(F.col(id_col).alias("_id"), body.alias("_text"))
+    return (
+        docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("_text"))
         .withColumn("_hash", F.unhex(F.md5(F.col("_text").cast("binary"))))
         .groupBy("_hash", "_text")
         .agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .withColumn("_sha", F.sha2(F.col("_text").cast("binary"), 256))
-    )
-    texts = by_bytes.groupBy("_hash", "_sha").agg(
-        F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("_texts")
+        .select("_hash", F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"), "keep_id", "group_size")
     )
-    sole = F.assert_true(F.col("_texts") == 1, "two texts share their MD5 and their SHA-256").isNull()
-    return texts.filter(sole).drop("_texts")
 
 
 def mark_exact_duplicates(
