@@ -7,9 +7,10 @@ nothing through. The false keys are taken over the complete set of the corpus's
 is exact for each of them and the rules are never joined to pages. A second cascade, over the rules,
 tells blocking ones from allowing ones.
 
-Filters are literals in the plan, read by generated code. Their size is about a byte and a half a
-rule and is checked; building them aggregates by key first, so a rule that a third of all pages
-match counts once a task.
+Filters are literals in the plan. Their size is about two bytes a rule and is bounded: a longer list
+is dealt by hash into slices, each with a cascade of its own, and pages pass through them one after
+the other, the best match so far beside them. Keys are aggregated before they move, so a rule that a
+third of all pages match counts once a task.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DEFAULT = "allow"
-#: Bits in all levels of a cascade: 64 MB as a literal.
-MAX_BITS = 1 << 29
+#: Bits in all levels of a cascade: 8 MB as a literal.
+MAX_BITS = 1 << 26
+#: Rules in one cascade; its levels take about 20 bits a rule.
+RULES_AT_ONCE = MAX_BITS // 32
 
 
 def host_of(url: Column) -> Column:
@@ -86,7 +89,7 @@ class Cascade:
         probes = max(1, round(-math.log2(false_rate)))
         bits = max(64, -(-math.ceil(n * probes / math.log(2)) // 64) * 64)
         if bits + sum(b for b, _, _ in self.levels) > MAX_BITS:
-            raise ValueError(f"the filters of {n} keys pass {MAX_BITS} bits: split the rules and filter in passes")
+            raise ValueError(f"the filters of {n} keys pass {MAX_BITS} bits")
         level = len(self.levels) + 1
         at = F.explode(F.array(*[_bit(F.col("key"), level, p, bits) for p in range(probes)])).alias("at")
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
@@ -122,20 +125,33 @@ def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 2*
 class UrlRules:
     """Rules (verdict, host, path) ready to judge the URLs of one corpus."""
 
-    def __init__(self, rules: DataFrame, urls: DataFrame, url: str = "url", default: str = DEFAULT, first_rate: float = 2**-10):
+    def __init__(
+        self,
+        rules: DataFrame,
+        urls: DataFrame,
+        url: str = "url",
+        default: str = DEFAULT,
+        first_rate: float = 2**-10,
+        rules_at_once: int = RULES_AT_ONCE,
+    ):
         """`rules` has verdict (allow or block), host and path; a rule that repeats must not contradict itself.
 
-        Hosts are lower-cased like those of URLs. From the rules the driver learns two small things:
-        the distinct lengths of their paths and the most labels of a host.
+        Hosts are lower-cased like those of URLs. From the rules the driver learns three small things:
+        their number, the distinct lengths of their paths and the most labels of a host.
         """
         keyed = rules.select("verdict", F.translate("host", ASCII_UPPER, ASCII_UPPER.lower()).alias("host"), "path").dropna()
         keyed = cut(keyed.select("verdict", "host", F.length("path").alias("length"), F.concat("host", "path").alias("key")).distinct())
         self.lengths = sorted(r.length for r in keyed.select("length").distinct().collect())
-        self.labels = keyed.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
-        self.default = default
-        universe = urls.select(F.explode(self.keys(host_of(F.col(url)), path_of(F.col(url)))).alias("key"))
-        self.listed = build_cascade(keyed, universe, first_rate)
-        self.blocking = build_cascade(keyed.filter("verdict = 'block'"), keyed, first_rate)
+        n, labels = keyed.agg(F.count(F.lit(1)), F.max(F.size(F.split("host", r"\.")))).first()
+        self.labels, self.default = labels or 0, default
+        self.slices: list[tuple[Cascade, Cascade]] = []
+        n_slices = max(1, -(-n // rules_at_once))
+        for k in range(n_slices):
+            own = F.pmod(F.xxhash64("key"), F.lit(n_slices)) == k
+            universe = urls.select(F.explode(self.keys(host_of(F.col(url)), path_of(F.col(url)))).alias("key"))
+            some = keyed.filter(own)
+            listed = build_cascade(some, universe, first_rate)
+            self.slices.append((listed, build_cascade(some.filter("verdict = 'block'"), some, first_rate)))
 
     def keys(self, host: Column, path: Column) -> Column:
         """Every rule a URL could match: suffixes of its host with prefixes of its path."""
@@ -152,11 +168,19 @@ class UrlRules:
         together); where none matches, rule is null and the verdict the default. Null URLs and ones
         without `://` have an empty host and path and match none.
         """
-        hits = F.filter(self.keys(F.col("host"), F.col("path")), self.listed.contains)
-        best = F.array_max(F.transform(hits, lambda k: F.struct(F.length(k), k.alias("key"))))["key"]
-        told = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).withColumn("rule", best)
-        verdict = F.when(F.col("rule").isNull(), self.default).when(self.blocking.contains(F.col("rule")), "block").otherwise("allow")
-        return told.withColumn("verdict", verdict)
+        told = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+        none = F.lit(None).cast("struct<length:int,key:string,verdict:string>")
+        told = told.withColumn("_best", none)
+        for k, (listed, blocking) in enumerate(self.slices):
+            hits = F.filter(self.keys(F.col("host"), F.col("path")), listed.contains)
+            longest = F.array_max(F.transform(hits, lambda x: F.struct(F.length(x), x.alias("key"))))["key"]
+            told = told.withColumn("_key", longest)
+            verdict = F.when(blocking.contains(F.col("_key")), "block").otherwise("allow")
+            found = F.when(F.col("_key").isNotNull(), F.struct(F.length("_key").alias("length"), F.col("_key").alias("key"), verdict.alias("verdict")))
+            told = told.withColumn("_best", F.array_max(F.array("_best", found))).drop("_key")
+            if k + 1 < len(self.slices):
+                told = cut(told)  # one slice's filters in a plan at a time
+        return told.withColumns({"rule": F.col("_best.key"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(self.default))}).drop("_best")
 
 
 def rules_table(spark: SparkSession, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:

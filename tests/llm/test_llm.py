@@ -70,8 +70,8 @@ def judged(url, rules, default="allow"):
     return (host, path, *(max(fits)[1:] if fits else (None, default)))
 
 
-@pytest.mark.parametrize("first_rate", [0.5, 2**-10])
-def test_url_rules(spark, first_rate):
+@pytest.mark.parametrize("first_rate, at_once", [(0.5, 1000), (2**-10, 1000), (2**-10, 12)])
+def test_url_rules(spark, first_rate, at_once):
     rng = random.Random(1)
     rules = [(rng.choice(["allow", "block"]), h, p) for h, p in {(rng.choice(["a.b", "b", "c.a.b", "B.org", "org"]) + rng.choice(["", ".net"]), rng.choice(["/", "/x/", "/x/y", "", "/é"])) for _ in range(60)}]
     rules = [(v, h.lower(), p) for v, h, p in rules]
@@ -79,11 +79,13 @@ def test_url_rules(spark, first_rate):
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "nothing", "http:/a.b/", "a://b://c/", "http://a.b/\nx"]
     pages = spark.createDataFrame([(k, u, "old", "old") for k, u in enumerate(urls + urls)], "page_id long, url string, host string, rule string")
     rules_df = spark.createDataFrame(rules, "verdict string, host string, path string")
-    got = url_filter.UrlRules(rules_df, pages, first_rate=first_rate)
+    got = url_filter.UrlRules(rules_df, pages, first_rate=first_rate, rules_at_once=at_once)
     rows = {(r.page_id): (r.host, r.path, r.rule, r.verdict) for r in got.judge(pages).collect()}
     assert rows == {k: judged(u, rules) for k, u in enumerate(urls + urls)}
     if first_rate == 0.5:
-        assert len(got.listed.levels) > 1
+        assert len(got.slices) == 1 and len(got.slices[0][0].levels) > 1
+    if at_once == 12:
+        assert len(got.slices) > 1
 
 
 def test_url_rules_without_rows(spark):
