@@ -27,19 +27,25 @@ BLOCK = frozenset(
     "tfoot th thead title tr ul".split()
 )
 # Elements whose whole content is no text of the page.
-SKIPPED = "script style noscript template svg math iframe object canvas audio video select textarea button head".split()
+SKIPPED = "script style title noscript template svg math iframe object canvas audio video select textarea button".split()
 # Elements around furniture of a page, and roles of the same meaning.
 FURNITURE = frozenset("nav footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 # Words of class and id names around furniture.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist "
-    "consent cookie cookies copyright disclaimer discussion disqus footer gdpr hidden login masthead menu modal nav "
-    "navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related "
-    "recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
-    "toolbar widget".split()
+    "ad ads advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs comment comments "
+    "commentlist consent cookie cookies copyright disclaimer discussion disqus feedback footer gdpr hidden legal login "
+    "masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted "
+    "promotion rail related recommended replies reply respond responses search secondary share sharing side sidebar "
+    "signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+#: Ends of names written as one word, such as sitefooter or topnav.
+NAME_ENDS = ("nav", "menu", "footer", "sidebar", "banner", "advert", "comments")
+# Names of furniture only outside the article, whose own head they may mark inside it.
+OUTER_NAMES = frozenset("header siteheader pageheader topbar brand logo bottom".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
+# Names of the element around the article where a page has no article or main element.
+CONTENT = frozenset("article content entry main post story".split())
 #: Elements whose nesting is followed; others can't hold furniture.
 FOLLOWED = frozenset("article aside body dialog div dl fieldset figure footer form header main menu nav ol section span table ul".split())
 
@@ -54,9 +60,12 @@ MARKS = re.compile(r"""\b(?P<name>class|id|role|hidden|aria-hidden|style)\b(?:\s
 WORD = re.compile(r"[A-Za-z]+?(?=[A-Z][a-z]|[^A-Za-z]|\Z)")
 
 
-def _is_furniture(tag: str, attrs: str) -> tuple[bool, bool]:
-    """(whether a tag stands around furniture, whether around reader comments)."""
-    furniture, comments = tag in FURNITURE, False
+def _is_furniture(tag: str, attrs: str, inside: bool = False) -> tuple[bool, bool, bool]:
+    """(whether a tag stands around furniture, around reader comments, around content).
+
+    inside: whether it stands in an article itself.
+    """
+    furniture, comments, content = tag in FURNITURE or (tag == "header" and not inside), False, False
     for m in MARKS.finditer(attrs) if attrs else ():
         name, value = m["name"].lower(), m["a"] or m["b"] or m["c"] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
@@ -66,9 +75,11 @@ def _is_furniture(tag: str, attrs: str) -> tuple[bool, bool]:
         elif name in ("class", "id") and tag not in ("body", "html", "main"):
             words = {w.lower() for w in WORD.findall(value)}
             comments |= not words.isdisjoint(COMMENTS)
+            content |= not words.isdisjoint(CONTENT)
             if tag != "article":
-                furniture |= not words.isdisjoint(NAMES)
-    return furniture or comments, comments
+                furniture |= not words.isdisjoint(NAMES) or any(w.endswith(NAME_ENDS) for w in words)
+                furniture |= not inside and not words.isdisjoint(OUTER_NAMES)
+    return furniture or comments, comments, content and not furniture and not comments
 
 
 @dataclass
@@ -77,14 +88,18 @@ class Block:
     words: int
     link_words: int
     in_article: bool
+    in_content: bool
     in_furniture: bool
     heading: bool
 
 
+OUTSIDE = ("", False, False, False)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty text blocks in order, white space collapsed and references decoded."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # followed elements: name, in article, in furniture
+    stack: list[tuple[str, bool, bool, bool]] = []  # followed elements: name, in article, in content, in furniture
     parts: list[str] = []
     linked: list[str] = []
     in_link = heading = own = False
@@ -93,9 +108,9 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal heading, own
         text = " ".join("".join(parts).split())
         if text:
-            _, article, furniture = stack[-1] if stack else ("", False, False)
+            _, article, content, furniture = stack[-1] if stack else OUTSIDE
             n_linked = len("".join(linked).split())
-            found.append(Block(text, text.count(" ") + 1, n_linked, article, furniture or own, heading))
+            found.append(Block(text, text.count(" ") + 1, n_linked, article, content, furniture or own, heading))
         parts.clear()
         linked.clear()
         heading = own = False
@@ -120,7 +135,7 @@ def blocks_of(page: str) -> list[Block]:
         if m["end"]:
             if tag == "a":
                 in_link = False
-            if tag in FOLLOWED and any(name == tag for name, _, _ in stack):
+            if tag in FOLLOWED and any(e[0] == tag for e in stack):
                 while stack.pop()[0] != tag:
                     pass
             continue
@@ -130,16 +145,15 @@ def blocks_of(page: str) -> list[Block]:
         if tag in FOLLOWED:
             if attrs.endswith("/"):
                 continue
-            furniture, comments = _is_furniture(tag, attrs)
-            _, article, outer = stack[-1] if stack else ("", False, False)
-            header = tag == "header" and not article
+            _, article, content, outer = stack[-1] if stack else OUTSIDE
+            furniture, comments, named = _is_furniture(tag, attrs, article)
             if tag in ("article", "main") and not comments:
                 # A page's article inside a wrapper named after its side bar is no side bar.
-                article, outer = True, outer and any(name in FURNITURE for name, _, _ in stack)
-            stack.append((tag, article, outer or furniture or header))
+                article, outer = True, outer and any(e[0] in FURNITURE for e in stack)
+            stack.append((tag, article, content or named, outer or furniture))
         elif tag in BLOCK:
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-            own = bool(attrs) and _is_furniture(tag, attrs)[0]
+            own = bool(attrs) and _is_furniture(tag, attrs, bool(stack) and stack[-1][1])[0]
     close()
     return found
 
@@ -167,7 +181,8 @@ LABELLED = [
     (70, 0, 5, 100, 80, 0, 0, 0, 0, 0, 1), (40, 5, 70, 0, 60, 0, 0, 0, 0, 0, 1), (18, 0, 60, 0, 45, 0, 0, 0, 0, 0, 1),
     (25, 20, 50, 5, 70, 0, 0, 0, 0, 0, 1), (6, 0, 2, 100, 60, 0, 0, 0, 1, 0, 1), (5, 0, 70, 0, 40, 0, 0, 0, 1, 0, 1),
     (3, 0, 60, 0, 50, 0, 0, 0, 0, 0, 1), (1, 0, 45, 0, 38, 0, 0, 0, 0, 0, 1), (12, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (30, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1), (2, 0, 40, 5, 0, 0, 0, 0, 0, 0, 1),
+    (30, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1), (2, 0, 40, 5, 0, 0, 0, 0, 0, 0, 1), (60, 0, 70, 0, 1, 100, 0, 0, 0, 0, 1),
+    (25, 0, 1, 100, 2, 100, 0, 0, 0, 0, 1), (2, 0, 60, 0, 1, 100, 0, 0, 0, 0, 1), (40, 0, 2, 100, 1, 100, 0, 0, 0, 0, 1),
     # pages without one: menus, lists of links, and short lines among those
     (1, 100, 1, 100, 1, 100, 0, 0, 0, 0, 0), (4, 100, 2, 100, 60, 0, 0, 0, 0, 0, 0), (9, 90, 70, 0, 5, 100, 0, 0, 0, 0, 0),
     (20, 80, 12, 100, 15, 90, 0, 0, 0, 0, 0), (3, 0, 2, 100, 3, 100, 0, 0, 0, 0, 0), (30, 70, 40, 0, 20, 100, 0, 0, 0, 0, 0),
@@ -227,7 +242,8 @@ def block_tree() -> Tree:
 def features_of(blocks: list[Block]) -> np.ndarray:
     words = np.array([b.words for b in blocks], np.float64)
     links = np.array([100 * b.link_words / b.words for b in blocks])
-    flags = np.array([(b.in_article, b.in_furniture, b.heading) for b in blocks], np.float64)
+    tagged = any(b.in_article and not b.in_furniture for b in blocks)
+    flags = np.array([(b.in_article if tagged else b.in_content, b.in_furniture, b.heading) for b in blocks], np.float64)
     before = [np.concatenate([[0], c[:-1]]) for c in (words, links)]
     after = [np.concatenate([c[1:], [0]]) for c in (words, links)]
     has = np.full(len(blocks), float((flags[:, 0] > flags[:, 1]).any()))

@@ -495,6 +495,8 @@ def test_licences(spark, odd, empty):
         ("<header><h1>Site</h1></header><article><p>body</p><div class='ad'>buy</div><ul class=\"menu\"><li>x</li></ul></article>", "body"),
         ("<article><p>cut off in the mid<b", "cut off in the mid"), ("<article><p title='a > b'>x</p><p>y &am", "x\ny &am"),
         ("<div id='content-sidebar-wrap'><article><p>inside</p></article></div>", "inside"),
+        ("<div class='siteheader'>Site</div><div id=content><h1>T</h1><p>Of.</p><p>One two</p><div class=topnav>m</div></div><div>tail</div>", "T\nOf.\nOne two"),
+        ("<head><title>t</title><body><p>a long enough paragraph of text here</p><ul><li><a href=x>next</a></ul>", "a long enough paragraph of text here"),
         ("<p>" + "word " * 5000 + "</p>", ("word " * 5000).strip()),
     ],
 )
@@ -502,6 +504,12 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_block_tree_keeps_articles_and_drops_furniture():
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.integers(0, 300, (3000, 1)), rng.integers(0, 101, (3000, 1)), rng.integers(0, 300, (3000, 1)), rng.integers(0, 101, (3000, 1)), rng.integers(0, 300, (3000, 1)), rng.integers(0, 101, (3000, 1)), np.ones((3000, 1)), rng.integers(0, 2, (3000, 2)), np.ones((3000, 1))]).astype(float)
+    assert (html_extract.block_tree().predict(x) == (x[:, 7] == 0)).all()
+
+
 def test_pages(spark):
     import html as h
     import re
