@@ -9,6 +9,15 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are cores: only an input of very few splits is dealt anew.
+
+    For work on long texts, where a small file of one row group would keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def group_sum(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:
     """The group's sum on each of its rows."""
     return df.withColumn(name, F.sum(col).over(Window.partitionBy(*keys)))

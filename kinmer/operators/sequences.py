@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmer.functions.sequences import ALPHABET, kmer_strings, upper_letters, valid_kmer
+from kinmer.functions.sequences import ALPHABET, kmer_strings, upper_letters
 
 #: Windows cut from one block of a sequence.
 BLOCK = 256
@@ -15,15 +15,17 @@ def kmer_rows(proteins: DataFrame, k: int = 8, acc: str = "acc", seq: str = "seq
     """(kmer, acc, pos0) of all valid k-mers; offsets are those of the windows.
 
     A long sequence is first cut into overlapping blocks: finding a letter by its number takes time in
-    proportion to it, so windows are cut from short blocks and the cost stays linear. Null and short
-    sequences give none.
+    proportion to it, so windows are cut from short blocks and the cost stays linear. Letters outside
+    the alphabet are blanked once for each sequence; a valid window is then one without a blank. Null
+    and short sequences give none.
     """
-    upper = proteins.select(F.col(acc).alias("acc"), upper_letters(F.col(seq)).alias("_s")).filter(F.length("_s") >= k)
+    blanked = F.regexp_replace(upper_letters(F.col(seq)), f"[^{ALPHABET}]", " ")
+    upper = proteins.select(F.col(acc).alias("acc"), blanked.alias("_s")).filter(F.length("_s") >= k)
     starts = F.explode(F.sequence(F.lit(0), F.length("_s") - k, F.lit(BLOCK))).alias("_b")
     blocks = upper.select("acc", "_s", starts).select("acc", "_b", F.substr("_s", F.col("_b") + 1, F.lit(BLOCK + k - 1)).alias("_s"))
     at = blocks.select("acc", "_b", "_s", F.explode(F.sequence(F.lit(0), F.length("_s") - k)).alias("_i"))
     windows = at.select(F.substr("_s", F.col("_i") + 1, F.lit(k)).alias("kmer"), "acc", (F.col("_b") + F.col("_i")).alias("pos0"))
-    return windows.filter(valid_kmer(F.col("kmer")))
+    return windows.filter(F.instr("kmer", " ") == 0)
 
 
 def kmer_index(proteins: DataFrame, k: int = 8, acc: str = "acc", seq: str = "seq") -> DataFrame:

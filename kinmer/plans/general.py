@@ -28,7 +28,7 @@ def query(sql: str | None):
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document as a sequence of its own."""
-    split = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "seq"))
+    split = common.spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "seq"))
     return split.select(F.concat_ws(":", text("doc_id"), text("line")).alias("acc"), "seq")
 
 
