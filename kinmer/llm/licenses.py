@@ -97,7 +97,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lines that name a copyright's owner, in text whose A-Z are lower-cased.
 COPYRIGHT = r"(^|\n)[ \t*#/;.-]*(copyright( ?\(c\)| ?©|[ :,]+[0-9])|\(c\)|©|all rights reserved)[^\n]*"
 #: Runs of ASCII control characters, spaces and punctuation but line feeds, and typographic quotes and dashes.
-MARKS = r"[\x00-\x09\x0B-\x20!-/:-@\[-`{-\x7F‘’“”–—©]+"
+_MARK = r"\x00-\x09\x0B-\x1F!-/:-@\[-`{-\x7F‘’“”–—©"
+#: Such runs but a single space, which stays as it is: most gaps between words need no replacing.
+MARKS = f"[{_MARK}][{_MARK} ]*| [{_MARK} ]+"
+#: Runs of spaces and line feeds but a single space.
+GAPS = r"\n[ \n]*| [ \n]+"
 
 
 def canonical(text: Column) -> Column:
@@ -110,7 +114,7 @@ def canonical(text: Column) -> Column:
 
 
 def _one_line(canon: Column) -> Column:
-    return F.trim(F.regexp_replace(canon, r"[ \n]+", " "))
+    return F.trim(F.regexp_replace(canon, GAPS, " "))
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> DataFrame:
@@ -160,7 +164,7 @@ def _sql_values(known: tuple[tuple[str, str], ...]) -> str:
     return ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in known)
 
 
-_SQL_ONE_LINE = "trim(regexp_replace(canon, '[ \\n]+', ' ', 'g'))"
+_SQL_ONE_LINE = f"trim(regexp_replace(canon, '{GAPS}', ' ', 'g'))"
 SQL = f"""
 WITH known AS (
   SELECT md5({_SQL_ONE_LINE}) AS digest, min(id) AS license_id, bool_or(notice) AS notice

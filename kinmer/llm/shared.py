@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmer.operators.common import spread
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -41,4 +43,5 @@ def text_or_empty(col: str = "text") -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer splits than there are cores is dealt over them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
