@@ -19,7 +19,7 @@ def kmer_rows(proteins: DataFrame, k: int = 8, acc: str = "acc", seq: str = "seq
     the alphabet are blanked once for each sequence; a valid window is then one without a blank. Null
     and short sequences give none.
     """
-    blanked = F.regexp_replace(upper_letters(F.col(seq)), f"[^{ALPHABET}]", " ")
+    blanked = F.upper(F.regexp_replace(seq, f"[^{ALPHABET}{ALPHABET.lower()}]", " "))
     upper = proteins.select(F.col(acc).alias("acc"), blanked.alias("_s")).filter(F.length("_s") >= k)
     starts = F.explode(F.sequence(F.lit(0), F.length("_s") - k, F.lit(BLOCK))).alias("_b")
     blocks = upper.select("acc", "_s", starts).select("acc", "_b", F.substr("_s", F.col("_b") + 1, F.lit(BLOCK + k - 1)).alias("_s"))

@@ -55,6 +55,14 @@ def test_pair_summary(spark):
     assert (q.n_alleles_tested, q.Human_dominant_fraction, q.Viral_dominant_fraction, q.Equivalent_binding_fraction) == (0, 0, 0, 0)
 
 
+def test_fractions_of_a_known_pair(spark):
+    df = spark.createDataFrame([("p", 744, 105, 95)], "pair_id string, Human_dominant long, Viral_dominant long, Equivalent_binding long")
+    r = summaries.with_fractions(df).first()
+    assert r.n_alleles_tested == 944
+    assert (r.Human_dominant_fraction, r.Viral_dominant_fraction, r.Equivalent_binding_fraction) == (0.788135593220339, 0.11122881355932203, 0.10063559322033898)
+    assert summaries.with_bias(summaries.with_fractions(df)).select(summaries.pair_category()).first()[0] == "Human_dominant"
+
+
 def test_kmers(spark):
     proteins = spark.createDataFrame([("a", "acdXefg"), ("b", "AC"), ("c", None), ("d", "")], "acc string, seq string")
     assert rows(sequences.kmer_rows(proteins, 3), "acc", "pos0", "kmer") == [("a", 0, "ACD"), ("a", 4, "EFG")]
