@@ -52,6 +52,8 @@ def test_pair_summary(spark):
     p, q = got["p"], got["q"]
     assert (p.Human_dominant, p.Viral_dominant, p.Equivalent_binding, p.n_alleles_tested) == (1, 1, 2, 4)
     assert (p.Human_dominant_fraction, p.Viral_dominant_fraction, p.Equivalent_binding_fraction) == (0.25, 0.25, 0.5)
+    parts = summaries.with_fractions(summaries.pivot_classes(summaries.class_counts(_annotated(spark, told))).join(summaries.pair_metadata(_annotated(spark, told)), "pair_id"))
+    assert {tuple(r[c] for c in parts.columns) for r in got.values()} == {tuple(r) for r in parts.collect()}
     assert (q.n_alleles_tested, q.Human_dominant_fraction, q.Viral_dominant_fraction, q.Equivalent_binding_fraction) == (0, 0, 0, 0)
 
 
