@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,39 +27,67 @@ from kinmer.llm.shared import cut
 
 BITS = 64
 #: Shingles unpacked to bits at once: bounds memory for very long texts.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
+#: Shingles whose bits are counted in one byte.
+RUN = 255
+#: Words of 64 bits, and bits of a block, of the fingerprints that stand for a shingle similarity.
+LONG_WORDS = 8
+LONG_BLOCK = 16
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """A bit is 1 if it is set in over half of the shingles' XXH64; no words give zero."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    body = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+def fingerprint_words(text: str | None, shingle: int = 4, seed: int = 42, words: int = 1) -> np.ndarray:
+    """A fingerprint of 64-bit words; a bit is 1 if it is set in over half of the shingles' hashes.
+
+    The first word is made of the shingles' XXH64, further ones of mixes of it. No words give zero.
+    """
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(words, np.uint64)
+    body = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(shingle, len(words))
+    k = min(shingle, len(parts))
     digest = xxhash.xxh64_intdigest
-    spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
-    total, n = np.zeros(BITS, np.int64), 0
+    spans = zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist())
+    total, n = np.zeros(words * BITS, np.int64), 0
     while part := [digest(body[a:b], seed) for a, b in itertools.islice(spans, CHUNK)]:
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
+        hashes = _mixed(np.array(part, "<u8"), words)
+        for at in range(0, len(hashes), RUN):  # counts of a run fit in a byte, so adding stays vectorised
+            bits = np.unpackbits(hashes[at : at + RUN].view(np.uint8), axis=1, bitorder="little")
+            total += bits.sum(axis=0, dtype=np.uint8)
         n += len(part)
-    return int(np.packbits((2 * total > n).astype(np.uint8), bitorder="little").view("<u8")[0])
+    return np.packbits((2 * total > n).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
+    """(n, words): the hash itself, then multiply-and-shift mixes of it with the word's number."""
+    out = np.empty((len(hashes), words), "<u8")
+    out[:, 0] = hashes
+    for w in range(1, words):
+        z = hashes + np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, w] = z ^ (z >> np.uint64(31))
+    return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp long): one row per input row."""
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The 64-bit fingerprint."""
+    return int(fingerprint_words(text, shingle, seed)[0])
+
+
+def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 4, words: int = 1) -> DataFrame:
+    """(doc_id, fp array<long> of `words` words): one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            fp = pa.array(np.array(marks, np.uint64).view(np.int64))
+            marks = [fingerprint_words(t.as_py(), shingle, words=words) for t in batch.column(1)]
+            flat = np.concatenate([np.zeros(0, np.uint64), *marks]).view(np.int64)
+            fp = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * words), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    return slim.mapInArrow(run, "doc_id long, fp array<long>")
 
 
 def block_count(n: int, radius: int) -> int:
@@ -72,30 +100,46 @@ def block_count(n: int, radius: int) -> int:
     return min(range(radius + 1, radius + 9), key=cost)
 
 
-def block_keys(fp: Column, blocks: int, radius: int) -> Column:
-    """array<struct<which, bits>>: the fingerprint under each choice of blocks - radius blocks."""
+def choice_keys(fp: Column, blocks: int, radius: int) -> Column:
+    """array<struct<which, bits>>: a 64-bit fingerprint under each choice of blocks - radius blocks."""
     cuts = [BITS * i // blocks for i in range(blocks + 1)]
     masks = [((1 << cuts[i + 1]) - (1 << cuts[i])) for i in range(blocks)]
     keys = []
     for which, chosen in enumerate(itertools.combinations(masks, blocks - radius)):
         mask = sum(chosen)
         mask -= (mask >> 63) << 64  # as a signed long
-        keys.append(F.struct(F.lit(which).alias("which"), fp.bitwiseAND(F.lit(mask).cast("long")).alias("bits")))
+        keys.append(F.struct(F.lit(which).alias("which"), F.get(fp, 0).bitwiseAND(F.lit(mask).cast("long")).alias("bits")))
     return F.array(*keys)
 
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between distinct fingerprints, as pairs of positions.
+def block_keys(fp: Column, words: int = LONG_WORDS, block: int = LONG_BLOCK) -> Column:
+    """array<struct<which, bits>>: each block of a long fingerprint."""
+    each = BITS // block
+    return F.array(
+        *[
+            F.struct(F.lit(w * each + k).alias("which"), F.shiftright(F.get(fp, w), block * k).bitwiseAND(F.lit((1 << block) - 1).cast("long")).alias("bits"))
+            for w in range(words)
+            for k in range(each)
+        ]
+    )
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def forest(marks: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between distinct fingerprints (rows of words), as pairs of positions.
 
     Breadth first over what is not yet reached: a dense group is used up by its first members, so
     the work is far from all pairs where there are many links.
     """
-    marks, left, pairs = fps.view(np.uint64), np.arange(len(fps)), []
+    left, pairs = np.arange(len(marks)), []
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(marks[left] ^ marks[at]) <= radius
+            near = _distance(marks[left], marks[at]) <= radius
             if near.any():
                 found = left[near].tolist()
                 pairs += [(at, x) for x in found]
@@ -104,57 +148,81 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return pairs
 
 
-def fingerprint_links(reps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
-    """Links (a, b) between representatives whose fingerprints differ in at most `radius` bits.
-
-    `reps` is (rep_id, fp) with distinct fp. Every link's ends are connected by the rows returned;
-    links that follow from others are left out. One task holds one key's distinct fingerprints,
-    eight bytes each with their ids.
+#: Groups of up to so many members are compared together, all groups of a batch at once.
+SMALL = 8
+
+
+def links_of_groups(bounds: np.ndarray, ids: np.ndarray, marks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (ids) that connect what is linked within each group of rows bounds[k] to bounds[k + 1]."""
+    size = np.diff(bounds)
+    small = np.repeat(size <= SMALL, size)
+    end = np.repeat(bounds[1:], size)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rows = np.flatnonzero(small)
+    for step in range(1, SMALL):
+        rows = rows[rows + step < end[rows]]
+        if not len(rows):
+            break
+        near = rows[_distance(marks[rows], marks[rows + step]) <= radius]
+        a.append(ids[near])
+        b.append(ids[near + step])
+    for k in np.flatnonzero(size > SMALL).tolist():
+        lo, hi = bounds[k], bounds[k + 1]
+        if pairs := forest(marks[lo:hi], radius):
+            x, y = np.array(pairs).T
+            a.append(ids[lo + x])
+            b.append(ids[lo + y])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def fingerprint_links(reps: DataFrame, keys: Column, radius: int, words: int = 1) -> DataFrame:
+    """Links (a, b) between representatives that share a key and differ in at most `radius` bits.
+
+    `reps` is (rep_id, fp) with distinct fp, `keys` its array of keys. The ends of every such link are
+    connected by the rows returned; in groups of more than a few members links that follow from others
+    are left out. One task holds one key's distinct fingerprints with their ids.
     """
-    b = blocks or block_count(reps.count(), radius)
-    keyed = reps.select("rep_id", "fp", F.explode(block_keys(F.col("fp"), b, radius)).alias("key"))
-    keyed = keyed.select("rep_id", "fp", "key.which", "key.bits")
+    keyed = reps.select("rep_id", "fp", F.explode(keys).alias("key")).select("rep_id", "fp", "key.which", "key.bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The partition is sorted by key: runs of equal keys are its groups."""
         held: list[list[np.ndarray]] = []
 
-        def close(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            which, bits, ids, fps = (np.concatenate(x) for x in zip(*parts))
+        def close(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            which, bits, ids, marks = (np.concatenate(x) for x in zip(*parts))
             edge = np.flatnonzero((which[1:] != which[:-1]) | (bits[1:] != bits[:-1])) + 1
-            bounds = np.concatenate([[0], edge, [len(which)]])
-            size = np.diff(bounds)
-            two = bounds[:-1][size == 2]  # most groups that aren't alone: chance meetings of two
-            two = two[np.bitwise_count(fps[two].view(np.uint64) ^ fps[two + 1].view(np.uint64)) <= radius]
-            a, z = ids[two].tolist(), ids[two + 1].tolist()
-            for k in np.flatnonzero(size > 2).tolist():
-                lo, hi = bounds[k], bounds[k + 1]
-                for x, y in forest(fps[lo:hi], radius):
-                    a.append(ids[lo + x])
-                    z.append(ids[lo + y])
-            return np.array(a, np.int64), np.array(z, np.int64)
+            a, b = links_of_groups(np.concatenate([[0], edge, [len(which)]]), ids, marks, radius)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(cols[0]):
+            if not batch.num_rows:
                 continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
+            cols.append(batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, words))
             same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
             tail = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
             if tail or (held and (held[-1][0][-1], held[-1][1][-1]) != (cols[0][0], cols[1][0])):
-                a, z = close([*held, [c[:tail] for c in cols]])
+                yield from close([*held, [c[:tail] for c in cols]])
                 held = []
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], ["a", "b"])
             held.append([c[tail:] for c in cols])
         if held:
-            a, z = close(held)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], ["a", "b"])
+            yield from close(held)
 
     dealt = keyed.repartition("which", "bits").sortWithinPartitions("which", "bits")
     return dealt.select("which", "bits", "rep_id", "fp").mapInArrow(run, "a long, b long")
 
 
+def _components(marks: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, fp, component_id) for marks (doc_id, fp), with `links` between their representatives."""
+    reps = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("rep_id")))
+    found = connected_components(links(reps.filter("rep_id IS NOT NULL")))
+    classes = reps.join(found, reps.rep_id == found.node, "left").select(
+        "fp", F.coalesce("component", "rep_id").alias("component_id")
+    )
+    return marks.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+
+
 def simhash_components(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 4, radius: int = 4
 ) -> DataFrame:
@@ -166,24 +234,45 @@ def simhash_components(
     repeat count once for links and each get a row. Rows with a null id keep their fingerprint and
     get their component's id, null if no row there has one. Extra columns are ignored.
     """
-    marks = cut(fingerprints(docs, text, id_col, shingle))
-    reps = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("rep_id")))
-    found = connected_components(fingerprint_links(reps.filter("rep_id IS NOT NULL"), radius))
-    classes = reps.join(found, reps.rep_id == found.node, "left").select(
-        "fp", F.coalesce("component", "rep_id").alias("component_id")
-    )
-    return marks.join(classes, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    def links(reps: DataFrame) -> DataFrame:
+        return fingerprint_links(reps, choice_keys(F.col("fp"), block_count(reps.count(), radius), radius), radius)
+
+    found = _components(cut(fingerprints(docs, text, id_col, shingle)), links)
+    mark = F.lower(F.lpad(F.hex(F.get("fp", 0)), 16, "0"))
+    return found.select("doc_id", mark.alias("fingerprint"), "component_id")
+
+
+def radius_of(similarity: float, bits: int = BITS * LONG_WORDS, spread: float = 1.5) -> int:
+    """Differing bits of two texts whose shingle sets have this Jaccard similarity, and some standard deviations more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + spread * math.sqrt(bits * share * (1 - share)))
+
+
+def similar_components(
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """(doc_id, component_id) for links at a shingle similarity instead of a number of bits.
+
+    Fingerprints have 512 bits, so that their distance tells the similarity well, in 32 blocks of 16:
+    pairs of up to 31 differing bits share one for certain, pairs at a similarity of 0.9 or 0.8 with
+    a likelihood of 0.998 or 0.91, before what their other links in a group add. Rows are treated as
+    by `simhash_components`.
+    """
+    radius = radius_of(similarity)
+
+    def links(reps: DataFrame) -> DataFrame:
+        return fingerprint_links(reps, block_keys(F.col("fp")), radius, LONG_WORDS)
+
+    return _components(cut(fingerprints(docs, text, id_col, shingle, LONG_WORDS)), links).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(
-    docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 4, radius: int = 4
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """The rows of `docs` whose id is the smallest of their component; rows with a null id stay.
 
     The ids of rows to drop are joined away (anti join), so a component of any size is dealt out.
     """
-    marked = simhash_components(docs, text, id_col, shingle, radius)
+    marked = similar_components(docs, text, id_col, shingle, similarity)
     drop = marked.filter("doc_id != component_id").select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")

@@ -572,8 +572,34 @@ def test_simhash(spark, odd, empty, corpus):
     check_components(docs, rows)
     assert sum(r.component_id != r.doc_id for r in rows) > 50
     assert simhash.simhash_components(empty).count() == 0
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def test_similar_components(spark, odd, empty, corpus):
+    rng, docs = random.Random(12), list({t: (i, t) for i, t in corpus}.values())
+    for k, (i, text) in enumerate(docs[:120]):
+        words = text.split()
+        if len(words) >= 30:
+            for _ in range(max(1, len(words) // 100)):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+            docs.append((20_000 + k, " ".join(words)))
+    rows = by_id(simhash.similar_components(spark.createDataFrame(docs, "doc_id long, text string")))
+    sets = {i: shingle_set(t) for i, t in docs}
+    pairs = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a, b in itertools.combinations(sets, 2)]
+    near = [(a, b) for a, b, j in pairs if j >= 0.8]
+    assert len(near) > 60 and np.mean([rows[a].component_id == rows[b].component_id for a, b in near]) > 0.95
+    close = components(sets, [(a, b) for a, b, j in pairs if j > 0.3])
+    assert np.mean([close[i] == close[r.component_id] for i, r in rows.items()]) > 0.98  # others stay apart
     kept = simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in rows})
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in rows.values()})
+    same_text = {r.doc_id: r.component_id for r in simhash.similar_components(odd).collect()}
+    assert same_text[1] == same_text[2] == same_text[3] == 1 and same_text[4] == same_text[5] == same_text[9] == 4 and same_text[6] == 6
+    assert simhash.similar_components(empty).count() == 0
+    assert len(simhash.drop_near_duplicates(odd).columns) == len(odd.columns)
 
 
 def test_blocks_miss_no_link(spark):
@@ -587,10 +613,11 @@ def test_blocks_miss_no_link(spark):
                 g ^= 1 << b
             fps.add(g)
     marks = sorted(fps)
-    reps = spark.createDataFrame([(k, f - (f >> 63 << 64)) for k, f in enumerate(marks)], "rep_id long, fp long")
+    reps = spark.createDataFrame([(k, [f - (f >> 63 << 64)]) for k, f in enumerate(marks)], "rep_id long, fp array<long>")
     want = components(range(len(marks)), [(a, b) for a, b in itertools.combinations(range(len(marks)), 2) if (marks[a] ^ marks[b]).bit_count() <= 4])
     for blocks in (5, 6, 7, 8):
-        links = [(r.a, r.b) for r in simhash.fingerprint_links(reps, 4, blocks).collect()]
+        keys = simhash.choice_keys(simhash.F.col("fp"), blocks, 4)
+        links = [(r.a, r.b) for r in simhash.fingerprint_links(reps, keys, 4).collect()]
         assert components(range(len(marks)), links) == want
     assert [simhash.block_count(n, 4) for n in (0, 10**5, 10**9)] == sorted(simhash.block_count(n, 4) for n in (0, 10**5, 10**9))
 

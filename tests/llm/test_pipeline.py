@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from test_llm import check_packing, components, plain_fingerprint
+import numpy as np
+from test_llm import check_packing, components
 
 import corpus_pipeline
-from kinmer.llm import quality
+from kinmer.llm import quality, simhash
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -15,14 +16,19 @@ SF_DIR = "/root/testdata/sf0.001"
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     forest = quality.fit_quality(docs, spark.read.parquet(f"{SF_DIR}/labels.parquet"))
-    good = [(r.doc_id, r.text) for r in docs.collect() if forest.score(__import__("numpy").array([quality.statistics(r.text)]))[0] >= 0.7]
+    good = [(r.doc_id, r.text) for r in docs.collect() if forest.score(np.array([quality.statistics(r.text)]))[0] >= 0.7]
     last = defaultdict(int)
     for i, t in good:
         last[t or ""] = max(last[t or ""], i)
     unique = [(i, t) for t, i in last.items()]
-    marks = {i: plain_fingerprint(t) for i, t in unique}
-    ids = sorted(marks)
-    root = components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (marks[a] ^ marks[b]).bit_count() <= 4])
+    marks = {i: simhash.fingerprint_words(t, 5, words=8) for i, t in unique}
+    ids, radius = sorted(marks), simhash.radius_of(0.8)
+
+    def linked(a, b):
+        apart = np.bitwise_count(marks[a] ^ marks[b]).sum() <= radius
+        return apart and (marks[a].view(np.uint16) == marks[b].view(np.uint16)).any()
+
+    root = components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if linked(a, b)])
     kept = [(i, t) for i, t in unique if root[i] == i]
     assert 0 < len(kept) < len(good) < docs.count()
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
