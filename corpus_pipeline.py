@@ -27,7 +27,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by SimHash fingerprints: the one with the smallest id."""
+    """One document of each group linked by SimHash at a five-word similarity of 0.8: the one with the smallest id."""
     return simhash.drop_near_duplicates(docs)
 
 
