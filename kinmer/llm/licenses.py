@@ -93,8 +93,7 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
     ("share alike", "sharealike"),
 )
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Lines that name a copyright's owner, in text whose A-Z are lower-cased.
+#: Lines that name a copyright's owner, in lower-cased text.
 COPYRIGHT = r"(^|\n)[ \t*#/;.-]*(copyright( ?\(c\)| ?©|[ :,]+[0-9])|\(c\)|©|all rights reserved)[^\n]*"
 #: Runs of ASCII control characters, spaces and punctuation but line feeds, and typographic quotes and dashes.
 _MARK = r"\x00-\x09\x0B-\x1F!-/:-@\[-`{-\x7F‘’“”–—©"
@@ -106,7 +105,7 @@ GAPS = r"\n[ \n]*| [ \n]+"
 
 def canonical(text: Column) -> Column:
     """The canonical form, its lines kept apart by line feeds."""
-    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), COPYRIGHT, "$1")
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "$1")
     out = F.regexp_replace(out, MARKS, " ")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -153,7 +152,7 @@ def _quoted(text: str) -> str:
 
 def _sql_canonical(text: str) -> str:
     """The canonical form in DuckDB's SQL."""
-    out = f"regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), {_quoted(COPYRIGHT)}, '\\1', 'g')"
+    out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(COPYRIGHT)}, '\\1', 'g')"
     out = f"regexp_replace({out}, {_quoted(MARKS)}, ' ', 'g')"
     for a, b in SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"
