@@ -223,6 +223,20 @@ def test_quantile_and_histogram(spark):
     assert common.histogram(df.filter("x > 99"), "x", 2).count() == 0
 
 
+def test_rows_and_metrics(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 3), ("a", 2), (None, 3)], "k string, v int")
+    assert rows(common.top_n_per_group(df, ["k"], [F.desc("v")], 1), "v") == [(2,), (3,), (3,)]
+    assert [r.v for r in common.top_k(df, "v", 2, "k").collect()] == [3, 3]
+    assert rows(common.group_sum(df, ["k"], "v", "s").filter("k = 'a'"), "v", "s") == [(1, 3), (2, 3)]
+    assert rows(common.first_per_group(df.filter("k IS NOT NULL"), ["k"], "v"), "k", "v") == [("a", 1), ("b", 3)]
+    assert common.union_all(df, df.select("k")).filter("v IS NULL").count() == 4
+    assert rows(common.union_distinct(df, df, ["k", "v"], ["v"]).filter("k = 'a'"), "k", "v") == [("a", 1), ("a", 2)]
+    kept, seen = common.observed(df.filter("v > 1"), n=F.count(F.lit(1)), keys=F.count("k"))
+    assert kept.count() == 3 and seen.get == {"n": 3, "keys": 2}
+    assert common.spread(df.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert rows(common.carry_forward(df.filter("k IS NOT NULL").withColumn("h", F.when(F.col("v") == 1, "x")), "h", ["k"], "v", "last"), "k", "v", "last")[:2] == [("a", 1, "x"), ("a", 2, "x")]
+
+
 def test_compare_and_completeness(spark):
     left, right = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
     assert rows(common.compare_keys(left, right, "k"), "k", "side") == [(1, "left"), (2, "both"), (3, "right")]
