@@ -98,7 +98,7 @@ class Forest:
         return 1 / (1 + np.exp(-(self.bias + self.value[trees, node].sum(axis=1))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 64, least: int = 8) -> Forest:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 3, rate: float = 0.1, bins: int = 64, least: int = 20) -> Forest:
     """Boosted trees with logistic loss over per-feature histograms of quantile bins.
 
     A node that can't be split with `least` rows on each side sends all rows left (its threshold is
