@@ -238,7 +238,7 @@ def test_flat_trees_match_a_walk():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 3))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
-    f = quality.fit(x, y, trees=20)
+    f = quality.fit(x, y, trees=60, rate=0.3, least=8)
     def walk(row):
         total = f.bias
         for t in range(len(f.feature)):
