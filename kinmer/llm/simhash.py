@@ -8,10 +8,14 @@
 4. Within a key, Hamming distances are verified and only a spanning forest of the links leaves the
    task: at most one link a fingerprint, never all pairs.
 5. Components of those links, carried back to fingerprints and then to documents.
+
+The general form (`similar_components`) takes step 5's components as candidates only: within each,
+links are made anew from exact shingle sets.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Callable, Iterator
@@ -40,23 +44,32 @@ def fingerprint_words(text: str | None, shingle: int = 4, seed: int = 42, words:
 
     The first word is made of the shingles' XXH64, further ones of mixes of it. No words give zero.
     """
+    return _majority(shingle_hashes(text, shingle, seed), words)
+
+
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 of each shingle in order, repeats included; no words give none."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, "<u8")
     body = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(parts))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist())
-    total, n = np.zeros(words * BITS, np.int64), 0
-    while part := [digest(body[a:b], seed) for a, b in itertools.islice(spans, CHUNK)]:
-        hashes = _mixed(np.array(part, "<u8"), words)
-        for at in range(0, len(hashes), RUN):  # counts of a run fit in a byte, so adding stays vectorised
-            bits = np.unpackbits(hashes[at : at + RUN].view(np.uint8), axis=1, bitorder="little")
+    return np.fromiter((digest(body[a:b], seed) for a, b in spans), "<u8", len(parts) - k + 1)
+
+
+def _majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The fingerprint of these hashes."""
+    total = np.zeros(words * BITS, np.int64)
+    for start in range(0, len(hashes), CHUNK):
+        mixed = _mixed(hashes[start : start + CHUNK], words)
+        for at in range(0, len(mixed), RUN):  # counts of a run fit in a byte, so adding stays vectorised
+            bits = np.unpackbits(mixed[at : at + RUN].view(np.uint8), axis=1, bitorder="little")
             total += bits.sum(axis=0, dtype=np.uint8)
-        n += len(part)
-    return np.packbits((2 * total > n).astype(np.uint8), bitorder="little").view("<u8")
+    return np.packbits((2 * total > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
 
 
 def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -124,6 +137,21 @@ def block_keys(fp: Column, words: int = LONG_WORDS, block: int = LONG_BLOCK) ->
     )
 
 
+def cross_keys(fp: Column) -> Column:
+    """array<struct<which, bits>>: a second cut of a 512-bit fingerprint, into blocks of a nibble from each of four words.
+
+    Its blocks share at most a nibble with one of `block_keys`, so a pair missed there has nearly a new chance.
+    """
+    first = LONG_WORDS * BITS // LONG_BLOCK
+    keys = []
+    for half in range(LONG_WORDS // 4):
+        for at in range(0, BITS, 4):
+            nibbles = [F.shiftleft(F.shiftright(F.get(fp, 4 * half + k), at).bitwiseAND(F.lit(15).cast("long")), 4 * k) for k in range(4)]
+            bits = nibbles[0].bitwiseOR(nibbles[1]).bitwiseOR(nibbles[2]).bitwiseOR(nibbles[3])
+            keys.append(F.struct(F.lit(first + len(keys)).alias("which"), bits.alias("bits")))
+    return F.array(*keys)
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
@@ -248,22 +276,125 @@ def radius_of(similarity: float, bits: int = BITS * LONG_WORDS, spread: float =
     return math.floor(bits * share + spread * math.sqrt(bits * share * (1 - share)))
 
 
+def set_marks(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5) -> DataFrame:
+    """(doc_id, fp, sig, body): long fingerprint, MD5 of the shingle set and MD5 of the text, one row per input row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, sigs, bodies = [np.zeros(0, np.uint64)], [], []
+            for cell in batch.column(1):
+                body = cell.as_py()
+                hashes = shingle_hashes(body, shingle)
+                marks.append(_majority(hashes, LONG_WORDS))
+                sigs.append(hashlib.md5(np.unique(hashes)).digest())
+                bodies.append(hashlib.md5((body or "").encode("utf-8", "surrogatepass")).digest())
+            at = np.arange(len(sigs) + 1, dtype=np.int32) * LONG_WORDS
+            fp = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(marks).view(np.int64)))
+            columns = [batch.column(0), fp, pa.array(sigs, pa.binary()), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sig", "body"])
+
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, fp array<long>, sig binary, body binary")
+
+
+def body_digest(text: str) -> Column:
+    """The `body` of `set_marks` in Spark's functions."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of positions, of the links between sets of at least this Jaccard similarity.
+
+    Breadth first over what is not yet reached; each comparison is exact, and every pair is compared
+    that other links don't connect.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), size)
+    end = np.cumsum(size)
+    own = code  # all members' codes; `code` and `owner` shrink to those of what is left
+    held = np.zeros(len(own), bool)
+    left, pairs = np.ones(len(sets), bool), []
+    for root in range(len(sets)):
+        queue = [root] if left[root] else []
+        left[root] = False
+        while queue and left.any():
+            at = queue.pop()
+            mine = own[end[at] - size[at] : end[at]]
+            held[mine] = True
+            common = np.bincount(owner[held[code]], minlength=len(sets))
+            held[mine] = False
+            found = np.flatnonzero(left & (common / np.maximum(size + size[at] - common, 1) >= similarity)).tolist()
+            pairs += [(at, x) for x in found]
+            queue += found
+            left[found] = False
+            stays = left[owner]
+            if 2 * stays.sum() < len(stays):
+                code, owner = code[stays], owner[stays]
+    return pairs
+
+
+def set_links(groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect what is linked in exact shingle similarity within each group.
+
+    `groups` is (group, node, text). One task holds the shingle sets of one group.
+    """
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), each], ["group", "node", "hashes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The partition is sorted by group: runs of equal groups are its groups."""
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)))
+        for _, members in itertools.groupby(rows, key=lambda r: r[0]):
+            nodes, hashes = [], []
+            for _, node, cell in members:
+                nodes.append(node)
+                hashes.append(np.frombuffer(cell.as_py(), "<u8"))
+            if pairs := set_forest(hashes, similarity):
+                a, b = np.array(nodes)[np.array(pairs).T]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = groups.mapInArrow(sets, "group long, node long, hashes binary").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+#: Up to so many candidates are sent to the documents instead of dealing texts out to them.
+FEW = 100_000
+
+
+def _similar(docs: DataFrame, text: str, id_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, body, keep) for each row: keep is (doc_id, body) of its component's first row, null without an id."""
+    marks = cut(set_marks(docs, text, id_col, shingle))
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "body"))
+    reps = cut(marks.groupBy("fp", "sig").agg(F.min(named).alias("first")).select("*", F.monotonically_increasing_id().alias("node")))
+    keys = F.concat(block_keys(F.col("fp")), cross_keys(F.col("fp")))
+    known = reps.filter("first IS NOT NULL").select(F.col("node").alias("rep_id"), "fp")
+    near = connected_components(fingerprint_links(known, keys, radius_of(similarity, spread=3), LONG_WORDS))
+    wanted = cut(near.join(reps, "node").select(F.col("component").alias("group"), "node", F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_body")))
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    whole = docs.select(F.col(id_col).cast("long").alias("_id"), body_digest(text).alias("_body"), F.col(text).alias("text"))
+    groups = whole.join(wanted, ["_id", "_body"]).select("group", "node", "text")
+    found = connected_components(set_links(groups, shingle, similarity))
+    classes = reps.join(found, "node", "left").select("sig", "first", F.coalesce("component", "node").alias("component"))
+    firsts = classes.groupBy("component").agg(F.min("first").alias("keep"))
+    return marks.join(classes.join(firsts, "component").select("sig", "keep"), "sig", "left").select("doc_id", "body", "keep")
+
+
 def similar_components(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """(doc_id, component_id) for links at a shingle similarity instead of a number of bits.
+    """(doc_id, component_id) for links at a Jaccard similarity of shingle sets instead of a number of bits.
 
-    Fingerprints have 512 bits, so that their distance tells the similarity well, in 32 blocks of 16:
-    pairs of up to 31 differing bits share one for certain, pairs at a similarity of 0.9 or 0.8 with
-    a likelihood of 0.998 or 0.91, before what their other links in a group add. Rows are treated as
-    by `simhash_components`.
+    Candidates are groups linked by fingerprints of 512 bits in 32 blocks of 16, cut in two ways, at up to
+    three standard deviations more bits than the similarity makes expect. Within each such group the
+    sets themselves (of 64-bit hashes) are compared, so every link has the similarity asked for, and
+    none of a group's is missed. Rows are treated as by `simhash_components`.
     """
-    radius = radius_of(similarity)
-
-    def links(reps: DataFrame) -> DataFrame:
-        return fingerprint_links(reps, block_keys(F.col("fp")), radius, LONG_WORDS)
-
-    return _components(cut(fingerprints(docs, text, id_col, shingle, LONG_WORDS)), links).select("doc_id", "component_id")
+    found = _similar(docs, text, id_col, shingle, similarity)
+    return found.select("doc_id", F.col("keep.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(

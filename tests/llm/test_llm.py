@@ -629,3 +629,28 @@ def test_components(spark):
         got = {r.node: r.component for r in graph.connected_components(df).collect()}
         nodes = {x for e in edges if e[0] != e[1] for x in e}
         assert got == components(nodes, edges) if nodes else got == {}
+
+
+def test_similar_links_are_verified(spark):
+    rng, docs = random.Random(13), []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        docs.append((2 * k, " ".join(words)))
+        for at in rng.sample(range(0, 200, 6), 1 + k % 9):
+            words[at] = f"x{rng.randrange(10**6)}"
+        docs.append((2 * k + 1, " ".join(words)))
+    sets = {i: shingle_set(t) for i, t in docs}
+    want = components(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8])
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(want[i] == want[c] for i, c in got.items())  # no link below 0.8
+    missed = sum(got[i] != c for i, c in want.items())
+    assert sum(i != c for i, c in want.items()) > 50 and missed <= 5
+
+
+def test_set_forest():
+    rng = random.Random(14)
+    sets = [np.array(sorted(rng.sample(range(14), rng.randrange(6, 13))), np.uint64) for _ in range(60)]
+    jaccard = lambda a, b: len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+    want = [(a, b) for a, b in itertools.combinations(range(60), 2) if jaccard(sets[a], sets[b]) >= 0.8]
+    pairs = simhash.set_forest(sets, 0.8)
+    assert all(tuple(sorted(p)) in want for p in pairs) and components(range(60), pairs) == components(range(60), want)
