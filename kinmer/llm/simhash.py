@@ -284,9 +284,9 @@ def set_marks(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shing
             marks, sigs, bodies = [np.zeros(0, np.uint64)], [], []
             for cell in batch.column(1):
                 body = cell.as_py()
-                hashes = shingle_hashes(body, shingle)
+                hashes = np.unique(shingle_hashes(body, shingle))  # the similarity is of sets: repeats count once
                 marks.append(_majority(hashes, LONG_WORDS))
-                sigs.append(hashlib.md5(np.unique(hashes)).digest())
+                sigs.append(hashlib.md5(hashes).digest())
                 bodies.append(hashlib.md5((body or "").encode("utf-8", "surrogatepass")).digest())
             at = np.arange(len(sigs) + 1, dtype=np.int32) * LONG_WORDS
             fp = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(marks).view(np.int64)))

@@ -654,3 +654,14 @@ def test_set_forest():
     want = [(a, b) for a, b in itertools.combinations(range(60), 2) if jaccard(sets[a], sets[b]) >= 0.8]
     pairs = simhash.set_forest(sets, 0.8)
     assert all(tuple(sorted(p)) in want for p in pairs) and components(range(60), pairs) == components(range(60), want)
+
+
+def test_repeated_lines_count_once(spark):
+    rng, docs = random.Random(15), []
+    for k in range(20):
+        line = " ".join(f"line{k}x{j}" for j in range(12))
+        lone = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (400, 100, 100)]
+        docs += [(4 * k, f"{lone[0]} {line}"), (4 * k + 1, " ".join([lone[0], *[line] * 5]))]
+        docs += [(4 * k + 2, " ".join([lone[1], *[line] * 12])), (4 * k + 3, " ".join([lone[2], *[line] * 12]))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - (i % 4 == 1) for i, _ in docs}
