@@ -26,8 +26,10 @@ BLOCK = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td "
     "tfoot th thead title tr ul".split()
 )
-# Elements whose whole content is no text of the page.
-SKIPPED = "script style title noscript template svg math iframe object canvas audio video select textarea button".split()
+# Elements whose whole content is no text of the page and holds no tags but the end; unclosed, it runs on as in a browser.
+SKIPPED = "script style title noscript template iframe textarea".split()
+# Elements with tags inside whose whole content is no text of the page; unclosed, it ends at the next block.
+EMBEDDED = frozenset("svg object canvas audio video select button".split())
 # Elements around furniture of a page, and roles of the same meaning.
 FURNITURE = frozenset("nav footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -50,7 +52,7 @@ CONTENT = frozenset("article content entry main post story".split())
 FOLLOWED = frozenset("article aside body dialog div dl fieldset figure footer form header main menu nav ol section span table ul".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<skip>" + "|".join(SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=skip)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<skip>" + "|".join(SKIPPED) + r")(?=[\s/>]|\Z)(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=skip)\s*>|\Z)"
     r"|</(?P<end>[a-z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<(?P<start>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|<(?P<odd>[a-z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
@@ -93,6 +95,29 @@ class Block:
     heading: bool
 
 
+EMBEDDED_START = re.compile("<(?:" + "|".join(sorted(EMBEDDED)) + r")(?=[\s/>])", re.I)
+
+
+def _embedded_ends(page: str) -> dict[int, int]:
+    """Where each closed embedded element starts and ends."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in TOKEN.finditer(page) if EMBEDDED_START.search(page) else ():
+        tag = (m["end"] or m["start"] or m["odd"] or "").lower()
+        if tag not in EMBEDDED:
+            continue
+        if not m["end"]:
+            if not _is_empty(tag, m):
+                opened.setdefault(tag, []).append(m.start())
+        elif opened.get(tag):
+            ends[opened[tag].pop()] = m.end()
+    return ends
+
+
+def _is_empty(tag: str, m: re.Match) -> bool:
+    return tag == "svg" and m[0].endswith("/>")
+
+
 OUTSIDE = ("", False, False, False)
 
 
@@ -102,7 +127,8 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool, bool]] = []  # followed elements: name, in article, in content, in furniture
     parts: list[str] = []
     linked: list[str] = []
-    in_link = heading = own = False
+    in_link = heading = own = unclosed = False
+    ends, until = _embedded_ends(page), 0
 
     def close() -> None:
         nonlocal heading, own
@@ -117,6 +143,13 @@ def blocks_of(page: str) -> list[Block]:
 
     for m in TOKEN.finditer(page):
         kind = m.lastgroup
+        if m.start() < until:
+            continue
+        if unclosed:
+            tag = (m["end"] or m["start"] or m["odd"] or "").lower()
+            if tag not in BLOCK and not (m["end"] and tag in FOLLOWED and any(e[0] == tag for e in stack)):
+                continue
+            unclosed = False
         if kind == "text":
             piece = html.unescape(m["text"])
             parts.append(piece)
@@ -128,6 +161,12 @@ def blocks_of(page: str) -> list[Block]:
                 parts.append(" ")
             continue
         tag = (m["end"] or m["start"] or m["odd"]).lower()
+        if tag in EMBEDDED:
+            parts.append(" ")
+            if not m["end"] and not _is_empty(tag, m):
+                until = ends.get(m.start(), 0)
+                unclosed = not until
+            continue
         if tag in BLOCK:
             close()
         elif tag in ("br", "img", "input", "wbr"):

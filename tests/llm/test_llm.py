@@ -665,3 +665,20 @@ def test_repeated_lines_count_once(spark):
         docs += [(4 * k + 2, " ".join([lone[1], *[line] * 12])), (4 * k + 3, " ".join([lone[2], *[line] * 12]))]
     got = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: i - (i % 4 == 1) for i, _ in docs}
+
+
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ("<p>one</p><video-player src=x></video-player><p>three</p>", "one\nthree"),
+        ("<p>one <svg-icon></svg-icon>two</p><button-group><p>three</p></button-group><style-guide></style-guide><p>four</p>", "one two\nthree\nfour"),
+        ("<p>one <svg width='1'/> two</p><p>three</p>", "one two\nthree"),
+        ("<p>one <svg><svg><path d='M0'/></svg><text>no</text></svg> two</p>", "one two"),
+        ("<p>if <math><mi>x</mi><mo>&gt;</mo><mn>1</mn></math> holds</p>", "if x>1 holds"),
+        ("<p>one <button>no</p><p>two</p><button>no<p>no</p></button><p>three</p>", "one\ntwo\nthree"),
+        ("<p>one <span class=share><select><option>no</span></p><p>two</p><script>no<p>no</p>", "one\ntwo"),
+    ],
+)
+def test_embedded_elements_swallow_no_text(inside, text):
+    page = f"<html><body><nav><a href=/>Home</a></nav><article>{inside}</article></body></html>"
+    assert [b.text for b in html_extract.blocks_of(page) if b.in_article] == text.split("\n")
