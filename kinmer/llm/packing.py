@@ -33,17 +33,27 @@ def byte_bpe(path: str | None = None) -> Callable[[str], list[int]]:
     """Encoder of the byte-level BPE vocabulary with 50,257 ids, loaded once a worker.
 
     The rank file holds the same vocabulary as the tokenizers file of that name; its one special
-    token is recognised inside texts, as that library does.
+    token is recognised inside texts, as that library does. Texts that tiktoken's expression engine
+    gives up on (runs of about a million white-space characters) are encoded by that library itself.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     coder = tiktoken.Encoding(
         "byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)}
     )
-    return functools.partial(coder.encode, allowed_special="all")
+    library = functools.cache(lambda: Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+
+    def encode(text: str) -> list[int]:
+        try:
+            return coder.encode(text, allowed_special="all")
+        except ValueError:
+            return library().encode(text).ids
+
+    return encode
 
 
 class TournamentTree:

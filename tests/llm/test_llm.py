@@ -682,3 +682,12 @@ def test_repeated_lines_count_once(spark):
 def test_embedded_elements_swallow_no_text(inside, text):
     page = f"<html><body><nav><a href=/>Home</a></nav><article>{inside}</article></body></html>"
     assert [b.text for b in html_extract.blocks_of(page) if b.in_article] == text.split("\n")
+
+
+def test_ids_of_long_white_space():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "a" + " " * 1_000_001 + "b<|endoftext|>\n c"
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.byte_bpe()(text) == coder.encode(text).ids
