@@ -402,8 +402,10 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of `docs` whose id is the smallest of their component; rows with a null id stay.
 
-    The ids of rows to drop are joined away (anti join), so a component of any size is dealt out.
+    Of texts that share that id and the component, the one with the least MD5 stays; rows equal in id
+    and text are one document and stay together. Ids and digests of rows to drop are joined away (anti
+    join), so a component of any size is dealt out and a repeated id costs no other text.
     """
-    marked = similar_components(docs, text, id_col, shingle, similarity)
-    drop = marked.filter("doc_id != component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    marked = _similar(docs, text, id_col, shingle, similarity)
+    drop = marked.filter("struct(doc_id, body) != keep").select(F.col("doc_id").alias("_drop"), F.col("body").alias("_body")).distinct()
+    return docs.join(drop, (F.col(id_col) == F.col("_drop")) & (body_digest(text) == F.col("_body")), "left_anti")

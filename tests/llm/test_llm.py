@@ -691,3 +691,14 @@ def test_ids_of_long_white_space():
     text = "a" + " " * 1_000_001 + "b<|endoftext|>\n c"
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert packing.byte_bpe()(text) == coder.encode(text).ids
+
+
+def test_repeated_ids_lose_no_text(spark):
+    rng = random.Random(16)
+    long = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(4)]
+    near = [f"{t} more" for t in long]
+    docs = [(1, long[0]), (5, near[0]), (5, long[1]), (7, long[2]), (7, near[2]), (8, long[3]), (None, near[3])]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    least = min(long[2], near[2], key=lambda t: hashlib.md5(t.encode()).digest())
+    assert got == sorted([(1, long[0]), (5, long[1]), (7, least), (8, long[3]), (0, near[3])])
