@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from kinmer.shared import cut
+
 
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many partitions as there are cores: only an input of very few splits is dealt anew.
@@ -18,6 +20,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores behind it as keep it apart from the frame's columns in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def group_sum(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:
     """The group's sum on each of its rows."""
     return df.withColumn(name, F.sum(col).over(Window.partitionBy(*keys)))
@@ -25,14 +35,14 @@ def group_sum(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFr
 
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
     """The first n rows of each group; Spark cuts each group in its map tasks before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    rank, place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)), unused(df, "rank")
+    return df.withColumn(place, rank).filter(F.col(place) <= n).drop(place)
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The first row of each group in the order of one column, by a combined minimum, not a window."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row")).select(*keys, "_row.*")
+    rest, row = [c for c in df.columns if c not in keys], unused(df, "row")
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias(row)).select(*keys, f"{row}.*")
 
 
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -55,21 +65,27 @@ def number_chunks(df: DataFrame, size: int, keys: Sequence[str], order: Sequence
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
     """0-based positions in a global order, without sending all rows through one task.
 
-    Rows are range-partitioned on the order; each partition counts its own, the counts' running sum
-    (one number a partition) is joined back, and positions are added within the partition.
+    Rows are range-partitioned and sorted once and written to the shared folder with the partition and
+    the place in it, which are data from there on: a plan that is run anew can't deal rows differently.
+    The counts' running sum (one number a partition) is joined back. Rows equal in the order keep the
+    place they got.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_first"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    at, part, first = unused(df, "at"), unused(df, "part"), unused(df, "first")
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    # The identifier holds the partition above its 33 lowest bits and the row within it in those.
+    placed = ranged.withColumn(part, F.shiftright(at, 33))
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    firsts = counts.select(part, F.coalesce(before, F.lit(0)).alias(first))
     # One row a partition of the shuffle: bounded by the number of partitions, so it is broadcast.
-    return ranged.join(F.broadcast(firsts), "_part").withColumn(name, F.col("_first") + within).drop("_part", "_first")
+    position = F.col(first) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(firsts), part).withColumn(name, position).drop(part, first, at)
 
 
 def number_global_chunks(df: DataFrame, size: int, order: Sequence[str], name: str = "chunk") -> DataFrame:
     """W5 over the whole table."""
-    return number_rows(df, order, "_row").withColumn(name, F.floor(F.col("_row") / size).cast("long")).drop("_row")
+    row = unused(df, "row")
+    return number_rows(df, order, row).withColumn(name, F.floor(F.col(row) / size).cast("long")).drop(row)
 
 
 def quantile(df: DataFrame, col: str, q: float | Sequence[float], name: str = "quantile") -> DataFrame:

@@ -11,6 +11,7 @@ from kinmer.functions import names
 from kinmer.operators import alleles, common, epitopes, inventory, ld, sequences
 from kinmer.plans import inputs
 from kinmer.plans.inputs import EPITOPES_SQL, LD_SQL, VARIANT_SQL, table, text
+from kinmer.shared import shared_folder
 from kinmer.streaming.ingest import batch_writer, run_available
 
 QUERIES, ORACLES = {}, {}
@@ -373,8 +374,6 @@ def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as a file stream, micro-batches written and read back, then counted."""
-    from kinmer.streaming.ingest import shared_folder
-
     folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events*.parquet")
     run_available(stream, batch_writer(lambda b: b.select("event_id", "event_type", "value"), f"{folder}/out"), f"{folder}/state")

@@ -6,7 +6,6 @@ folder of their own number, which a retried batch overwrites: results are exact
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,11 +20,6 @@ from kinmer.schemas import WIDE
 from kinmer.sources.readers import parse_predictions, whole_texts
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's checkpoint folder, a local one only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="kinmer-stream-")
-
-
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, force: bool = False) -> StreamingQuery:
     """Process all files there are in micro-batches, then stop; `force` starts from a new checkpoint."""
     place = f"{checkpoint}-{uuid.uuid4().hex}" if force else checkpoint
