@@ -1,38 +1,16 @@
-"""Small helpers of this subpackage: lineage cuts and column names that can't clash."""
+"""Small helpers of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmer.operators.common import spread
+from kinmer.shared import cut, delete_folder, shared_folder  # noqa: F401 - for this subpackage's modules
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, written once to the cluster's shared checkpoint folder and read from there.
-
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests, a laptop)
-    a temporary one is made. Unlike localCheckpoint the files survive lost executors.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share."""
-    return (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or spark.sparkContext.getCheckpointDir()
-        or tempfile.mkdtemp(prefix="kinmer-checkpoint-")
-    )
-
-
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z; other letters stay."""
     return F.translate(col, ASCII_UPPER, ASCII_UPPER.lower())

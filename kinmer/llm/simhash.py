@@ -6,11 +6,13 @@
    blocks, so they meet under one of the C(b, d) keys made of b - d blocks. b follows from the
    count of fingerprints: the least expected number of keys and chance meetings.
 4. Within a key, Hamming distances are verified and only a spanning forest of the links leaves the
-   task: at most one link a fingerprint, never all pairs.
+   task: at most one link a fingerprint, never all pairs. Keys of very many fingerprints are dealt out
+   in blocks instead (see groups.py).
 5. Components of those links, carried back to fingerprints and then to documents.
 
-The general form (`similar_components`) takes step 5's components as candidates only: within each,
-links are made anew from exact shingle sets.
+The general form (`similar_components`) cuts longer fingerprints into blocks whose width and number
+follow from the count of fingerprints, and takes the components as candidates only: within each, links
+are made anew from exact shingle sets.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +30,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmer.llm.graph import connected_components
+from kinmer.llm.groups import BLOCK, FEW, Fingerprints, Sets, forest, group_links, large_group_links
 from kinmer.llm.shared import cut
+from kinmer.operators.common import unused
 
 BITS = 64
 #: Shingles unpacked to bits at once: bounds memory for very long texts.
 CHUNK = 1 << 14
 #: Shingles whose bits are counted in one byte.
 RUN = 255
-#: Words of 64 bits, and bits of a block, of the fingerprints that stand for a shingle similarity.
+#: Words of 64 bits of the fingerprints that stand for a shingle similarity.
 LONG_WORDS = 8
-LONG_BLOCK = 16
+#: Long fingerprints whose bits are unpacked at once.
+ROWS_AT_ONCE = 2000
 
 
 def fingerprint_words(text: str | None, shingle: int = 4, seed: int = 42, words: int = 1) -> np.ndarray:
@@ -125,57 +131,10 @@ def choice_keys(fp: Column, blocks: int, radius: int) -> Column:
     return F.array(*keys)
 
 
-def block_keys(fp: Column, words: int = LONG_WORDS, block: int = LONG_BLOCK) -> Column:
-    """array<struct<which, bits>>: each block of a long fingerprint."""
-    each = BITS // block
-    return F.array(
-        *[
-            F.struct(F.lit(w * each + k).alias("which"), F.shiftright(F.get(fp, w), block * k).bitwiseAND(F.lit((1 << block) - 1).cast("long")).alias("bits"))
-            for w in range(words)
-            for k in range(each)
-        ]
-    )
-
-
-def cross_keys(fp: Column) -> Column:
-    """array<struct<which, bits>>: a second cut of a 512-bit fingerprint, into blocks of a nibble from each of four words.
-
-    Its blocks share at most a nibble with one of `block_keys`, so a pair missed there has nearly a new chance.
-    """
-    first = LONG_WORDS * BITS // LONG_BLOCK
-    keys = []
-    for half in range(LONG_WORDS // 4):
-        for at in range(0, BITS, 4):
-            nibbles = [F.shiftleft(F.shiftright(F.get(fp, 4 * half + k), at).bitwiseAND(F.lit(15).cast("long")), 4 * k) for k in range(4)]
-            bits = nibbles[0].bitwiseOR(nibbles[1]).bitwiseOR(nibbles[2]).bitwiseOR(nibbles[3])
-            keys.append(F.struct(F.lit(first + len(keys)).alias("which"), bits.alias("bits")))
-    return F.array(*keys)
-
-
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def forest(marks: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between distinct fingerprints (rows of words), as pairs of positions.
-
-    Breadth first over what is not yet reached: a dense group is used up by its first members, so
-    the work is far from all pairs where there are many links.
-    """
-    left, pairs = np.arange(len(marks)), []
-    while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = _distance(marks[left], marks[at]) <= radius
-            if near.any():
-                found = left[near].tolist()
-                pairs += [(at, x) for x in found]
-                queue += found
-                left = left[~near]
-    return pairs
-
-
 #: Groups of up to so many members are compared together, all groups of a batch at once.
 SMALL = 8
 
@@ -196,63 +155,67 @@ def links_of_groups(bounds: np.ndarray, ids: np.ndarray, marks: np.ndarray, radi
         b.append(ids[near + step])
     for k in np.flatnonzero(size > SMALL).tolist():
         lo, hi = bounds[k], bounds[k + 1]
-        if pairs := forest(marks[lo:hi], radius):
+        if pairs := forest(Fingerprints([m.tobytes() for m in marks[lo:hi]], radius), hi - lo):
             x, y = np.array(pairs).T
             a.append(ids[lo + x])
             b.append(ids[lo + y])
     return np.concatenate(a), np.concatenate(b)
 
 
-def fingerprint_links(reps: DataFrame, keys: Column, radius: int, words: int = 1) -> DataFrame:
-    """Links (a, b) between representatives that share a key and differ in at most `radius` bits.
+def fingerprint_links(keyed: DataFrame, radius: int, words: int = 1) -> DataFrame:
+    """Links (a, b) between fingerprints of one key that differ in at most `radius` bits.
 
-    `reps` is (rep_id, fp) with distinct fp, `keys` its array of keys. The ends of every such link are
-    connected by the rows returned; in groups of more than a few members links that follow from others
-    are left out. One task holds one key's distinct fingerprints with their ids.
+    `keyed` is (rep_id, fp, group) with a row for each key. The ends of every such link are connected by
+    the rows returned; in groups of more than a few members links that follow from others are left
+    out. One task holds one key's distinct fingerprints with their ids.
     """
-    keyed = reps.select("rep_id", "fp", F.explode(keys).alias("key")).select("rep_id", "fp", "key.which", "key.bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The partition is sorted by key: runs of equal keys are its groups."""
         held: list[list[np.ndarray]] = []
 
         def close(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            which, bits, ids, marks = (np.concatenate(x) for x in zip(*parts))
-            edge = np.flatnonzero((which[1:] != which[:-1]) | (bits[1:] != bits[:-1])) + 1
-            a, b = links_of_groups(np.concatenate([[0], edge, [len(which)]]), ids, marks, radius)
+            key, ids, marks = (np.concatenate(x) for x in zip(*parts))
+            edge = np.flatnonzero(key[1:] != key[:-1]) + 1
+            a, b = links_of_groups(np.concatenate([[0], edge, [len(key)]]), ids, marks, radius)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
-            cols.append(batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, words))
-            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
+            cols.append(batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, words))
+            same = cols[0] == cols[0][-1]
             tail = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
-            if tail or (held and (held[-1][0][-1], held[-1][1][-1]) != (cols[0][0], cols[1][0])):
+            if tail or (held and held[-1][0][-1] != cols[0][0]):
                 yield from close([*held, [c[:tail] for c in cols]])
                 held = []
             held.append([c[tail:] for c in cols])
         if held:
             yield from close(held)
 
-    dealt = keyed.repartition("which", "bits").sortWithinPartitions("which", "bits")
-    return dealt.select("which", "bits", "rep_id", "fp").mapInArrow(run, "a long, b long")
+    dealt = keyed.repartition("group").sortWithinPartitions("group")
+    return dealt.select("group", "rep_id", "fp").mapInArrow(run, "a long, b long")
 
 
-def _components(marks: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(doc_id, fp, component_id) for marks (doc_id, fp), with `links` between their representatives."""
-    reps = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("rep_id")))
-    found = connected_components(links(reps.filter("rep_id IS NOT NULL")))
-    classes = reps.join(found, reps.rep_id == found.node, "left").select(
-        "fp", F.coalesce("component", "rep_id").alias("component_id")
-    )
-    return marks.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+def hot_keys(keyed: DataFrame, hot: int = BLOCK, share: int = 16) -> DataFrame:
+    """(group, centre) of keys that more than `hot` fingerprints have, or nearly so; keyed is (rep_id, group).
+
+    Counted on every `share`-th fingerprint by hash. A key on the border may go either way: only how its
+    rows are dealt out depends on it, not what is found.
+    """
+    some = keyed.filter(F.pmod(F.xxhash64(F.lit(share), "rep_id"), F.lit(share)) == 0)
+    return some.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("rep_id").alias("centre")).filter(F.col("n") > hot // share).select("group", "centre")
+
+
+def _sized(small: DataFrame, n: int) -> DataFrame:
+    """Broadcast a table of three numbers a row, but only up to FEW rows."""
+    return F.broadcast(small) if n <= FEW else small
 
 
 def simhash_components(
-    docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 4, radius: int = 4
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 4, radius: int = 4, hot: int = BLOCK
 ) -> DataFrame:
     """One row per input row: (doc_id, fingerprint, component_id).
 
@@ -260,22 +223,109 @@ def simhash_components(
     shingle are one shingle, null and blank texts have fingerprint zero, linked like any other.
     component_id is the smallest doc_id reachable over links, the row's own included. Rows that
     repeat count once for links and each get a row. Rows with a null id keep their fingerprint and
-    get their component's id, null if no row there has one. Extra columns are ignored.
+    get their component's id, null if no row there has one. Extra columns are ignored. Keys of more
+    than about `hot` distinct fingerprints are dealt out in blocks.
     """
-    def links(reps: DataFrame) -> DataFrame:
-        return fingerprint_links(reps, choice_keys(F.col("fp"), block_count(reps.count(), radius), radius), radius)
-
-    found = _components(cut(fingerprints(docs, text, id_col, shingle)), links)
+    marks = cut(fingerprints(docs, text, id_col, shingle))
+    reps = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("rep_id")))
+    known = reps.filter("rep_id IS NOT NULL")
+    keys = choice_keys(F.col("fp"), block_count(known.count(), radius), radius)
+    keyed = known.select("rep_id", "fp", F.explode(keys).alias("key")).select("rep_id", "fp", F.xxhash64("key.which", "key.bits").alias("group"))
+    busy = cut(hot_keys(keyed.select("rep_id", "group"), hot))
+    n_busy = busy.count()
+    links = fingerprint_links(keyed.join(_sized(busy, n_busy), "group", "left_anti") if n_busy else keyed, radius)
+    if n_busy:
+        rows = keyed.join(_sized(busy, n_busy), "group").select("group", F.col("rep_id").alias("node"), as_bytes(F.col("fp")).alias("body"))
+        links = links.union(large_group_links(rows, lambda bodies: Fingerprints(bodies, radius), hot))
+    found = connected_components(links)
+    classes = reps.join(found, reps.rep_id == found.node, "left").select("fp", F.coalesce("component", "rep_id").alias("component_id"))
     mark = F.lower(F.lpad(F.hex(F.get("fp", 0)), 16, "0"))
-    return found.select("doc_id", mark.alias("fingerprint"), "component_id")
+    return marks.join(classes, "fp", "left").select("doc_id", mark.alias("fingerprint"), "component_id")
+
+
+def as_bytes(fp: Column) -> Column:
+    """The first word of a fingerprint as 8 bytes."""
+    return F.unhex(F.lpad(F.hex(F.get(fp, 0)), 16, "0"))
+
+
+def differing_share(similarity: float) -> float:
+    """The expected share of differing bits of two texts whose shingle sets have this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
 def radius_of(similarity: float, bits: int = BITS * LONG_WORDS, spread: float = 1.5) -> int:
-    """Differing bits of two texts whose shingle sets have this Jaccard similarity, and some standard deviations more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    """Differing bits that this Jaccard similarity makes expect, and some standard deviations more."""
+    share = differing_share(similarity)
     return math.floor(bits * share + spread * math.sqrt(bits * share * (1 - share)))
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """Blocks of long fingerprints: `cuts` orders of all bits, each cut into blocks of `width` bits."""
+
+    width: int
+    cuts: int
+
+    @staticmethod
+    def suited(n: int, similarity: float, missed: float = 0.005) -> Blocks:
+        """Blocks for n fingerprints.
+
+        A block has about log2(n) bits, so the fingerprints that share one by chance stay few however many
+        there are. There are so many blocks that a pair of just this similarity shares none of them with
+        a chance of `missed` if its bits differ as expected; closer pairs miss each other far less.
+        """
+        width = max(16, math.ceil(math.log2(max(n, 1))) - 2)
+        wanted = math.log(missed) / math.log1p(-((1 - differing_share(similarity)) ** width))
+        return Blocks(width, math.ceil(wanted / (BITS * LONG_WORDS // width)))
+
+    def keys(self, marks: np.ndarray) -> np.ndarray:
+        """(n, blocks) numbers, equal only for equal blocks, of (n, words) fingerprints."""
+        bits = np.unpackbits(np.ascontiguousarray(marks).view(np.uint8), axis=1, bitorder="little").astype(np.float64)
+        per, powers = bits.shape[1] // self.width, 2.0 ** np.arange(self.width)
+        out = []
+        for k in range(self.cuts):
+            order = np.arange(bits.shape[1]) if k == 0 else np.random.default_rng(k).permutation(bits.shape[1])
+            block = bits[:, order[: per * self.width]].reshape(len(bits), per, self.width) @ powers
+            out.append(block.astype(np.int64) + (np.arange(k * per, (k + 1) * per) << self.width))
+        return np.concatenate(out, axis=1)
+
+
+def block_rows(reps: DataFrame, blocks: Blocks, words: int = LONG_WORDS // 2) -> DataFrame:
+    """(rep_id, fp, group) for each block of each (rep_id, fp); only the first words of a fingerprint go along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                marks = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+                keys = blocks.keys(marks)
+                times = keys.shape[1]
+                fp = pa.array(np.repeat(marks[:, :words], times, axis=0).view(np.int64).ravel())
+                ends = pa.array(np.arange(keys.size + 1, dtype=np.int32) * words)
+                ids = pa.array(np.repeat(batch.column(0).to_numpy(), times))
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, fp), pa.array(keys.ravel())], ["rep_id", "fp", "group"])
+
+    return reps.select("rep_id", "fp").mapInArrow(run, "rep_id long, fp array<long>, group long")
+
+
+def candidate_links(reps: DataFrame, similarity: float, hot: int = BLOCK) -> DataFrame:
+    """Links whose components hold together all (rep_id, fp) that may have this similarity.
+
+    Fingerprints that share a block are compared in the first half of their bits, at three and a half
+    standard deviations. Those that share a block with more than about `hot` others, which chance does
+    not do, are taken as candidates together without a comparison, so no such group meets in a task.
+    """
+    rows = block_rows(reps, Blocks.suited(reps.count(), similarity))
+    busy = cut(hot_keys(rows.select("rep_id", "group"), hot))
+    n_busy = busy.count()
+    words = LONG_WORDS // 2
+    radius = radius_of(similarity, words * BITS, 3.5)
+    if not n_busy:
+        return fingerprint_links(rows, radius, words)
+    together = rows.select("rep_id", "group").join(_sized(busy, n_busy), "group").select(F.col("rep_id").alias("a"), F.col("centre").alias("b"))
+    return fingerprint_links(rows.join(_sized(busy, n_busy), "group", "left_anti"), radius, words).union(together.filter("a != b").distinct())
+
+
 def set_marks(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5) -> DataFrame:
     """(doc_id, fp, sig, body): long fingerprint, MD5 of the shingle set and MD5 of the text, one row per input row."""
 
@@ -302,103 +352,58 @@ def body_digest(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of positions, of the links between sets of at least this Jaccard similarity.
+def set_links(groups: DataFrame, shingle: int, similarity: float, hot: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect what is linked in exact shingle similarity within each group of (group, node, n, text)."""
 
-    Breadth first over what is not yet reached; each comparison is exact, and every pair is compared
-    that other links don't connect.
-    """
-    size = np.array([len(x) for x in sets], np.int64)
-    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    owner = np.repeat(np.arange(len(sets)), size)
-    end = np.cumsum(size)
-    own = code  # all members' codes; `code` and `owner` shrink to those of what is left
-    held = np.zeros(len(own), bool)
-    left, pairs = np.ones(len(sets), bool), []
-    for root in range(len(sets)):
-        queue = [root] if left[root] else []
-        left[root] = False
-        while queue and left.any():
-            at = queue.pop()
-            mine = own[end[at] - size[at] : end[at]]
-            held[mine] = True
-            common = np.bincount(owner[held[code]], minlength=len(sets))
-            held[mine] = False
-            found = np.flatnonzero(left & (common / np.maximum(size + size[at] - common, 1) >= similarity)).tolist()
-            pairs += [(at, x) for x in found]
-            queue += found
-            left[found] = False
-            stays = left[owner]
-            if 2 * stays.sum() < len(stays):
-                code, owner = code[stays], owner[stays]
-    return pairs
-
-
-def set_links(groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect what is linked in exact shingle similarity within each group.
-
-    `groups` is (group, node, text). One task holds the shingle sets of one group.
-    """
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            each = pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), each], ["group", "node", "hashes"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The partition is sorted by group: runs of equal groups are its groups."""
-        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)))
-        for _, members in itertools.groupby(rows, key=lambda r: r[0]):
-            nodes, hashes = [], []
-            for _, node, cell in members:
-                nodes.append(node)
-                hashes.append(np.frombuffer(cell.as_py(), "<u8"))
-            if pairs := set_forest(hashes, similarity):
-                a, b = np.array(nodes)[np.array(pairs).T]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    dealt = groups.mapInArrow(sets, "group long, node long, hashes binary").repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(run, "a long, b long")
+            fresh = [x not in seen and not seen.add(x) for x in batch.column(1).to_pylist()]  # rows that repeat count once
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            each = pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], each], ["group", "node", "n", "body"])
 
+    hashed = groups.select("group", "node", "n", "text").mapInArrow(sets, "group long, node long, n long, body binary")
+    return group_links(hashed, lambda bodies: Sets(bodies, similarity), hot)
 
-#: Up to so many candidates are sent to the documents instead of dealing texts out to them.
-FEW = 100_000
 
-
-def _similar(docs: DataFrame, text: str, id_col: str, shingle: int, similarity: float) -> DataFrame:
+def _similar(docs: DataFrame, text: str, id_col: str, shingle: int, similarity: float, hot: int = BLOCK) -> DataFrame:
     """(doc_id, body, keep) for each row: keep is (doc_id, body) of its component's first row, null without an id."""
     marks = cut(set_marks(docs, text, id_col, shingle))
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "body"))
     reps = cut(marks.groupBy("fp", "sig").agg(F.min(named).alias("first")).select("*", F.monotonically_increasing_id().alias("node")))
-    keys = F.concat(block_keys(F.col("fp")), cross_keys(F.col("fp")))
     known = reps.filter("first IS NOT NULL").select(F.col("node").alias("rep_id"), "fp")
-    near = connected_components(fingerprint_links(known, keys, radius_of(similarity, spread=3), LONG_WORDS))
-    wanted = cut(near.join(reps, "node").select(F.col("component").alias("group"), "node", F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_body")))
-    if wanted.count() <= FEW:
-        wanted = F.broadcast(wanted)
+    near = connected_components(candidate_links(known, similarity, hot))
+    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    wanted = cut(
+        near.join(sizes, "component")
+        .join(reps, "node")
+        .select(F.col("component").alias("group"), "node", "n", F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_body"))
+    )
     whole = docs.select(F.col(id_col).cast("long").alias("_id"), body_digest(text).alias("_body"), F.col(text).alias("text"))
-    groups = whole.join(wanted, ["_id", "_body"]).select("group", "node", "text")
-    found = connected_components(set_links(groups, shingle, similarity))
+    groups = whole.join(_sized(wanted, wanted.count()), ["_id", "_body"]).select("group", "node", "n", "text")
+    found = connected_components(set_links(groups, shingle, similarity, hot))
     classes = reps.join(found, "node", "left").select("sig", "first", F.coalesce("component", "node").alias("component"))
     firsts = classes.groupBy("component").agg(F.min("first").alias("keep"))
     return marks.join(classes.join(firsts, "component").select("sig", "keep"), "sig", "left").select("doc_id", "body", "keep")
 
 
 def similar_components(
-    docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, hot: int = BLOCK
 ) -> DataFrame:
     """(doc_id, component_id) for links at a Jaccard similarity of shingle sets instead of a number of bits.
 
-    Candidates are groups linked by fingerprints of 512 bits in 32 blocks of 16, cut in two ways, at up to
-    three standard deviations more bits than the similarity makes expect. Within each such group the
-    sets themselves (of 64-bit hashes) are compared, so every link has the similarity asked for, and
-    none of a group's is missed. Rows are treated as by `simhash_components`.
+    Candidates share a block of 512-bit fingerprints (`Blocks.suited`) and are close in Hamming distance.
+    Within each group of candidates the sets themselves (of 64-bit hashes) are compared, so every link
+    has the similarity asked for, and none within a group is missed. Rows are treated as by
+    `simhash_components`.
     """
-    found = _similar(docs, text, id_col, shingle, similarity)
+    found = _similar(docs, text, id_col, shingle, similarity, hot)
     return found.select("doc_id", F.col("keep.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(
-    docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, hot: int = BLOCK
 ) -> DataFrame:
     """The rows of `docs` whose id is the smallest of their component; rows with a null id stay.
 
@@ -406,6 +411,7 @@ def drop_near_duplicates(
     and text are one document and stay together. Ids and digests of rows to drop are joined away (anti
     join), so a component of any size is dealt out and a repeated id costs no other text.
     """
-    marked = _similar(docs, text, id_col, shingle, similarity)
-    drop = marked.filter("struct(doc_id, body) != keep").select(F.col("doc_id").alias("_drop"), F.col("body").alias("_body")).distinct()
-    return docs.join(drop, (F.col(id_col) == F.col("_drop")) & (body_digest(text) == F.col("_body")), "left_anti")
+    gone_id, gone_body = unused(docs, "gone_id"), unused(docs, "gone_body")
+    marked = _similar(docs, text, id_col, shingle, similarity, hot).filter("struct(doc_id, body) != keep")
+    gone = marked.select(F.col("doc_id").alias(gone_id), F.col("body").alias(gone_body)).distinct()
+    return docs.join(gone, (F.col(f"`{id_col}`") == F.col(gone_id)) & (body_digest(text) == F.col(gone_body)), "left_anti")

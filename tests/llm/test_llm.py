@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from oracle import connect, same
 
-from kinmer.llm import bpe, exact_dedup, graph, html_extract, licenses, media, packing, quality, sharding, simhash, url_filter, webp
+from kinmer.llm import bpe, exact_dedup, graph, groups, html_extract, licenses, media, packing, quality, sharding, simhash, url_filter, webp
 from kinmer.llm.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -599,7 +599,8 @@ def test_similar_components(spark, odd, empty, corpus):
     same_text = {r.doc_id: r.component_id for r in simhash.similar_components(odd).collect()}
     assert same_text[1] == same_text[2] == same_text[3] == 1 and same_text[4] == same_text[5] == same_text[9] == 4 and same_text[6] == 6
     assert simhash.similar_components(empty).count() == 0
-    assert len(simhash.drop_near_duplicates(odd).columns) == len(odd.columns)
+    clash = odd.withColumnsRenamed({"score": "gone_id", "kept": "_body", "_hash": "Gone_Body"})
+    assert len(simhash.drop_near_duplicates(clash).columns) == len(odd.columns)
 
 
 def test_blocks_miss_no_link(spark):
@@ -616,8 +617,9 @@ def test_blocks_miss_no_link(spark):
     reps = spark.createDataFrame([(k, [f - (f >> 63 << 64)]) for k, f in enumerate(marks)], "rep_id long, fp array<long>")
     want = components(range(len(marks)), [(a, b) for a, b in itertools.combinations(range(len(marks)), 2) if (marks[a] ^ marks[b]).bit_count() <= 4])
     for blocks in (5, 6, 7, 8):
-        keys = simhash.choice_keys(simhash.F.col("fp"), blocks, 4)
-        links = [(r.a, r.b) for r in simhash.fingerprint_links(reps, keys, 4).collect()]
+        keys = simhash.F.explode(simhash.choice_keys(simhash.F.col("fp"), blocks, 4)).alias("key")
+        keyed = reps.select("rep_id", "fp", keys).select("rep_id", "fp", simhash.F.xxhash64("key.which", "key.bits").alias("group"))
+        links = [(r.a, r.b) for r in simhash.fingerprint_links(keyed, 4).collect()]
         assert components(range(len(marks)), links) == want
     assert [simhash.block_count(n, 4) for n in (0, 10**5, 10**9)] == sorted(simhash.block_count(n, 4) for n in (0, 10**5, 10**9))
 
@@ -652,10 +654,78 @@ def test_set_forest():
     sets = [np.array(sorted(rng.sample(range(14), rng.randrange(6, 13))), np.uint64) for _ in range(60)]
     jaccard = lambda a, b: len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
     want = [(a, b) for a, b in itertools.combinations(range(60), 2) if jaccard(sets[a], sets[b]) >= 0.8]
-    pairs = simhash.set_forest(sets, 0.8)
+    pairs = groups.forest(groups.Sets([x.astype("<u8").tobytes() for x in sets], 0.8), 60)
     assert all(tuple(sorted(p)) in want for p in pairs) and components(range(60), pairs) == components(range(60), want)
 
 
+def edited(rng, words, n):
+    """`words` with n of them replaced."""
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"x{rng.randrange(10**6)}"
+    return words
+
+
+def test_large_groups_are_dealt_out(spark):
+    """A dense group, two dense ones joined by a chain, and loose members, in blocks of eight."""
+    rng, rows = random.Random(17), []
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(4)]
+    texts = [" ".join(edited(rng, base[0], 1)) for _ in range(60)]
+    step = base[1]
+    for k in range(40):  # each next one differs from the last by a word, so ends are far apart
+        step = edited(rng, step, 1)
+        texts.append(" ".join(step))
+    texts += [" ".join(edited(rng, base[2], rng.randrange(1, 12))) for _ in range(50)] + [" ".join(edited(rng, base[3], 60)) for _ in range(20)]
+    rng.shuffle(texts)
+    sets = [shingle_set(t) for t in texts]
+    near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    rows = [(k % 2, k, np.unique(simhash.shingle_hashes(t, 5)).tobytes()) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "group long, node long, body binary")
+    links = [(r.a, r.b) for r in groups.large_group_links(df, lambda b: groups.Sets(b, 0.8), 8).collect()]
+    assert set(map(tuple, map(sorted, links))) <= {p for p in near}
+    within = [p for p in near if p[0] % 2 == p[1] % 2]
+    assert components(range(len(texts)), links) == components(range(len(texts)), within)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = components(range(len(texts)), near)
+    for hot in (16, 1000):
+        got = {r.doc_id: r.component_id for r in simhash.similar_components(docs, hot=hot).collect()}
+        assert all(want[i] == want[c] for i, c in got.items()) and sum(got[i] != c for i, c in want.items()) <= 2
+
+
+def test_hot_keys_of_fingerprints(spark):
+    rng = random.Random(18)
+    docs = []
+    for k in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        docs += [(100 * k + j, " ".join(edited(rng, words, 1))) for j in range(30)]
+    rows = simhash.simhash_components(spark.createDataFrame(docs, "doc_id long, text string"), hot=16).collect()
+    check_components(docs, rows)
+
+
+def test_recall_at_the_threshold():
+    """Pairs of just the similarity asked for share a block and stay within the radius, at any number of documents."""
+    rng = np.random.default_rng(19)
+    for n in (10**4, 10**7):
+        blocks, found = simhash.Blocks.suited(n, 0.8), 0
+        for _ in range(60):
+            both = rng.integers(0, 2**63, 1600).astype("<u8")
+            a, b = np.concatenate([both, rng.integers(0, 2**63, 200).astype("<u8")]), np.concatenate([both, rng.integers(0, 2**63, 200).astype("<u8")])
+            marks = np.stack([simhash._majority(x, simhash.LONG_WORDS) for x in (a, b)])
+            keys = blocks.keys(marks)
+            near = np.bitwise_count(marks[0, :4] ^ marks[1, :4]).sum() <= simhash.radius_of(0.8, 256, 3.5)
+            found += bool(near and (keys[0] == keys[1]).any())
+        assert found >= 55
+
+
+def test_block_groups_do_not_grow():
+    """Fingerprints that share a block by chance stay few when documents double."""
+    rng = np.random.default_rng(20)
+    for n in (1 << 17, 1 << 18, 1 << 19):
+        blocks = simhash.Blocks.suited(n, 0.8)
+        one = simhash.Blocks(blocks.width, 1).keys(rng.integers(0, 2**63, (n // 4, 8)).astype("<u8"))[:, 0]
+        assert 4 * len(one) / len(np.unique(one)) < 12 and n / 2**blocks.width <= 4
+
+
 def test_repeated_lines_count_once(spark):
     rng, docs = random.Random(15), []
     for k in range(20):

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
-from test_llm import check_packing, components
+from test_llm import check_packing, components, shingle_set
 
 import corpus_pipeline
-from kinmer.llm import quality, simhash
+from kinmer.llm import quality
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -21,13 +21,12 @@ def test_pipeline(spark):
     for i, t in good:
         last[t or ""] = max(last[t or ""], i)
     unique = [(i, t) for t, i in last.items()]
-    marks = {i: simhash.fingerprint_words(t, 5, words=8) for i, t in unique}
-    ids, radius = sorted(marks), simhash.radius_of(0.8)
+    sets = {i: shingle_set(t) for i, t in unique}
 
     def linked(a, b):
-        apart = np.bitwise_count(marks[a] ^ marks[b]).sum() <= radius
-        return apart and (marks[a].view(np.uint16) == marks[b].view(np.uint16)).any()
+        return len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
 
+    ids = sorted(sets)
     root = components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if linked(a, b)])
     kept = [(i, t) for i, t in unique if root[i] == i]
     assert 0 < len(kept) < len(good) < docs.count()
