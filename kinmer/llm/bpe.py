@@ -6,6 +6,9 @@ the first whose pair with the last token of the prefix before it is compatible,
 walking the two merge trees along the boundary. Back-pointers from the end give the ids. The cost is
 linear in the word's matches, with no queue of merges, and each new pair is decided once.
 
+Texts are normalised and lower-cased by the vocabulary file's own rules, as the tokenizers library applies
+them: Python's Unicode tables are newer and compose some sequences of marks differently.
+
 Words, tables and pairs seen before are kept by each Python worker within fixed bounds.
 """
 
@@ -16,7 +19,6 @@ import hashlib
 import json
 import re
 import sys
-import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,8 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex
-from tokenizers.normalizers import Lowercase
+from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
 #: Entries that a worker keeps of words and of pairs; a full table starts anew.
@@ -46,18 +47,15 @@ def byte_letters() -> dict[int, str]:
 
 
 @functools.cache
-def newer_letters() -> tuple[frozenset[str], str, dict[int, str]]:
-    """Where Unicode tables of `regex`, Python and the tokenizers library are of different ages.
+def newer_letters() -> tuple[frozenset[str], str]:
+    """Letters and numbers that `regex` knows and the tokenizers library, whose tables are older, takes for neither.
 
-    All letters and numbers that these libraries treat differently, a character class of those that
-    the tokenizers library takes for neither, and its lower case where Python's differs.
+    As a set and as the inside of a character class.
     """
     every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
     letters = regex.findall(r"[\p{L}\p{N}]", every)
     split = Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str("".join(letters))
     unknown = sorted(set(letters) - {c for c, _ in split})
-    lowered = Lowercase().normalize_str("\n".join(letters)).split("\n")
-    lower = {ord(c): small for c, small in zip(letters, lowered) if c.lower() != small}
 
     runs: list[list[int]] = []
     for c in map(ord, unknown):
@@ -65,8 +63,11 @@ def newer_letters() -> tuple[frozenset[str], str, dict[int, str]]:
             runs[-1][1] = c
         else:
             runs.append([c, c])
-    ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) or r"\uFFFF"
-    return frozenset({*unknown, *map(chr, lower)}), ranges, lower
+    return frozenset(unknown), "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) or r"\uFFFF"
+
+
+#: Letters from here on may compose, or lower-case, by rules that differ with the age of Unicode tables.
+COMPOSING = re.compile("[\u0300-\U0010ffff]")
 
 
 class WordBpe:
@@ -81,8 +82,8 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = pattern.replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(pattern)
-        self.differing, unknown, self.lower = newer_letters()
-        self.from_differing = re.compile(f"[{min(self.differing, default=chr(sys.maxunicode))}-{chr(sys.maxunicode)}]")
+        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
+        self.differing, unknown = newer_letters()
         for kind in (r"\p{L}", r"\p{N}"):
             pattern = pattern.replace(kind, f"[{kind}--[{unknown}]]")
         self.words_of_differing = regex.compile(pattern, regex.V1)
@@ -178,13 +179,16 @@ class WordBpe:
 
     def plain(self, text: str) -> list[int]:
         """Ids of a text without added tokens."""
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final-sigma rule
         words = self.words
-        if not text.isascii() and self.from_differing.search(text) and not self.differing.isdisjoint(text):
-            text, words = text.translate(self.lower), self.words_of_differing
+        if COMPOSING.search(text) is None:  # composed already, so lower case is all there is to it
+            text = text.lower()
+        else:
+            text = self.normalize(text)
+            if not self.differing.isdisjoint(text):
+                words = self.words_of_differing
         ids: list[int] = []
         kept = self.kept
-        for word in words.findall(text.lower()):
+        for word in words.findall(text):
             got = kept.get(word)
             if got is None:
                 if len(kept) >= MAX_KEPT:
