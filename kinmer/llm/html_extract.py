@@ -1,8 +1,10 @@
 """Main text of web pages: flat text blocks, classified with their neighbours by a decision tree.
 
 A page is cut into blocks at block-level tags. A block is described by its word count and link
-density, the same of the blocks before and after it, and whether the markup around it is an article
-or furniture. The tree is grown once a worker from the small labelled table below.
+density, the same of the blocks before and after it, and whether the markup around it is named an
+article or furniture. The tree is grown once a worker from the small labelled table below, whose blocks
+are those of web pages as they are and of the same pages without any such names: where a page names its
+parts these decide, where it doesn't, the counts and densities of a block and its neighbours do.
 """
 
 from __future__ import annotations
@@ -197,35 +199,73 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture", "heading", "has_article")
+FEATURES = (
+    "words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture", "heading", "has_article", "menu",
+)
 
 # The labelled table: the features above (link densities in hundredths), then 1 for main text.
 LABELLED = [
-    # paragraphs, headings and one-word lines of articles
-    (60, 0, 8, 0, 75, 0, 1, 0, 0, 1, 1), (8, 0, 4, 100, 60, 0, 1, 0, 1, 1, 1), (1, 0, 60, 0, 3, 0, 1, 0, 0, 1, 1),
-    (3, 0, 1, 0, 40, 0, 1, 0, 0, 1, 1), (120, 5, 40, 0, 2, 0, 1, 0, 0, 1, 1), (25, 12, 90, 0, 30, 8, 1, 0, 0, 1, 1),
-    (2, 0, 55, 0, 12, 30, 1, 0, 0, 1, 1), (14, 50, 80, 0, 60, 0, 1, 0, 0, 1, 1), (5, 100, 70, 0, 66, 0, 1, 0, 0, 1, 1),
-    (1, 100, 30, 0, 30, 0, 1, 0, 0, 1, 1), (6, 0, 0, 0, 0, 0, 1, 0, 1, 1, 1), (300, 1, 200, 0, 150, 2, 1, 0, 0, 1, 1),
-    (30, 0, 60, 0, 2, 100, 1, 0, 0, 1, 1), (8, 0, 1, 100, 2, 100, 1, 0, 1, 1, 1), (90, 0, 3, 100, 9, 90, 1, 0, 0, 1, 1),
-    (2, 0, 40, 90, 1, 100, 1, 0, 0, 1, 1), (4, 100, 3, 100, 2, 100, 1, 0, 0, 1, 1), (1, 0, 50, 0, 6, 80, 1, 0, 0, 1, 1),
-    # furniture, inside articles or out of them, long or short, with links or none
-    (1, 100, 0, 0, 1, 100, 0, 1, 0, 1, 0), (1, 100, 1, 100, 1, 100, 0, 1, 0, 1, 0), (10, 0, 1, 100, 8, 0, 0, 1, 0, 1, 0),
-    (9, 0, 90, 0, 0, 0, 0, 1, 0, 1, 0), (60, 0, 8, 0, 40, 0, 0, 1, 0, 1, 0), (45, 2, 50, 0, 60, 0, 1, 1, 0, 1, 0),
-    (7, 0, 70, 0, 25, 0, 1, 1, 1, 1, 0), (20, 100, 80, 0, 60, 0, 1, 1, 0, 1, 0), (30, 0, 12, 0, 22, 0, 0, 1, 0, 0, 0),
-    (3, 0, 22, 0, 60, 0, 0, 1, 1, 0, 0), (150, 3, 2, 0, 90, 0, 0, 1, 0, 0, 0), (4, 100, 40, 0, 3, 100, 0, 1, 0, 0, 0),
-    # outside the article of a page that has one
-    (12, 0, 80, 0, 0, 0, 0, 0, 0, 1, 0), (4, 0, 0, 0, 8, 0, 0, 0, 1, 1, 0), (50, 0, 5, 100, 60, 0, 0, 0, 0, 1, 0),
-    (2, 100, 60, 0, 2, 100, 0, 0, 0, 1, 0), (25, 10, 90, 0, 10, 0, 0, 0, 0, 1, 0),
-    # pages without an article element: running text, and headings and short lines next to it
-    (70, 0, 5, 100, 80, 0, 0, 0, 0, 0, 1), (40, 5, 70, 0, 60, 0, 0, 0, 0, 0, 1), (18, 0, 60, 0, 45, 0, 0, 0, 0, 0, 1),
-    (25, 20, 50, 5, 70, 0, 0, 0, 0, 0, 1), (6, 0, 2, 100, 60, 0, 0, 0, 1, 0, 1), (5, 0, 70, 0, 40, 0, 0, 0, 1, 0, 1),
-    (3, 0, 60, 0, 50, 0, 0, 0, 0, 0, 1), (1, 0, 45, 0, 38, 0, 0, 0, 0, 0, 1), (12, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (30, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1), (2, 0, 40, 5, 0, 0, 0, 0, 0, 0, 1), (60, 0, 70, 0, 1, 100, 0, 0, 0, 0, 1),
-    (25, 0, 1, 100, 2, 100, 0, 0, 0, 0, 1), (2, 0, 60, 0, 1, 100, 0, 0, 0, 0, 1), (40, 0, 2, 100, 1, 100, 0, 0, 0, 0, 1),
-    # pages without one: menus, lists of links, and short lines among those
-    (1, 100, 1, 100, 1, 100, 0, 0, 0, 0, 0), (4, 100, 2, 100, 60, 0, 0, 0, 0, 0, 0), (9, 90, 70, 0, 5, 100, 0, 0, 0, 0, 0),
-    (20, 80, 12, 100, 15, 90, 0, 0, 0, 0, 0), (3, 0, 2, 100, 3, 100, 0, 0, 0, 0, 0), (30, 70, 40, 0, 20, 100, 0, 0, 0, 0, 0),
-    (6, 60, 0, 0, 4, 100, 0, 0, 0, 0, 0), (2, 100, 80, 0, 0, 0, 0, 0, 0, 0, 0), (5, 0, 4, 100, 2, 100, 0, 0, 1, 0, 0),
+    # blocks of pages as they are
+    (4, 0, 4, 0, 13, 0, 1, 0, 0, 1, 1, 1), (4, 0, 6, 0, 4, 0, 1, 0, 1, 1, 1, 1), (4, 0, 44, 0, 7, 0, 1, 0, 0, 1, 1, 1),
+    (13, 0, 4, 0, 55, 0, 1, 0, 0, 1, 1, 1), (14, 0, 8, 0, 35, 0, 1, 0, 1, 1, 1, 1), (17, 0, 35, 0, 49, 0, 1, 0, 0, 1, 1, 1),
+    (17, 0, 55, 0, 21, 0, 1, 0, 0, 1, 1, 1), (21, 0, 17, 0, 44, 0, 1, 0, 0, 1, 1, 1), (35, 0, 14, 0, 17, 0, 1, 0, 0, 1, 1, 1),
+    (44, 0, 21, 0, 4, 0, 1, 0, 0, 1, 1, 1), (49, 0, 17, 0, 143, 0, 1, 0, 0, 1, 1, 1), (55, 0, 13, 0, 17, 0, 1, 0, 0, 1, 1, 1),
+    (143, 0, 49, 0, 11, 0, 1, 0, 0, 1, 1, 1), (1, 100, 0, 0, 1, 100, 0, 1, 0, 1, 1, 0), (1, 100, 1, 100, 1, 100, 0, 1, 0, 1, 1, 0),
+    (1, 100, 1, 100, 6, 0, 0, 1, 0, 1, 1, 0), (1, 100, 1, 100, 8, 0, 0, 1, 0, 1, 1, 0), (6, 0, 1, 100, 4, 0, 0, 1, 0, 1, 1, 0),
+    (7, 0, 4, 0, 0, 0, 0, 1, 0, 1, 1, 0), (8, 0, 1, 100, 14, 0, 0, 1, 0, 1, 1, 0), (11, 0, 143, 0, 0, 0, 0, 1, 0, 1, 1, 0),
+    # blocks of such pages without their tags' names, classes, ids and roles: only words, links and neighbours tell
+    (4, 0, 4, 0, 13, 0, 0, 0, 0, 0, 1, 1), (4, 0, 6, 0, 4, 0, 0, 0, 1, 0, 1, 1), (4, 0, 44, 0, 7, 0, 0, 0, 0, 0, 1, 1),
+    (10, 0, 9, 0, 33, 0, 0, 0, 1, 0, 1, 1), (13, 0, 4, 0, 55, 0, 0, 0, 0, 0, 1, 1), (13, 0, 102, 0, 82, 0, 0, 0, 0, 0, 1, 1),
+    (14, 0, 8, 0, 35, 0, 0, 0, 1, 0, 1, 1), (14, 0, 15, 0, 33, 0, 0, 0, 0, 0, 1, 1), (15, 0, 54, 0, 14, 0, 0, 0, 0, 0, 1, 1),
+    (17, 0, 35, 0, 49, 0, 0, 0, 0, 0, 1, 1), (17, 0, 55, 0, 21, 0, 0, 0, 0, 0, 1, 1), (20, 0, 33, 0, 40, 0, 0, 0, 0, 0, 1, 1),
+    (21, 0, 17, 0, 44, 0, 0, 0, 0, 0, 1, 1), (24, 0, 35, 0, 63, 0, 0, 0, 0, 0, 1, 1), (33, 0, 10, 0, 20, 0, 0, 0, 0, 0, 1, 1),
+    (33, 0, 14, 0, 40, 0, 0, 0, 0, 0, 1, 1), (35, 0, 14, 0, 17, 0, 0, 0, 0, 0, 1, 1), (35, 0, 40, 0, 24, 0, 0, 0, 0, 0, 1, 1),
+    (40, 0, 20, 0, 110, 0, 0, 0, 0, 0, 1, 1), (40, 0, 33, 0, 35, 0, 0, 0, 0, 0, 1, 1), (44, 0, 21, 0, 4, 0, 0, 0, 0, 0, 1, 1),
+    (49, 0, 17, 0, 143, 0, 0, 0, 0, 0, 1, 1), (54, 0, 82, 0, 15, 0, 0, 0, 0, 0, 1, 1), (55, 0, 13, 0, 17, 0, 0, 0, 0, 0, 1, 1),
+    (63, 0, 24, 0, 12, 0, 0, 0, 0, 0, 1, 1), (82, 0, 13, 0, 54, 0, 0, 0, 0, 0, 1, 1), (102, 0, 110, 0, 13, 0, 0, 0, 0, 0, 1, 1),
+    (110, 0, 40, 0, 102, 0, 0, 0, 0, 0, 1, 1), (143, 0, 49, 0, 11, 0, 0, 0, 0, 0, 1, 1), (7, 0, 51, 0, 57, 0, 0, 0, 0, 0, 1, 1),
+    (11, 0, 7, 0, 74, 0, 0, 0, 1, 0, 1, 1), (6, 0, 31, 0, 107, 0, 0, 0, 0, 0, 1, 1), (17, 0, 27, 0, 6, 0, 0, 0, 0, 0, 1, 1),
+    (1, 0, 1, 0, 111, 0, 0, 0, 0, 0, 1, 1), (12, 0, 10, 0, 9, 0, 0, 0, 0, 0, 1, 1), (8, 0, 6, 0, 8, 0, 0, 0, 1, 0, 1, 1),
+    (10, 0, 97, 0, 3, 0, 0, 0, 0, 0, 1, 1), (9, 0, 25, 0, 2, 0, 0, 0, 0, 0, 1, 1), (1, 100, 0, 0, 1, 100, 0, 0, 0, 0, 1, 0),
+    (1, 100, 1, 100, 1, 100, 0, 0, 0, 0, 1, 0), (1, 100, 1, 100, 6, 0, 0, 0, 0, 0, 1, 0), (1, 100, 1, 100, 8, 0, 0, 0, 0, 0, 1, 0),
+    (1, 100, 1, 100, 9, 0, 0, 0, 0, 0, 1, 0), (6, 0, 1, 100, 4, 0, 0, 0, 0, 0, 1, 0), (7, 0, 4, 0, 0, 0, 0, 0, 0, 0, 1, 0),
+    (8, 0, 1, 100, 14, 0, 0, 0, 0, 0, 1, 0), (9, 0, 1, 100, 10, 0, 0, 0, 0, 0, 1, 0), (11, 0, 143, 0, 0, 0, 0, 0, 0, 0, 1, 0),
+    (12, 0, 63, 0, 0, 0, 0, 0, 0, 0, 1, 0), (11, 0, 21, 0, 0, 0, 0, 0, 0, 0, 1, 0),
+    # articles of pages that end or begin with them, and articles of links
+    (1, 0, 0, 0, 1, 0, 1, 0, 1, 1, 0, 1), (2, 0, 15, 0, 0, 0, 1, 0, 0, 1, 0, 1), (2, 0, 87, 0, 0, 0, 1, 0, 0, 1, 0, 1),
+    (4, 0, 0, 0, 4, 0, 1, 0, 1, 1, 0, 1), (5, 0, 9, 0, 0, 0, 1, 0, 0, 1, 1, 1), (8, 0, 26, 0, 0, 0, 1, 0, 0, 1, 0, 1),
+    (8, 0, 86, 0, 0, 0, 1, 0, 0, 1, 0, 1), (9, 0, 0, 0, 12, 0, 1, 0, 1, 1, 0, 1), (9, 0, 6, 0, 0, 0, 1, 0, 0, 1, 0, 1),
+    (9, 0, 28, 0, 0, 0, 1, 0, 0, 1, 0, 1), (9, 0, 30, 0, 0, 0, 1, 0, 0, 1, 0, 1), (10, 0, 0, 0, 13, 0, 1, 0, 1, 1, 0, 1),
+    (11, 0, 0, 0, 21, 0, 1, 0, 1, 1, 0, 1), (11, 0, 0, 0, 83, 0, 1, 0, 1, 1, 0, 1), (4, 100, 8, 100, 8, 100, 1, 0, 0, 1, 1, 1),
+    (7, 100, 5, 100, 74, 100, 1, 0, 0, 1, 1, 1), (8, 100, 2, 100, 4, 100, 1, 0, 0, 1, 1, 1), (8, 100, 14, 100, 35, 100, 1, 0, 0, 1, 1, 1),
+    (10, 100, 20, 100, 20, 100, 1, 0, 0, 1, 1, 1), (14, 100, 83, 100, 9, 100, 1, 0, 0, 1, 1, 1), (17, 100, 8, 100, 33, 100, 1, 0, 0, 1, 1, 1),
+    (17, 100, 88, 100, 34, 100, 1, 0, 0, 1, 1, 1), (20, 100, 25, 100, 10, 100, 1, 0, 0, 1, 1, 1), (22, 100, 40, 100, 7, 0, 1, 0, 0, 1, 1, 1),
+    # what stands outside the article of a page where only that is named
+    (1, 100, 0, 0, 1, 100, 0, 0, 0, 1, 1, 0), (4, 0, 1, 100, 10, 0, 0, 0, 0, 1, 1, 0), (6, 0, 1, 100, 4, 0, 0, 0, 0, 1, 1, 0),
+    (7, 0, 1, 100, 11, 0, 0, 0, 0, 1, 1, 0), (7, 0, 27, 0, 0, 0, 0, 0, 0, 1, 1, 0), (8, 0, 1, 100, 12, 0, 0, 0, 0, 1, 1, 0),
+    (9, 0, 1, 100, 9, 0, 0, 0, 0, 1, 1, 0), (10, 0, 1, 100, 7, 0, 0, 0, 0, 1, 1, 0), (11, 0, 1, 100, 12, 0, 0, 0, 0, 1, 1, 0),
+    (11, 0, 9, 0, 0, 0, 0, 0, 0, 1, 1, 0), (12, 0, 1, 100, 2, 0, 0, 0, 0, 1, 1, 0), (13, 0, 1, 100, 11, 0, 0, 0, 0, 1, 1, 0),
+    (13, 0, 17, 0, 0, 0, 0, 0, 0, 1, 1, 0), (15, 0, 5, 0, 0, 0, 0, 0, 0, 1, 1, 0),
+    # pages of other layouts: furniture inside articles, bare text, menus without names
+    (60, 0, 8, 0, 75, 0, 1, 0, 0, 1, 0, 1), (8, 0, 4, 100, 60, 0, 1, 0, 1, 1, 1, 1), (1, 0, 60, 0, 3, 0, 1, 0, 0, 1, 0, 1),
+    (3, 0, 1, 0, 40, 0, 1, 0, 0, 1, 0, 1), (120, 5, 40, 0, 2, 0, 1, 0, 0, 1, 0, 1), (25, 12, 90, 0, 30, 8, 1, 0, 0, 1, 0, 1),
+    (2, 0, 55, 0, 12, 30, 1, 0, 0, 1, 0, 1), (14, 50, 80, 0, 60, 0, 1, 0, 0, 1, 0, 1), (5, 100, 70, 0, 66, 0, 1, 0, 0, 1, 1, 1),
+    (1, 100, 30, 0, 30, 0, 1, 0, 0, 1, 1, 1), (6, 0, 0, 0, 0, 0, 1, 0, 1, 1, 0, 1), (300, 1, 200, 0, 150, 2, 1, 0, 0, 1, 0, 1),
+    (30, 0, 60, 0, 2, 100, 1, 0, 0, 1, 1, 1), (8, 0, 1, 100, 2, 100, 1, 0, 1, 1, 1, 1), (90, 0, 3, 100, 9, 90, 1, 0, 0, 1, 1, 1),
+    (2, 0, 40, 90, 1, 100, 1, 0, 0, 1, 1, 1), (4, 100, 3, 100, 2, 100, 1, 0, 0, 1, 1, 1), (1, 0, 50, 0, 6, 80, 1, 0, 0, 1, 1, 1),
+    (70, 0, 5, 100, 80, 0, 0, 0, 0, 0, 1, 1), (40, 5, 70, 0, 60, 0, 0, 0, 0, 0, 0, 1), (18, 0, 60, 0, 45, 0, 0, 0, 0, 0, 0, 1),
+    (25, 20, 50, 5, 70, 0, 0, 0, 0, 0, 0, 1), (6, 0, 2, 100, 60, 0, 0, 0, 1, 0, 1, 1), (5, 0, 70, 0, 40, 0, 0, 0, 1, 0, 0, 1),
+    (3, 0, 60, 0, 50, 0, 0, 0, 0, 0, 0, 1), (1, 0, 45, 0, 38, 0, 0, 0, 0, 0, 0, 1), (12, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1),
+    (30, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1), (2, 0, 40, 5, 0, 0, 0, 0, 0, 0, 0, 1), (60, 0, 70, 0, 1, 100, 0, 0, 0, 0, 1, 1),
+    (25, 0, 1, 100, 2, 100, 0, 0, 0, 0, 1, 1), (2, 0, 60, 0, 1, 100, 0, 0, 0, 0, 1, 1), (40, 0, 2, 100, 1, 100, 0, 0, 0, 0, 1, 1),
+    (10, 0, 1, 100, 8, 0, 0, 1, 0, 1, 1, 0), (9, 0, 90, 0, 0, 0, 0, 1, 0, 1, 0, 0), (60, 0, 8, 0, 40, 0, 0, 1, 0, 1, 0, 0),
+    (45, 2, 50, 0, 60, 0, 1, 1, 0, 1, 0, 0), (7, 0, 70, 0, 25, 0, 1, 1, 1, 1, 0, 0), (20, 100, 80, 0, 60, 0, 1, 1, 0, 1, 1, 0),
+    (30, 0, 12, 0, 22, 0, 0, 1, 0, 0, 0, 0), (3, 0, 22, 0, 60, 0, 0, 1, 1, 0, 0, 0), (150, 3, 2, 0, 90, 0, 0, 1, 0, 0, 0, 0),
+    (4, 100, 40, 0, 3, 100, 0, 1, 0, 0, 1, 0), (12, 0, 80, 0, 0, 0, 0, 0, 0, 1, 0, 0), (4, 0, 0, 0, 8, 0, 0, 0, 1, 1, 0, 0),
+    (50, 0, 5, 100, 60, 0, 0, 0, 0, 1, 1, 0), (2, 100, 60, 0, 2, 100, 0, 0, 0, 1, 1, 0), (25, 10, 90, 0, 10, 0, 0, 0, 0, 1, 0, 0),
+    (4, 100, 2, 100, 60, 0, 0, 0, 0, 0, 1, 0), (9, 90, 70, 0, 5, 100, 0, 0, 0, 0, 1, 0), (20, 80, 12, 100, 15, 90, 0, 0, 0, 0, 1, 0),
+    (3, 0, 2, 100, 3, 100, 0, 0, 0, 0, 1, 0), (30, 70, 40, 0, 20, 100, 0, 0, 0, 0, 1, 0), (6, 60, 0, 0, 4, 100, 0, 0, 0, 0, 1, 0),
+    (2, 100, 80, 0, 0, 0, 0, 0, 0, 0, 1, 0), (5, 0, 4, 100, 2, 100, 0, 0, 1, 0, 1, 0),
 ]
 
 
@@ -279,14 +319,15 @@ def block_tree() -> Tree:
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
+    """The FEATURES of each block; `menu` tells whether any block of the page is mostly links."""
     words = np.array([b.words for b in blocks], np.float64)
     links = np.array([100 * b.link_words / b.words for b in blocks])
     tagged = any(b.in_article and not b.in_furniture for b in blocks)
     flags = np.array([(b.in_article if tagged else b.in_content, b.in_furniture, b.heading) for b in blocks], np.float64)
     before = [np.concatenate([[0], c[:-1]]) for c in (words, links)]
     after = [np.concatenate([c[1:], [0]]) for c in (words, links)]
-    has = np.full(len(blocks), float((flags[:, 0] > flags[:, 1]).any()))
-    return np.column_stack([words, links, *before, *after, flags, has])
+    page = [np.full(len(blocks), float(x)) for x in ((flags[:, 0] > flags[:, 1]).any(), (links >= 80).any())]
+    return np.column_stack([words, links, *before, *after, flags, *page])
 
 
 def main_text(page: str | None) -> str:
