@@ -38,8 +38,8 @@ def _names(schema: str) -> list[str]:
 def store_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, media): one lossless WebP file per input row.
 
-    Null and empty texts are 192 spaces; a text of any length is one image, as wide as the format's
-    side limit asks for. Equal texts give equal files. Ids may repeat or be null; extra columns are
+    Null and empty texts are 192 spaces. A text is one image, as wide as the format's side limit asks
+    for; one beyond `webp.MAX_PAYLOAD` (267 MB) is several, one after the other in `media`. Equal texts give equal files. Ids may repeat or be null; extra columns are
     ignored; an empty table gives an empty result.
     """
 
@@ -66,11 +66,11 @@ def _slices(batch: pa.RecordBatch, sized_by: pa.Array) -> Iterator[pa.RecordBatc
 
 
 def feature(pixels: np.ndarray) -> str:
-    """Mean of each channel and the share of samples in each eighth of the range, in thousandths."""
-    flat = pixels.reshape(-1, 4)
-    means = flat.sum(axis=0, dtype=np.int64) * 1000 // len(flat)
-    eighths = np.bincount(flat.ravel() >> 5, minlength=8) * 1000 // flat.size
-    return "mean=" + ",".join(map(str, means)) + ";hist=" + ",".join(map(str, eighths))
+    """Mean of the samples and the share of them in each eighth of the range, in thousandths."""
+    flat = pixels.ravel()
+    mean = int(flat.sum(dtype=np.int64)) * 1000 // len(flat)
+    eighths = np.bincount(flat >> 5, minlength=8) * 1000 // flat.size
+    return f"mean={mean};hist=" + ",".join(map(str, eighths))
 
 
 def read_media(stored: DataFrame) -> DataFrame:
@@ -80,8 +80,11 @@ def read_media(stored: DataFrame) -> DataFrame:
         for batch in batches:
             for some in _slices(batch, batch.column(3)):
                 files, sizes, rows = some.column(3).to_pylist(), some.column(2).to_pylist(), []
-                for pixels, size, file in zip(webp.decode_many(files), sizes, files):
-                    payload = pixels.tobytes()[:size]
+                images = [webp.split_files(f) for f in files]
+                decoded = iter(webp.decode_many([i for one in images for i in one]))
+                for own, size, file in zip(images, sizes, files):
+                    pixels = np.concatenate([next(decoded).ravel() for _ in own])[:size]
+                    payload = pixels.tobytes()
                     rows.append(
                         (
                             hashlib.sha256(payload).hexdigest(),

@@ -2,13 +2,21 @@
 
 `decode` reads any VP8L image: prefix codes with and without an entropy image, LZ77 back-references
 with the short-distance map, colour cache, and the inverse of the predictor, cross-colour,
-subtract-green and palette transforms. `decode_many` decodes a batch in step, one pixel of every
-image at a time, when their streams hold literals under one set of prefix codes, which `encode`
-writes; any other image of the batch goes through `decode`. Bits are read least significant first.
+subtract-green and palette transforms. Bits are read least significant first.
+
+`encode` stores a payload as a grey image, a sample a byte: a palette lists the payload's bytes by
+frequency, so one of a few fixed prefix codes over ranks suits any script, and passages that repeat
+become back-references. A colour cache, predictors and cross-colour never pay for palette indices of
+text: the encoder doesn't write them.
+
+`decode_many` decodes a batch in step, up to four literals of every image at a time, where only one
+channel carries bits; back-references are then resolved in order, and the palette is looked up. Any
+other image of the batch goes through `decode`.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import heapq
 import itertools
@@ -18,10 +26,14 @@ from dataclasses import dataclass
 import numpy as np
 
 MAX_SIDE = 1 << 14
-#: Pixels in a row of a payload's image: 48 of 4 samples are 192 bytes.
-WIDTH = 48
-#: Payload bytes encoded at once, a multiple of a pixel's four.
-CHUNK = 1 << 18
+#: Pixels in the least row of a payload's image, one a byte.
+WIDTH = 192
+#: Most payload bytes in one image; a longer payload is several images in a row.
+MAX_PAYLOAD = MAX_SIDE // WIDTH * WIDTH * MAX_SIDE
+#: Bytes that repeat at least, and at most, in a back-reference, and how far back.
+LEAST_COPY, MOST_COPY, FAR = 12, 4096, 1 << 19
+#: Payload bytes searched for repeats and packed at once.
+CHUNK = 1 << 20
 
 # Fixed values of the format: order in which code-length code lengths are stored.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -40,6 +52,8 @@ NEAR = [
 ]
 CACHE_HASH = 0x1E35A7BD
 GREEN, RED, BLUE, ALPHA, DISTANCE = range(5)
+#: Place of green in a decoded pixel.
+GREEN_SAMPLE = 1
 
 
 class BitReader:
@@ -60,6 +74,18 @@ class BitReader:
         return got
 
 
+    def follows(self, value: int, n: int) -> bool:
+        """Whether the next n bits are these."""
+        byte = self.at >> 3
+        got = int.from_bytes(self.data[byte : byte + (n >> 3) + 2], "little") >> (self.at & 7)
+        return self.at + n <= self.size and got & ((1 << n) - 1) == value
+
+    def taken(self, start: int) -> int:
+        """The bits read since `start`."""
+        got = int.from_bytes(self.data[start >> 3 : (self.at >> 3) + 1], "little") >> (start & 7)
+        return got & ((1 << (self.at - start)) - 1)
+
+
 class BitWriter:
     def __init__(self) -> None:
         self.value, self.at = 0, 0
@@ -78,10 +104,11 @@ class PrefixCode:
     def __init__(self, lengths: list[int]):
         used = [(n, s) for s, n in enumerate(lengths) if n]
         self.bits = max((n for n, _ in used), default=0)
+        self.largest = max((s for _, s in used), default=0)
         self.table = np.zeros(1 << self.bits, np.int32)
         self.codes: dict[int, tuple[int, int]] = {}
         if len(used) == 1:
-            self.bits, self.table = 0, np.array([used[0][1] << 4], np.int32)
+            self.bits, self.flat, self.table = 0, 0, np.array([used[0][1] << 4], np.int32)
             self.codes[used[0][1]] = (0, 0)
             return
         code = last = 0
@@ -94,6 +121,11 @@ class PrefixCode:
             code += 1
         if used and code != 1 << last:
             raise ValueError("not a complete prefix code")
+        self.flat = self.bits if all(n == self.bits for n, _ in used) else None
+
+    @functools.cached_property
+    def entries(self) -> list[int]:
+        return self.table.tolist()
 
     def read(self, bits: BitReader) -> int:
         entry = int(self.table[bits.peek(self.bits)])
@@ -101,7 +133,25 @@ class PrefixCode:
         return entry >> 4
 
 
+#: Codes read before, by alphabet: (their description's bits, how many, the code). A description ends itself.
+_codes_seen: dict[int, list[tuple[int, int, PrefixCode]]] = {}
+MOST_SEEN = 24
+
+
 def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
+    seen = _codes_seen.setdefault(alphabet, [])
+    for value, n, code in seen:
+        if bits.follows(value, n):
+            bits.at += n
+            return code
+    start = bits.at
+    code = _parse_code(bits, alphabet)
+    if len(seen) < MOST_SEEN:
+        seen.append((bits.taken(start), bits.at - start, code))
+    return code
+
+
+def _parse_code(bits: BitReader, alphabet: int) -> PrefixCode:
     if bits.read(1):
         lengths = [0] * 256
         both = bits.read(1)
@@ -200,9 +250,33 @@ def _read_image(bits: BitReader, width: int, height: int, whole: bool) -> np.nda
     return _read_pixels(bits, _read_codes(bits, width, height, width, [], whole))
 
 
+def _read_flat(bits: BitReader, codes: list[PrefixCode], total: int) -> np.ndarray | None:
+    """Pixels of codes that each have one length, so that a pixel has as many bits as any other; None otherwise."""
+    if any(code.flat is None for code in codes[:ALPHA + 1]) or codes[GREEN].largest > 255:
+        return None
+    each = sum(code.bits for code in codes[: ALPHA + 1])
+    if bits.at + total * each > bits.size:
+        raise ValueError("the image ends early")
+    byte = bits.at >> 3
+    some = np.frombuffer(bits.data[byte : byte + (total * each + 14) // 8 + 1], np.uint8)
+    rows = np.unpackbits(some, bitorder="little")[bits.at & 7 :][: total * each].reshape(total, each)
+    out, at = np.zeros(total, np.uint32), 0
+    for code, shift in zip(codes, (8, 16, 0, 24)):
+        if not code.bits:
+            out |= np.uint32(int(code.table[0]) >> 4 << shift)
+            continue
+        value = rows[:, at : at + code.bits].astype(np.int64) @ (1 << np.arange(code.bits, dtype=np.int64))
+        out |= (code.table[value] >> 4).astype(np.uint32) << np.uint32(shift)
+        at += code.bits
+    bits.at += total * each
+    return out
+
+
 def _read_pixels(bits: BitReader, head: Header) -> np.ndarray:
     """Entropy-coded pixels as uint32 ARGB, in row order."""
     width, total = head.coded_width, head.coded_width * head.height
+    if not head.cache_bits and head.groups_of is None and (flat := _read_flat(bits, head.groups[0], total)) is not None:
+        return flat
     out, cache, cached = [0] * total, [0] * (1 << head.cache_bits), 0
     shift, at = 32 - head.cache_bits, 0
 
@@ -336,6 +410,16 @@ def _stream(file: bytes) -> bytes:
     return file[20 : 20 + int.from_bytes(file[16:20], "little")]
 
 
+def split_files(media: bytes) -> list[bytes]:
+    """The images stored one after the other; an over-long payload has more than one."""
+    out, at = [], 0
+    while at < len(media):
+        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        out.append(media[at : at + size])
+        at += size
+    return out
+
+
 def decode(file: bytes) -> np.ndarray:
     """(height, width, 4) uint8 samples in the order B, G, R, A."""
     bits = BitReader(_stream(file))
@@ -357,176 +441,445 @@ def code_lengths(weights: list[int]) -> list[int]:
     return lengths
 
 
-# Relative frequency of common bytes in written text; any other byte has weight 1.
-TEXT_WEIGHTS = {" ": 3400, "etaoinshr": 1200, "dlucmfwypvbgk": 400, ".,\n": 200, "jxqz": 60, "0123456789-'\"&$#%*|!": 40}
+def _limited_lengths(weights: list[float], most: int) -> list[int]:
+    """`code_lengths` with none over `most`: small weights are raised until it holds."""
+    floor = 0.0
+    while True:
+        lengths = code_lengths([max(w, floor) if w else 0 for w in weights])
+        if max(lengths) <= most:
+            return lengths
+        floor = max(2 * floor, sum(weights) / 2 ** (most + 2))
+
+
+def _put_code(out: BitWriter, lengths: list[int]) -> None:
+    """The description of a code of more than two symbols: its lengths, runs of them by symbols 16 to 18."""
+    tokens: list[tuple[int, int, int]] = []
+    for value, run in itertools.groupby(lengths):
+        n = len(list(run))
+        if value:
+            tokens.append((value, 0, 0))
+            n -= 1
+        while n:
+            if value and n >= 3:
+                tokens.append((16, min(n, 6) - 3, 2))
+                n -= min(n, 6)
+            elif not value and n >= 11:
+                tokens.append((18, min(n, 138) - 11, 7))
+                n -= min(n, 138)
+            elif not value and n >= 3:
+                tokens.append((17, n - 3, 3))
+                n = 0
+            else:
+                tokens.append((value, 0, 0))
+                n -= 1
+    tally = [0] * 19
+    for t, _, _ in tokens:
+        tally[t] += 1
+    own = _limited_lengths(tally, 7)
+    if sum(map(bool, own)) == 1:
+        own[own.index(max(own))] = 1
+    order = [own[k] for k in CODE_LENGTH_ORDER]
+    count = max(4, max(k + 1 for k, n in enumerate(order) if n))
+    out.put(0, 1)
+    out.put(count - 4, 4)
+    for n in order[:count]:
+        out.put(n, 3)
+    out.put(0, 1)
+    codes = PrefixCode(own).codes
+    for t, extra, n in tokens:
+        out.put(*codes[t])
+        out.put(extra, n)
+
+
+def _prefix(value: int) -> tuple[int, int, int]:
+    """(symbol, extra bits, their value) of a length or distance of at least 1: the inverse of `_extra`."""
+    if value <= 4:
+        return value - 1, 0, 0
+    n = (value - 1).bit_length() - 1
+    return 2 * n + ((value - 1) >> (n - 1) & 1), n - 1, (value - 1) & ((1 << (n - 1)) - 1)
+
+
+#: A code with the one symbol 0 and no bits: (bits, their count).
+ONE_SYMBOL = (0b0001, 4)
+#: Most bits of a literal or length, so that four literals often fit in a window of WINDOW bits.
+MOST_BITS, WINDOW = 13, 16
+#: Down to so many images they are decoded in step, the last ones one by one.
+ALONE = 12
+
+
+@dataclass(frozen=True)
+class Profile:
+    """A fixed code over ranks of bytes, and lengths of copies if it has any, as written and as read."""
+
+    turned: np.ndarray
+    lengths: np.ndarray
+    description: tuple[int, int]
+    copies: bool
+
+
+@functools.cache
+def distance_code() -> tuple[PrefixCode, tuple[int, int]]:
+    out = BitWriter()
+    lengths = _limited_lengths([8] * 4 + [2] * 8 + [8] * 16 + [1] * 12, 7)
+    _put_code(out, lengths)
+    return PrefixCode(lengths), (out.value, out.at)
+
+
+@functools.cache
+def profiles() -> list[Profile]:
+    """Codes for ranks whose frequency falls fast, as in one alphabet, or slowly, as in bytes of many; each with and without copies."""
+    told = []
+    for fall, flat in itertools.product((8.0, 14.0, 24.0, 48.0), (1e-4, 1e-3)):
+        ranks = np.exp(-np.arange(256) / fall) / fall + flat / 4
+        for share in (0.0, 0.04):
+            copies = [share / 24 * (3 if 5 <= k <= 12 else 0.5) for k in range(24)]
+            lengths = _limited_lengths([*ranks.tolist(), *copies], MOST_BITS)
+            out = BitWriter()
+            _put_code(out, lengths)
+            for _ in (256, 256, 256):
+                out.put(*ONE_SYMBOL)
+            out.put(*(distance_code()[1] if share else ONE_SYMBOL))
+            codes = PrefixCode(lengths).codes
+            turned = np.array([codes.get(k, (0, 0))[0] for k in range(280)], np.uint64)
+            told.append(Profile(turned, np.array(lengths, np.int64), (out.value, out.at), share > 0))
+    return told
 
 
 @functools.cache
-def text_code() -> PrefixCode:
-    """One prefix code for all bytes, suited to text, with codes of at most 14 bits."""
-    weights = [2] * 256
-    for letters, w in TEXT_WEIGHTS.items():
-        for c in letters.encode():
-            weights[c] = w
-    for c in range(ord("A"), ord("Z") + 1):
-        weights[c] = 40
-    for c in range(0x80, 0xC0):  # later bytes of longer characters
-        weights[c] = 20
-    weights[0xC3] = 300
-    return PrefixCode(code_lengths(weights))
+def _costs(copies: bool) -> tuple[list[Profile], np.ndarray]:
+    some = [p for p in profiles() if p.copies == copies]
+    return some, np.stack([p.lengths[:256] for p in some])
 
 
 @functools.cache
-def _text_header() -> tuple[int, int]:
-    """(bits, their count) that follow the image size: no transform, no cache, one group of codes."""
-    out, code = BitWriter(), text_code()
-    out.put(1, 1)  # alpha holds data
-    out.put(0, 3 + 1 + 1 + 1)
-    lengths = [code.codes[s][1] for s in range(256)]
-    own = [4 if k < 13 else 5 for k in range(19)]  # code lengths of the code-length codes: complete
-    meta = PrefixCode(own).codes
-    for alphabet in (280, 256, 256, 256):
-        values = lengths + [0] * (alphabet - 256)
-        out.put(0, 1)
-        out.put(15, 4)
-        for k in CODE_LENGTH_ORDER:
-            out.put(own[k], 3)
-        out.put(0, 1)
-        at = 0
-        while at < len(values):
-            out.put(*meta[values[at]])
-            run = len(list(itertools.takewhile(lambda v: v == values[at], values[at:])))
-            at, run = at + 1, run - 1
-            while run >= 3 and values[at - 1]:  # symbol 16: the last length 3 to 6 times more
-                again = min(run, 6)
-                out.put(*meta[16])
-                out.put(again - 3, 2)
-                at, run = at + again, run - again
-    out.put(0b0001, 4)  # distances: a simple code with the one symbol 0
+def _palette_code() -> tuple[int, int]:
+    """Codes of a palette's steps: 8 bits of green, one of alpha (0 or 255)."""
+    out = BitWriter()
+    _put_code(out, [8] * 256 + [0] * 24)
+    out.put(*ONE_SYMBOL)
+    out.put(*ONE_SYMBOL)
+    out.put(0b11111111_0_0_11, 12)  # a simple code: two symbols, 0 in one bit, 255 in eight
+    out.put(*ONE_SYMBOL)
     return out.value, out.at
 
 
-def shape_of(size: int) -> tuple[int, int]:
+_REVERSED = np.array([int(f"{k:08b}"[::-1], 2) for k in range(256)])
+
+
+def _shape_of(size: int) -> tuple[int, int]:
     """(width, height) of the image of a payload, a positive multiple of 192 bytes."""
-    rows = size // (4 * WIDTH)
+    rows = size // WIDTH
     wide = -(-rows // MAX_SIDE)
     return WIDTH * wide, -(-rows // wide)
 
 
+def repeats(data: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of passages of at least LEAST_COPY bytes that stand earlier, in order, none overlapping."""
+    n = len(data) - LEAST_COPY + 1
+    if n < 2:
+        return []
+    wide = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (n + 4,), (1,))
+    mixed = wide[:n] * np.uint64(0x9E3779B97F4A7C15) ^ wide[4:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    order = np.argsort(mixed, kind="stable")
+    ranked = mixed[order]
+    same = np.flatnonzero(ranked[1:] == ranked[:-1])
+    if not len(same):
+        return []
+    before = np.full(n, -1, np.int64)
+    before[order[same + 1]] = order[same]
+    starts = np.flatnonzero(before >= 0)
+    sources = before[starts].tolist()
+    starts = starts.tolist()
+    out, k, body = [], 0, data.tobytes()
+    while k < len(starts):
+        at, source = starts[k], sources[k]
+        most = min(MOST_COPY, len(data) - at)
+        step = 32
+        length = 0
+        while length < most:
+            a, b = body[at + length : at + min(most, length + step)], body[source + length : source + min(most, length + step)]
+            if a != b:
+                length += next(i for i, (x, y) in enumerate(zip(a, b)) if x != y)
+                break
+            length += len(a)
+            step *= 4
+        if length >= LEAST_COPY and at - source <= FAR:
+            out.append((at, length, at - source))
+            k = bisect.bisect_left(starts, at + length, k + 1)
+        else:
+            k += 1
+    return out
+
+
 @functools.cache
-def _text_tables() -> tuple[np.ndarray, np.ndarray]:
-    code = text_code()
-    return tuple(np.array([code.codes[s][k] for s in range(256)], t) for k, t in ((0, np.uint64), (1, np.int64)))
+def _near_codes(width: int) -> dict[int, int]:
+    """Distance -> its short code, the least of several."""
+    out: dict[int, int] = {}
+    for k, (x, y) in enumerate(NEAR, 1):
+        out.setdefault(max(1, x + y * width), k)
+    return out
+
+
+def _pack(value: np.ndarray, bits: np.ndarray, at: int) -> tuple[bytes, int]:
+    """Values of at most 57 bits each, one after the other from bit `at` of the first byte: (bytes, bits in all and `at`)."""
+    after = np.cumsum(bits) + at
+    begin = after - bits
+    word, low = begin >> 6, (begin & 63).astype(np.uint64)
+    out = np.zeros(int(after[-1] >> 6) + 2, np.uint64)
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+    out[word[edge]] = np.bitwise_or.reduceat(value << low, edge)
+    over = np.flatnonzero((begin & 63) + bits > 64)
+    out[word[over] + 1] |= value[over] >> (np.uint64(64) - low[over])
+    return out.tobytes()[: (int(after[-1]) + 7) >> 3], int(after[-1])
 
 
 def encode(payload: bytes) -> bytes:
-    """A WebP file whose samples B, G, R, A are the payload's bytes; rows past its end are zero."""
-    width, height = shape_of(len(payload))
-    turned, lengths = _text_tables()
-    head, head_bits = _text_header()
-    stream, lead = BitWriter(), 8 + 28 + head_bits
-    stream.put(0x2F | (width - 1) << 8 | (height - 1) << 22 | head << 36, lead)
-    body, at = bytearray(stream.bytes()), lead
-    payload = payload.ljust(4 * width * height, b"\0")
-    for start in range(0, len(payload), CHUNK):
-        part = np.frombuffer(payload[start : start + CHUNK], np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]].ravel()  # G, R, B, A
-        bits, value = lengths[part], turned[part]
-        after = np.cumsum(bits) + (at & 7)
-        begin = after - bits
-        word, low = begin >> 6, (begin & 63).astype(np.uint64)
-        out = np.zeros(int(after[-1] >> 6) + 2, np.uint64)
-        edge = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
-        out[word[edge]] = np.bitwise_or.reduceat(value << low, edge)
-        over = np.flatnonzero((begin & 63) + bits > 64)
-        out[word[over] + 1] |= value[over] >> (np.uint64(64) - low[over])
-        fresh = out.tobytes()[: (int(after[-1]) + 7) >> 3]
+    """WebP files, one for each MAX_PAYLOAD bytes, whose green samples are the payload's bytes; rows past its end are spaces."""
+    return b"".join(_encode_image(payload[k : k + MAX_PAYLOAD]) for k in range(0, len(payload), MAX_PAYLOAD))
+
+
+def _encode_image(payload: bytes) -> bytes:
+    width, height = _shape_of(len(payload))
+    data = np.frombuffer(payload.ljust(width * height, b" "), np.uint8)
+    tally = np.bincount(data, minlength=256)
+    # Bytes by frequency; at least 17, since fewer would be packed into shared pixels.
+    palette = np.argsort(-tally, kind="stable")[: max(17, np.count_nonzero(tally))]
+    rank = np.zeros(256, np.int64)
+    rank[palette] = np.arange(len(palette))
+
+    copies = [(start + at, n, far) for start in range(0, len(data), CHUNK) for at, n, far in repeats(data[start : start + CHUNK])]
+    literal = np.ones(len(data), bool)
+    for at, n, _ in copies:
+        literal[at : at + n] = False
+    counts = np.bincount(rank[data[literal]], minlength=256)
+    some, lengths = _costs(bool(copies))
+    profile = some[int((lengths @ counts).argmin())]
+
+    stream = BitWriter()
+    stream.put(0x2F | (width - 1) << 8 | (height - 1) << 22 | 1 << 36, 40)
+    stream.put(1 | 3 << 1 | (len(palette) - 1) << 3, 11)
+    stream.put(0, 1)
+    stream.put(*_palette_code())
+    steps = _REVERSED[np.diff(palette, prepend=0) & 255].astype(np.uint64)
+    steps[0] |= np.uint64(1 << 8)  # alpha steps from 0 to 255 once
+    packed, n = _pack(steps, np.full(len(steps), 9, np.int64), 0)
+    stream.put(int.from_bytes(packed, "little"), n)
+    stream.put(0, 3)
+    stream.put(*profile.description)
+
+    symbol = rank[data]
+    value, bits = profile.turned[symbol], profile.lengths[symbol]
+    if copies:
+        keep = literal
+        distances, near = distance_code()[0].codes, _near_codes(width)
+        for at, n, far in copies:
+            s, s_bits, s_extra = _prefix(n)
+            d, d_bits, d_extra = _prefix(near.get(far, far + 120))
+            code, size = int(profile.turned[256 + s]), int(profile.lengths[256 + s])
+            for part, part_bits in ((s_extra, s_bits), distances[d], (d_extra, d_bits)):
+                code |= part << size
+                size += part_bits
+            keep[at], value[at], bits[at] = True, code, size
+        value, bits = value[keep], bits[keep]
+    body, at = bytearray(stream.bytes()), stream.at
+    for start in range(0, len(value), CHUNK):
+        fresh, end = _pack(value[start : start + CHUNK], bits[start : start + CHUNK], at & 7)
         if at & 7:
             body[-1] |= fresh[0]
             fresh = fresh[1:]
         body += fresh
-        at += int(after[-1]) - (at & 7)
+        at += end - (at & 7)
     odd = len(body) & 1
     riff = struct.pack("<4sI8sI", b"RIFF", 12 + len(body) + odd, b"WEBPVP8L", len(body))
     return riff + bytes(body) + b"\0" * odd
 
 
-class _Seen:
-    """Headers parsed before, found again by their bits: (bits, count, parsed header)."""
-
-    def __init__(self) -> None:
-        self.known: list[tuple[bytes, int, int, Header]] = []
-
-    def header(self, stream: bytes) -> tuple[Header, int]:
-        """The header and where the pixels begin. Width and height are the stream's own."""
-        size = int.from_bytes(stream[1:5], "little")
-        w, h = (size & 0x3FFF) + 1, (size >> 14 & 0x3FFF) + 1
-        for whole, last, n, head in self.known:
-            end = n >> 3
-            if stream[5:end] == whole and (stream[4] & 0xF0, stream[end] & ((1 << (n & 7)) - 1)) == (last >> 8, last & 255):
-                return Header(w, h, [], w, 0, 0, None, head.groups), n
-        bits = BitReader(stream)
-        head = _read_header(bits)
-        n = bits.at
-        if not head.transforms and head.groups_of is None and len(self.known) < 16 and n >> 3 < len(stream):
-            self.known.append((stream[5 : n >> 3], (stream[4] & 0xF0) << 8 | stream[n >> 3] & ((1 << (n & 7)) - 1), n, head))
-        return head, n
-
-
-_seen = _Seen()
+def samples(file: bytes) -> np.ndarray:
+    """(height, width) uint8: the green samples of an image."""
+    return decode(file)[:, :, GREEN_SAMPLE]
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
-    """`decode` of each file. Images of literals under one common set of codes go in step."""
+    """`samples` of each file. Images in which only green carries bits, with one set of codes, go in step."""
     streams = [_stream(f) for f in files]
-    heads = [_seen.header(s) for s in streams]
+    readers = [BitReader(s) for s in streams]
+    heads = [_read_header(r) for r in readers]
     out: list[np.ndarray | None] = [None] * len(files)
-    together: dict[int, list[int]] = {}
-    for k, (head, _) in enumerate(heads):
-        plain = not head.transforms and not head.cache_bits and head.groups_of is None
-        if plain and all(code.bits <= 14 for code in head.groups[0]):
-            together.setdefault(id(head.groups[0]), []).append(k)
+    together: dict[tuple[int, int], list[int]] = {}
+    for k, head in enumerate(heads):
+        codes = head.groups[0]
+        bare = not head.cache_bits and head.groups_of is None and not any(c.bits for c in codes[RED:DISTANCE])
+        palette = not head.transforms or len(head.transforms) == 1 and head.transforms[0][:2] == (3, 0)
+        if bare and palette and codes[GREEN].bits <= MOST_BITS:
+            together.setdefault((id(codes[GREEN]), id(codes[DISTANCE])), []).append(k)
     for members in together.values():
-        members.sort(key=lambda k: -heads[k][0].width * heads[k][0].height)
-        codes = heads[members[0]][0].groups[0]
-        done = _in_step([streams[k] for k in members], [heads[k] for k in members], codes)
+        done = _in_step([streams[k] for k in members], [readers[k].at for k in members], [heads[k] for k in members])
         for k, px in zip(members, done):
             out[k] = px
-    return [decode(f) if px is None else px for f, px in zip(files, out)]
-
-
-def _in_step(streams: list[bytes], heads: list[tuple[Header, int]], codes: list[PrefixCode]) -> list[np.ndarray | None]:
-    """Pixels of each stream, the longest first; None where it isn't all literals."""
-    counts = np.array([h.width * h.height for h, _ in heads])
+    return [samples(f) if px is None else px for f, px in zip(files, out)]
+
+
+def _lookup(code: PrefixCode) -> np.ndarray:
+    """For each WINDOW bits: up to four literals (32 bits), their bits (8) and number (3), and a mark where a copy comes first."""
+    table, mask = code.table.astype(np.int64), (1 << code.bits) - 1
+    window = np.arange(1 << WINDOW, dtype=np.int64)
+    used, count, out = np.zeros_like(window), np.zeros_like(window), np.zeros_like(window)
+    going = np.ones(len(window), bool)
+    for k in range(4):
+        entry = table[(window >> used) & mask]
+        literal = entry >> 4 < 256
+        fits = used + (entry & 15) <= WINDOW
+        if k == 0:
+            out[~literal] |= 1 << 43
+        going &= literal & fits
+        out[going] |= (entry[going] >> 4) << 8 * k
+        used[going] += entry[going] & 15
+        count[going] += 1
+    return out | used << 32 | count << 40
+
+
+_lookups: dict[int, tuple[PrefixCode, np.ndarray, list[int]]] = {}
+
+
+def _lookup_of(code: PrefixCode) -> tuple[np.ndarray, list[int]]:
+    kept = _lookups.get(id(code))
+    if kept is None or kept[0] is not code:
+        if len(_lookups) >= MOST_SEEN:
+            _lookups.clear()
+        table = _lookup(code)
+        kept = _lookups[id(code)] = code, table, table.tolist()
+    return kept[1:]
+
+
+def _in_step(streams: list[bytes], begins: list[int], heads: list[Header]) -> list[np.ndarray | None]:
+    """The green samples of each stream; None where it isn't a whole image."""
+    green, distance = heads[0].groups[0][GREEN], heads[0].groups[0][DISTANCE]
+    table, single, single_mask = _lookup_of(green)[0], green.table.astype(np.int64), np.int64((1 << green.bits) - 1)
+    far_table, far_mask = distance.table.astype(np.int64), np.int64((1 << distance.bits) - 1)
+    sizes = np.array([h.width * h.height for h in heads])
     data = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in streams])[:-1]])
-    ends = 8 * (starts + [len(s) for s in streams])
-    # A window of 64 bits at any byte, so that a pixel's four codes of at most 14 bits are in one.
+    lengths = np.array([len(s) for s in streams])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     windows = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(data) - 8,), (1,))
-    at = 8 * starts + np.array([n for _, n in heads])
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    out = np.zeros(int(counts.sum()), np.uint32)
-    fine = np.ones(len(streams), bool)
-    steps = [(codes[c].table.astype(np.int64), np.int64((1 << codes[c].bits) - 1), shift) for c, shift in ((GREEN, 8), (RED, 16), (BLUE, 0), (ALPHA, 24))]
-    live = np.searchsorted(-counts, -np.arange(1, counts.max() + 1), side="right")  # images with at least so many pixels
-    three = np.int64(7)
-    for k, m in enumerate(live.tolist()):
-        pos = at[:m]
-        window = windows[np.minimum(pos >> 3, len(data) - 16)].view(np.int64) >> (pos & three)
-        px = np.zeros(m, np.int64)
-        for table, mask, shift in steps:
-            entry = table[window & mask]
-            used = entry & 15
-            window >>= used
-            pos += used
-            symbol = entry >> 4
-            if shift == 8:
-                odd = symbol > 255
-                if odd.any():
-                    fine[:m] &= ~odd
-            px |= symbol << shift
-        out[first[:m] + k] = px
-    fine &= at <= ends
-    return [
-        out[f : f + n].view(np.uint8).reshape(h.height, h.width, 4) if ok else None
-        for f, n, ok, (h, _) in zip(first.tolist(), counts.tolist(), fine.tolist(), heads)
-    ]
+    last = np.int64(len(data) - 16)
+    first = np.concatenate([[0], np.cumsum(sizes + 4)[:-1]])  # four bytes apart: literals are written by fours
+    buffer = np.zeros(int(sizes.sum()) + 4 * len(sizes) + 8, np.uint8)
+    fours = np.lib.stride_tricks.as_strided(buffer[:4].view("<u4"), (len(buffer) - 4,), (1,))
+    at, place = 8 * starts + np.array(begins), first.copy()
+    limit, end, who = 8 * (starts + lengths), first + sizes, np.arange(len(sizes))
+    fine = np.ones(len(sizes), bool)
+    copies: list[tuple[np.ndarray, ...]] = []
+    mask, seven = np.int64((1 << WINDOW) - 1), np.int64(7)
+    while len(who) > ALONE:
+        window = windows[at >> 3].view(np.int64) >> (at & seven)
+        entry = table[window & mask]
+        fours[place] = entry.astype(np.uint32)
+        at += (entry >> 32) & 255
+        place += (entry >> 40) & 7
+        marked = entry >> 43
+        if marked.any():
+            odd = marked.nonzero()[0]
+            size, far, used = _copies(window[odd], single, single_mask, far_table, far_mask, windows, at[odd], last)
+            copies.append((who[odd], place[odd], size, far))
+            at[odd] += used
+            place[odd] += size
+            bad = (size <= 0) | (place[odd] > end[odd])
+            fine[who[odd[bad]]] = False
+            place[odd[bad]] = end[odd[bad]]
+        stays = (place < end) & (at < limit)
+        if not stays.all():
+            short = (place < end) & (at >= limit)
+            fine[who[short]] = False
+            over = at - limit > WINDOW
+            fine[who[over]] = False
+            at, place, limit, end, who = at[stays], place[stays], limit[stays], end[stays], who[stays]
+    if len(who):
+        told = []
+        for k, *state in zip(*(c.tolist() for c in (who, at, limit, place, end))):
+            own = _alone(data, memoryview(buffer), green, distance, *state)
+            fine[k] &= own is not None
+            told += [(k, *c) for c in own or ()]
+        if told:
+            copies.append(tuple(np.array(c, np.int64) for c in zip(*told)))
+    if copies:
+        _resolve(copies, buffer, first, fine, [h.coded_width for h in heads])
+    out: list[np.ndarray | None] = []
+    for k, head in enumerate(heads):
+        px = buffer[first[k] : first[k] + sizes[k]]
+        if fine[k] and head.transforms:
+            colours = np.zeros(256, np.uint8)
+            palette = head.transforms[0][2]
+            colours[: len(palette)] = (palette >> 8) & 0xFF
+            px = colours[px]
+        out.append(px.reshape(head.height, head.width) if fine[k] else None)
+    return out
+
+
+def _alone(
+    data: np.ndarray, body: memoryview, green: PrefixCode, distance: PrefixCode, at: int, limit: int, place: int, end: int
+) -> list[tuple[int, int, int]] | None:
+    """The rest of one image, as `_in_step` does it: its (place, length, distance code) of copies, None if it breaks off."""
+    table, single = _lookup_of(green)[1], green.entries
+    far_table, single_mask, far_mask = distance.entries, (1 << green.bits) - 1, (1 << distance.bits) - 1
+    blob, copies, base = data[at >> 3 : (limit >> 3) + 16].tobytes(), [], at & ~7
+    at, limit = at - base, limit - base
+    while place < end:
+        if at >= limit:
+            return None
+        window = int.from_bytes(blob[at >> 3 : (at >> 3) + 10], "little") >> (at & 7)
+        entry = table[window & 0xFFFF]
+        if entry >> 43:
+            part = single[window & single_mask]
+            bits = BitReader(blob, at + (part & 15))
+            if (part >> 4) - 256 >= 24:
+                return None
+            size = _extra(bits, (part >> 4) - 256)
+            part = far_table[bits.peek(distance.bits) & far_mask]
+            bits.at += part & 15
+            copies.append((place, size, _extra(bits, part >> 4)))
+            at = bits.at
+            place += size
+        else:
+            body[place : place + 4] = (entry & 0xFFFFFFFF).to_bytes(4, "little")
+            at += entry >> 32 & 255
+            place += entry >> 40 & 7
+    return copies if place - end < 4 and at - limit <= WINDOW else None
+
+
+def _copies(window, single, single_mask, far_table, far_mask, windows, at, last):  # noqa: ANN001, ANN202
+    """(length, distance code, bits used) of the back-references that begin at these windows."""
+    entry = single[window & single_mask]
+    used, symbol = entry & 15, (entry >> 4) - 256
+    size, more = _values(symbol, window >> used)
+    used = used + more
+    where = at + used
+    window = windows[np.minimum(where >> 3, last)].view(np.int64) >> (where & 7)
+    entry = far_table[window & far_mask]
+    far, more = _values(entry >> 4, window >> (entry & 15))
+    return np.where(symbol < 24, size, 0), far, used + (entry & 15) + more
+
+
+def _values(symbol: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`_extra` of many symbols: (values, extra bits)."""
+    more = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+    value = np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << more) + (window & ((np.int64(1) << more) - 1)))
+    return value + 1, more
+
+
+def _resolve(copies: list[tuple[np.ndarray, ...]], buffer: np.ndarray, first: np.ndarray, fine: np.ndarray, widths: list[int]) -> None:
+    """Carry out the back-references of all images, each image's in order."""
+    who, place, size, far = (np.concatenate(c) for c in zip(*copies))
+    near = np.array(NEAR)
+    width = np.array(widths)[who]
+    short = near[np.minimum(far, len(NEAR)) - 1]
+    far = np.where(far > len(NEAR), far - len(NEAR), np.maximum(1, short[:, 0] + short[:, 1] * width))
+    fine[who[far > place - first[who]]] = False
+    order = np.argsort(place, kind="stable")
+    body = memoryview(buffer)
+    for k, at, n, back in zip(*(c[order].tolist() for c in (who, place, size, far))):
+        if not fine[k]:
+            continue
+        if back >= n:
+            body[at : at + n] = body[at - back : at - back + n]
+        else:
+            buffer[at : at + n] = np.resize(buffer[at - back : at], n)

@@ -353,7 +353,7 @@ def test_webp_back_references_and_cache():
     c.pixels(items, bits, True)
     got = webp.decode(c.file())
     assert (got.reshape(-1, 4) == samples(out)).all()
-    assert (webp.decode_many([c.file(), webp.encode(b"x" * 192)])[0] == got).all()
+    assert (webp.decode_many([c.file(), webp.encode(b"x" * 192)])[0] == got[:, :, 1]).all()
 
 
 def test_webp_transforms():
@@ -421,19 +421,43 @@ def test_webp_cross_colour_and_palette():
         assert (webp.decode(c.file()) == colours[index]).all(), n
 
 
-def test_webp_payloads():
+def test_webp_payloads(corpus):
     rng = random.Random(8)
     payloads = [bytes(rng.randrange(256) for _ in range(192 * n)) for n in (1, 2, 3, 40)] + [b" " * 192 * 16385, b"a" * 192 * 2000]
+    payloads += [media.payload_of(t)[1] for _, t in corpus]
+    for _ in range(40):  # passages that repeat near and far, of few bytes and many
+        bits = [bytes(rng.choices(range(rng.choice([1, 2, 5, 200])), k=rng.randrange(1, 400))) for _ in range(6)]
+        payloads.append(media.payload_of("")[1] + b"".join(rng.choice(bits) for _ in range(rng.randrange(60))).ljust(192 * 130, b"z")[: 192 * 130])
     files = [webp.encode(p) for p in payloads]
-    for p, many in zip(payloads, webp.decode_many(files)):
-        assert many.tobytes()[: len(p)] == p
-    assert (webp.decode(files[3]) == webp.decode_many(files[:4])[3]).all()
+    for p, f, many in zip(payloads, files, webp.decode_many(files)):
+        assert many.tobytes()[: len(p)] == p and (len(p) > 10**5 or (webp.samples(f) == many).all())
+    kinds = [{"palette": any(t[0] == 3 for t in h.transforms), "copies": h.groups[0][4].bits > 0} for h in (webp._read_header(webp.BitReader(webp._stream(f))) for f in files)]
+    assert all(k["palette"] for k in kinds) and 20 < sum(k["copies"] for k in kinds) < len(kinds)
     with pytest.raises(ValueError):
         webp.decode(files[3][:200])
+    with pytest.raises(ValueError):
+        webp.decode_many([files[3][:200], files[5][:-30]])
     with pytest.raises(ValueError):
         webp.decode(b"RIFF----WEBPVP8 ----")
 
 
+def test_media_are_smaller_in_any_script():
+    rng = random.Random(21)
+    for letters, words in (("abcdefghijklmnop", 5), ("абвгдежзиклмнопрст", 6), ([chr(rng.randrange(0x4E00, 0x9000)) for _ in range(600)], 3), ("ابتثجحخدذرزسشصضط", 5)):
+        text = " ".join("".join(rng.choices(letters, weights=[1 / (k + 1) for k in range(len(letters))], k=rng.randrange(1, 2 * words))) for _ in range(500))
+        n, payload = media.payload_of(text)
+        assert len(webp.encode(payload)) < 0.85 * len(payload)
+    assert all(len(webp.encode(media.payload_of(t)[1])) < 192 for t in ("", "one word"))
+
+
+def test_payloads_of_several_images(monkeypatch):
+    monkeypatch.setattr(webp, "MAX_PAYLOAD", 192 * 3)
+    payload = bytes(range(192)) * 7
+    stored = webp.encode(payload)
+    parts = webp.split_files(stored)
+    assert len(parts) == 3 and b"".join(p.tobytes() for p in webp.decode_many(parts))[: len(payload)] == payload
+
+
 def test_media_rows(odd, empty):
     rows = media.read_media(media.store_texts(odd)).collect()
     want = Counter()
