@@ -1,18 +1,39 @@
 """Exact de-duplication: 128-bit content hash, bytes compared inside the groups, one row stays.
 
-Plan: every row gets two digests of its text in the scan. Grouping on (hash, text) folds copies in
-the scan's own tasks, so a text that fills a third of the table reaches its reducer as one row from
-each task; the text is part of the key, so rows share a group only if their bytes are equal. What is
-joined back are digests and two numbers, never texts. Both sides of that join are shuffled for it, so
-adaptive execution can split a hot digest's partition on the documents' side.
+Plan: rows are counted by the MD5 of their text; only digests move, and copies fold in the scan's own
+tasks. Texts whose digest no other row has need nothing more. The others are compared by their bytes:
+they are grouped by (hash, text), again folded in the scan, so a text that fills a third of the table
+reaches its reducer as one row from each task, and rows share a group only if their bytes are equal.
+The digests that repeat are sent to the scan up to FEW of them; beyond that all texts are grouped by
+(hash, text), which moves each distinct text of a task once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmer.llm.shared import text_or_empty
+from kinmer.llm.shared import cut, text_or_empty, unused
+
+#: Up to so many digests (16 bytes and two numbers each) are broadcast.
+FEW = 500_000
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(text_or_empty(text).cast("binary")))
+
+
+def repeated_digests(docs: DataFrame, text: str, few: int) -> DataFrame | None:
+    """(digest) of texts that more than one row may have, ready to be broadcast; None where they are too many."""
+    counts = docs.select(_digest(text).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    repeated = cut(counts.filter("n > 1").select("digest"))
+    return F.broadcast(repeated) if repeated.count() <= few else None
+
+
+def _of(docs: DataFrame, text: str, repeated: DataFrame, how: str) -> DataFrame:
+    """The rows whose digest is (left_semi) or isn't (left_anti) among the repeated ones."""
+    name = unused(docs, "digest")
+    return docs.join(repeated.withColumnRenamed("digest", name), _digest(text) == F.col(name), how)
 
 
 def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: str = "largest") -> DataFrame:
@@ -23,8 +44,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ke
     """
     best = F.max if keep == "largest" else F.min
     return (
-        docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("_text"))
-        .withColumn("_hash", F.unhex(F.md5(F.col("_text").cast("binary"))))
+        docs.select(F.col(id_col).alias("_id"), _digest(text).alias("_hash"), text_or_empty(text).alias("_text"))
         .groupBy("_hash", "_text")
         .agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("_hash", F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"), "keep_id", "group_size")
@@ -32,7 +52,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ke
 
 
 def mark_exact_duplicates(
-    docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: str = "largest"
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: str = "largest", few: int = FEW
 ) -> DataFrame:
     """One row per input row: (doc_id, keep_id, group_size, kept, text_sha256).
 
@@ -41,36 +61,45 @@ def mark_exact_duplicates(
     is never kept unless its whole group has null ids (keep_id is then null and kept true). Extra
     columns of `docs` are ignored; an empty table gives an empty result.
     """
-    body = text_or_empty(text).cast("binary")
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.unhex(F.md5(body)).alias("_hash"), F.sha2(body, 256).alias("_sha")
+        F.col(id_col).alias("doc_id"), _digest(text).alias("_hash"), F.sha2(text_or_empty(text).cast("binary"), 256).alias("_sha")
     )
-    return rows.join(exact_groups(docs, text, id_col, keep), ["_hash", "_sha"], "left").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
+    repeated = repeated_digests(docs, text, few)
+    if repeated is None:
+        groups = exact_groups(docs, text, id_col, keep)
+    else:
+        groups = cut(exact_groups(_of(docs, text, repeated, "left_semi"), text, id_col, keep))
+        groups = F.broadcast(groups) if groups.count() <= few else groups
+    alone = F.col("group_size").isNull()
+    return (
+        rows.join(groups, ["_hash", "_sha"], "left")
+        .select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "_sha")
+        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
     )
 
 
 def drop_exact_duplicates(
-    docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: str = "largest"
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: str = "largest", few: int = FEW
 ) -> DataFrame:
     """The rows of `docs` that stay, one for each distinct text, with all their columns.
 
-    The rest of a row travels beside its id in the same aggregation, so nothing is joined. Null text
-    counts as empty and stays null in the row that stays. A null id loses to any other; rows with
-    the same text and id are told apart by their other plain columns.
+    A text that no other row has stays where it is. Of the others the rest of a row travels beside its
+    id in the aggregation. Null text counts as empty and stays null in the row that stays. A null id
+    loses to any other; rows with the same text and id are told apart by their other plain columns.
     """
+    repeated = repeated_digests(docs, text, few)
+    if repeated is None:
+        return _one_of_each(docs, text, id_col, keep)
+    return _of(docs, text, repeated, "left_anti").union(_one_of_each(_of(docs, text, repeated, "left_semi"), text, id_col, keep))
+
+
+def _one_of_each(docs: DataFrame, text: str, id_col: str, keep: str) -> DataFrame:
     pick = F.max_by if keep == "largest" else F.min_by
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(text).isNull().alias("_null"))
     plain = [c for c, kind in docs.dtypes if c not in (text, id_col) and "<" not in kind and kind != "variant"]
     rank = F.struct(F.col(id_col).isNotNull() if keep == "largest" else F.col(id_col).isNull(), F.col(id_col), *[F.col(f"`{c}`") for c in plain])
-    body = text_or_empty(text)
     kept = (
-        docs.select(body.alias("_text"), own.alias("_own"), rank.alias("_rank"))
-        .withColumn("_hash", F.unhex(F.md5(F.col("_text").cast("binary"))))
+        docs.select(_digest(text).alias("_hash"), text_or_empty(text).alias("_text"), own.alias("_own"), rank.alias("_rank"))
         .groupBy("_hash", "_text")
         .agg(pick("_own", "_rank").alias("_own"))
     )

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from kinmer.llm.graph import connected_components
 from kinmer.llm.groups import BLOCK, FEW, Fingerprints, Sets, forest, group_links, large_group_links
-from kinmer.llm.shared import cut
-from kinmer.operators.common import unused
+from kinmer.llm.shared import cut, unused
+
 
 BITS = 64
 #: Shingles unpacked to bits at once: bounds memory for very long texts.

@@ -474,22 +474,23 @@ def test_media_rows(odd, empty):
 # 7: exact de-duplication
 
 
-def test_exact_dedup(odd, empty):
+@pytest.mark.parametrize("few", [0, exact_dedup.FEW])
+def test_exact_dedup(odd, empty, few):
     groups = defaultdict(list)
     for i, t in ODD:
         groups[t or ""].append(i)
-    rows = exact_dedup.mark_exact_duplicates(odd).collect()
+    rows = exact_dedup.mark_exact_duplicates(odd, few=few).collect()
     want = Counter()
     for i, t in ODD:
         ids = [k for k in groups[t or ""] if k is not None]
         best = max(ids) if ids else None
         want[(i, best, len(groups[t or ""]), i == best, hashlib.sha256((t or "").encode()).hexdigest())] += 1
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows) == want
-    assert exact_dedup.mark_exact_duplicates(empty).count() == 0
-    kept = exact_dedup.drop_exact_duplicates(odd)
+    assert exact_dedup.mark_exact_duplicates(empty, few=few).count() == 0
+    kept = exact_dedup.drop_exact_duplicates(odd, few=few)
     assert kept.columns == odd.columns
     assert sorted((r.text or "", r.doc_id or 0, r["_hash"]) for r in kept.collect()) == sorted((t, max((k for k in ids if k is not None), default=0), 7) for t, ids in groups.items())
-    least = exact_dedup.mark_exact_duplicates(odd, keep="smallest")
+    least = exact_dedup.mark_exact_duplicates(odd, keep="smallest", few=few)
     assert {r.keep_id for r in least.filter("doc_id = 5").collect()} == {4}
 
 
