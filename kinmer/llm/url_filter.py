@@ -7,10 +7,11 @@ nothing through. The false keys are taken over the complete set of the corpus's
 is exact for each of them and the rules are never joined to pages. A second cascade, over the rules,
 tells blocking ones from allowing ones.
 
-Filters are literals in the plan. Their size is about two bytes a rule and is bounded: a longer list
-is dealt by hash into slices, each with a cascade of its own, and pages pass through them one after
-the other, the best match so far beside them. Keys are aggregated before they move, so a rule that a
-third of all pages match counts once a task.
+Filters are literals in the plan. Their size is a few bytes a rule and is bounded: a longer list is
+dealt by hash into slices, each with a cascade of its own over the keys of that slice, and pages pass
+through them one after the other, the best match so far beside them. The first level lets the fewer
+keys through the more URLs there are. Keys are aggregated before they move, so a rule that a third of
+all pages match counts once a task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmer.llm.shared import ASCII_UPPER, cut
+from kinmer.llm.shared import ASCII_UPPER, cut, unused
 
 #: The rules of the registered query: (verdict, host, path).
 RULES = (
@@ -34,8 +35,9 @@ RULES = (
 DEFAULT = "allow"
 #: Bits in all levels of a cascade: 8 MB as a literal.
 MAX_BITS = 1 << 26
-#: Rules in one cascade; its levels take about 20 bits a rule.
-RULES_AT_ONCE = MAX_BITS // 32
+#: A rule's shape in one number: labels of its host times SHAPE, and the length of its path.
+SHAPE = 1 << 20
+MAX_SHAPES = 10_000
 
 
 def host_of(url: Column) -> Column:
@@ -76,13 +78,13 @@ class Cascade:
         """The level's filter alone: true for all keys that it holds and for some others."""
         bits, probes, words = self.levels[level - 1]
         held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to one literal
-        hits = None
-        for p in range(probes):
-            at = _bit(key, level, p, bits)
-            word = F.get(held, F.shiftright(at, 6).cast("int"))
-            hit = word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0
-            hits = hit if hits is None else hits & hit
-        return hits
+        # The literal stands once in the plan, whatever the number of probes.
+        return F.forall(F.array(*[_bit(key, level, p, bits) for p in range(probes)]), lambda at: self._is_set(held, at))
+
+    @staticmethod
+    def _is_set(held: Column, at: Column) -> Column:
+        word = F.get(held, F.shiftright(at, 6).cast("int"))
+        return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0
 
     def add(self, keys: DataFrame, n: int, false_rate: float) -> None:
         """Append a level that holds the `n` distinct `key`s."""
@@ -122,6 +124,11 @@ def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 2*
     raise RuntimeError("the cascade does not end")
 
 
+def first_rate_for(universe: int) -> float:
+    """A false rate of the first level that leaves the second, which holds the universe's false keys, an eighth of MAX_BITS."""
+    return min(2.0**-10, MAX_BITS / 8 / 1.5 / max(universe, 1))
+
+
 class UrlRules:
     """Rules (verdict, host, path) ready to judge the URLs of one corpus."""
 
@@ -131,35 +138,49 @@ class UrlRules:
         urls: DataFrame,
         url: str = "url",
         default: str = DEFAULT,
-        first_rate: float = 2**-10,
-        rules_at_once: int = RULES_AT_ONCE,
+        first_rate: float | None = None,
+        rules_at_once: int | None = None,
     ):
         """`rules` has verdict (allow or block), host and path; a rule that repeats must not contradict itself.
 
         Hosts are lower-cased like those of URLs. From the rules the driver learns three small things:
-        their number, the distinct lengths of their paths and the most labels of a host.
+        their number and their shapes (labels of the host and length of the path, at most MAX_SHAPES).
+        The first level's false rate follows from the number of URLs, and how many rules one cascade takes
+        from that rate; a slice's cascade is built over the corpus's keys of that slice alone.
         """
         keyed = rules.select("verdict", F.translate("host", ASCII_UPPER, ASCII_UPPER.lower()).alias("host"), "path").dropna()
-        keyed = cut(keyed.select("verdict", "host", F.length("path").alias("length"), F.concat("host", "path").alias("key")).distinct())
-        self.lengths = sorted(r.length for r in keyed.select("length").distinct().collect())
-        n, labels = keyed.agg(F.count(F.lit(1)), F.max(F.size(F.split("host", r"\.")))).first()
-        self.labels, self.default = labels or 0, default
+        shape = (F.size(F.split("host", r"\.")) * SHAPE + F.length("path")).cast("long")
+        keyed = cut(keyed.select("verdict", shape.alias("shape"), F.concat("host", "path").alias("key")).distinct())
+        self.shapes = sorted(r["shape"] for r in keyed.select("shape").distinct().limit(MAX_SHAPES + 1).collect())
+        if len(self.shapes) > MAX_SHAPES:
+            raise ValueError(f"rules of more than {MAX_SHAPES} shapes")
+        self.default = default
         self.slices: list[tuple[Cascade, Cascade]] = []
-        n_slices = max(1, -(-n // rules_at_once))
-        for k in range(n_slices):
-            own = F.pmod(F.xxhash64("key"), F.lit(n_slices)) == k
-            universe = urls.select(F.explode(self.keys(host_of(F.col(url)), path_of(F.col(url)))).alias("key"))
-            some = keyed.filter(own)
-            listed = build_cascade(some, universe, first_rate)
-            self.slices.append((listed, build_cascade(some.filter("verdict = 'block'"), some, first_rate)))
+        rate = first_rate or first_rate_for(urls.count() * len(self.shapes))
+        at_once = rules_at_once or int(MAX_BITS / 2 / (1.5 * -math.log2(rate)))
+        self.n_slices = max(1, -(-keyed.count() // at_once))
+        universe = urls.select(F.explode(self.keys(host_of(F.col(url)), path_of(F.col(url)))).alias("key"))
+        for k in range(self.n_slices):
+            some = keyed.filter(self._in_slice(F.col("key"), k))
+            listed = build_cascade(some, universe.filter(self._in_slice(F.col("key"), k)), rate)
+            self.slices.append((listed, build_cascade(some.filter("verdict = 'block'"), some, 2.0**-10)))
+
+    def _in_slice(self, key: Column, k: int) -> Column:
+        return F.lit(True) if self.n_slices == 1 else F.pmod(F.xxhash64(F.lit("slice"), key), F.lit(self.n_slices)) == k
 
     def keys(self, host: Column, path: Column) -> Column:
-        """Every rule a URL could match: suffixes of its host with prefixes of its path."""
-        suffixes = F.array_distinct(F.array(*[F.substring_index(host, ".", -k) for k in range(1, self.labels + 1)]))
-        prefixes = [F.when((host != "") & (F.length(path) >= n), F.left(path, F.lit(n))) for n in self.lengths]
-        if not self.labels or not prefixes:
+        """Every rule a URL could match: for each shape of rules the host's last labels with the path's first letters."""
+        if not self.shapes:
             return F.array().cast("array<string>")
-        return F.flatten(F.transform(suffixes, lambda s: F.filter(F.array(*[F.concat(s, p) for p in prefixes]), lambda k: k.isNotNull())))
+        labels, length = F.size(F.split(host, r"\.")), F.length(path)
+        shapes = F.split(F.lit(",".join(map(str, self.shapes))), ",").cast("array<bigint>")  # folded to one literal
+        fitting = F.filter(shapes, lambda x: (host != "") & (F.floor(x / SHAPE) <= labels) & (x % SHAPE <= length))
+        return F.transform(
+            fitting,
+            lambda x: F.concat(
+                F.call_function("substring_index", host, F.lit("."), F.negate(F.floor(x / SHAPE)).cast("int")), F.left(path, (x % SHAPE).cast("int"))
+            ),
+        )
 
     def judge(self, df: DataFrame, url: str = "url") -> DataFrame:
         """`df` with host, path, rule and verdict; any columns of these names are replaced.
@@ -169,18 +190,17 @@ class UrlRules:
         without `://` have an empty host and path and match none.
         """
         told = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-        none = F.lit(None).cast("struct<length:int,key:string,verdict:string>")
-        told = told.withColumn("_best", none)
+        best, longest = unused(told, "best"), unused(told, "longest")
+        told = told.withColumn(best, F.lit(None).cast("struct<length:int,key:string,verdict:string>"))
         for k, (listed, blocking) in enumerate(self.slices):
-            hits = F.filter(self.keys(F.col("host"), F.col("path")), listed.contains)
-            longest = F.array_max(F.transform(hits, lambda x: F.struct(F.length(x), x.alias("key"))))["key"]
-            told = told.withColumn("_key", longest)
-            verdict = F.when(blocking.contains(F.col("_key")), "block").otherwise("allow")
-            found = F.when(F.col("_key").isNotNull(), F.struct(F.length("_key").alias("length"), F.col("_key").alias("key"), verdict.alias("verdict")))
-            told = told.withColumn("_best", F.array_max(F.array("_best", found))).drop("_key")
+            hits = F.filter(self.keys(F.col("host"), F.col("path")), lambda x: self._in_slice(x, k) & listed.contains(x))  # noqa: B023
+            told = told.withColumn(longest, F.array_max(F.transform(hits, lambda x: F.struct(F.length(x), x.alias("key"))))["key"])
+            verdict = F.when(blocking.contains(F.col(longest)), "block").otherwise("allow")
+            own = F.struct(F.length(longest).alias("length"), F.col(longest).alias("key"), verdict.alias("verdict"))
+            told = told.withColumn(best, F.array_max(F.array(best, F.when(F.col(longest).isNotNull(), own)))).drop(longest)
             if k + 1 < len(self.slices):
                 told = cut(told)  # one slice's filters in a plan at a time
-        return told.withColumns({"rule": F.col("_best.key"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(self.default))}).drop("_best")
+        return told.withColumns({"rule": F.col(f"{best}.key"), "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(self.default))}).drop(best)
 
 
 def rules_table(spark: SparkSession, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
