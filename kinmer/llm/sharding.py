@@ -71,8 +71,8 @@ def shuffle_into_shards(
     The law is `rows`: shard counts differ by at most one, and each assignment with these counts is
     as likely as any other under the hash. size is the text's UTF-8 bytes plus 8 (null: 8), slot
     runs from 0 without gaps in each shard. Copies of a text are placed independently of each other.
-    Rows that repeat entirely share their keys, and the tie between them is of no account. Null ids
-    are ordinary values; extra columns are ignored; an empty table gives an empty result.
+    A row's place in the written table is part of its keys, so rows that repeat entirely are dealt like
+    any others. Null ids are ordinary values; extra columns are ignored; an empty table gives an empty result.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = cut(
@@ -80,6 +80,7 @@ def shuffle_into_shards(
             F.col(id_col).alias("doc_id"),
             (F.octet_length(body) + 8).cast("long").alias("size"),
             F.crc32(body).alias("text_crc32"),
+            F.monotonically_increasing_id().alias("at"),
         )
     )
     n = rows.count()
@@ -87,7 +88,7 @@ def shuffle_into_shards(
     blocks = max(1, parts // shards)
 
     def key(k: int) -> Column:
-        return F.xxhash64(F.lit(seed + k), "doc_id", "size", "text_crc32")
+        return F.xxhash64(F.lit(seed + k), "doc_id", "size", "text_crc32", "at")
 
     dealt = rows.select("*", F.pmod(key(0), F.lit(parts)).cast("int").alias("part"))
     counts = sorted((r.part, r.n) for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -95,10 +96,10 @@ def shuffle_into_shards(
     ends = [(p, row) for (p, _), row in zip(counts, np.cumsum(matrix, axis=1).tolist())]
     ends_df = docs.sparkSession.createDataFrame(ends, "part int, ends array<long>")
 
-    ranked = dealt.select("*", key(1).alias("k1")).select("*", _rank(["part"], "k1", "doc_id").alias("r"))
+    ranked = dealt.select("*", key(1).alias("k1")).select("*", _rank(["part"], "k1", "at").alias("r"))
     shard = sum(((F.col("r") >= F.col("ends")[s]).cast("int") for s in range(shards - 1)), F.lit(0))
     sent = ranked.join(F.broadcast(ends_df), "part").select(
-        "doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), key(2).alias("k2")
+        "doc_id", "size", "text_crc32", "at", shard.cast("int").alias("shard"), key(2).alias("k2")
     )
     # The block is the key's rank among equal ranges, so blocks in order are the keys in order.
     block = F.floor((F.shiftright(F.col("k2"), 20) + (1 << 43)) * blocks / (1 << 44)).cast("int")
@@ -106,7 +107,7 @@ def shuffle_into_shards(
     sizes = sent.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    placed = sent.select("*", _rank(["shard", "block"], "k2", "doc_id").alias("r"))
+    placed = sent.select("*", _rank(["shard", "block"], "k2", "at").alias("r"))
     return placed.join(F.broadcast(firsts), ["shard", "block"]).select(
         "doc_id",
         "size",
