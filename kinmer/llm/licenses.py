@@ -1,8 +1,8 @@
 """Licence scans by digests of canonical texts.
 
 A text is brought to a canonical form - case, punctuation, copyright lines and equivalent spellings
-no longer matter - and its digest is joined to those of known licences. Whole documents are looked
-up by a broadcast hash join (the known table is fixed and small); notices of one line, such as
+no longer matter - and its digest is joined to those of known licences, a table that the caller may
+give. Whole documents are looked up by a hash join, with the known table broadcast if it is small; notices of one line, such as
 "Released under the MIT License.", are whole texts too and are looked up the same way among the
 digests of a document's lines, without moving the document.
 """
@@ -12,6 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmer.llm.shared import cut
+
+#: Up to so many known texts (a digest and an identifier each) are broadcast.
+FEW = 100_000
+
 # Fixed values: (identifier, whole text) of licences short enough to state here.
 KNOWN_TEXTS = (
     (
@@ -123,25 +128,17 @@ KNOWN_NOTICES = (
 )
 # Spellings taken as equal, as they stand in canonical text; the left becomes the right.
 SPELLINGS = (
-    ("licence", "license"),
-    ("licencing", "licensing"),
-    ("sub license", "sublicense"),
-    ("acknowledgement", "acknowledgment"),
-    ("organisation", "organization"),
-    ("authorise", "authorize"),
-    ("recognise", "recognize"),
-    ("favour", "favor"),
-    ("behaviour", "behavior"),
-    ("honour", "honor"),
-    ("fulfil ", "fulfill "),
-    ("judgement", "judgment"),
-    ("whilst", "while"),
-    ("per cent", "percent"),
-    ("non commercial", "noncommercial"),
-    ("non infringement", "noninfringement"),
-    ("copyright owner", "copyright holder"),
+    ("licence", "license"), ("licencing", "licensing"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"),
+    ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authoris", "authoriz"), ("behaviour", "behavior"),
+    ("calibre", "caliber"), ("cancelled", "canceled"), ("capitalis", "capitaliz"), ("catalogue", "catalog"), ("categoris", "categoriz"),
+    ("centre", "center"), ("emphasis", "emphasiz"), ("favour", "favor"), ("fulfil ", "fulfill "), ("fulfilment", "fulfillment"),
+    ("honour", "honor"), ("initialis", "initializ"), ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"),
+    ("maximis", "maximiz"), ("modelled", "modeled"), ("modelling", "modeling"), ("offence", "offense"), ("optimis", "optimiz"),
+    ("organis", "organiz"), ("practise", "practice"), ("programme ", "program "), ("realis", "realiz"), ("recognis", "recogniz"),
+    ("signalling", "signaling"), ("utilis", "utiliz"), ("whilst", "while"), ("wilful", "willful"), ("per cent", "percent"),
+    ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"),
     ("share alike", "sharealike"),
-)
+)
 #: Lines that name a copyright's owner, in lower-cased text.
 COPYRIGHT = r"(^|\n)[ \t*#/;.-]*(copyright( ?\(c\)| ?©|[ :,]+[0-9])|\(c\)|©|all rights reserved)[^\n]*"
 #: Runs of ASCII control characters, spaces and punctuation but line feeds, and typographic quotes and dashes.
@@ -166,24 +163,42 @@ def _one_line(canon: Column) -> Column:
     return F.trim(F.regexp_replace(canon, GAPS, " "))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> DataFrame:
-    """(digest, license_id) of known texts, one row for each digest: the first id in order."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
+def built_in(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> DataFrame:
+    return spark.createDataFrame(list(known), "license_id string, text string")
+
+
+def read_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """(license_id, text) of a folder of whole licence texts, one a file named by its identifier (an ending .txt goes).
+
+    Such folders come with operating systems and with public licence lists; hand the rows, together with
+    `built_in(spark, KNOWN_TEXTS)` if wished, to `scan_licenses`.
+    """
+    files = spark.read.text(folder, wholetext=True)
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")
+    return files.select(name.alias("license_id"), F.col("value").alias("text"))
+
+
+def known_digests(rows: DataFrame) -> DataFrame:
+    """(digest, license_id) of known texts (license_id, text), one row for each digest: the first id in order."""
     return rows.select("license_id", F.md5(_one_line(canonical(F.col("text"))).cast("binary")).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id", texts: tuple = KNOWN_TEXTS, notices: tuple = KNOWN_NOTICES) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id", texts: DataFrame | None = None, notices: tuple = KNOWN_NOTICES) -> DataFrame:
     """One row per input row: (doc_id, digest, license_id, notices).
 
     digest is the MD5 of the whole canonical text, license_id the known licence whose digest it is
-    (a text of a single notice counts too), null if none. notices lists the licences declared by
-    single lines, sorted, without repeats, joined by commas; empty if none. Null and empty texts
-    have the digest of an empty text. Repeated rows each give a row; extra columns are ignored.
+    (a text of a single notice counts too), null if none. `texts` are the known whole texts
+    (license_id, text), by default KNOWN_TEXTS; see `read_licenses`. notices lists the licences declared
+    by single lines, sorted, without repeats, joined by commas; empty if none. Null and empty texts have
+    the digest of an empty text. Repeated rows each give a row; extra columns are ignored.
     """
     spark = docs.sparkSession
-    whole = known_digests(spark, (*texts, *notices))
+    whole = texts.select("license_id", "text") if texts is not None else built_in(spark, KNOWN_TEXTS)
+    whole = cut(known_digests(whole.union(built_in(spark, notices))))
+    if whole.count() <= FEW:
+        whole = F.broadcast(whole)
     # The table of notices is fixed and small: its digests are a literal array in the plan.
-    lines = sorted((r.digest, r.license_id) for r in known_digests(spark, notices).collect())
+    lines = sorted((r.digest, r.license_id) for r in known_digests(built_in(spark, notices)).collect())
     digests, names = F.array(*[F.lit(d) for d, _ in lines]), F.array(*[F.lit(n) for _, n in lines])
     canon = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text)).alias("canon"))
     of_lines = F.transform(F.split("canon", "\n"), lambda s: F.md5(F.trim(s).cast("binary")))
@@ -193,7 +208,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id", t
         F.md5(_one_line(F.col("canon")).cast("binary")).alias("digest"),
         F.array_join(F.array_sort(F.array_distinct(said)), ",").alias("notices"),
     )
-    return scanned.join(F.broadcast(whole), "digest", "left").select("doc_id", "digest", "license_id", "notices")
+    return scanned.join(whole, "digest", "left").select("doc_id", "digest", "license_id", "notices")
 
 
 def _quoted(text: str) -> str:

@@ -10,6 +10,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -514,6 +515,25 @@ def test_licences(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licences_of_a_folder(spark, tmp_path):
+    """Whole texts by name, in other case, spelling, line breaks and with another owner, beside ones that differ by a word."""
+    for name, text in licenses.KNOWN_TEXTS:
+        (tmp_path / f"X-{name}.txt").write_text(text)
+    system = Path("/usr/share/common-licenses")
+    whole = {f.name: f.read_text(errors="replace") for f in sorted(system.glob("*")) if f.is_file() and not f.is_symlink()} if system.is_dir() else {}
+    for name, text in whole.items():
+        (tmp_path / name).write_text(text)
+    known = licenses.read_licenses(spark, str(tmp_path))
+    texts = {f"X-{n}": t for n, t in licenses.KNOWN_TEXTS} | whole
+    docs = []
+    for k, (name, text) in enumerate(sorted(texts.items())):
+        other = re.sub(r"[ \n]+", "\n", text.upper() if k % 2 else text.replace("license", "licence"))
+        docs += [(3 * k, f"Copyright (c) 20{k:02} Somebody\n\n{text}"), (3 * k + 1, "\n" + other if "opyright" not in text else text.swapcase()), (3 * k + 2, text + " unless")]
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), texts=known).collect()}
+    for k, name in enumerate(sorted(texts)):
+        assert got[3 * k] == got[3 * k + 1] == name and got[3 * k + 2] is None
+
+
 # 9: HTML
 
 
