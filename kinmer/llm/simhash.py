@@ -374,11 +374,12 @@ def _similar(docs: DataFrame, text: str, id_col: str, shingle: int, similarity:
     reps = cut(marks.groupBy("fp", "sig").agg(F.min(named).alias("first")).select("*", F.monotonically_increasing_id().alias("node")))
     known = reps.filter("first IS NOT NULL").select(F.col("node").alias("rep_id"), "fp")
     near = connected_components(candidate_links(known, similarity, hot))
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    large = cut(near.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot))
+    size = F.coalesce("n", F.lit(0)).cast("long")  # of a group that one task holds, its size is of no account
     wanted = cut(
-        near.join(sizes, "component")
+        near.join(_sized(large, large.count()), "component", "left")
         .join(reps, "node")
-        .select(F.col("component").alias("group"), "node", "n", F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_body"))
+        .select(F.col("component").alias("group"), "node", size.alias("n"), F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_body"))
     )
     whole = docs.select(F.col(id_col).cast("long").alias("_id"), body_digest(text).alias("_body"), F.col(text).alias("text"))
     groups = whole.join(_sized(wanted, wanted.count()), ["_id", "_body"]).select("group", "node", "n", "text")
