@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmer.operators.common import spread, unused  # noqa: F401
-from kinmer.shared import cut, delete_folder, shared_folder  # noqa: F401 - for this subpackage's modules
+from kinmer.shared import cut  # noqa: F401 - for this subpackage's modules
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
