@@ -12,6 +12,40 @@ from pyspark.sql import functions as F
 #: The twenty amino acids.
 ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
 
+# The BLOSUM62 substitution scores of the twenty amino acids, lower triangle.
+_BLOSUM62 = """
+A  4
+R -1  5
+N -2  0  6
+D -2 -2  1  6
+C  0 -3 -3 -3  9
+Q -1  1  0  0 -3  5
+E -1  0  0  2 -4  2  5
+G  0 -2  0 -1 -3 -2 -2  6
+H -2  0  1 -1 -3  0  0 -2  8
+I -1 -3 -3 -3 -1 -3 -3 -4 -3  4
+L -1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
+K -1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
+M -1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
+F -2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6
+P -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7
+S  1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4
+T  0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
+W -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
+Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
+V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+"""
+
+
+def _both_orders(triangle: str) -> dict[tuple[str, str], float]:
+    rows = [line.split() for line in triangle.split("\n") if line]
+    letters = [r[0] for r in rows]
+    given = {(r[0], letters[k]): float(v) for r in rows for k, v in enumerate(r[1:])}
+    return given | {(b, a): v for (a, b), v in given.items()}
+
+
+BLOSUM62 = _both_orders(_BLOSUM62)
+
 
 def kmers(seq: Column, k: int) -> Column:
     """H1: array<struct<pos0, kmer>> of all windows, with the window's own offset; empty if shorter than k."""
@@ -100,16 +134,10 @@ def _align(a: list[str], b: list[str], scores: Mapping[tuple[str, str], float])
     return best[:, -1]
 
 
-def alignment_score(scores: Mapping[tuple[str, str], float]) -> Callable[[Column, Column], Column]:
-    """Global alignment score with zero gap cost over the longer length, for pairs of sequences.
-
-    `scores` is the substitution matrix, both orders given. With free gaps a score is never below
-    zero; two empty sequences score 0 and a null one gives null. Pairs of equal lengths are aligned
-    together in numpy.
-    """
+def alignment_of_pairs(scores: Mapping[tuple[str, str], float]) -> Callable[[pd.Series, pd.Series], pd.Series]:
+    """H13 on two series: see `alignment_score`."""
     matrix = dict(scores)
 
-    @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         out = pd.Series(np.nan, index=a.index)
         known = a.notna() & b.notna()
@@ -120,3 +148,19 @@ def alignment_score(scores: Mapping[tuple[str, str], float]) -> Callable[[Column
         return out.astype(object).where(known, None)
 
     return score
+
+
+def alignment_score(scores: Mapping[tuple[str, str], float] = BLOSUM62) -> Callable[[Column, Column], Column]:
+    """Global alignment score with zero gap cost over the longer length, for pairs of sequences.
+
+    `scores` is the substitution matrix, both orders given. With free gaps a score is never below
+    zero; two empty sequences score 0 and a null one gives null. Pairs of equal lengths are aligned
+    together in numpy.
+    """
+    of_pairs = alignment_of_pairs(scores)
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return of_pairs(a, b)
+
+    return score

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from kinmer.functions.names import has_items, join_sorted
 from kinmer.operators.common import dedup, value_counts
 
-HUMAN = "NCBITaxon:9606"
+# Fixed value: the human species in the OBO rendering of the NCBI taxonomy.
+HUMAN = "http://purl.obolibrary.org/obo/NCBITaxon_9606"
 LENGTHS = {"I": (8, 14), "II": (12, 25)}
 ASSAY_COLUMNS = (
     "structure_id", "linear_sequence", "parent_source_antigen_names", "parent_source_antigen_source_org_names",

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmer.functions.sequences import ALPHABET, kmer_strings, upper_letters
+from kinmer.functions.sequences import ALPHABET, BLOSUM62, alignment_of_pairs, kmer_strings, upper_letters
 
 #: Windows cut from one block of a sequence.
 BLOCK = 256
+#: Rows of a k-mer that meet all others of it in one task.
+PART = 5_000
 
 
 def kmer_rows(proteins: DataFrame, k: int = 8, acc: str = "acc", seq: str = "seq") -> DataFrame:
@@ -28,14 +33,28 @@ def kmer_rows(proteins: DataFrame, k: int = 8, acc: str = "acc", seq: str = "seq
     return windows.filter(F.instr("kmer", " ") == 0)
 
 
-def kmer_index(proteins: DataFrame, k: int = 8, acc: str = "acc", seq: str = "seq") -> DataFrame:
+#: Most items of a list that is gathered in one row.
+MOST_LISTED = 1_000_000
+
+
+def _check_lists(keys: DataFrame, most: int) -> None:
+    """An error if a key of this one column has more than `most` rows; counted in the map tasks."""
+    counts = keys.groupBy(keys.columns[0]).agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a list of {largest} items passes {most}; use the long form")
+
+
+def kmer_index(proteins: DataFrame, k: int = 8, acc: str = "acc", seq: str = "seq", most: int = MOST_LISTED) -> DataFrame:
     """A1: (kmer, hits, n_hits, n_proteins), hits sorted by protein and offset.
 
-    A k-mer's list is one row, as in the index asked for; for a corpus in which one k-mer may fill a
-    third of the rows use `kmer_rows`, which holds the same in long form.
+    A k-mer's list is one row, as in the index asked for, and of at most `most` hits: k-mers are counted
+    first, and a more frequent one is an error. `kmer_rows` holds the same in long form without a bound.
     """
+    rows = kmer_rows(proteins, k, acc, seq)
+    _check_lists(rows.select("kmer"), most)
     hits = F.array_sort(F.collect_list(F.struct("acc", "pos0")))
-    return kmer_rows(proteins, k, acc, seq).groupBy("kmer").agg(
+    return rows.groupBy("kmer").agg(
         hits.alias("hits"), F.count(F.lit(1)).alias("n_hits"), F.count_distinct("acc").alias("n_proteins")
     )
 
@@ -49,13 +68,16 @@ def kmer_counts(proteins: DataFrame, k: int = 8, acc: str = "acc", seq: str = "s
 def shared_kmer_pairs(peptides: DataFrame, k: int = 3, peptide: str = "peptide") -> DataFrame:
     """(a, b, jaccard) of distinct peptides a < b that share a k-mer.
 
-    All other pairs have similarity 0 and are not made: an equi join on k-mers replaces all pairs.
+    All other pairs have similarity 0 and are not made: an equi join on k-mers replaces all pairs. A
+    frequent k-mer's rows are dealt into parts on one side and sent to each part on the other.
     """
     sets = peptides.select(F.col(peptide).alias("p")).dropna().distinct().select("p", F.array_distinct(kmer_strings(F.col("p"), k)).alias("_k"))
     rows = sets.select("p", F.size("_k").alias("n"), F.explode("_k").alias("kmer"))
-    left = rows.select(F.col("p").alias("a"), F.col("n").alias("n_a"), "kmer")
-    right = rows.select(F.col("p").alias("b"), F.col("n").alias("n_b"), "kmer")
-    shared = left.join(right, "kmer").filter("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("_m"))
+    parts = rows.groupBy("kmer").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).filter("parts > 1")
+    rows = rows.join(parts, "kmer", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = rows.select(F.col("p").alias("a"), F.col("n").alias("n_a"), "kmer", F.pmod(F.xxhash64("p"), "parts").cast("int").alias("part"))
+    right = rows.select(F.col("p").alias("b"), F.col("n").alias("n_b"), "kmer", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    shared = left.join(right, ["kmer", "part"]).filter("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("_m"))
     return shared.select("a", "b", (F.col("_m") / (F.col("n_a") + F.col("n_b") - F.col("_m"))).alias("jaccard"))
 
 
@@ -82,15 +104,54 @@ def pfm(peptides: DataFrame, peptide: str = "peptide", letters: str = ALPHABET)
     return counts.select("pos", *[F.coalesce(F.try_divide(F.col(c), total), F.lit(0.0)).alias(c) for c in letters])
 
 
-def cluster_identical(sequences: DataFrame, id_col: str = "id", seq: str = "seq", order: str = "input_pos") -> DataFrame:
-    """(representative, members, n) of identical sequences; members in input order, the first represents."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), F.col(id_col).alias("_id")))), lambda s: s["_id"])
-    return sequences.groupBy(seq).agg(listed.alias("members")).select(
+def _same(seq: str) -> Column:
+    """A digest in the place of a sequence: long ones never move."""
+    return F.sha2(F.col(seq).cast("binary"), 256)
+
+
+def cluster_identical(sequences: DataFrame, id_col: str = "id", seq: str = "seq", order: str = "input_pos", most: int = MOST_LISTED) -> DataFrame:
+    """(representative, members, n) of identical sequences; members in input order, the first represents.
+
+    A cluster of more than `most` members is an error; `cluster_rows` has no bound.
+    """
+    digests = sequences.select(_same(seq).alias("digest"), F.col(id_col).alias("id"), F.col(order).alias("at"))
+    _check_lists(digests.select("digest"), most)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda s: s["id"])
+    return digests.groupBy("digest").agg(listed.alias("members")).select(
         F.get("members", 0).alias("representative"), "members", F.size("members").alias("n")
     )
 
 
 def cluster_rows(sequences: DataFrame, id_col: str = "id", seq: str = "seq", order: str = "input_pos") -> DataFrame:
     """A23 in long form, for clusters of any size: (representative, member); no list is gathered."""
-    first = sequences.groupBy(seq).agg(F.min_by(id_col, order).alias("representative"))
-    return sequences.join(first, seq).select("representative", F.col(id_col).alias("member"))
+    digests = sequences.select(_same(seq).alias("digest"), F.col(id_col).alias("member"), F.col(order).alias("at"))
+    first = digests.groupBy("digest").agg(F.min_by("member", "at").alias("representative"))
+    return digests.join(first, "digest").select("representative", "member")
+
+
+def mean_alignment(peptides: DataFrame, scores: Mapping[tuple[str, str], float] = BLOSUM62, peptide: str = "peptide", block: int = 256) -> DataFrame:
+    """(n_pairs, mean_score) of the alignment scores of all pairs of distinct peptides.
+
+    All pairs are the definition, so the work is quadratic in the distinct peptides; these are dealt into
+    blocks, a task holds two blocks at a time, and only sums leave it. Fewer than two peptides: no mean.
+    """
+    names = peptides.select(F.col(peptide).alias("p")).dropna().distinct()
+    n_blocks = max(1, -(-names.count() // block))
+    own = F.pmod(F.xxhash64("p"), F.lit(n_blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other")
+    dealt = names.select("p", own.alias("own"), every).select("p", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    score = alignment_of_pairs(scores)
+
+    def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        first = sorted(rows["p"][rows["own"] == key[0]])
+        second = sorted(rows["p"][rows["own"] == key[1]])
+        found, n = 0.0, 0
+        for k, a in enumerate(first):
+            others = first[k + 1 :] if key[0] == key[1] else second
+            if others:
+                found += float(score(pd.Series([a] * len(others)), pd.Series(others)).sum())
+                n += len(others)
+        return pd.DataFrame({"total": [found], "n": [n]})
+
+    sums = dealt.groupBy("i", "j").applyInPandas(total, "total double, n long")
+    return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean_score"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmer.functions.names import hla_letter
-from kinmer.operators.common import top_n_per_group, value_counts
+from kinmer.operators.common import top_k, top_n_per_group, value_counts
 from kinmer.schemas import BOUND, CLASSES
+from kinmer.shared import cut
 
 PAIR_KEY = ("pair_id",)
 
@@ -80,10 +81,11 @@ def with_flag(summary: DataFrame, threshold: float = 0.01) -> DataFrame:
 
 
 def protein_pair_summary(flagged: DataFrame, key: Sequence[str] = ("uniprot_viral", "uniprot_human")) -> DataFrame:
-    """Peptides, flagged peptides and their fraction for each pair of proteins."""
+    """Peptides, flagged peptides and their fraction for each pair of proteins; also the summed bias where rows have one."""
+    bias = [F.sum("bias_score").alias("bias")] if "bias_score" in flagged.columns else []
     return (
         flagged.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n_peptides"), F.count_if("human_flag").alias("n_flagged"))
+        .agg(F.count(F.lit(1)).alias("n_peptides"), F.count_if("human_flag").alias("n_flagged"), *bias)
         .withColumn("flagged_fraction", F.col("n_flagged") / F.col("n_peptides"))
     )
 
@@ -111,17 +113,24 @@ def allele_summary_pct(annotated: DataFrame, key: str = "allele_safe") -> DataFr
 
 
 def dominance(summary: DataFrame, q: float = 0.95, human: str = "Human_pct", viral: str = "Viral_pct") -> DataFrame:
-    """Category of each allele against the q quantiles of both percentages (at or above)."""
-    cut = summary.agg(F.percentile(human, q).alias("h"), F.percentile(viral, q).alias("v"))
-    high_h, high_v = F.col(human) >= cut.select("h").scalar(), F.col(viral) >= cut.select("v").scalar()
-    category = F.when(high_h & high_v, "Dual_high").when(high_h, "Human_high").when(high_v, "Viral_high").otherwise("Neutral")
+    """Category of each allele against the q quantiles of both percentages (at or above).
+
+    The summary, a row an allele, is written once; the two quantiles are read from that.
+    """
+    summary = cut(summary)
+    h, v = summary.agg(F.percentile(human, q), F.percentile(viral, q)).first()
+    high_h, high_v = F.col(human) >= F.lit(h), F.col(viral) >= F.lit(v)
+    category = F.when(high_h & high_v, "Dual_high").when(high_h, "Human_dominant").when(high_v, "Viral_dominant").otherwise("Neutral")
     return summary.withColumn("category", category)
 
 
 def volcano_points(categorised: DataFrame, colours: dict[str, str]) -> DataFrame:
-    """Colour of the category, log10(Total + 1), and a size of 40 to 100 by its share of the largest."""
+    """Colour of the category, log10(Total + 1), and a size of 40 to 100 by its share of the largest.
+
+    `categorised` comes from `dominance`, so reading its largest total is cheap.
+    """
     logs = categorised.withColumn("log_total", F.log10(F.col("Total") + 1))
-    largest = logs.agg(F.max("log_total")).scalar()
+    largest = F.lit(logs.agg(F.max("log_total")).first()[0])
     pairs = F.create_map(*[F.lit(x) for pair in colours.items() for x in pair])
     size = 40 + 60 * F.coalesce(F.try_divide(F.col("log_total"), largest), F.lit(0.0))
     return logs.withColumns({"colour": F.try_element_at(pairs, F.col("category")), "size": size})
@@ -143,7 +152,7 @@ def protein_dominance(annotated: DataFrame, protein: str = "uniprot_human", pept
 
 def hla_breakdown(annotated: DataFrame, protein: str = "uniprot_human", letters: str = "ABC", cls: str = "Human_dominant") -> DataFrame:
     """Distinct alleles of dominant rows by HLA type for each protein; alleles of no type drop."""
-    typed = annotated.filter(F.col("Binding_Class") == cls).withColumn("_t", hla_letter(F.col("allele"), letters, default=None, strict=True))
+    typed = annotated.filter(F.col("Binding_Class") == cls).select(protein, "allele", hla_letter(F.col("allele"), letters, default=None, strict=True).alias("_t"))
     counts = [F.count_distinct(F.when(F.col("_t") == t, F.col("allele"))).alias(f"HLA_{t}") for t in letters]
     return typed.filter("_t IS NOT NULL").groupBy(protein).agg(*counts, F.count_distinct("allele").alias("total"))
 
@@ -158,6 +167,16 @@ def alleles_histogram(per_peptide: DataFrame) -> DataFrame:
     return per_peptide.groupBy("n_alleles").agg(F.count(F.lit(1)).alias("n_peptides"))
 
 
+def alleles_described(per_peptide: DataFrame) -> DataFrame:
+    """Number of peptides, mean and largest number of alleles of one, one row."""
+    return per_peptide.agg(F.count(F.lit(1)).alias("n_peptides"), F.avg("n_alleles").alias("mean"), F.max("n_alleles").alias("most"))
+
+
+def top_peptides(per_peptide: DataFrame, k: int = 10, peptide: str = "peptide_human") -> DataFrame:
+    """The k peptides with most alleles, ties by name."""
+    return top_k(per_peptide, "n_alleles", k, peptide)
+
+
 def describe_pct(df: DataFrame, col: str = "dominant_pct", above: float = 50) -> DataFrame:
     """Mean, median and the count above a bound, one row."""
     return df.agg(F.avg(col).alias("mean"), F.median(col).alias("median"), F.count_if(F.col(col) > above).alias("n_above"))

@@ -11,8 +11,8 @@ from kinmer.functions import names
 from kinmer.operators import alleles, common, epitopes, inventory, ld, sequences
 from kinmer.plans import inputs
 from kinmer.plans.inputs import EPITOPES_SQL, LD_SQL, VARIANT_SQL, table, text
-from kinmer.shared import shared_folder
-from kinmer.streaming.ingest import batch_writer, run_available
+from kinmer.shared import cut, delete_folder, shared_folder
+from kinmer.streaming.ingest import read_results, run_generation
 
 QUERIES, ORACLES = {}, {}
 
@@ -86,6 +86,13 @@ def mean_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 
+@query(None)
+def mean_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean alignment score of all pairs of part names, in capitals."""
+    names = table(spark, sf_dir, "part").select(F.upper("p_name").alias("peptide"))
+    return sequences.mean_alignment(names)
+
+
 _PFM_SQL = ", ".join(f"coalesce(round(count_if(c = '{c}') / nullif(count_if(contains('ACDEFGHIKLMNPQRSTVWY', c)), 0), 6), 0) AS {c}" for c in sequences.ALPHABET)
 
 
@@ -375,7 +382,10 @@ def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as a file stream, micro-batches written and read back, then counted."""
     folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events*.parquet")
-    run_available(stream, batch_writer(lambda b: b.select("event_id", "event_type", "value"), f"{folder}/out"), f"{folder}/state")
-    read = spark.read.parquet(f"{folder}/out")
-    return read.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    # The pattern names the table alone, be it a file or a folder.
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events.parque[t]")
+    run_generation(spark, stream, lambda b: b.select("event_id", "event_type", "value"), f"{folder}/out", f"{folder}/state")
+    counts = read_results(spark, f"{folder}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    counts = cut(counts)
+    delete_folder(spark, folder)
+    return counts

@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Two species in the OBO rendering of the NCBI taxonomy.
+HUMAN = "http://purl.obolibrary.org/obo/NCBITaxon_9606"
+MOUSE = "http://purl.obolibrary.org/obo/NCBITaxon_10090"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -116,7 +120,7 @@ def assays(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(F.col("iri")).alias("parent_source_antigen_source_org_iris"),
         listed(F.concat(F.lit("org"), "iri")).alias("parent_source_antigen_source_org_names"),
         listed(F.col("l_returnflag")).alias("parent_source_antigen_names"),
-        F.array(F.when(F.col("l_orderkey") % 5 == 0, "NCBITaxon:10090").otherwise("NCBITaxon:9606")).alias("host_organism_iris"),
+        F.array(F.when(F.col("l_orderkey") % 5 == 0, MOUSE).otherwise(HUMAN)).alias("host_organism_iris"),
         listed(F.when(F.col("l_linestatus") == "O", allele_of())).alias("mhc_allele_names"),
         F.when(F.col("l_orderkey") % 3 == 0, "II").otherwise("I").alias("mhc_class"),
         F.when(F.col("l_orderkey") % 4 == 0, "Negative").otherwise("Positive").alias("qualitative_measure"),
@@ -174,8 +178,8 @@ VARIANT_SQL = "CAST(o_custkey % 22 + 1 AS VARCHAR) || ':' || CAST(o_orderkey AS
 def ld_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(triples, index, variants): parts bought together are linked, r the cosine of their orders.
 
-    An order has a few lines, so its pairs are few. The index lists parts of even size class; the
-    variants asked for are the parts of one brand and size up to 25, matched or not.
+    An order has a few lines, so its pairs are few. The index lists parts that some order of several
+    parts has; the variants asked for are all parts, matched or not.
     """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     orders_of = lines.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
@@ -185,8 +189,9 @@ def ld_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     triples = both.join(n_i, "i").join(n_j, "j").select("i", "j", (F.col("m") / F.sqrt(F.col("n_i") * F.col("n_j"))).alias("r"))
     part = table(spark, sf_dir, "part")
     named = part.withColumns({"chr": F.substring_index("p_brand", "#", -1), "pos": F.col("p_partkey"), "ref": F.lit("A"), "alt": F.lit("C")})
-    index = named.filter("p_size % 2 = 0").select("chr", "pos", "ref", "alt", F.col("p_partkey").alias("idx"))
-    asked = named.filter("p_brand = 'Brand#2' AND p_size <= 25").select(
+    together = triples.filter("i < j").select(F.explode(F.array("i", "j")).alias("p_partkey")).distinct()
+    index = named.join(together, "p_partkey", "left_semi").select("chr", "pos", "ref", "alt", F.col("p_partkey").alias("idx"))
+    asked = named.select(
         F.concat_ws(":", "chr", text("pos"), "ref", "alt").alias("variant"), F.col("p_partkey").alias("input_pos")
     )
     return triples, index, asked
@@ -195,11 +200,11 @@ def ld_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 LD_SQL = """
 WITH lines AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
 n AS (SELECT l_partkey, count(*) AS n FROM lines GROUP BY 1),
-matched AS (SELECT p_partkey AS idx FROM part WHERE p_brand = 'Brand#2' AND p_size <= 25 AND p_size % 2 = 0),
 pairs AS (
   SELECT a.l_partkey AS i, b.l_partkey AS j, count(*) AS m
-  FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
-  WHERE a.l_partkey IN (FROM matched) AND b.l_partkey IN (FROM matched) GROUP BY 1, 2
+  FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2
+), matched AS (
+  SELECT p_partkey AS idx FROM part WHERE p_partkey IN (SELECT i FROM pairs UNION SELECT j FROM pairs)
 ), stored AS (
   SELECT i, j, m / sqrt(x.n * y.n) AS r FROM pairs JOIN n x ON x.l_partkey = i JOIN n y ON y.l_partkey = j
 )

@@ -101,9 +101,8 @@ FROM (SELECT *, Human_dominant_fraction >= 0.01 AS human_flag, round(Human_domin
 def protein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P20, P21, A9."""
     summary = _rounded(summaries.pair_summary(_annotated(spark, sf_dir)), *_FRACTION_COLUMNS)
-    flagged = summaries.with_flag(summaries.with_bias(summary))
-    bias = flagged.groupBy("uniprot_viral", "uniprot_human").agg(F.round(F.sum(F.round("bias_score", 6)), 4).alias("bias"))
-    return _rounded(summaries.protein_pair_summary(flagged), "flagged_fraction").join(bias, ["uniprot_viral", "uniprot_human"])
+    flagged = _rounded(summaries.with_flag(summaries.with_bias(summary)), "bias_score")
+    return _rounded(summaries.protein_pair_summary(flagged), "flagged_fraction").withColumn("bias", F.round("bias", 4))
 
 
 _CLASS_TABLE_SQL = ", ".join(f"count_if(cls = '{c}') AS {c}, round(100 * count_if(cls = '{c}') / count(*), 6) AS {c}_pct" for c in CLASSES)
@@ -124,17 +123,17 @@ SELECT allele_safe, min(allele) AS allele, count(*) AS total, 100 * count_if(cls
 FROM ({ANNOTATED_SQL}) GROUP BY 1
 """
 _CATEGORY_SQL = f"""
-SELECT p.*, CASE WHEN human_pct >= h AND viral_pct >= v THEN 'Dual_high' WHEN human_pct >= h THEN 'Human_high'
-       WHEN viral_pct >= v THEN 'Viral_high' ELSE 'Neutral' END AS category
+SELECT p.*, CASE WHEN human_pct >= h AND viral_pct >= v THEN 'Dual_high' WHEN human_pct >= h THEN 'Human_dominant'
+       WHEN viral_pct >= v THEN 'Viral_dominant' ELSE 'Neutral' END AS category
 FROM ({_PCT_SQL}) p, (SELECT quantile_cont(human_pct, 0.95) AS h, quantile_cont(viral_pct, 0.95) AS v FROM ({_PCT_SQL}))
 """
-COLOURS = {"Dual_high": "purple", "Human_high": "red", "Viral_high": "blue", "Neutral": "grey"}
+COLOURS = {"Dual_high": "purple", "Human_dominant": "red", "Viral_dominant": "blue", "Neutral": "grey"}
 
 
 @query(f"""
 SELECT allele_safe, allele, total, round(human_pct, 6) AS human_pct, round(viral_pct, 6) AS viral_pct, equivalent, non_binder, category,
        round(log10(total + 1), 6) AS log_total,
-       CASE category WHEN 'Dual_high' THEN 'purple' WHEN 'Human_high' THEN 'red' WHEN 'Viral_high' THEN 'blue' ELSE 'grey' END AS colour,
+       CASE category WHEN 'Dual_high' THEN 'purple' WHEN 'Human_dominant' THEN 'red' WHEN 'Viral_dominant' THEN 'blue' ELSE 'grey' END AS colour,
        round(40 + 60 * log10(total + 1) / max(log10(total + 1)) OVER (), 6) AS size
 FROM ({_CATEGORY_SQL})""")
 def allele_volcano(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +194,18 @@ def alleles_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.alleles_histogram(summaries.alleles_per_peptide(_annotated(spark, sf_dir)))
 
 
+@query(f"SELECT count(*) AS n_peptides, round(avg(n_alleles), 6) AS mean, max(n_alleles) AS most FROM ({_PER_PEPTIDE_SQL})")
+def alleles_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many peptides, and the mean and the most alleles of one."""
+    return _rounded(summaries.alleles_described(summaries.alleles_per_peptide(_annotated(spark, sf_dir))), "mean")
+
+
+@query(f"{_PER_PEPTIDE_SQL} ORDER BY n_alleles DESC, peptide_human LIMIT 10")
+def top_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten peptides with most alleles."""
+    return summaries.top_peptides(summaries.alleles_per_peptide(_annotated(spark, sf_dir)))
+
+
 @query(f"""
 WITH best AS (SELECT uniprot_human FROM ({_PROTEIN_SQL}) ORDER BY dominant_peptides DESC NULLS LAST, uniprot_human LIMIT 1)
 SELECT peptide_human, allele, count(*) AS n FROM ({ANNOTATED_SQL})
@@ -302,19 +313,20 @@ WITH hits AS (
   SELECT hit, v, i, substr(sv, i, 9) AS pv, substr(sh, i, 9) AS ph
   FROM sides, LATERAL (SELECT CAST(unnest(range(1, least(len(sv), len(sh)) - 9 + 2)) AS INT) AS i)
 )
-SELECT CAST(v AS VARCHAR) || '_' || CAST(i AS VARCHAR) AS pair_id, hit, pv AS peptide_viral, ph AS peptide_human FROM pairs WHERE pv != ph""")
+SELECT CAST(v AS VARCHAR) || '_' || CAST(i AS VARCHAR) AS pair_id, hit, 'V' || CAST(v AS VARCHAR) AS uniprot_viral, pv AS peptide_viral, ph AS peptide_human FROM pairs WHERE pv != ph""")
 def kmer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positional 9-mer pairs of benchmark texts, one hit a customer."""
     found = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("hit"),
-        text(F.col("c_custkey") % 40).alias("qseqid"),
+        F.format_string("%d|V%d|1-60", F.col("c_custkey") % 40, F.col("c_custkey") % 40).alias("qseqid"),
         text("c_nationkey").alias("hu_prot_id"),
         (1 + F.col("c_custkey") % 9).cast("int").alias("sstart"),
         (25 + F.col("c_custkey") % 30).cast("int").alias("send"),
     )
-    texts = table(spark, sf_dir, "benchmark").select(text("item_id").alias("id"), text("item_id").alias("acc"), F.col("text").alias("seq"))
+    named = F.format_string("%d|V%d|1-60", F.col("item_id"), F.col("item_id"))
+    texts = table(spark, sf_dir, "benchmark").select(named.alias("id"), text("item_id").alias("acc"), F.col("text").alias("seq"))
     pairs = hits.positional_pairs(hits.attach_both(found, texts.drop("acc"), texts.drop("id")))
-    return hits.drop_identical(pairs).select("pair_id", "hit", "peptide_viral", "peptide_human")
+    return hits.drop_identical(pairs).select("pair_id", "hit", "uniprot_viral", "peptide_viral", "peptide_human")
 
 
 _LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
@@ -392,8 +404,26 @@ def case_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumnsRenamed({c: c.lower() for c in df.columns})
 
 
-@query(None)
+def _choose(n: str, k: str) -> str:
+    """ln of n over k in SQL."""
+    return f"lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1)"
+
+
+# The table's margins are the cohort's 30 and 30 and the number with a hit, w: x of these are cases.
+@query(f"""
+WITH counted AS (SELECT *, cases_with + controls_with AS w FROM ({_TABLE_SQL})),
+every AS (
+  SELECT pep_id, x, cases_with, exp({_choose('30', 'x')} + {_choose('30', 'w - x')} - ({_choose('60', 'w')})) AS p
+  FROM counted, LATERAL (SELECT unnest(range(greatest(0, w - 30), least(30, w) + 1)) AS x)
+), tested AS (
+  SELECT pep_id, round(least(1.0, sum(p)), 6) AS p_value FROM every JOIN (SELECT pep_id, p AS seen FROM every WHERE x = cases_with) USING (pep_id)
+  WHERE p <= seen * (1 + 1e-7) GROUP BY 1
+)
+SELECT pep_id, cases_with, cases_without, controls_with, controls_without, p_value, first_seen
+FROM counted LEFT JOIN tested USING (pep_id)
+LEFT JOIN (SELECT event_type AS pep_id, min(ts) AS first_seen FROM events GROUP BY 1) USING (pep_id)""")
 def fisher_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-values with the event type's first time as metadata."""
     events = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("pep_id")).agg(F.min("ts").alias("first_seen"))
-    return casecontrol.with_metadata(casecontrol.fisher_exact(_case_control(spark, sf_dir)), events)
+    tested = casecontrol.with_metadata(casecontrol.fisher_exact(_case_control(spark, sf_dir)), events)
+    return _rounded(tested.drop("Prop_cases", "Prop_controls"), "p_value")

@@ -12,19 +12,15 @@ def _struct(**columns: T.DataType) -> T.StructType:
 S, L, I, D = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
 STRINGS = T.ArrayType(S)
 
-PROTEINS = _struct(file=S, rec_no=L, id=S, acc=S, seq=S)
-PEPTIDE_METADATA = _struct(pep_id=L, UniProt_acc=S, start=I, end=I)
 HITS = _struct(
     qseqid=S, sseqid=S, pident=D, length=I, mismatch=I, gapopen=I, qlen=I, slen=I, qstart=I, qend=I, sstart=I, send=I,
     evalue=D, bitscore=D,
 )
-ASSAY = _struct(pep_id=S, id1=S, casestat=I, timeser=S, repnum=I, zscore=D, UniProt_acc=S, start=I, end=I, serotype=S)
 ID_MAPPING = _struct(Original_ID=S, Mapped_ID=S)
 WIDE = _struct(
     pair_id=S, Allele=S, uniprot_viral=S, uniprot_human=S, Peptide_viral=S, Peptide_human=S, source_file_human_human=S,
     BA_score_viral=D, BA_score_human=D, BA_Rank_viral=D, BA_Rank_human=D,
 )
-GWAS = _struct(chr=S, pos=L, ref=S, alt=S, neglog10_pval_EUR=D)
 GWAS_P = _struct(variant=S, pval=D)
 LD_INDEX = _struct(chr=S, pos=L, ref=S, alt=S, idx=L)
 LD_TRIPLES = _struct(pop=S, i=L, j=L, r=D)
@@ -34,11 +30,6 @@ TCELL = _struct(
     host_organism_iris=STRINGS, mhc_allele_names=STRINGS, mhc_class=S, qualitative_measure=S, assay_type=S,
     reference_iris=STRINGS, receptor_ids=T.ArrayType(L),
 )
-RECEPTOR = _struct(
-    receptor_id=L, receptor_type=S, receptor_species_names=S,
-    **{f"chain_{n}_{f}": S for n in (1, 2) for f in ("cdr3_sequence", "v_gene", "j_gene", "full_sequence", "cdr1_sequence", "cdr2_sequence")},
-    epitope_iris=STRINGS, epitope_descriptions=STRINGS,
-)
 
 CLASSES = ("Equivalent_binding", "Human_dominant", "Non_binder", "Viral_dominant")
 #: Classes in which a binding event took place; the others don't count as tested.

@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def list_folder(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, wherever it lies; none if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder of intermediate files, wherever it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

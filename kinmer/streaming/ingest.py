@@ -2,11 +2,14 @@
 
 The state "which files were processed" is the stream's checkpoint. Micro-batches are written to a
 folder of their own number, which a retried batch overwrites: results are exact after a failure.
+
+State and results lie in folders of a generation. A run with `force` begins the next generation, in
+which everything is read anew, and removes the older ones when it is through; where it breaks off, the
+next run, forced or not, has the same newest generation to go on with or to leave behind.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,30 +17,53 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from kinmer.functions.names import base_name
 from kinmer.operators.binding import annotate
 from kinmer.operators.predictions import drop_identical_peptides, guard_counts, pair_predictions, zip_with_headers
 from kinmer.schemas import WIDE
+from kinmer.shared import delete_folder, list_folder
 from kinmer.sources.readers import parse_predictions, whole_texts
 
 
-def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, force: bool = False) -> StreamingQuery:
-    """Process all files there are in micro-batches, then stop; `force` starts from a new checkpoint."""
-    place = f"{checkpoint}-{uuid.uuid4().hex}" if force else checkpoint
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", place).trigger(availableNow=True).start()
+def _generations(spark: SparkSession, folder: str) -> list[int]:
+    return sorted(int(n.split("=")[1]) for n in list_folder(spark, folder) if n.startswith("generation="))
+
+
+def read_results(spark: SparkSession, dst: str) -> DataFrame:
+    """All results of the newest generation in `dst`."""
+    newest = _generations(spark, dst)
+    if not newest:
+        raise ValueError(f"no results in {dst}")
+    return spark.read.parquet(f"{dst}/generation={newest[-1]}").drop("batch")
+
+
+def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Process all files there are in micro-batches, then stop."""
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def batch_writer(transform: Callable[[DataFrame], DataFrame], dst: str, force: bool = False) -> Callable[[DataFrame, int], None]:
-    """Writes `transform(batch)` as Parquet under batch=<number>; with `force` the first batch replaces all."""
+def run_generation(
+    spark: SparkSession, stream: DataFrame, transform: Callable[[DataFrame], DataFrame], dst: str, checkpoint: str, force: bool = False,
+    after: Callable[[DataFrame, int, str, str], None] | None = None,
+) -> StreamingQuery:
+    """`transform` each micro-batch into dst/generation=<g>/batch=<n>; `after` is called with each batch, its number and both folders."""
+    known = _generations(spark, checkpoint)
+    generation = (known[-1] if known else 0) + (1 if force and known else 0)
+    state, out = f"{checkpoint}/generation={generation}", f"{dst}/generation={generation}"
 
     def write(batch: DataFrame, number: int) -> None:
-        if force and number == 0:
-            transform(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy("batch").parquet(dst)
-        else:
-            transform(batch).write.mode("overwrite").parquet(f"{dst}/batch={number}")
-
-    return write
+        transform(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if after is not None:
+            after(batch, number, out, state)
+
+    query = run_available(stream, write, f"{state}/stream")
+    for folder in (dst, checkpoint):
+        for old in _generations(spark, folder):
+            if old < generation:
+                delete_folder(spark, f"{folder}/generation={old}")
+    return query
 
 
 def pair_files(files: DataFrame, headers: DataFrame) -> DataFrame:
@@ -47,19 +73,50 @@ def pair_files(files: DataFrame, headers: DataFrame) -> DataFrame:
     return drop_identical_peptides(pair_predictions(zipped))
 
 
-def aggregate_stream(spark: SparkSession, src: str, headers: DataFrame, dst: str, checkpoint: str, files_per_batch: int = 100, force: bool = False) -> StreamingQuery:
-    """Prediction files that arrived in `src` since the last run, paired into `dst`.
+def _note_empty(batch: DataFrame, number: int, out: str, state: str) -> None:
+    """Remember the files of a batch that gave no rows."""
+    done = batch.sparkSession.read.parquet(f"{out}/batch={number}").select(F.col("source_file").alias("file")).distinct()
+    batch.select("path", "file").join(done, "file", "left_anti").write.mode("overwrite").parquet(f"{state}/empty/batch={number}")
+
+
+def retry_empty(spark: SparkSession, headers: DataFrame, dst: str, checkpoint: str) -> int:
+    """Read the files again that gave no rows so far, because their counts didn't match; how many there are.
+
+    Their results are batches of negative numbers. Only names come to the driver, which lists files anyway.
+    """
+    known = _generations(spark, checkpoint)
+    if not known:
+        return 0
+    state, out = f"{checkpoint}/generation={known[-1]}", f"{dst}/generation={known[-1]}"
+    if not list_folder(spark, f"{state}/empty"):
+        return 0
+    done = spark.read.parquet(out).select(F.col("source_file").alias("file")).distinct()
+    left = spark.read.parquet(f"{state}/empty").select("path", "file").distinct().join(done, "file", "left_anti")
+    paths = [r.path for r in left.select("path").collect()]
+    if paths:
+        number = -1 - sum(n.startswith("batch=-") for n in list_folder(spark, out))
+        pair_files(whole_texts(spark.read.text(paths, wholetext=True)), headers).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    return len(paths)
+
+
+def aggregate_stream(
+    spark: SparkSession, src: str, headers: DataFrame, dst: str, checkpoint: str, files_per_batch: int = 100, force: bool = False
+) -> StreamingQuery:
+    """Prediction files that arrived in `src` since the last run, paired into `dst`; see `read_results`.
 
     Files are read whole, so a file's rows are never in two batches. A file whose count doesn't match
-    its headers yields nothing; it is taken up again by a run with `force`.
+    its headers yields nothing; each later run reads it again until it does.
     """
+    if not force:
+        retry_empty(spark, headers, dst, checkpoint)
     stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(src, wholetext=True)
-    return run_available(whole_texts(stream), batch_writer(lambda b: pair_files(b, headers), dst, force), checkpoint, force)
+    files = stream.select(F.col("_metadata.file_path").alias("path"), F.col("value")).withColumn("file", base_name(F.col("path")))
+    return run_generation(spark, files, lambda b: pair_files(b.select("file", "value"), headers), dst, checkpoint, force, _note_empty)
 
 
 def annotate_stream(
     spark: SparkSession, src: str, dst: str, checkpoint: str, schema: StructType = WIDE, files_per_batch: int = 50, force: bool = False
 ) -> StreamingQuery:
-    """Wide TSV files that arrived in `src` since the last run, annotated into `dst`."""
+    """Wide TSV files that arrived in `src` since the last run, annotated into `dst`; see `read_results`."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).csv(src, sep="\t", header=True)
-    return run_available(stream, batch_writer(annotate, dst, force), checkpoint, force)
+    return run_generation(spark, stream, annotate, dst, checkpoint, force)

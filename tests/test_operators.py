@@ -215,6 +215,73 @@ def test_chunks_and_orders(spark):
     assert all(r.k == r.row_no for r in numbered.collect())
 
 
+def test_row_numbers_of_many_uneven_rows(spark, tmp_path):
+    """Over a million rows of uneven width, written and read back: each number once, in order."""
+    df = spark.range(1_500_000).select((F.col("id") * 7919 % 1_500_007).alias("k"), F.expr("repeat('x', cast(pow(id % 50, 2) AS int) % 200)").alias("pad"), F.lit(0).alias("at"), F.lit(0).alias("part"))
+    common.number_rows(df, ["k"]).write.parquet(str(tmp_path / "rows"))
+    read = spark.read.parquet(str(tmp_path / "rows"))
+    assert tuple(read.agg(F.count(F.lit(1)), F.count_distinct("row_no"), F.min("row_no"), F.max("row_no")).first()) == (1_500_000, 1_500_000, 0, 1_499_999)
+    after = read.select((F.col("row_no") + 1).alias("row_no"), F.col("k").alias("before"))
+    assert read.join(after, "row_no").filter("k <= before").count() == 0 and read.columns == ["k", "pad", "at", "part", "row_no"]
+
+
+def test_frequent_kmers_and_long_lists(spark, monkeypatch):
+    names = [f"AAA{a}{b}" for a in "CDEFG" for b in "HIKLM"] + ["CCCC", "AA"]
+    df = spark.createDataFrame([(n,) for n in names], "peptide string")
+    want = rows(sequences.shared_kmer_pairs(df), "a", "b", "jaccard")
+    monkeypatch.setattr(sequences, "PART", 4)
+    assert len(want) == 25 * 24 // 2 + 0 and rows(sequences.shared_kmer_pairs(df), "a", "b", "jaccard") == want
+    same = spark.createDataFrame([(k, "S") for k in range(5)], "id int, seq string").withColumn("input_pos", F.col("id"))
+    assert sequences.cluster_identical(same, most=5).count() == 1
+    with pytest.raises(ValueError):
+        sequences.cluster_identical(same, most=4)
+    with pytest.raises(ValueError):
+        sequences.kmer_index(same.select(F.col("id").alias("acc"), F.lit("ACDE").alias("seq")), 4, most=4)
+
+
+def test_mean_alignment(spark):
+    score = fs.BLOSUM62
+    assert len(score) == 400 and all(score[a, b] == score[b, a] for a, b in score) and (score["W", "W"], score["A", "A"], score["D", "E"], score["C", "W"]) == (11, 4, 2, -2)
+
+    def best(a, b):
+        table = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + score[x, y])
+        return table[-1][-1] / max(len(a), len(b))
+
+    names = ["ACDEFGHIK", "ACDEFGHIL", "WWWWW", "MKTAYIAKQR", "VVVV", "ACD", "PQRSTVWYA"]
+    df = spark.createDataFrame([(n,) for n in [*names, names[0], None]], "peptide string")
+    pairs = [best(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
+    for block in (2, 100):
+        assert tuple(sequences.mean_alignment(df, block=block).first()) == (len(pairs), pytest.approx(sum(pairs) / len(pairs)))
+    assert tuple(sequences.mean_alignment(df.limit(0)).first()) == (0, None)
+    both = spark.createDataFrame([("ACD", "ACE"), (None, "A"), ("", "")], "a string, b string")
+    assert [r.s for r in both.select(fs.alignment_score()(F.col("a"), F.col("b")).alias("s")).collect()] == [pytest.approx(best("ACD", "ACE")), None, 0.0]
+
+
+def test_hosts_sources_and_labels(spark):
+    """Records of assays name the human species by its OBO address."""
+    human, other = "http://purl.obolibrary.org/obo/NCBITaxon_9606", "http://purl.obolibrary.org/obo/NCBITaxon_11103"
+    df = spark.createDataFrame(
+        [(1, "I", "Positive", "Linear peptide", [human], [other]), (2, "I", "Positive", "Linear peptide", [other], [other]), (3, "I", "Positive", "Linear peptide", [human], [human])],
+        "structure_id long, mhc_class string, qualitative_measure string, structure_type string, host_organism_iris array<string>, parent_source_antigen_source_org_iris array<string>",
+    )
+    kept = epitopes.filter_assays(df, "I")
+    assert rows(kept, "structure_id") == [(1,), (3,)] and rows(epitopes.foreign_source(kept), "structure_id") == [(1,)]
+    points = spark.createDataFrame([(f"a{k}", float(h), float(v)) for k, (h, v) in enumerate([(9, 9), (9, 0), (0, 9), *[(1, 1)] * 17])], "allele string, Human_pct double, Viral_pct double")
+    got = {r.allele: r.category for r in summaries.dominance(points).collect()}
+    assert [got[f"a{k}"] for k in range(4)] == ["Dual_high", "Human_dominant", "Viral_dominant", "Neutral"]
+
+
+def test_pairs_of_named_peptides(spark):
+    found = spark.createDataFrame([("7|P1|1-9", "sp|Q1|N", 1, 4), ("8|P2|1-9", "Q2", 1, 4), ("9|P3|1-9", "Q9", 1, 4)], "qseqid string, sseqid string, sstart int, send int")
+    peptides = spark.createDataFrame([("7|P1|1-9", "ACDE"), ("8|P2|1-9", "ACDF")], "id string, seq string")
+    proteins = spark.createDataFrame([("Q1", "ACDG"), ("Q2", "ACDH")], "acc string, seq string")
+    pairs = hits.positional_pairs(hits.attach_both(found, peptides, proteins), 4)
+    assert rows(pairs, "pair_id", "pep", "uniprot_viral", "hu_prot_id", "peptide_human") == [("7_1", "7", "P1", "Q1", "ACDG"), ("8_1", "8", "P2", "Q2", "ACDH")]
+
+
 def test_quantile_and_histogram(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "x double")
     assert common.quantile(df, "x", 0.95).first()[0] == pytest.approx(8.95)

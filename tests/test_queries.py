@@ -7,11 +7,11 @@ import os
 import pytest
 from oracle import connect, same
 
-from kinmer.plans import general, mimicry
+from kinmer.plans import files, general, mimicry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = {**mimicry.QUERIES, **general.QUERIES}
-ORACLES = {**mimicry.ORACLES, **general.ORACLES}
+QUERIES = {**mimicry.QUERIES, **general.QUERIES, **files.QUERIES}
+ORACLES = {**mimicry.ORACLES, **general.ORACLES, **files.ORACLES}
 
 
 @pytest.fixture(scope="module")

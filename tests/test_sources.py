@@ -39,22 +39,27 @@ def test_predictions_and_stream(spark, tmp_path):
     assert {(r.Allele, r.row_no, r.Peptide, r.BA_score) for r in read.collect()} >= {("HLA-A01:01", 1, "ACE", None), ("Unknown", 0, "ACD", 0.5)}
     for _ in range(2):  # the second run finds no new file
         ingest.aggregate_stream(spark, str(xls), headers, out, str(tmp_path / "state"))
-    got = spark.read.parquet(out).collect()
+    got = ingest.read_results(spark, out).collect()
     assert [(r.pair_id, r.Allele, r.Peptide_viral, r.Peptide_human, r.uniprot_human) for r in got] == [("7_1", "HLA-A01:01", "ACD", "ACE", "Q1")]
+    state = str(tmp_path / "state")
     (xls / "late_matched_pairs_chunk_1.xls").write_text("\n".join(["HLA-C", *lines[1:]]))
-    ingest.aggregate_stream(spark, str(xls), headers, out, str(tmp_path / "state"))
-    assert spark.read.parquet(out).count() == 2
-    ingest.aggregate_stream(spark, str(xls), headers, out, str(tmp_path / "state"), force=True)
-    assert spark.read.parquet(out).count() == 2
+    for force, n in ((False, 2), (True, 2), (False, 2)):
+        ingest.aggregate_stream(spark, str(xls), headers, out, state, force=force)
+        assert ingest.read_results(spark, out).count() == spark.read.parquet(out).count() == n
+    (xls / "HLA-B_matched_pairs_chunk_1.xls").write_text("\n".join(["HLA-B", *lines[1:]]))  # gave no rows before
+    (xls / "new_matched_pairs_chunk_1.xls").write_text("\n".join(["HLA-D", *lines[1:]]))
+    for force in (False, False, True, False):
+        ingest.aggregate_stream(spark, str(xls), headers, out, state, force=force)
+        assert sorted(r.Allele for r in ingest.read_results(spark, out).collect()) == ["HLA-A01:01", "HLA-B", "HLA-C", "HLA-D"]
 
 
 def test_annotated_stream_and_partitions(spark, tmp_path):
     wide = spark.createDataFrame([("1_1", "HLA-A*01:01", "V", "H", "p", "q", "x_chunk_4.xls", 0.9, 0.1, 1.0, 1.0)], WIDE)
     writers.write_tsv_parts(wide, str(tmp_path / "in"))
     ingest.annotate_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
-    df = spark.read.parquet(str(tmp_path / "out"))
+    df = ingest.read_results(spark, str(tmp_path / "out"))
     assert df.first().Binding_Class == "Human_dominant"
-    writers.write_annotated(df.drop("batch"), str(tmp_path / "by_allele"))
+    writers.write_annotated(df, str(tmp_path / "by_allele"))
     kept = readers.read_annotated(spark, str(tmp_path / "by_allele")).filter("allele_safe = 'HLA-A_01:01'")
     assert kept.count() == 1
 
@@ -85,6 +90,21 @@ def test_bgz(spark, tmp_path):
     assert [tuple(r) for r in got] == [("1:1:A:C", 0.5), ("1:2:A:C", None), ("2:3:A:C", 0.01)]
 
 
+def test_bgz_splits(spark, tmp_path):
+    """Blocks that begin anywhere in lines, ranges shorter and longer than a block, one line longer than both."""
+    lines = [f"{k % 22}:{k}:A:C\t{k / 7}" for k in range(60_000)]
+    lines[30_000] = "x" * 200_000 + "\t0.25"
+    rows = [("g.tsv.bgz", -1, "variant\tpval"), *(("g.tsv.bgz", k, line) for k, line in enumerate(lines))]
+    assert writers.write_named_files(spark.createDataFrame(rows, "file string, at long, value string"), str(tmp_path / "b")) == len(rows)
+    assert gzip.decompress((tmp_path / "b" / "g.tsv.bgz").read_bytes()).decode().split("\n")[:-1] == [v for _, _, v in rows]
+    want = sorted((v.split("\t")[0], float(v.split("\t")[1])) for v in lines)
+    for split in (3_000, 70_000, 1 << 20):
+        got = readers.read_bgz_tsv(spark, str(tmp_path / "b"), GWAS_P, split)
+        assert sorted(map(tuple, got.collect())) == want
+    with pytest.raises(ValueError):
+        writers.write_named_files(spark.createDataFrame(rows[:2], "file string, at long, value string"), str(tmp_path / "b"))
+
+
 def test_json_pages(spark, tmp_path):
     (tmp_path / "p1.json").write_text('[{"structure_id": 1, "receptor_ids": [1, 2]}, {"structure_id": 2}]')
     df = readers.read_json_pages(spark, str(tmp_path), TCELL)
@@ -94,10 +114,12 @@ def test_json_pages(spark, tmp_path):
 def test_fasta_chunks(spark, tmp_path):
     pairs = spark.createDataFrame([(k, 1, "P", "Q", "ACD", "ACE") for k in range(7)], "pep int, i int, uniprot_viral string, uniprot_human string, peptide_viral string, peptide_human string")
     writers.write_fasta_chunks(pairs, str(tmp_path / "out"), ["pep"], n=4, per_dir=2)
-    files = sorted(p for p in (tmp_path / "out").rglob("*.txt"))
+    files = [tmp_path / "out" / f"chunk_{d}" / f"matched_pairs_chunk_{c}.fasta" for d, c in ((1, 1), (1, 2), (2, 3), (2, 4))]
     assert [p.read_text().count(">") for p in files] == [4, 4, 4, 2]
-    assert {p.parent.parent.name for p in files} == {"dir=0", "dir=1"}
     assert files[0].read_text().startswith(">VIRAL_0_1_P\nACD\n>HUMAN_0_1_Q\nACE\n")
+    headers = readers.read_pair_headers(spark, str(tmp_path / "out" / "*" / "*.fasta")).collect()
+    assert sorted((r.chunk, r.row_no, r.type, r.pair_id) for r in headers)[:3] == [(1, 0, "VIRAL", "0_1"), (1, 1, "HUMAN", "0_1"), (1, 2, "VIRAL", "1_1")]
+    assert {r.chunk for r in headers} == {1, 2, 3, 4} and len(headers) == 14
     with pytest.raises(ValueError):
         writers.write_fasta_chunks(pairs, str(tmp_path / "odd"), ["pep"], n=3)
 
