@@ -242,6 +242,70 @@ def test_quality(spark, odd, empty):
     assert all(r.score > 0.9999 for r in quality.score_quality(odd, quality.fit_quality(odd, none)).collect())
 
 
+def plain_statistics(text):
+    """The features one by one, as their names say."""
+    body = (text or "").encode()
+    if not body:
+        return [0.0] * len(quality.FEATURES)
+    words, letters = body.split(), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    n, share = max(1, len(words)), lambda keep: sum(keep(chr(b)) for b in body) / len(body)
+    lines = [x for x in body.split(b"\n") if x.strip()]
+    times = Counter(words)
+    return [
+        math.log(1 + len(body)), math.log(1 + len(words)),
+        share(lambda c: "A" <= c <= "Z"), share(lambda c: "0" <= c <= "9"), share(lambda c: c in " \t\n\v\f\r"), share(lambda c: c == "\n"),
+        share(lambda c: c >= "\x80"), share(lambda c: "!" <= c <= "~" and c not in letters), share(lambda c: c in ".,;:?'\"-()"),
+        share(lambda c: c in "#$%&*@^~_=+"), share(lambda c: c in "|<>{}[]\\/`"), share(lambda c: c == "!"),
+        -sum(k / len(body) * math.log2(k / len(body)) for k in Counter(body).values()),
+        sum(map(len, words)) / n, len(set(words)) / n, sum(len(w) < 4 for w in words) / n,
+        sum(w[-1] < 128 and chr(w[-1]) not in letters for w in words) / n, sum(len(w) == 1 and chr(w[0]) not in letters for w in words) / n,
+        sum(w.isupper() for w in words) / n, sum(words[k] == words[k - 1] for k in range(1, len(words))) / n,
+        max(times.values(), default=0) / n, 1 - len(set(lines)) / max(1, len(lines)), math.log(1 + n / max(1, len(lines))),
+        math.log(1 + max(map(len, words), default=0)),
+    ]
+
+
+def test_statistics(corpus):
+    rng = random.Random(22)
+    texts = [t for _, t in ODD] + [t for _, t in corpus[:120]] + ["".join(rng.choices("aB3 \n\t.!#|é漢", k=rng.randrange(60))) for _ in range(300)]
+    for t in texts:
+        assert quality.statistics(t) == pytest.approx(plain_statistics(t), abs=1e-9), t
+
+
+def test_boosted_trees_against_brute_force():
+    """Every split is the best of all thresholds, every leaf the sum of gradients over that of hessians, tree after tree."""
+    rng = np.random.default_rng(23)
+    x = rng.integers(0, 12, (240, 4)).astype(float)
+    y = ((x[:, 0] > 6) ^ (x[:, 2] > 3) | (rng.random(240) < 0.1)).astype(float)
+    forest = quality.fit(x, y, trees=5, depth=2, least=20)
+    margin = np.full(240, math.log(y.mean() / (1 - y.mean())))
+    for t in range(5):
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess = y - p, p * (1 - p)
+        score = lambda rows: grad[rows].sum() ** 2 / (hess[rows].sum() + 1)
+        leaves = {0: np.arange(240)}
+        for k in range(3):
+            rows = leaves.pop(k)
+            gains = []
+            for f in range(4):
+                for cut in np.unique(x[:, f])[:-1]:
+                    low, high = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                    if min(len(low), len(high)) >= 20:
+                        gains.append(score(low) + score(high) - score(rows))
+            f, cut = forest.feature[t, k], forest.at_most[t, k]
+            low, high = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+            if gains and max(gains) > 1e-9:
+                assert score(low) + score(high) - score(rows) == pytest.approx(max(gains))
+            else:
+                assert len(high) == 0
+            leaves[2 * k + 1], leaves[2 * k + 2] = low, high
+        for k, rows in leaves.items():
+            value = 0.1 * grad[rows].sum() / (hess[rows].sum() + 1)
+            assert forest.value[t, k] == pytest.approx(value)
+            margin[rows] += value
+    assert forest.score(x) == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
 def test_flat_trees_match_a_walk():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 3))
