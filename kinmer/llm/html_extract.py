@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,6 +128,7 @@ def blocks_of(page: str) -> list[Block]:
     """The page's non-empty text blocks in order, white space collapsed and references decoded."""
     found: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # followed elements: name, in article, in content, in furniture
+    open_: Counter[str] = Counter()  # how many of each name the stack holds
     parts: list[str] = []
     linked: list[str] = []
     in_link = heading = own = unclosed = False
@@ -149,7 +151,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if unclosed:
             tag = (m["end"] or m["start"] or m["odd"] or "").lower()
-            if tag not in BLOCK and not (m["end"] and tag in FOLLOWED and any(e[0] == tag for e in stack)):
+            if tag not in BLOCK and not (m["end"] and open_[tag]):
                 continue
             unclosed = False
         if kind == "text":
@@ -176,9 +178,11 @@ def blocks_of(page: str) -> list[Block]:
         if m["end"]:
             if tag == "a":
                 in_link = False
-            if tag in FOLLOWED and any(e[0] == tag for e in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            while open_[tag]:
+                closed = stack.pop()[0]
+                open_[closed] -= 1
+                if closed == tag:
+                    break
             continue
         attrs = m["attrs"] or ""
         if tag == "a":
@@ -190,7 +194,8 @@ def blocks_of(page: str) -> list[Block]:
             furniture, comments, named = _is_furniture(tag, attrs, article)
             if tag in ("article", "main") and not comments:
                 # A page's article inside a wrapper named after its side bar is no side bar.
-                article, outer = True, outer and any(e[0] in FURNITURE for e in stack)
+                article, outer = True, outer and any(open_[name] for name in FURNITURE)
+            open_[tag] += 1
             stack.append((tag, article, content or named, outer or furniture))
         elif tag in BLOCK:
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
