@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmer.functions.names import allele_group
-from kinmer.operators.common import number_chunks
+from kinmer.operators.common import number_chunks, unused
 
 
 def with_names(members: DataFrame, names: DataFrame, key: str = "member") -> DataFrame:
@@ -23,8 +23,9 @@ def attach_pseudoseq(alleles: DataFrame, pseudo: DataFrame, key: str = "id") ->
 def allele_chunks(alleles: DataFrame, size: int = 30, name: str = "name") -> DataFrame:
     """Group and zero-padded chunk index of each allele, in order of name; empty groups have none."""
     grouped = alleles.withColumn("allele_group", allele_group(F.col(name)))
-    numbered = number_chunks(grouped, size, ["allele_group"], [name], "_c")
-    return numbered.withColumn("chunk_name", F.lpad(F.col("_c").cast("string"), 3, "0")).drop("_c")
+    chunk = unused(grouped, "chunk")
+    numbered = number_chunks(grouped, size, ["allele_group"], [name], chunk)
+    return numbered.withColumn("chunk_name", F.lpad(F.col(chunk).cast("string"), 3, "0")).drop(chunk)
 
 
 def mapping_table(named: DataFrame, names: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from kinmer.operators.common import unused
+
 
 def confirm_hits(assay: DataFrame, z: float = 3.5, replicates: int = 2, timeser: str | None = None) -> DataFrame:
     """Rows with `hit` (z-score above z) and `hit_both` (as many hits over person and peptide as replicates).
@@ -78,8 +80,9 @@ def fisher_exact(counts: DataFrame, mode: str = "2x2") -> DataFrame:
     proportions rounded to 0 or 1, as in tests over a nested table whose matrix has it.
     """
     side = ["cases_with", "cases_without", "controls_with", "controls_without"]
-    rounded = [F.bround("Prop_controls").cast("int").alias("_pc"), F.bround("Prop_cases").cast("int").alias("_pk")]
-    key = side if mode == "2x2" else [*side, "_pc", "_pk"]
+    pc, pk = unused(counts, "rounded_controls"), unused(counts, "rounded_cases")
+    rounded = [F.bround("Prop_controls").cast("int").alias(pc), F.bround("Prop_cases").cast("int").alias(pk)]
+    key = side if mode == "2x2" else [*side, pc, pk]
     rows = counts if mode == "2x2" else counts.select("*", *rounded)
 
     def test(batches):
@@ -92,7 +95,7 @@ def fisher_exact(counts: DataFrame, mode: str = "2x2") -> DataFrame:
 
     distinct = rows.select(*key).dropna().distinct()
     tested = distinct.mapInPandas(test, ", ".join(f"{c} int" for c in key) + ", p_value double")
-    return rows.join(tested, key, "left").drop("_pc", "_pk")
+    return rows.join(tested, key, "left").drop(pc, pk)
 
 
 def with_metadata(results: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -344,6 +344,12 @@ def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.round(F.col("quantile")[0], 4).alias("q95"), F.round(F.col("quantile")[1], 4).alias("q50"))
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25")
+def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head of a sorted table."""
+    return common.head(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey"), 25)
+
+
 @query("SELECT p_type, count(*) AS n FROM part GROUP BY 1")
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10, F1."""

@@ -274,6 +274,18 @@ def test_hosts_sources_and_labels(spark):
     assert [got[f"a{k}"] for k in range(4)] == ["Dual_high", "Human_dominant", "Viral_dominant", "Neutral"]
 
 
+def test_own_columns_of_any_name_stay(spark):
+    """Columns named like helpers, in other case too, come through unchanged."""
+    df = spark.createDataFrame([("HLA-A1", 2, 1), ("HLA-A2", 1, 2)], "name string, Chunk int, v int").withColumns({c: F.lit("own") for c in ("row", "rank", "at", "part", "first")})
+    for got in (
+        alleles.allele_chunks(df), common.top_n_per_group(df, ["name"], ["v"], 1), common.first_per_group(df, ["name"], "v"),
+        common.number_rows(df, ["v"]), common.number_global_chunks(df, 1, ["v"], "n"), hits.drop_retired(df.withColumn("retired", F.lit("own")), df.select(F.lit("none").alias("x")), "name"),
+    ):
+        assert set(df.columns) <= set(got.columns) and rows(got, "name", "v", "row", "rank", "at", "part", "first") == [(f"HLA-A{k}", k, *["own"] * 5) for k in (1, 2)]
+    table = spark.createDataFrame([(0.5, 0.25, 15, 15, 8, 22, "own")], "Prop_cases double, Prop_controls double, cases_with int, cases_without int, controls_with int, controls_without int, rounded_cases string")
+    assert casecontrol.fisher_exact(table, "compat").first().rounded_cases == "own"
+
+
 def test_pairs_of_named_peptides(spark):
     found = spark.createDataFrame([("7|P1|1-9", "sp|Q1|N", 1, 4), ("8|P2|1-9", "Q2", 1, 4), ("9|P3|1-9", "Q9", 1, 4)], "qseqid string, sseqid string, sstart int, send int")
     peptides = spark.createDataFrame([("7|P1|1-9", "ACDE"), ("8|P2|1-9", "ACDF")], "id string, seq string")
