@@ -50,6 +50,18 @@ def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(summaries.pair_summary(_annotated(spark, sf_dir)), *_FRACTION_COLUMNS)
 
 
+@query(f"SELECT pair_id, cls AS binding_class, count(DISTINCT allele) AS n_alleles FROM ({ANNOTATED_SQL}) GROUP BY 1, 2")
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct alleles of each pair and class."""
+    return summaries.class_counts(_annotated(spark, sf_dir)).withColumnRenamed("Binding_Class", "binding_class")
+
+
+@query(f"SELECT pair_id, {_COUNTS} FROM ({ANNOTATED_SQL}) GROUP BY 1")
+def pivoted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: the same with a column for each class."""
+    return summaries.pivot_classes(summaries.class_counts(_annotated(spark, sf_dir)))
+
+
 @query(f"""
 SELECT pair_id, uniprot_viral, uniprot_human, peptide_viral, peptide_human, 'human' AS prot2_origin, allele,
        round(score_viral, 6) AS ba_score_viral, round(score_human, 6) AS ba_score_human, round(diff, 6) AS ba_score_diff,
