@@ -162,12 +162,13 @@ def links_of_groups(bounds: np.ndarray, ids: np.ndarray, marks: np.ndarray, radi
     return np.concatenate(a), np.concatenate(b)
 
 
-def fingerprint_links(keyed: DataFrame, radius: int, words: int = 1) -> DataFrame:
+def fingerprint_links(keyed: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) between fingerprints of one key that differ in at most `radius` bits.
 
-    `keyed` is (rep_id, fp, group) with a row for each key. The ends of every such link are connected by
-    the rows returned; in groups of more than a few members links that follow from others are left
-    out. One task holds one key's distinct fingerprints with their ids.
+    `keyed` is (group, rep_id, w0, w1, ...), a row for each key with the words of the fingerprint as columns,
+    which take half the room of an array. The ends of every such link are connected by the rows
+    returned; in groups of more than a few members links that follow from others are left out. One
+    task holds one key's distinct fingerprints with their ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +186,7 @@ def fingerprint_links(keyed: DataFrame, radius: int, words: int = 1) -> DataFram
             if not batch.num_rows:
                 continue
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
-            cols.append(batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, words))
+            cols.append(np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[2:]], axis=1))
             same = cols[0] == cols[0][-1]
             tail = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
             if tail or (held and held[-1][0][-1] != cols[0][0]):
@@ -196,7 +197,7 @@ def fingerprint_links(keyed: DataFrame, radius: int, words: int = 1) -> DataFram
             yield from close(held)
 
     dealt = keyed.repartition("group").sortWithinPartitions("group")
-    return dealt.select("group", "rep_id", "fp").mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def hot_keys(keyed: DataFrame, hot: int = BLOCK, share: int = 16) -> DataFrame:
@@ -230,12 +231,12 @@ def simhash_components(
     reps = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("rep_id")))
     known = reps.filter("rep_id IS NOT NULL")
     keys = choice_keys(F.col("fp"), block_count(known.count(), radius), radius)
-    keyed = known.select("rep_id", "fp", F.explode(keys).alias("key")).select("rep_id", "fp", F.xxhash64("key.which", "key.bits").alias("group"))
+    keyed = known.select("rep_id", F.get("fp", 0).alias("w0"), F.explode(keys).alias("key")).select(F.xxhash64("key.which", "key.bits").alias("group"), "rep_id", "w0")
     busy = cut(hot_keys(keyed.select("rep_id", "group"), hot))
     n_busy = busy.count()
     links = fingerprint_links(keyed.join(_sized(busy, n_busy), "group", "left_anti") if n_busy else keyed, radius)
     if n_busy:
-        rows = keyed.join(_sized(busy, n_busy), "group").select("group", F.col("rep_id").alias("node"), as_bytes(F.col("fp")).alias("body"))
+        rows = keyed.join(_sized(busy, n_busy), "group").select("group", F.col("rep_id").alias("node"), as_bytes(F.col("w0")).alias("body"))
         links = links.union(large_group_links(rows, lambda bodies: Fingerprints(bodies, radius), hot))
     found = connected_components(links)
     classes = reps.join(found, reps.rep_id == found.node, "left").select("fp", F.coalesce("component", "rep_id").alias("component_id"))
@@ -243,9 +244,9 @@ def simhash_components(
     return marks.join(classes, "fp", "left").select("doc_id", mark.alias("fingerprint"), "component_id")
 
 
-def as_bytes(fp: Column) -> Column:
-    """The first word of a fingerprint as 8 bytes."""
-    return F.unhex(F.lpad(F.hex(F.get(fp, 0)), 16, "0"))
+def as_bytes(word: Column) -> Column:
+    """A word of a fingerprint as 8 bytes."""
+    return F.unhex(F.lpad(F.hex(word), 16, "0"))
 
 
 def differing_share(similarity: float) -> float:
@@ -270,11 +271,12 @@ class Blocks:
     def suited(n: int, similarity: float, missed: float = 0.005) -> Blocks:
         """Blocks for n fingerprints.
 
-        A block has about log2(n) bits, so the fingerprints that share one by chance stay few however many
-        there are. There are so many blocks that a pair of just this similarity shares none of them with
-        a chance of `missed` if its bits differ as expected; closer pairs miss each other far less.
+        A block has five bits less than log2(n), so that about 32 fingerprints share one by chance however
+        many there are: fewer would take more blocks, of which each moves a row. There are so many blocks
+        that a pair of just this similarity shares none of them with a chance of at most `missed` if its
+        bits differ as expected; closer pairs miss each other far less.
         """
-        width = max(16, math.ceil(math.log2(max(n, 1))) - 2)
+        width = max(16, math.ceil(math.log2(max(n, 1))) - 5)
         wanted = math.log(missed) / math.log1p(-((1 - differing_share(similarity)) ** width))
         return Blocks(width, math.ceil(wanted / (BITS * LONG_WORDS // width)))
 
@@ -291,7 +293,8 @@ class Blocks:
 
 
 def block_rows(reps: DataFrame, blocks: Blocks, words: int = LONG_WORDS // 2) -> DataFrame:
-    """(rep_id, fp, group) for each block of each (rep_id, fp); only the first words of a fingerprint go along."""
+    """(group, rep_id, w0, w1, ...) for each block of each (rep_id, fp); only the first words of a fingerprint go along."""
+    names = ["group", "rep_id", *[f"w{k}" for k in range(words)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -299,13 +302,11 @@ def block_rows(reps: DataFrame, blocks: Blocks, words: int = LONG_WORDS // 2) ->
                 batch = whole.slice(at, ROWS_AT_ONCE)
                 marks = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
                 keys = blocks.keys(marks)
-                times = keys.shape[1]
-                fp = pa.array(np.repeat(marks[:, :words], times, axis=0).view(np.int64).ravel())
-                ends = pa.array(np.arange(keys.size + 1, dtype=np.int32) * words)
-                ids = pa.array(np.repeat(batch.column(0).to_numpy(), times))
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, fp), pa.array(keys.ravel())], ["rep_id", "fp", "group"])
+                rows = np.repeat(np.arange(len(keys)), keys.shape[1])
+                cols = [keys.ravel(), batch.column(0).to_numpy()[rows], *[marks[rows, k].view(np.int64) for k in range(words)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    return reps.select("rep_id", "fp").mapInArrow(run, "rep_id long, fp array<long>, group long")
+    return reps.select("rep_id", "fp").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def candidate_links(reps: DataFrame, similarity: float, hot: int = BLOCK) -> DataFrame:
@@ -321,9 +322,9 @@ def candidate_links(reps: DataFrame, similarity: float, hot: int = BLOCK) -> Dat
     words = LONG_WORDS // 2
     radius = radius_of(similarity, words * BITS, 3.5)
     if not n_busy:
-        return fingerprint_links(rows, radius, words)
+        return fingerprint_links(rows, radius)
     together = rows.select("rep_id", "group").join(_sized(busy, n_busy), "group").select(F.col("rep_id").alias("a"), F.col("centre").alias("b"))
-    return fingerprint_links(rows.join(_sized(busy, n_busy), "group", "left_anti"), radius, words).union(together.filter("a != b").distinct())
+    return fingerprint_links(rows.join(_sized(busy, n_busy), "group", "left_anti"), radius).union(together.filter("a != b").distinct())
 
 
 def set_marks(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5) -> DataFrame:

@@ -751,7 +751,7 @@ def test_blocks_miss_no_link(spark):
     want = components(range(len(marks)), [(a, b) for a, b in itertools.combinations(range(len(marks)), 2) if (marks[a] ^ marks[b]).bit_count() <= 4])
     for blocks in (5, 6, 7, 8):
         keys = simhash.F.explode(simhash.choice_keys(simhash.F.col("fp"), blocks, 4)).alias("key")
-        keyed = reps.select("rep_id", "fp", keys).select("rep_id", "fp", simhash.F.xxhash64("key.which", "key.bits").alias("group"))
+        keyed = reps.select("rep_id", "fp", keys).select(simhash.F.xxhash64("key.which", "key.bits").alias("group"), "rep_id", simhash.F.get("fp", 0).alias("w0"))
         links = [(r.a, r.b) for r in simhash.fingerprint_links(keyed, 4).collect()]
         assert components(range(len(marks)), links) == want
     assert [simhash.block_count(n, 4) for n in (0, 10**5, 10**9)] == sorted(simhash.block_count(n, 4) for n in (0, 10**5, 10**9))
@@ -825,6 +825,29 @@ def test_large_groups_are_dealt_out(spark):
         assert all(want[i] == want[c] for i, c in got.items()) and sum(got[i] != c for i, c in want.items()) <= 2
 
 
+def test_far_homes_prune_no_link(spark):
+    """Many kinds of near copies in one group, some a few edits from another kind: the links are brute force's."""
+    rng, texts = random.Random(24), []
+    for k in range(8):
+        kind = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        texts += [" ".join(edited(rng, kind, rng.randrange(3))) for _ in range(25)]
+        if k % 2:  # a chain that leads to a kind of its own
+            for _ in range(6):
+                kind = edited(rng, kind, 2)
+                texts += [" ".join(edited(rng, kind, rng.randrange(2))) for _ in range(3)]
+    sets = [shingle_set(t) for t in texts]
+    near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    rows = [(0, k, np.unique(simhash.shingle_hashes(t, 5)).tobytes()) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "group long, node long, body binary")
+    links = [(r.a, r.b) for r in groups.large_group_links(df, lambda b: groups.Sets(b, 0.8), 32).collect()]
+    assert set(map(tuple, map(sorted, links))) <= set(near) and components(range(len(texts)), links) == components(range(len(texts)), near)
+    marks = sorted({f ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for f in [rng.getrandbits(64) for _ in range(6)] for _ in range(40)})
+    df = spark.createDataFrame([(0, k, bytearray(m.to_bytes(8, "little"))) for k, m in enumerate(marks)], "group long, node long, body binary")
+    links = [(r.a, r.b) for r in groups.large_group_links(df, lambda b: groups.Fingerprints(b, 4), 32).collect()]
+    want = components(range(len(marks)), [(a, b) for a, b in itertools.combinations(range(len(marks)), 2) if (marks[a] ^ marks[b]).bit_count() <= 4])
+    assert components(range(len(marks)), links) == want
+
+
 def test_hot_keys_of_fingerprints(spark):
     rng = random.Random(18)
     docs = []
@@ -851,12 +874,15 @@ def test_recall_at_the_threshold():
 
 
 def test_block_groups_do_not_grow():
-    """Fingerprints that share a block by chance stay few when documents double."""
+    """As documents double blocks grow by a bit, so that as many share one by chance; random fingerprints fill them evenly."""
     rng = np.random.default_rng(20)
-    for n in (1 << 17, 1 << 18, 1 << 19):
+    marks = rng.integers(0, 2**63, (1 << 16, 8)).astype("<u8") * np.uint64(2) + rng.integers(0, 2, (1 << 16, 8)).astype("<u8")
+    for n in (1 << 22, 1 << 23, 1 << 30):
         blocks = simhash.Blocks.suited(n, 0.8)
-        one = simhash.Blocks(blocks.width, 1).keys(rng.integers(0, 2**63, (n // 4, 8)).astype("<u8"))[:, 0]
-        assert 4 * len(one) / len(np.unique(one)) < 12 and n / 2**blocks.width <= 4
+        assert n / 2**blocks.width == 32
+        keys = simhash.Blocks(blocks.width, 1).keys(marks)
+        for one in keys.T[:4]:
+            assert len(np.unique(one)) == pytest.approx(2**blocks.width * -np.expm1(-len(marks) / 2**blocks.width), rel=0.02)
 
 
 def test_repeated_lines_count_once(spark):
