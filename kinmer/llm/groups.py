@@ -5,10 +5,12 @@ is not yet reached. A group beyond BLOCK members is never brought together. It i
 worked on in two passes, in each of which one task holds two blocks at most:
 
 1. A few members are heads; every block is compared with them. In a group of near copies this links
-   nearly all members to one another.
-2. Members outside the group's largest cluster so far are heads, in blocks of their own, and every
-   block is compared with each of those. All links of the rest are found; what is not compared again
-   is connected already.
+   nearly all members to a head, their home, and the homes to one another.
+2. What may still be linked is compared block by block. Members of one cluster are connected already.
+   Members of two homes can't be linked if the homes are more than three times as far apart as two
+   linked members are: both distances (Hamming, and one minus Jaccard) obey the triangle inequality.
+   So groups of several kinds of near copies take little work, and only members without a home, which
+   are few where there are many links, are compared with all others.
 """
 
 from __future__ import annotations
@@ -39,6 +41,11 @@ class Fingerprints:
         self.marks = np.frombuffer(b"".join(bodies), "<u8").reshape(len(bodies), -1)
         self.radius = radius
 
+    def far(self, at: int) -> np.ndarray:
+        """The members that are too far from `at` for a member linked to them to be linked to one linked to `at`."""
+        apart = np.bitwise_count(self.marks ^ self.marks[at]).sum(axis=1, dtype=np.int64)
+        return np.flatnonzero(apart > 3 * self.radius)
+
     def near(self, at: int, left: np.ndarray) -> np.ndarray:
         """The members marked in `left` that are linked to `at`."""
         rows = np.flatnonzero(left)
@@ -63,14 +70,21 @@ class Sets:
         stays = left[self.owner]
         if 2 * stays.sum() < len(stays):
             self.code, self.owner = self.code[stays], self.owner[stays]
+        return np.flatnonzero(left & (self._alike(at) >= self.similarity))
+
+    def far(self, at: int) -> np.ndarray:
+        """As in `Fingerprints`; before anything was asked of `near`."""
+        return np.flatnonzero(self._alike(at) < 1 - 3 * (1 - self.similarity) - 1e-9)
+
+    def _alike(self, at: int) -> np.ndarray:
+        """The Jaccard similarity with `at` of the members that may still be asked for."""
         mine = self.own[self.end[at] - self.size[at] : self.end[at]]
         self.held[mine] = True
         common = np.bincount(self.owner[self.held[self.code]], minlength=len(self.size))
         self.held[mine] = False
         joined = np.maximum(self.size + self.size[at] - common, 1)
         # Two empty sets are equal.
-        alike = np.where(self.size + self.size[at] == 0, 1.0, common / joined)
-        return np.flatnonzero(left & (alike >= self.similarity))
+        return np.where(self.size + self.size[at] == 0, 1.0, common / joined)
 
 
 Members = Callable[[list[bytes]], Fingerprints | Sets]
@@ -121,9 +135,9 @@ def small_group_links(rows: DataFrame, members: Members) -> DataFrame:
 
 
 def _against(heads: DataFrame, others: DataFrame, members: Members) -> DataFrame:
-    """Links of heads with others of the same (group, hb, mb): for each head one with each cluster it is linked to.
+    """(task, a, b): links of heads with others of the same (task, hb, mb), for each head one with each cluster it is linked to.
 
-    Both are (group, hb, mb, head, node, cluster, body); a task holds the rows of one (group, hb, mb).
+    Both are (task, hb, mb, head, node, cluster, body); one Spark task holds the rows of one (task, hb, mb).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,50 +146,80 @@ def _against(heads: DataFrame, others: DataFrame, members: Members) -> DataFrame
             others = np.array([not r[3] for r in part])
             if others.all() or not others.any():
                 continue
-            a, b = [], []
+            found = []
             for at in np.flatnonzero(~others).tolist():
-                _, _, _, _, node, own, _ = part[at]
-                for cluster, other in {part[x][5]: part[x][4] for x in body.near(at, others).tolist()}.items():
-                    if cluster != own:
-                        a.append(node)
-                        b.append(other)
-            if a:
-                yield _links(a, b)
+                task, _, _, _, node, own, _ = part[at]
+                near = {part[x][5]: part[x][4] for x in body.near(at, others).tolist()}
+                found += [(task, node, other) for cluster, other in near.items() if cluster != own]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["task", "a", "b"])
+
+    dealt = heads.unionByName(others).repartition("task", "hb", "mb").sortWithinPartitions("task", "hb", "mb")
+    return dealt.select("task", "hb", "mb", "head", "node", "cluster", "body").mapInArrow(run, "task long, a long, b long")
+
+
+def _far_homes(heads: DataFrame, members: Members) -> DataFrame:
+    """(group, p, q), both ways round: heads of a group that are too far apart for their members to be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 1):
+            body = members([r[2] for r in rows])
+            found = [(r[0], r[1], rows[x][1]) for at, r in enumerate(rows) for x in body.far(at).tolist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["group", "p", "q"])
 
-    dealt = heads.unionByName(others).repartition("group", "hb", "mb").sortWithinPartitions("group", "hb", "mb")
-    return dealt.select("group", "hb", "mb", "head", "node", "cluster", "body").mapInArrow(run, "a long, b long")
+    dealt = heads.select("group", "node", "body").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "group long, p long, q long")
+
+
+def _side(df: DataFrame, head: bool, task: str, hb: Column, mb: Column, cluster: str) -> DataFrame:
+    return df.select(
+        F.col(task).alias("task"), hb.alias("hb"), mb.alias("mb"), F.lit(head).alias("head"), "node", F.col(cluster).alias("cluster"), "body"
+    )
+
+
+def _upto(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
 def large_group_links(rows: DataFrame, members: Members, block: int = BLOCK) -> DataFrame:
     """(a, b) that connect what is linked in each group of (group, node, body), where groups are large."""
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    mix = F.xxhash64("group", "node")
     parts = F.ceil(F.col("n") / block).cast("int")
-    dealt = cut(rows.join(sizes, "group").select("group", "node", "body", "n", mix.alias("mix"), parts.alias("parts"), F.pmod(mix, parts).cast("int").alias("mb")))
-
-    def part(df: DataFrame, head: bool, hb: Column, mb: Column, cluster: Column) -> DataFrame:
-        return df.select("group", hb.alias("hb"), mb.alias("mb"), F.lit(head).alias("head"), "node", cluster.alias("cluster"), "body")
-
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    chosen = dealt.filter(F.pmod(F.shiftright("mix", 20), F.col("n")) < HEADS)
-    zero, node = F.lit(0), F.col("node")
-    first = cut(_against(part(chosen, True, zero, every, node), part(dealt, False, zero, F.col("mb"), node), members))
-
-    known = connected_components(first)
-    placed = cut(
-        dealt.join(known.select("node", "component"), "node", "left").select(
-            "group", "node", "mix", "parts", "mb", F.coalesce("component", "node").alias("cluster"), "body"
-        )
+    dealt = cut(rows.join(sizes, "group").select("group", "node", "body", "n", F.xxhash64("group", "node").alias("mix"), parts.alias("parts")))
+    heads = dealt.filter(F.pmod(F.shiftright("mix", 20), F.col("n")) < HEADS)
+    zero, own = F.lit(0), F.pmod("mix", "parts").cast("int")
+    first = cut(_against(_side(heads, True, "group", zero, _upto("parts"), "node"), _side(dealt, False, "group", zero, own, "node"), members))
+
+    known = connected_components(first.select("a", "b")).select("node", F.col("component").alias("cluster"))
+    linked = first.select(F.col("task").alias("group"), F.col("b").alias("node"), F.col("a").alias("home"))
+    homes = linked.union(heads.select("group", "node", F.col("node").alias("home"))).groupBy("group", "node").agg(F.min("home").alias("home"))
+    placed = dealt.join(homes, ["group", "node"], "left").join(known, "node", "left").select(
+        "group", "node", "mix", "body", F.coalesce("cluster", "node").alias("cluster"),
+        F.col("home").isNull().alias("alone"), F.coalesce("home", F.lit(0)).alias("home"),
+    )
+    placed = cut(placed)
+
+    # Kinds of members: those of one home, and those without. All of a home are in one cluster.
+    kinds = placed.groupBy("group", "home", "alone").agg(F.count(F.lit(1)).alias("n"), F.min("cluster").alias("cluster"))
+    kinds = cut(kinds.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
+    x, y, far = kinds.alias("x"), kinds.alias("y"), _far_homes(heads, members)
+    between = F.col("x.alone") | (~F.col("y.alone") & (F.col("x.home") < F.col("y.home")) & (F.col("x.cluster") != F.col("y.cluster")))
+    pairs = x.join(y, "group").filter(between).select(
+        "group", F.col("x.home").alias("p"), F.col("x.alone").alias("alone"), F.col("x.blocks").alias("hbs"),
+        F.col("y.home").alias("q"), F.col("y.alone").alias("other_alone"), F.col("y.blocks").alias("mbs"),
+    )
+    apart = far.withColumns({"alone": F.lit(False), "other_alone": F.lit(False)})
+    pairs = cut(pairs.join(apart, ["group", "p", "q", "alone", "other_alone"], "left_anti").withColumn("task", F.monotonically_increasing_id()))
+
+    of_heads = placed.join(pairs.drop("q", "other_alone").withColumnRenamed("p", "home"), ["group", "home", "alone"])
+    of_others = placed.join(pairs.drop("p", "alone").withColumnsRenamed({"q": "home", "other_alone": "alone"}), ["group", "home", "alone"])
+    second = _against(
+        _side(of_heads, True, "task", F.pmod(F.shiftright("mix", 10), F.col("hbs")).cast("int"), _upto("mbs"), "cluster"),
+        _side(of_others, False, "task", _upto("hbs"), F.pmod(F.shiftright("mix", 30), F.col("mbs")).cast("int"), "cluster"),
+        members,
     )
-    counts = placed.groupBy("group", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("group").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest"))
-    heads_in = F.ceil(F.col("rest") / block).cast("int")
-    open_ = placed.join(largest.filter("rest > 0").select("group", "largest", heads_in.alias("heads")), "group")
-    rest = open_.filter("cluster != largest").withColumn("hb", F.pmod(F.shiftright("mix", 10), F.col("heads")).cast("int"))
-    all_hb = F.explode(F.sequence(F.lit(0), F.col("heads") - 1))
-    cluster = F.col("cluster")
-    second = _against(part(rest, True, F.col("hb"), every, cluster), part(open_, False, all_hb, F.col("mb"), cluster), members)
-    return first.union(second)
+    return first.union(second).select("a", "b")
 
 
 def group_links(rows: DataFrame, members: Members, block: int = BLOCK) -> DataFrame:
