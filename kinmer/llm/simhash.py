@@ -385,9 +385,9 @@ def _similar(docs: DataFrame, text: str, id_col: str, shingle: int, similarity:
     whole = docs.select(F.col(id_col).cast("long").alias("_id"), body_digest(text).alias("_body"), F.col(text).alias("text"))
     groups = whole.join(_sized(wanted, wanted.count()), ["_id", "_body"]).select("group", "node", "n", "text")
     found = connected_components(set_links(groups, shingle, similarity, hot))
-    classes = reps.join(found, "node", "left").select("sig", "first", F.coalesce("component", "node").alias("component"))
-    firsts = classes.groupBy("component").agg(F.min("first").alias("keep"))
-    return marks.join(classes.join(firsts, "component").select("sig", "keep"), "sig", "left").select("doc_id", "body", "keep")
+    firsts = cut(reps.join(found, "node").groupBy("component").agg(F.min("first").alias("least")))
+    classes = reps.join(found, "node", "left").join(_sized(firsts, firsts.count()), "component", "left")
+    return marks.join(classes.select("sig", F.coalesce("least", "first").alias("keep")), "sig", "left").select("doc_id", "body", "keep")
 
 
 def similar_components(
