@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmer.llm import bpe, exact_dedup, html_extract, licenses, media, packing, quality, sharding, simhash, url_filter
+from kinmer.llm import (
+    bpe,
+    collocations,
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    html_extract,
+    licenses,
+    media,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    url_filter,
+)
 from kinmer.llm.shared import table
 
 
@@ -51,6 +65,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_licenses,
         op9_html,
         op10_simhash,
+        op11_collocations,
+        op12_decontamination,
+        op13_filter_audit,
     )
 }
 
@@ -71,4 +100,7 @@ ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op8_licenses": licenses.SQL,
+    "op11_collocations": collocations.SQL,
+    "op12_decontamination": decontaminate.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
