@@ -50,12 +50,6 @@ def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) ->
     return top_n_per_group(df, keys, order, 1)
 
 
-def carry_forward(df: DataFrame, col: str, keys: Sequence[str], pos: str, name: str) -> DataFrame:
-    """The last non-null value at or before each row of its file."""
-    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.last(col, ignorenulls=True).over(w))
-
-
 def number_chunks(df: DataFrame, size: int, keys: Sequence[str], order: Sequence[Column | str], name: str = "chunk") -> DataFrame:
     """Chunk numbers of `size` rows within each group, in order. For one global order see `number_rows`."""
     row = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
@@ -88,11 +82,6 @@ def number_global_chunks(df: DataFrame, size: int, order: Sequence[str], name: s
     return number_rows(df, order, row).withColumn(name, F.floor(F.col(row) / size).cast("long")).drop(row)
 
 
-def quantile(df: DataFrame, col: str, q: float | Sequence[float], name: str = "quantile") -> DataFrame:
-    """Exact, linearly interpolated quantiles, one row."""
-    return df.agg(F.percentile(col, q).alias(name))
-
-
 def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
     """A10: counts of values, largest first, ties by value."""
     return df.groupBy(col).agg(F.count(F.lit(1)).alias(name)).orderBy(F.desc(name), col)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinmer.functions.names import hla_letter
 from kinmer.operators.common import top_k, top_n_per_group, value_counts
+from kinmer.operators.selection import exact_quantiles
 from kinmer.schemas import BOUND, CLASSES
 from kinmer.shared import cut
 
@@ -121,7 +122,8 @@ def dominance(summary: DataFrame, q: float = 0.95, human: str = "Human_pct", vir
     The summary, a row an allele, is written once; the two quantiles are read from that.
     """
     summary = cut(summary)
-    h, v = summary.agg(F.percentile(human, q), F.percentile(viral, q)).first()
+    found = exact_quantiles(summary, {human: [q], viral: [q]})
+    h, v = found[human][0], found[viral][0]
     high_h, high_v = F.col(human) >= F.lit(h), F.col(viral) >= F.lit(v)
     category = F.when(high_h & high_v, "Dual_high").when(high_h, "Human_dominant").when(high_v, "Viral_dominant").otherwise("Neutral")
     return summary.withColumn("category", category)
@@ -181,8 +183,10 @@ def top_peptides(per_peptide: DataFrame, k: int = 10, peptide: str = "peptide_hu
 
 
 def describe_pct(df: DataFrame, col: str = "dominant_pct", above: float = 50) -> DataFrame:
-    """Mean, median and the count above a bound, one row."""
-    return df.agg(F.avg(col).alias("mean"), F.median(col).alias("median"), F.count_if(F.col(col) > above).alias("n_above"))
+    """Mean, exact median and the count above a bound, one row."""
+    values = cut(df.select(col))
+    median = F.lit(exact_quantiles(values, {col: [0.5]})[col][0]).cast("double")
+    return values.agg(F.avg(col).alias("mean"), F.first(median).alias("median"), F.count_if(F.col(col) > above).alias("n_above"))
 
 
 def richest_protein(dominance_table: DataFrame, protein: str = "uniprot_human") -> DataFrame:

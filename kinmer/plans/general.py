@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmer.functions import names
-from kinmer.operators import alleles, common, epitopes, inventory, ld, sequences
+from kinmer.operators import alleles, common, epitopes, inventory, ld, segments, selection, sequences
 from kinmer.plans import inputs
 from kinmer.plans.inputs import EPITOPES_SQL, LD_SQL, VARIANT_SQL, table, text
 from kinmer.shared import cut, delete_folder, shared_folder
@@ -300,7 +300,7 @@ SELECT event_id, user_id, last_value(CASE WHEN event_type = 'error' THEN event_i
 def last_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last error of the user at or before each event."""
     events = table(spark, sf_dir, "events").withColumn("_e", F.when(F.col("event_type") == "error", F.col("event_id")))
-    return common.carry_forward(events, "_e", ["user_id"], "event_id", "last_error").select("event_id", "user_id", "last_error")
+    return segments.carry_forward(events, "_e", ["user_id"], "event_id", "last_error").select("event_id", "user_id", "last_error")
 
 
 @query("""
@@ -340,7 +340,7 @@ def price_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT round(quantile_cont(o_totalprice, 0.95), 4) AS q95, round(median(o_totalprice), 4) AS q50 FROM orders""")
 def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8."""
-    df = common.quantile(table(spark, sf_dir, "orders"), "o_totalprice", [0.95, 0.5])
+    df = selection.quantile(table(spark, sf_dir, "orders"), "o_totalprice", [0.95, 0.5])
     return df.select(F.round(F.col("quantile")[0], 4).alias("q95"), F.round(F.col("quantile")[1], 4).alias("q50"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from kinmer.functions.names import chunk_no
 from kinmer.functions.sequences import accession, pair_header
-from kinmer.operators.common import carry_forward
+from kinmer.operators.segments import number_lines
 from kinmer.schemas import HITS, LD_INDEX, LD_TRIPLES
 
 LINES_AT_ONCE = 50_000
@@ -48,9 +48,9 @@ def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 def read_pair_headers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(file, chunk, row_no, type, pair_id, uniprot) of headers with four parts, numbered from 0 in each file."""
-    parsed = read_fasta(spark, path).withColumn("_h", pair_header(F.col("id"))).filter("_h IS NOT NULL")
-    row = F.row_number().over(Window.partitionBy("file").orderBy("rec_no")) - 1
-    return parsed.select("file", chunk_no(F.col("file")).alias("chunk"), row.alias("row_no"), "_h.*")
+    parsed = read_fasta(spark, path).select("file", F.col("rec_no").alias("at"), pair_header(F.col("id")).alias("_h")).filter("_h IS NOT NULL")
+    numbered = number_lines(parsed, "row_no")
+    return numbered.select("file", chunk_no(F.col("file")).alias("chunk"), F.col("row_no").cast("int").alias("row_no"), "_h.*")
 
 
 def read_hits(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -58,37 +58,38 @@ def read_hits(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=HITS)
 
 
-def whole_texts(df: DataFrame, value: str = "value") -> DataFrame:
-    """(file, value) of a text source read with wholetext."""
-    return df.select(F.col("_metadata.file_name").alias("file"), F.col(value).alias("value"))
-
-
-def parse_predictions(files: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
-    """Prediction rows of whole files (file, value): source_file, chunk, Allele, row_no and `columns`.
+def parse_predictions(lines: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
+    """Prediction rows of the lines of files (file, at, value): source_file, chunk, Allele, row_no and `columns`.
 
     The allele is the first token of line 1, Unknown if that is empty; line 2 names the columns, whose
     places may differ from file to file. `columns` maps names to types; values that aren't of the type,
-    and columns a file lacks, are null. Blank lines don't count.
+    and columns a file lacks, are null. Blank lines don't count in `row_no`. A file is read by as many tasks
+    as it has splits: each numbers its own lines, and one row a split says how many come before (`number_lines`).
     """
     wanted = columns or {"Peptide": "string", "BA_score": "double", "BA_Rank": "double"}
-    lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
-    allele = F.coalesce(F.nullif(F.get(F.split(F.trim(F.get("_l", 0)), r"\s+"), 0), F.lit("")), F.lit("Unknown"))
-    rows = F.filter(F.slice("_l", 3, F.greatest(F.size("_l") - 2, F.lit(0))), lambda s: F.trim(s) != "")
-    split = files.withColumn("_l", lines).select(
-        F.col("file").alias("source_file"), chunk_no(F.col("file")).alias("chunk"), allele.alias("Allele"),
-        F.transform(F.split(F.get("_l", 1), "\t"), F.trim).alias("_names"), F.posexplode(rows).alias("row_no", "_row"),
-    )
+    clean = F.regexp_replace("value", "\r", "")
+    told = lines.select("file", "at", clean.alias("value"), (F.trim(clean) != "").alias("told"))
+    numbered = number_lines(told, "line_no", {"told_before": "told"})
+    head = numbered.filter("line_no < 2").groupBy("file").agg(
+        F.max(F.when(F.col("line_no") == 0, F.col("value"))).alias("first"), F.max(F.when(F.col("line_no") == 1, F.col("value"))).alias("second"), F.count_if("told").alias("heads")
+    )
+    allele = F.coalesce(F.nullif(F.get(F.split(F.trim("first"), r"\s+"), 0), F.lit("")), F.lit("Unknown"))
+    head = head.select("file", allele.alias("Allele"), F.transform(F.split("second", "\t"), F.trim).alias("names"), "heads")
+    rows = numbered.filter("line_no >= 2 AND told").join(head, "file")
 
     def field(name: str, kind: str) -> Column:
-        at = F.array_position("_names", name)
-        return F.when(at > 0, F.trim(F.get(F.split("_row", "\t"), (at - 1).cast("int")))).try_cast(kind).alias(name)
+        at = F.array_position("names", name)
+        return F.when(at > 0, F.trim(F.get(F.split("value", "\t"), (at - 1).cast("int")))).try_cast(kind).alias(name)
 
-    return split.select("source_file", "chunk", "Allele", "row_no", *[field(n, k) for n, k in wanted.items()])
+    return rows.select(
+        F.col("file").alias("source_file"), chunk_no(F.col("file")).alias("chunk"), "Allele", (F.col("told_before") - F.col("heads")).cast("int").alias("row_no"),
+        *[field(n, k) for n, k in wanted.items()],
+    )
 
 
 def read_predictions(spark: SparkSession, path: str | Sequence[str], columns: dict[str, str] | None = None) -> DataFrame:
     """S4 from files."""
-    return parse_predictions(whole_texts(spark.read.text(path, wholetext=True)), columns)
+    return parse_predictions(read_lines(spark, path, "\n"), columns)
 
 
 def read_tsv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str, glob: str | None = None) -> DataFrame:
@@ -228,11 +229,12 @@ def read_clusters(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     Members stand between `>` and `...`; the one marked `*` represents; clusters without one drop.
     """
     lines = read_lines(spark, path).withColumn("_own", F.when(F.col("value").startswith(">"), F.trim(F.substr("value", F.lit(2)))))
-    placed = carry_forward(lines, "_own", ["file"], "at", "cluster").filter("_own IS NULL")
+    placed = number_lines(lines.withColumn("_heads", F.col("_own").isNotNull()), "line_no", {"cluster_no": "_heads"}, {"cluster": "_own"}).filter("_own IS NULL")
     member = F.nullif(F.regexp_extract("value", r">(.*?)\.\.\.", 1), F.lit(""))
-    rows = placed.select("file", "cluster", F.col("at").alias("pos"), member.alias("member"), F.trim("value").endswith("*").alias("_star")).filter("member IS NOT NULL")
-    rep = F.max(F.when(F.col("_star"), F.col("member"))).over(Window.partitionBy("file", "cluster"))
-    return rows.withColumn("representative", rep).filter("representative IS NOT NULL").select("cluster", "representative", "member", "pos")
+    rows = placed.select("file", "cluster_no", "cluster", F.col("at").alias("pos"), member.alias("member"), F.trim("value").endswith("*").alias("_star")).filter("member IS NOT NULL")
+    # Of a cluster one row at most has the mark, so this is an equal join of rows with few others.
+    marked = rows.filter("_star").groupBy("file", "cluster_no").agg(F.max("member").alias("representative"))
+    return rows.join(marked, ["file", "cluster_no"]).select("cluster", "representative", "member", "pos")
 
 
 def read_json_pages(spark: SparkSession, path: str | Sequence[str], schema: StructType, max_records: int | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from kinmer.operators.binding import annotate
 from kinmer.operators.predictions import drop_identical_peptides, guard_counts, pair_predictions, zip_with_headers
 from kinmer.schemas import WIDE
 from kinmer.shared import delete_folder, list_folder
-from kinmer.sources.readers import parse_predictions, whole_texts
+from kinmer.sources.readers import parse_predictions, read_lines
 
 
 def _generations(spark: SparkSession, folder: str) -> list[int]:
@@ -66,9 +66,9 @@ def run_generation(
     return query
 
 
-def pair_files(files: DataFrame, headers: DataFrame) -> DataFrame:
-    """The wide table of whole prediction files (file, value)."""
-    predictions = parse_predictions(files)
+def pair_files(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """The wide table of the lines (file, at, value) of whole prediction files."""
+    predictions = parse_predictions(lines)
     zipped = zip_with_headers(guard_counts(predictions, headers), headers.drop("file"))
     return drop_identical_peptides(pair_predictions(zipped))
 
@@ -76,7 +76,7 @@ def pair_files(files: DataFrame, headers: DataFrame) -> DataFrame:
 def _note_empty(batch: DataFrame, number: int, out: str, state: str) -> None:
     """Remember the files of a batch that gave no rows."""
     done = batch.sparkSession.read.parquet(f"{out}/batch={number}").select(F.col("source_file").alias("file")).distinct()
-    batch.select("path", "file").join(done, "file", "left_anti").write.mode("overwrite").parquet(f"{state}/empty/batch={number}")
+    batch.select("path", "file").distinct().join(done, "file", "left_anti").write.mode("overwrite").parquet(f"{state}/empty/batch={number}")
 
 
 def retry_empty(spark: SparkSession, headers: DataFrame, dst: str, checkpoint: str) -> int:
@@ -95,7 +95,7 @@ def retry_empty(spark: SparkSession, headers: DataFrame, dst: str, checkpoint: s
     paths = [r.path for r in left.select("path").collect()]
     if paths:
         number = -1 - sum(n.startswith("batch=-") for n in list_folder(spark, out))
-        pair_files(whole_texts(spark.read.text(paths, wholetext=True)), headers).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        pair_files(read_lines(spark, paths, "\n"), headers).write.mode("overwrite").parquet(f"{out}/batch={number}")
     return len(paths)
 
 
@@ -104,14 +104,16 @@ def aggregate_stream(
 ) -> StreamingQuery:
     """Prediction files that arrived in `src` since the last run, paired into `dst`; see `read_results`.
 
-    Files are read whole, so a file's rows are never in two batches. A file whose count doesn't match
+    A file's lines, in any number of splits, are all in one batch. A file whose count doesn't match
     its headers yields nothing; each later run reads it again until it does.
     """
     if not force:
         retry_empty(spark, headers, dst, checkpoint)
-    stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(src, wholetext=True)
-    files = stream.select(F.col("_metadata.file_path").alias("path"), F.col("value")).withColumn("file", base_name(F.col("path")))
-    return run_generation(spark, files, lambda b: pair_files(b.select("file", "value"), headers), dst, checkpoint, force, _note_empty)
+    stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("lineSep", "\n").text(src)
+    path = F.col("_metadata.file_path").alias("path")
+    lines = stream.select(path, F.col("_metadata.file_block_start").alias("block"), "value").withColumn("file", base_name(F.col("path")))
+    at = F.struct("block", F.monotonically_increasing_id().alias("row")).alias("at")
+    return run_generation(spark, lines, lambda b: pair_files(b.select("file", at, "value"), headers), dst, checkpoint, force, _note_empty)
 
 
 def annotate_stream(

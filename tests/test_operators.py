@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinmer.functions import names
 from kinmer.functions import sequences as fs
-from kinmer.operators import alleles, binding, casecontrol, common, epitopes, hits, inventory, ld, predictions, sequences, summaries
+from kinmer.operators import alleles, binding, casecontrol, common, epitopes, hits, inventory, ld, predictions, segments, selection, sequences, summaries
 from kinmer.schemas import HITS, WIDE
 
 
@@ -296,7 +296,7 @@ def test_pairs_of_named_peptides(spark):
 
 def test_quantile_and_histogram(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "x double")
-    assert common.quantile(df, "x", 0.95).first()[0] == pytest.approx(8.95)
+    assert selection.quantile(df, "x", 0.95).first()[0] == pytest.approx(8.95)
     assert [r.n for r in common.histogram(df, "x", 3).orderBy("bin").collect()] == [3, 0, 1]
     assert [r.n for r in common.histogram(df.filter("x = 1"), "x", 2).orderBy("bin").collect()] == [1, 0]
     assert common.histogram(df.filter("x > 99"), "x", 2).count() == 0
@@ -313,7 +313,7 @@ def test_rows_and_metrics(spark):
     kept, seen = common.observed(df.filter("v > 1"), n=F.count(F.lit(1)), keys=F.count("k"))
     assert kept.count() == 3 and seen.get == {"n": 3, "keys": 2}
     assert common.spread(df.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert rows(common.carry_forward(df.filter("k IS NOT NULL").withColumn("h", F.when(F.col("v") == 1, "x")), "h", ["k"], "v", "last"), "k", "v", "last")[:2] == [("a", 1, "x"), ("a", 2, "x")]
+    assert rows(segments.carry_forward(df.filter("k IS NOT NULL").withColumn("h", F.when(F.col("v") == 1, "x")), "h", ["k"], "v", "last"), "k", "v", "last")[:2] == [("a", 1, "x"), ("a", 2, "x")]
 
 
 def test_compare_and_completeness(spark):
