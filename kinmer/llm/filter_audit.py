@@ -45,6 +45,7 @@ def copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
     key, body, first = unused(docs, "first_digest"), unused(docs, "first_text"), unused(docs, "first_id")
     firsts = moved.select(digest.alias(key), text_or_empty(text).alias(body), F.col(id_col).alias(first))
     firsts = firsts.groupBy(key, body).agg(F.min(first).alias(first), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    firsts = cut(firsts)  # written, so that Spark can deal out a group of many copies at the join
     same = (digest == F.col(key)) & (text_or_empty(text) == F.col(body)) & (F.col(first) < F.col(id_col))
     return moved.join(firsts, same, "left_semi")
 
