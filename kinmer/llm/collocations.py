@@ -5,22 +5,27 @@ one window, the word and its leads (the next words of its piece, shifted columns
 ends. Every occurrence of a shorter phrase is the prefix of just one window, so its count is a sum over
 windows: Spark's ROLLUP makes the sums for all shorter prefixes, and no n-gram of lower order is exploded.
 
-Plan: a task counts the windows of some megabytes of text (numpy and Arrow, A words' table at a time) and
-emits a row for each distinct one. These rows are dealt out by language and their first words but the last,
-so that windows and the longest prefixes are summed in place: one shuffle. A prefix that can't reach the
-least count gives its sum to shorter prefixes only, so what ROLLUP moves is small. Hot prefixes: words that
-make up a thousandth of all are counted first (there are at most a thousand of them); windows that begin with
-such words alone are salted by their last word, their sums meet in ROLLUP's own partial aggregation.
+Plan, three steps, each a shuffle of packed tables (distinct keys with their counts, Arrow and zstd, some ten
+bytes a row, where rows of strings would take four times that):
+
+1. A task counts the windows of some megabytes of text and deals the distinct ones out by all their words.
+2. A group of windows, a bounded share of the corpus, is summed: those that reach the least count go out,
+   and the sums over the last word are dealt out by the words before it.
+3. These are summed. A prefix that can't reach the least count is folded into the shorter ones, so that
+   what ROLLUP moves is small.
+
+Keys are dealt by a hash of all their words in each step, and a key is one row from each task or group, so
+no word, however frequent, makes a group large.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,107 +36,145 @@ SEPARATORS = ".,;:!?\n\x0b\x0c\r"
 GAPS = " \t"
 #: Bytes of text whose windows are counted together in a task.
 CHUNK = 16 << 20
-#: A word is hot if it makes up more than one part in so many of all words.
-HOT = 1000
-#: Parts that the windows of a prefix of hot words are dealt into.
-SALTS = 32
+#: Bytes of text whose windows, wherever they occur, are summed together.
+GROUP = 8 << 20
 ROWS_AT_ONCE = 100_000
 
 
-def _emit(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in pa.Table.from_arrays(columns, names).to_batches(max_chunksize=ROWS_AT_ONCE):
-        yield batch
-
-
-def _slim(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-
-def _coded(batches: Iterator[pa.RecordBatch], chunk: int, parts: np.ndarray):
-    """For stretches of the texts: codes of languages and words by word, both dictionaries, piece by word."""
-    for batch in batches:
-        for first, end in row_chunks(batch.column(1), chunk):
-            cuts = cut_words(batch.column(1).slice(first, end - first), parts)
-            if not len(cuts.row):
-                continue
-            langs = batch.column(0).slice(first, end - first).dictionary_encode()
-            words = cuts.words.dictionary_encode()
-            of = langs.indices.to_numpy(zero_copy_only=False)[cuts.row]
-            yield of, langs.dictionary, words.indices.to_numpy(), words.dictionary, cuts.piece
-
-
-def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang", chunk: int = CHUNK) -> DataFrame:
-    """(lang, word, n): occurrences of each word in each language."""
+def _hashes(names: pa.Array) -> np.ndarray:
+    """A number for each word by its letters, the same in every task; equal numbers do no harm."""
+    ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+    data = np.frombuffer(names.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    ends = ends - ends[0]
+    size = np.diff(ends)
+    powers = np.cumprod(np.full(int(size.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(data * powers[np.arange(len(data)) - np.repeat(ends[:-1], size)], dtype=np.uint64)])
+    return sums[ends[1:]] - sums[ends[:-1]]
+
+
+def _parts(hashes: list[np.ndarray], parts: int) -> np.ndarray:
+    """The part of each row, by the hashes of its words."""
+    mixed = np.zeros(len(hashes[0]), np.uint64)
+    for h in hashes:
+        mixed = (mixed ^ h) * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed % np.uint64(parts)).astype(np.int64)
+
+
+def _pack(names: pa.Array, keys: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Rows of words, given by their places in `names`, and counts, as one compressed Arrow batch."""
+    used, codes = np.unique(np.concatenate(keys), return_inverse=True)
+    columns = [names.take(pa.array(used)), *[pa.array(c.astype(np.int32)) for c in np.split(codes, len(keys))], pa.array(n)]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+    batch = pa.RecordBatch.from_arrays(lists, ["names", *[f"k{k}" for k in range(len(keys))], "n"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpack(blobs: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
+    """What `_pack` packed, of all blobs together over one table of names."""
+    names, keys, counts, first = [], [], [], 0
+    for blob in blobs:
+        batch = pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
+        own, *codes, n = (c.flatten() for c in batch.columns)
+        names.append(own)
+        keys.append([c.to_numpy() + first for c in codes])
+        counts.append(n.to_numpy())
+        first += len(own)
+    coded = pa.concat_arrays(names).dictionary_encode()
+    place = coded.indices.to_numpy()
+    return coded.dictionary, [place[np.concatenate(k)] for k in zip(*keys)], np.concatenate(counts)
+
+
+def _sums(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each combination of keys once, with the sum of its counts."""
+    names = [f"k{k}" for k in range(len(keys))]
+    found = pa.table({**dict(zip(names, keys)), "n": n}).group_by(names, use_threads=False).aggregate([("n", "sum")])
+    return [found[k].combine_chunks().to_numpy() for k in names], found["n_sum"].combine_chunks().to_numpy()
+
+
+def _dealt(names: pa.Array, keys: list[np.ndarray], n: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, blob) of all rows, in the order of their keys within each."""
+    hashes = _hashes(names)
+    part = _parts([hashes[k] for k in keys], parts)
+    order = np.lexsort([*keys[::-1], part])
+    ends = np.flatnonzero(np.append(np.diff(part[order]), 1)) + 1
+    for first, end in zip([0, *ends[:-1]], ends if len(order) else []):
+        rows = order[first:end]
+        yield int(part[rows[0]]), _pack(names, [k[rows] for k in keys], n[rows])
+
+
+def packed_windows(docs: DataFrame, longest: int, parts: int, text: str = "text", lang: str = "lang", chunk: int = CHUNK) -> DataFrame:
+    """(part, blob): the distinct windows of each stretch of text with their counts; a pad is an empty word."""
     kinds = classes(GAPS, SEPARATORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for of, langs, code, words, _ in _coded(batches, chunk, kinds):
-            pairs = pa.table({"lang": of, "word": code}).group_by(["lang", "word"], use_threads=False).aggregate([([], "count_all")])
-            told = [langs.take(pairs["lang"].combine_chunks()), words.take(pairs["word"].combine_chunks()).cast(pa.large_string()).cast(pa.string())]
-            yield from _emit([*told, pairs["count_all"].combine_chunks()], ["lang", "word", "n"])
-
-    rows = _slim(docs, text, lang).mapInArrow(run, "lang string, word string, n long")
-    return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
-
-def window_counts(docs: DataFrame, longest: int, hot: list[tuple[str, str]], text: str = "text", lang: str = "lang", chunk: int = CHUNK) -> DataFrame:
-    """(lang, w1, ..., salt, n): padded windows of `longest` words by task; a pad is an empty string.
-
-    The salt is above zero for windows whose words but the last are all among `hot`, pairs (lang, word).
-    """
-    kinds, columns = classes(GAPS, SEPARATORS), [f"w{k + 1}" for k in range(longest)]
-    hot_of = {l: pa.array([w for x, w in hot if x == l], pa.large_string()) for l in {x for x, _ in hot}}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for of, langs, code, words, piece in _coded(batches, chunk, kinds):
-            n, pad = len(code), len(words)
-            leads = {"lang": of}
-            for k, name in enumerate(columns):
-                lead = np.full(n, pad, np.int32)
-                if k < n:
-                    goes_on = np.flatnonzero(piece[k:] == piece[: n - k])
-                    lead[goes_on] = code[goes_on + k]
-                leads[name] = lead
-            keys = ["lang", *columns]
-            found = pa.table(leads).group_by(keys, use_threads=False).aggregate([([], "count_all")])
-            names = pa.concat_arrays([words.cast(pa.large_string()), pa.array([""], pa.large_string())])
-            is_hot = np.zeros((len(langs), pad + 1), bool)
-            for at, l in enumerate(langs.to_pylist()):
-                if l in hot_of:
-                    is_hot[at, pc.index_in(hot_of[l], value_set=names).drop_null().to_numpy()] = True
-            parts = [found[k].combine_chunks().to_numpy() for k in keys]
-            common = np.logical_and.reduce([is_hot[parts[0], p] for p in parts[1:-1]])
-            told = [names.take(pa.array(p)).cast(pa.string()) for p in parts[1:]]
-            yield from _emit([langs.take(pa.array(parts[0])), *told, pa.array(common), found["count_all"].combine_chunks()], [*keys, "hot", "n"])
-
-    kinds_of = ", ".join(f"{c} string" for c in ["lang", *columns])
-    rows = _slim(docs, text, lang).mapInArrow(run, f"{kinds_of}, hot boolean, n long")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(columns[-1]), F.lit(SALTS)) + 1).otherwise(0).cast("int")
-    return rows.select("lang", *columns, salt.alias("salt"), "n")
-
-
-def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str = "text", lang: str = "lang", chunk: int = CHUNK) -> DataFrame:
+        for batch in batches:
+            for first, end in row_chunks(batch.column(1), chunk):
+                cuts = cut_words(batch.column(1).slice(first, end - first), kinds)
+                n = len(cuts.row)
+                if not n:
+                    continue
+                langs = batch.column(0).slice(first, end - first).dictionary_encode()
+                words = cuts.words.dictionary_encode()
+                code, pad = words.indices.to_numpy(), len(words.dictionary)
+                leads = [langs.indices.to_numpy()[cuts.row] + pad + 1]
+                for k in range(longest):
+                    lead = np.full(n, pad, np.int32)
+                    if k < n:
+                        goes_on = np.flatnonzero(cuts.piece[k:] == cuts.piece[: n - k])
+                        lead[goes_on] = code[goes_on + k]
+                    leads.append(lead)
+                names = pa.concat_arrays([words.dictionary.cast(pa.large_string()), pa.array([""], pa.large_string()), langs.dictionary.cast(pa.large_string())])
+                rows = list(_dealt(names, *_sums(leads, np.ones(n, np.int64)), parts))
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["part", "blob"])
+
+    slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return slim.mapInArrow(run, "part long, blob binary")
+
+
+def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str = "text", lang: str = "lang", chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
     """(lang, w1, ..., words, n): every phrase of up to `longest` words with n >= least, and with 0 words each language's n.
 
     Of a phrase of k words the columns after wk are null.
     """
-    columns = [f"w{k + 1}" for k in range(longest)]
-    words = cut(word_counts(docs, text, lang, chunk))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    # More than a thousandth of all: at most a thousand rows, whatever the corpus.
-    hot = [(r["lang"], r["word"]) for r in words.filter(F.col("n") * HOT > total).collect()]
-    *prefix, last = columns
-    dealt = window_counts(docs, longest, hot, text, lang, chunk).repartition("lang", *prefix, "salt")
-    windows = dealt.groupBy("lang", *prefix, "salt", last).agg(F.sum("n").alias("n"))
-    full = windows.filter((F.col(last) != "") & (F.col("n") >= least)).select("lang", *columns, F.lit(longest).alias("words"), "n")
-    pairs = windows.groupBy("lang", *prefix, "salt").agg(F.sum("n").alias("n"))
-    # A prefix too rare to count, and whole in this row, stands in ROLLUP for its first words only.
-    matters = (F.col("n") >= least) | (F.col("salt") > 0)
-    kept = pairs.select("lang", *prefix[:-1], F.when(matters, F.col(prefix[-1])).otherwise("").alias(prefix[-1]), "n")
+    *prefix, last = columns = [f"w{k + 1}" for k in range(longest)]
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(1, math.ceil(size / group))
+
+    def out(names: pa.Array, keys: list[np.ndarray], n: np.ndarray, empty: int = 0) -> list[pa.Array]:
+        """Columns of words, those of the shorter phrases' missing words null."""
+        return [names.take(pa.array(k)).cast(pa.string()) for k in keys] + [pa.nulls(len(n), pa.string())] * empty + [pa.array(n)]
+
+    def whole(table: pa.Table) -> pa.Table:
+        names, keys, n = _unpack(table["blob"])
+        keys, n = _sums(keys, n)
+        pad = names.index(pa.scalar("", names.type)).as_py()
+        full = np.flatnonzero((n >= least) & (keys[-1] != pad))
+        shorter = list(_dealt(names, *_sums(keys[:-1], n), parts))
+        told = out(names, [k[full] for k in keys], n[full])
+        told = [pa.concat_arrays([c, pa.nulls(len(shorter), c.type)]) for c in told]
+        part = pa.array([None] * len(full) + [p for p, _ in shorter], pa.int64())
+        return pa.table([*told, part, pa.array([None] * len(full) + [b for _, b in shorter], pa.binary())], ["lang", *columns, "n", "part", "blob"])
+
+    def prefixes(table: pa.Table) -> pa.Table:
+        names, keys, n = _unpack(table["blob"])
+        keys, n = _sums(keys, n)
+        names, pad = pa.concat_arrays([names, pa.array([""], names.type)]), len(names)
+        # A prefix too rare to count stands for its first words only.
+        keys, n = _sums([*keys[:-1], np.where(n >= least, keys[-1], pad)], n)
+        return pa.table(out(names, keys, n), ["lang", *prefix, "n"])
+
+    kinds = ", ".join(f"{c} string" for c in ["lang", *columns])
+    windows = cut(packed_windows(docs, longest, parts, text, lang, chunk).groupBy("part").applyInArrow(whole, f"{kinds}, n long, part long, blob binary"))
+    full = windows.filter("blob IS NULL").select("lang", *columns, F.lit(longest).alias("words"), "n")
+    kept = windows.filter("blob IS NOT NULL").select("part", "blob").groupBy("part").applyInArrow(prefixes, ", ".join(f"{c} string" for c in ["lang", *prefix]) + ", n long")
     sums = kept.rollup("lang", *prefix).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
-    size = reduce(lambda so_far, k: F.when(F.col("level") == (1 << (len(prefix) - k)) - 1, k).otherwise(so_far), range(len(prefix) + 1), F.lit(-1))
+    words = reduce(lambda so_far, k: F.when(F.col("level") == (1 << (len(prefix) - k)) - 1, k).otherwise(so_far), range(len(prefix) + 1), F.lit(-1))
     ends_in_pad = F.coalesce(F.try_element_at(F.filter(F.array(*prefix), lambda w: w.isNotNull()), F.lit(-1)) == "", F.lit(False))
-    shorter = sums.select("lang", *prefix, F.lit(None).cast("string").alias(last), size.cast("int").alias("words"), "n")
+    shorter = sums.select("lang", *prefix, F.lit(None).cast("string").alias(last), words.cast("int").alias("words"), "n")
     shorter = shorter.filter((F.col("words") == 0) | ((F.col("words") > 0) & (F.col("n") >= least) & ~ends_in_pad))
     return cut(full.union(shorter))
 
@@ -144,7 +187,7 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 
 
 def collocations(
-    docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2000, covered: int = 50, text: str = "text", lang: str = "lang", chunk: int = CHUNK
+    docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2000, covered: int = 50, text: str = "text", lang: str = "lang", chunk: int = CHUNK, group: int = GROUP
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 to `longest` words.
 
@@ -153,7 +196,7 @@ def collocations(
     drops out. Null texts count as empty, a null language as `und`; empty texts and an empty table give no rows.
     Ids are not looked at: rows that repeat count each time. Texts of any length are counted whole.
     """
-    counts = phrase_counts(docs, longest, least, text, lang, chunk)
+    counts = phrase_counts(docs, longest, least, text, lang, chunk, group)
     columns = [f"w{k + 1}" for k in range(longest)]
 
     def of(size: int, at: int, name: str) -> DataFrame:

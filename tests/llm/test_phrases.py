@@ -58,19 +58,15 @@ def phrases_of(docs, longest, least, top, covered):
     return sorted(out)
 
 
-@pytest.mark.parametrize("longest, least, top, chunk", [(3, 3, 2000, 1 << 24), (2, 2, 5, 300), (4, 2, 50, 1)])
-def test_collocations(spark, longest, least, top, chunk):
+@pytest.mark.parametrize("longest, least, top, chunk, group", [(3, 3, 2000, 1 << 24, 1 << 23), (2, 2, 5, 300, 20_000), (4, 2, 50, 1, 50_000)])
+def test_collocations(spark, longest, least, top, chunk, group):
     docs = random_docs(longest) + ODD
-    got = collocations.collocations(frame(spark, docs).repartition(3), longest, least, top, 50, chunk=chunk)
+    got = collocations.collocations(frame(spark, docs).repartition(3), longest, least, top, 50, chunk=chunk, group=group)
     assert sorted(tuple(r) for r in got.collect()) == phrases_of(docs, longest, least, top, 50)
 
 
-def test_collocations_without_hot_words_and_of_nothing(spark, monkeypatch):
-    docs = random_docs(9)
-    monkeypatch.setattr(collocations, "HOT", 1)  # no word makes up more than all
-    got = collocations.collocations(frame(spark, docs), 3, 2)
-    assert sorted(tuple(r) for r in got.collect()) == phrases_of(docs, 3, 2, 2000, 50)
-    assert collocations.collocations(frame(spark, docs).limit(0)).count() == 0
+def test_collocations_of_nothing(spark):
+    assert collocations.collocations(frame(spark, ODD).limit(0)).count() == 0
     assert collocations.collocations(frame(spark, [(1, None, None), (2, ". , ", "en")])).count() == 0
 
 
