@@ -35,7 +35,7 @@ from kinmer.llm.tokens import classes, cut_words, row_chunks
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
 GAPS = " \t"
 #: Bytes of text whose windows are counted together in a task.
-CHUNK = 16 << 20
+CHUNK = 12 << 20
 #: Bytes of text whose windows, wherever they occur, are summed together.
 GROUP = 8 << 20
 ROWS_AT_ONCE = 100_000
@@ -61,10 +61,14 @@ def _parts(hashes: list[np.ndarray], parts: int) -> np.ndarray:
     return (mixed % np.uint64(parts)).astype(np.int64)
 
 
-def _pack(names: pa.Array, keys: list[np.ndarray], n: np.ndarray) -> bytes:
-    """Rows of words, given by their places in `names`, and counts, as one compressed Arrow batch."""
-    used, codes = np.unique(np.concatenate(keys), return_inverse=True)
-    columns = [names.take(pa.array(used)), *[pa.array(c.astype(np.int32)) for c in np.split(codes, len(keys))], pa.array(n)]
+def _pack(names: pa.Array, keys: list[np.ndarray], n: np.ndarray, place: np.ndarray) -> bytes:
+    """Rows of words, given by their places in `names`, and counts, as one compressed Arrow batch; `place` is room for a number for each name."""
+    there = np.zeros(len(names), bool)
+    for k in keys:
+        there[k] = True
+    used = np.flatnonzero(there)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    columns = [names.take(pa.array(used)), *[pa.array(place[k]) for k in keys], pa.array(n)]
     lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
     batch = pa.RecordBatch.from_arrays(lists, ["names", *[f"k{k}" for k in range(len(keys))], "n"])
     out = pa.BufferOutputStream()
@@ -88,22 +92,50 @@ def _unpack(blobs: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray], np.ndar
     return coded.dictionary, [place[np.concatenate(k)] for k in zip(*keys)], np.concatenate(counts)
 
 
-def _sums(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each combination of keys once, with the sum of its counts."""
-    names = [f"k{k}" for k in range(len(keys))]
-    found = pa.table({**dict(zip(names, keys)), "n": n}).group_by(names, use_threads=False).aggregate([("n", "sum")])
-    return [found[k].combine_chunks().to_numpy() for k in names], found["n_sum"].combine_chunks().to_numpy()
+def _sums(keys: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each combination of keys once, in their order, with the sum of its counts, or how often it is there."""
+    if not len(keys[0]):
+        return keys, np.zeros(0, np.int64)
+    there = np.zeros(int(keys[0].max()) + 1, bool)  # languages are few: their numbers are made small
+    there[keys[0]] = True
+    few = np.flatnonzero(there).astype(np.int32)
+    keys = [(np.cumsum(there) - 1)[keys[0]], *keys[1:]]
+    bits = [max(1, int(k.max()).bit_length()) for k in keys]
+    if sum(bits) > 63:
+        names = [f"k{k}" for k in range(len(keys))]
+        table = pa.table({**dict(zip(names, keys)), "n": np.ones(len(keys[0]), np.int64) if n is None else n})
+        found = table.group_by(names, use_threads=False).aggregate([("n", "sum")]).sort_by([(k, "ascending") for k in names])
+        first, *rest = (found[k].combine_chunks().to_numpy() for k in names)
+        return [few[first], *rest], found["n_sum"].combine_chunks().to_numpy()
+    one = np.zeros(len(keys[0]), np.int64)  # all keys in one number
+    for key, size in zip(keys, bits):
+        one <<= size
+        one |= key
+    if n is None:
+        one.sort()
+    else:
+        order = np.argsort(one)
+        one, n = one[order], n[order]
+    first = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
+    sums = np.diff(np.append(first, len(one))) if n is None else np.add.reduceat(n, first)
+    one, out = one[first], []
+    for size in reversed(bits):
+        out.append((one & ((1 << size) - 1)).astype(np.int32))
+        one >>= size
+    out[-1] = few[out[-1]]
+    return out[::-1], sums
 
 
 def _dealt(names: pa.Array, keys: list[np.ndarray], n: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, blob) of all rows, in the order of their keys within each."""
+    """(part, blob) of all rows; they stay in order within each."""
     hashes = _hashes(names)
     part = _parts([hashes[k] for k in keys], parts)
-    order = np.lexsort([*keys[::-1], part])
-    ends = np.flatnonzero(np.append(np.diff(part[order]), 1)) + 1
-    for first, end in zip([0, *ends[:-1]], ends if len(order) else []):
-        rows = order[first:end]
-        yield int(part[rows[0]]), _pack(names, [k[rows] for k in keys], n[rows])
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    keys, n, part = [k[order] for k in keys], n[order], part[order]
+    ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1 if len(part) else []
+    place = np.empty(len(names), np.int32)
+    for first, end in zip([0, *ends[:-1]], ends):
+        yield int(part[first]), _pack(names, [k[first:end] for k in keys], n[first:end], place)
 
 
 def packed_windows(docs: DataFrame, longest: int, parts: int, text: str = "text", lang: str = "lang", chunk: int = CHUNK) -> DataFrame:
@@ -128,7 +160,7 @@ def packed_windows(docs: DataFrame, longest: int, parts: int, text: str = "text"
                         lead[goes_on] = code[goes_on + k]
                     leads.append(lead)
                 names = pa.concat_arrays([words.dictionary.cast(pa.large_string()), pa.array([""], pa.large_string()), langs.dictionary.cast(pa.large_string())])
-                rows = list(_dealt(names, *_sums(leads, np.ones(n, np.int64)), parts))
+                rows = list(_dealt(names, *_sums(leads), parts))
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["part", "blob"])
 
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -49,7 +49,7 @@ def _offsets(texts: pa.Array) -> np.ndarray:
 
 
 def cut_words(texts: pa.Array, kinds: np.ndarray) -> Words:
-    """The words of all texts, A-Z in lower case; a null text has none."""
+    """The words of all texts, A-Z in lower case; a null text has none. At most 2 GB of text, as an Arrow column of strings holds."""
     texts = texts.fill_null("") if texts.null_count else texts
     if not len(texts):
         return Words(pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -64,9 +64,9 @@ def cut_words(texts: pa.Array, kinds: np.ndarray) -> Words:
     firsts = ends[:-1][ends[:-1] < len(data)]
     begins[firsts] = inside[firsts]  # a text's first letter begins a word whatever stands before it
     at = np.flatnonzero(begins)
-    cuts = np.flatnonzero(kind == 2)
-    row = np.searchsorted(ends, at, side="right") - 1
-    kept = np.cumsum(inside, dtype=np.int64)
-    offsets = np.append(kept[at] - 1, inside.sum()).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(at, ends)))
+    piece = row + np.cumsum(kind == 2, dtype=np.int32)[at] if (kinds == 2).any() else row
+    # Where the letters of each word lie once all others are left out.
+    offsets = np.append(np.cumsum(inside, dtype=np.int32)[at] - 1, inside.sum()).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
-    return Words(words, row, row + np.searchsorted(cuts, at))
+    return Words(words, row, piece)
