@@ -123,6 +123,15 @@ def streamed_predictions(spark: SparkSession, sf_dir: str, folder: str) -> DataF
     return rows.select(*[F.col(c).alias(c.lower()) for c in told])
 
 
+@query(f"""
+SELECT 'x_chunk_' || CAST(chunk AS VARCHAR) || '_A.xls' AS source_file, 'HLA-A' AS allele, row_no, peptide, score, rank FROM ({_NUMBERED_SQL}) WHERE flag = 'A'""")
+def ranged_predictions(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """S4 by byte ranges: the prediction files of flag A, chosen by their names, each read by several tasks."""
+    _prediction_files(spark, sf_dir, folder)
+    rows = readers.load_predictions(spark, folder, glob="*_A.xls", split=64 << 10)
+    return rows.select("source_file", F.col("Allele").alias("allele"), F.col("row_no").cast("long").alias("row_no"), F.col("Peptide").alias("peptide"), F.col("BA_score").alias("score"), F.col("BA_Rank").alias("rank"))
+
+
 @query("""
 SELECT l_suppkey AS chunk, count(DISTINCT l_returnflag) AS n_files, bool_or(l_returnflag = 'A') AS processed FROM lineitem GROUP BY 1""")
 def listed_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import gzip
-import itertools
-import re
-import zlib
-from collections.abc import Iterator, Sequence
-
-import pyarrow as pa
-import pyarrow.fs  # noqa: F401 - makes pa.fs
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,10 +13,7 @@ from kinmer.functions.names import chunk_no
 from kinmer.functions.sequences import accession, pair_header
 from kinmer.operators.segments import number_lines
 from kinmer.schemas import HITS, LD_INDEX, LD_TRIPLES
-
-LINES_AT_ONCE = 50_000
-#: Most bytes of a block of a block-gzip file.
-MOST_BLOCK = 1 << 16
+from kinmer.sources.formats import register_formats
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str], sep: str | None = None) -> DataFrame:
@@ -108,102 +100,34 @@ def read_annotated(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a path or address and the path in it, for tasks that open files themselves."""
-    return pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
-
-
-def _block_at(buffer: bytes, at: int) -> int | None:
-    """The whole size of the block-gzip block that begins at this place, None if none does."""
-    if buffer[at : at + 4] != b"\x1f\x8b\x08\x04" or buffer[at + 10 : at + 16] != b"\x06\x00BC\x02\x00" or len(buffer) < at + 18:
-        return None
-    return int.from_bytes(buffer[at + 16 : at + 18], "little") + 1
-
-
-def _blocks(f: pa.NativeFile, start: int, size: int) -> Iterator[tuple[int, bytes]]:
-    """(place, text) of the blocks of a block-gzip file from the first that begins at `start` or later."""
-    f.seek(start)
-    buffer = f.read(2 * MOST_BLOCK)
-    for skip in range(len(buffer)):
-        n = _block_at(buffer, skip)
-        # What looks like a block is one if it ends the file or another follows it.
-        if n and (start + skip + n == size or _block_at(buffer, skip + n)):
-            break
-    else:
-        return
-    at = start + skip
-    while at < size:
-        f.seek(at)
-        block = f.read(MOST_BLOCK)
-        n = _block_at(block, 0)
-        if n is None:
-            raise ValueError(f"no block at {at}")
-        yield at, zlib.decompress(block[18 : n - 8], -15)
-        at += n
-
-
-def _lines_of_split(f: pa.NativeFile, start: int, end: int, size: int) -> Iterator[bytes]:
-    """Lines of the blocks that begin in [start, end): the first, which the split before reads to its end, but for the file's own; and one line more."""
-    rest, skips, alone = b"", start > 0, True
-    for at, text in _blocks(f, start, size):
-        if at >= end and (skips or alone):  # not a line begins in the split
-            return
-        rest += text
-        lines = rest.split(b"\n")
-        rest = lines.pop()
-        if skips and lines:
-            lines, skips = lines[1:], False
-        if at < end:
-            alone = False
-            yield from lines
-        elif lines:
-            yield lines[0]
-            return
-    if rest and not skips:
-        yield rest
-
-
 def read_bgz_tsv(spark: SparkSession, path: str | Sequence[str], schema: StructType, split: int = 64 << 20) -> DataFrame:
     """Block-gzip tab-separated files with a header; columns by name, unparsable values null.
 
-    Spark knows no codec for the ending. Files are listed, not read, by its binary source; each range of
-    `split` bytes is a row, whose task opens the file there and decompresses the blocks that begin in it.
+    Spark knows no codec for the ending; the format `bgz_tsv` plans a partition for each range of `split` bytes.
     A file in plain gzip, which can't be entered midway, is read as a stream by the task of its first range.
     """
-    names = [f.name for f in schema]
-
-    def columns(lines: Iterator[bytes], head: list[str]) -> Iterator[pa.RecordBatch]:
-        places = [head.index(n) if n in head else None for n in names]
-        while some := list(itertools.islice(lines, LINES_AT_ONCE)):
-            rows = [line.decode().rstrip("\r").split("\t") for line in some if line]
-            cols = [[r[p] if p is not None and p < len(r) else None for r in rows] for p in places]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, start, end, size in zip(*(c.to_pylist() for c in batch.columns)):
-                system, place = file_system(file)
-                with system.open_input_file(place) as f:
-                    if _block_at(f.read(18), 0):
-                        head = next(_lines_of_split(f, 0, 1, size), b"")
-                        lines = _lines_of_split(f, start, end, size)
-                    elif start:
-                        continue
-                    else:
-                        f.seek(0)
-                        lines = (line.rstrip(b"\n") for line in gzip.open(f))
-                        head = None
-                    if start == 0:
-                        head = next(lines, b"")
-                    yield from columns(lines, head.decode().rstrip("\r").split("\t"))
-
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start")
-    ranges = files.select("path", starts, "size").select("path", "start", F.least(F.col("start") + split, "size").alias("end"), "size")
-    texts = ranges.repartition("path", "start").mapInArrow(run, ", ".join(f"`{n}` string" for n in names))
+    register_formats(spark)
+    paths = json.dumps([path] if isinstance(path, str) else list(path))
+    texts = spark.read.format("bgz_tsv").schema(", ".join(f"`{f.name}` string" for f in schema)).option("paths", paths).option("split", split).load()
     return texts.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
 
 
+def load_predictions(spark: SparkSession, path: str | Sequence[str], columns: dict[str, str] | None = None, glob: str = "*", split: int = 64 << 20) -> DataFrame:
+    """S4 by the format `predictions`, with the columns of `read_predictions`: files whose names fit `glob` are chosen before any is opened.
+
+    Each range of a file is parsed by its own task; rows are numbered over ranges as in `number_lines`.
+    """
+    register_formats(spark)
+    wanted = columns or {"Peptide": "string", "BA_score": "double", "BA_Rank": "double"}
+    told = ", ".join(["source_file string", "block bigint", "row bigint", "Allele string", *[f"`{n}` {k}" for n, k in wanted.items()]])
+    paths = json.dumps([path] if isinstance(path, str) else list(path))
+    rows = spark.read.format("predictions").schema(told).option("paths", paths).option("pathGlobFilter", glob).option("split", split).load()
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = rows.groupBy(F.col("source_file").alias("file"), F.col("block").alias("no")).agg(F.count(F.lit(1)).alias("n")).select("file", "no", before.alias("before"))
+    numbered = rows.join(ranges, (F.col("source_file") == F.col("file")) & (F.col("block") == F.col("no")))
+    return numbered.select("source_file", chunk_no(F.col("source_file")).alias("chunk"), "Allele", (F.col("before") + F.col("row")).cast("int").alias("row_no"), *[F.col(f"`{n}`") for n in wanted])
+
+
 def read_ids(spark: SparkSession, path: str | Sequence[str], name: str = "id") -> DataFrame:
     """(name, input_pos): one id a line, blanks skipped, in an orderable place."""
     lines = read_lines(spark, path).withColumn(name, F.trim(F.regexp_replace("value", "\r", "")))

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
-import uuid
-import zlib
-from collections.abc import Iterator
-
 import pyarrow as pa
 import pyarrow.fs  # noqa: F401 - makes pa.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmer.operators.common import number_rows, unused
-from kinmer.sources.readers import file_system
+from kinmer.functions.sequences import pair_record_id
+from kinmer.operators.common import number_rows, observed, unused
+from kinmer.sources.formats import file_system, register_formats
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -47,57 +43,21 @@ def write_fasta(df: DataFrame, path: str, id_col: str = "id", seq: str = "seq",
     df.select(fasta_record(F.col(id_col), F.col(seq)).alias("value")).write.mode(mode).text(path)
 
 
-def _bgzf(data: bytes) -> bytes:
-    """One block of the block-gzip format."""
-    packer = zlib.compressobj(wbits=-15)
-    body = packer.compress(data) + packer.flush()
-    head = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff\x06\x00BC\x02\x00" + (len(body) + 25).to_bytes(2, "little")
-    return head + body + zlib.crc32(data).to_bytes(4, "little") + len(data).to_bytes(4, "little")
-
-
-#: Text in one block of a block-gzip file.
-BLOCK_BYTES = 0xFF00
-
-
-def _write_named(file: str, lines: Iterator[str], path: str) -> int:
-    """Write one file under a name of its own, then rename it: a task that is run again replaces it whole."""
-    system, root = file_system(path)
-    target, count = f"{root}/{file}", 0
-    system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-    fresh = f"{target.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
-    with system.open_output_stream(fresh, compression=None) as out:
-        held = b""
-        for line in lines:
-            count += 1
-            held += line.encode() + b"\n"
-            while len(held) >= BLOCK_BYTES:
-                out.write(_bgzf(held[:BLOCK_BYTES]) if file.endswith(".bgz") else held[:BLOCK_BYTES])
-                held = held[BLOCK_BYTES:]
-        out.write(_bgzf(held) + _bgzf(b"") if file.endswith(".bgz") else held)
-    if system.get_file_info(target).type != pa.fs.FileType.NotFound:
-        system.delete_file(target)
-    system.move(fresh, target)
-    return count
-
-
 def write_named_files(rows: DataFrame, path: str, mode: str = "error") -> int:
     """Text files with names of the caller's: rows (file, at, value) are lines, in the order of `at`; how many were written.
 
-    `file` may name folders too; an ending .bgz makes block-gzip files. A file is written by one task,
-    line by line, in a file system that executors share. With mode `overwrite` files of these names are
-    replaced; otherwise the folder must not exist.
+    `file` may name folders too; an ending .bgz makes block-gzip files. A file is written by one task, line by
+    line, in a file system that executors share. With mode `overwrite` files of these names are replaced; otherwise
+    the folder must not exist. The format `named_files` makes all files visible when the job is done, and none if it fails.
     """
     system, root = file_system(path)
     if mode != "overwrite" and system.get_file_info(root).type != pa.fs.FileType.NotFound:
         raise ValueError(f"{path} exists")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        counts = [_write_named(file, (value for _, value in part), path) for file, part in itertools.groupby(lines, key=lambda r: r[0])]
-        yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["n"])
-
+    register_formats(rows.sparkSession)
     ordered = rows.select("file", "at", "value").repartition("file").sortWithinPartitions("file", "at")
-    return ordered.select("file", "value").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lines, seen = observed(ordered.select("file", "value"), n=F.count(F.lit(1)))
+    lines.write.format("named_files").mode("overwrite" if mode == "overwrite" else "append").save(path)
+    return seen.get["n"]
 
 
 def write_fasta_chunks(pairs: DataFrame, path: str, order: list[str], n: int = 100, per_dir: int = 50, mode: str = "error") -> None:
@@ -105,21 +65,24 @@ def write_fasta_chunks(pairs: DataFrame, path: str, order: list[str], n: int = 1
 
     `pairs` has pep, i, uniprot_viral, uniprot_human, peptide_viral and peptide_human. A file has n
     records, a folder per_dir files, both numbered from 1; `read_pair_headers` knows the chunk from the
-    name. n must be even: a chunk holds whole pairs.
+    name. n must be even: a chunk holds whole pairs. Files appear together when the job is done (format `fasta_chunks`).
     """
     if n % 2:
         raise ValueError("an odd number of records would part a pair")
-    from kinmer.functions.sequences import pair_record_id
-
+    system, root = file_system(path)
+    if mode != "overwrite" and system.get_file_info(root).type != pa.fs.FileType.NotFound:
+        raise ValueError(f"{path} exists")
+    register_formats(pairs.sparkSession)
     row = unused(pairs, "row")
-    chunk = F.floor(F.col(row) * 2 / n).cast("long") + 1
-    file = F.concat(F.lit("chunk_"), (F.floor((chunk - 1) / per_dir) + 1).cast("string"), F.lit("/matched_pairs_chunk_"), chunk.cast("string"), F.lit(".fasta"))
     both = F.concat_ws(
         "\n",
         fasta_record(pair_record_id("VIRAL", F.col("pep"), F.col("i"), F.col("uniprot_viral")), F.col("peptide_viral"), None),
         fasta_record(pair_record_id("HUMAN", F.col("pep"), F.col("i"), F.col("uniprot_human")), F.col("peptide_human"), None),
     )
-    write_named_files(number_rows(pairs, order, row).select(file.alias("file"), F.col(row).alias("at"), both.alias("value")), path, mode)
+    numbered = number_rows(pairs, order, row).select(F.col(row).alias("row"), both.alias("value"))
+    dealt = numbered.repartition(F.floor(F.col("row") * 2 / n)).sortWithinPartitions("row")
+    writer = dealt.write.format("fasta_chunks").option("records", n).option("per_dir", per_dir)
+    writer.mode("overwrite" if mode == "overwrite" else "append").save(path)
 
 
 def write_kmer_index(rows: DataFrame, path: str, mode: str = "error") -> None:

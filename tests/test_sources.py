@@ -134,3 +134,40 @@ def test_small_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "kmers")).count() == 2
     grouped = map_groups(df, ["trait"], lambda pdf: pdf.groupby("trait").threshold.sum().reset_index(), "trait string, threshold double")
     assert grouped.first().threshold == pytest.approx(0.06)
+
+
+# Data sources
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    rows = spark.range(2000).select((F.col("id") % 7).cast("string").alias("file"), F.col("id").alias("at"), F.when(F.col("id") == 1999, F.raise_error("broken")).otherwise(F.col("id").cast("string")).alias("value"))
+    with pytest.raises(Exception, match="broken"):
+        writers.write_named_files(rows, str(tmp_path / "out"))
+    assert not [f for f in (tmp_path / "out").rglob("*") if f.is_file()]
+    good = rows.filter("id < 1999")
+    assert writers.write_named_files(good, str(tmp_path / "out"), "overwrite") == 1999
+    assert sorted(f.name for f in (tmp_path / "out").rglob("*")) == list("0123456")
+    with pytest.raises(Exception, match="exists"):  # what is there stays, and the new job leaves nothing
+        good.select("file", "value").coalesce(1).sort("file").write.format("named_files").mode("append").save(str(tmp_path / "out"))
+    assert sorted(f.name for f in (tmp_path / "out").rglob("*")) == list("0123456")
+    with pytest.raises(Exception, match="several tasks"):
+        good.select("file", "value").repartition(3).write.format("named_files").mode("overwrite").save(str(tmp_path / "twice"))
+    assert not [f for f in (tmp_path / "twice").rglob("*") if f.is_file()]
+
+
+def test_predictions_format_agrees_and_prunes(spark, tmp_path):
+    for k in range(4):
+        rows = [f"P{i}\t{i / 4}\t{'x' if i % 5 == 0 else i}" if i % 3 else "" for i in range(40 * k)]
+        (tmp_path / f"a_chunk_{k}.xls").write_text("\n".join([f"HLA-{k} x", "Peptide\tBA_score\tBA_Rank", *rows]) + "\r\n" * (k % 2))
+    (tmp_path / "a_chunk_9.xls").write_text("")
+    want = sorted(tuple(r) for r in readers.read_predictions(spark, str(tmp_path)).collect())
+    for split in (1 << 20, 64, 7):
+        got = readers.load_predictions(spark, str(tmp_path), split=split)
+        assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+    raw = spark.read.format("predictions").option("split", 100)
+    every, some = raw.load(str(tmp_path / "*.xls")), raw.option("pathGlobFilter", "a_chunk_[12].xls").load(str(tmp_path))
+    assert 1 < some.rdd.getNumPartitions() < every.rdd.getNumPartitions()
+    one = every.filter("source_file = 'a_chunk_1.xls' AND BA_score > 1").count()
+    assert one == sum(1 for i in range(40) if i % 3 and i > 4) and every.count() == len(want)
+    (tmp_path / "a_chunk_3.xls").unlink()  # a file that isn't chosen isn't opened
+    assert some.count() == sum(r[0] in ("a_chunk_1.xls", "a_chunk_2.xls") for r in want)
