@@ -1,11 +1,10 @@
 """Exact de-duplication: 128-bit content hash, bytes compared inside the groups, one row stays.
 
 Plan: rows are counted by the MD5 of their text; only digests move, and copies fold in the scan's own
-tasks. Texts whose digest no other row has need nothing more. The others are compared by their bytes:
+tasks. A filter of the digests that repeat, of bounded size (`sieve`), is tested in the scan at any number
+of them: a text that fails it has no copy and never moves. Those that pass are compared by their bytes:
 they are grouped by (hash, text), again folded in the scan, so a text that fills a third of the table
 reaches its reducer as one row from each task, and rows share a group only if their bytes are equal.
-The digests that repeat are sent to the scan up to FEW of them; beyond that all texts are grouped by
-(hash, text), which moves each distinct text of a task once.
 """
 
 from __future__ import annotations
@@ -14,26 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmer.llm.shared import cut, text_or_empty, unused
-
-#: Up to so many digests (16 bytes and two numbers each) are broadcast.
-FEW = 500_000
+from kinmer.llm.sieve import MOST_BITMAPS, Sieve, build_sieve
 
 
 def _digest(text: str) -> Column:
     return F.unhex(F.md5(text_or_empty(text).cast("binary")))
 
 
-def repeated_digests(docs: DataFrame, text: str, few: int) -> DataFrame | None:
-    """(digest) of texts that more than one row may have, ready to be broadcast; None where they are too many."""
+def repeated_digests(docs: DataFrame, text: str, most: int = MOST_BITMAPS) -> Sieve:
+    """A filter of the digests of texts that more than one row may have."""
     counts = docs.select(_digest(text).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    repeated = cut(counts.filter("n > 1").select("digest"))
-    return F.broadcast(repeated) if repeated.count() <= few else None
-
-
-def _of(docs: DataFrame, text: str, repeated: DataFrame, how: str) -> DataFrame:
-    """The rows whose digest is (left_semi) or isn't (left_anti) among the repeated ones."""
-    name = unused(docs, "digest")
-    return docs.join(repeated.withColumnRenamed("digest", name), _digest(text) == F.col(name), how)
+    return build_sieve(cut(counts.filter("n > 1").select("digest")), most)
 
 
 def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: str = "largest") -> DataFrame:
@@ -52,7 +42,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ke
 
 
 def mark_exact_duplicates(
-    docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: str = "largest", few: int = FEW
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: str = "largest", most: int = MOST_BITMAPS
 ) -> DataFrame:
     """One row per input row: (doc_id, keep_id, group_size, kept, text_sha256).
 
@@ -61,25 +51,21 @@ def mark_exact_duplicates(
     is never kept unless its whole group has null ids (keep_id is then null and kept true). Extra
     columns of `docs` are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), _digest(text).alias("_hash"), F.sha2(text_or_empty(text).cast("binary"), 256).alias("_sha")
+    repeated = repeated_digests(docs, text, most)
+    moved = repeated.passing(docs, _digest(text))
+    groups = cut(exact_groups(moved, text, id_col, keep).filter("group_size > 1"))
+    sha = F.sha2(text_or_empty(text).cast("binary"), 256)
+    unlike = repeated.failing(docs, _digest(text)).select(
+        F.col(id_col).alias("doc_id"), F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256")
     )
-    repeated = repeated_digests(docs, text, few)
-    if repeated is None:
-        groups = exact_groups(docs, text, id_col, keep)
-    else:
-        groups = cut(exact_groups(_of(docs, text, repeated, "left_semi"), text, id_col, keep))
-        groups = F.broadcast(groups) if groups.count() <= few else groups
+    rows = moved.select(F.col(id_col).alias("doc_id"), _digest(text).alias("_hash"), sha.alias("_sha")).join(groups, ["_hash", "_sha"], "left")
     alone = F.col("group_size").isNull()
-    return (
-        rows.join(groups, ["_hash", "_sha"], "left")
-        .select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "_sha")
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
-    )
+    told = rows.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "_sha")
+    return unlike.union(told.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "_sha"))
 
 
 def drop_exact_duplicates(
-    docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: str = "largest", few: int = FEW
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: str = "largest", most: int = MOST_BITMAPS
 ) -> DataFrame:
     """The rows of `docs` that stay, one for each distinct text, with all their columns.
 
@@ -87,15 +73,13 @@ def drop_exact_duplicates(
     id in the aggregation. Null text counts as empty and stays null in the row that stays. A null id
     loses to any other; rows with the same text and id are told apart by their other plain columns.
     """
-    repeated = repeated_digests(docs, text, few)
-    if repeated is None:
-        return _one_of_each(docs, text, id_col, keep)
-    return _of(docs, text, repeated, "left_anti").union(_one_of_each(_of(docs, text, repeated, "left_semi"), text, id_col, keep))
+    repeated = repeated_digests(docs, text, most)
+    return repeated.failing(docs, _digest(text)).union(_one_of_each(repeated.passing(docs, _digest(text)), text, id_col, keep))
 
 
 def _one_of_each(docs: DataFrame, text: str, id_col: str, keep: str) -> DataFrame:
-    pick = F.max_by if keep == "largest" else F.min_by
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(text).isNull().alias("_null"))
+    pick, null = F.max_by if keep == "largest" else F.min_by, unused(docs, "null")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(text).isNull().alias(null))
     plain = [c for c, kind in docs.dtypes if c not in (text, id_col) and "<" not in kind and kind != "variant"]
     rank = F.struct(F.col(id_col).isNotNull() if keep == "largest" else F.col(id_col).isNull(), F.col(id_col), *[F.col(f"`{c}`") for c in plain])
     kept = (
@@ -103,7 +87,7 @@ def _one_of_each(docs: DataFrame, text: str, id_col: str, keep: str) -> DataFram
         .groupBy("_hash", "_text")
         .agg(pick("_own", "_rank").alias("_own"))
     )
-    back = F.when(~F.col("_own._null"), F.col("_text")).alias(text)
+    back = F.when(~F.col(f"_own.{null}"), F.col("_text")).alias(text)
     return kept.select(*[back if c == text else F.col(f"_own.`{c}`").alias(c) for c in docs.columns])
 
 

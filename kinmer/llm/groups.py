@@ -30,8 +30,6 @@ from kinmer.llm.shared import cut
 BLOCK = 1024
 #: Heads of a large group in the first pass, on average.
 HEADS = 8
-#: Up to so many rows of three numbers are sent to all tasks.
-FEW = 100_000
 
 
 class Fingerprints:

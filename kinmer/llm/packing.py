@@ -24,7 +24,7 @@ CAPACITY = 2048
 DOCS_PER_GROUP = 2000
 END_ID = 1
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long, place long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -51,7 +51,7 @@ def byte_bpe(path: str | None = None) -> Callable[[str], list[int]]:
         try:
             return coder.encode(text, allowed_special="all")
         except ValueError:
-            return library().encode(text).ids
+            return library().encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -93,23 +93,26 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
 
 
 def pieces(docs: DataFrame, text: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """Each document's tokens and the end id, cut into pieces of at most `capacity`: PIECE columns."""
+    """Each document's tokens and the end id, cut into pieces of at most `capacity`: PIECE columns.
+
+    `place` is that of the document's row in its task's input, which tells rows apart that are equal in all else.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, body, place in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 ids = np.array(encode(body.as_py() or "") + [END_ID], "<u4")
                 salt = zlib.crc32(ids)
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
-                    out.append((doc_id, start, len(part), zlib.crc32(part), len(ids), salt))
+                    out.append((doc_id, start, len(part), zlib.crc32(part), len(ids), salt, place))
             names = [c.split()[0] for c in PIECE.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 6, names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * len(names), names)
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, PIECE)
+    place = F.monotonically_increasing_id().alias("place")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), place).mapInArrow(run, PIECE)
 
 
 def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY, seed: int = 42) -> DataFrame:
@@ -121,7 +124,7 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY, seed: int = 4
         rows["sequence_id"] += key[0] << 32
         return rows[[c.split()[0] for c in PACKED.split(", ")]]
 
-    group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", "salt"), F.lit(groups)).alias("group")
+    group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", "salt", "place"), F.lit(groups)).alias("group")
     return pieces.select("*", group).groupBy("group").applyInPandas(run, PACKED)
 
 
@@ -137,8 +140,8 @@ def pack_documents(
 
     Every id of every document, the end id included, lies in exactly one piece; null and empty
     texts are the end id alone. Offsets in a sequence have no gaps. sequence_id is the group's
-    number times 2^32 plus the bin's. Rows that repeat are packed each by itself, spread by content
-    where ids repeat. Extra columns are ignored; an empty table gives an empty result.
+    number times 2^32 plus the bin's. Rows that repeat are packed each by itself, in groups drawn by
+    their places too, so that no number of equal rows makes a group large. Extra columns are ignored; an empty table gives an empty result.
     """
     n = docs.count() if n_docs is None else n_docs
     return pack(pieces(docs, text, id_col, capacity), max(1, math.ceil(n / docs_per_group)), capacity)

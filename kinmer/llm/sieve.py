@@ -75,3 +75,14 @@ def build_sieve(keys: DataFrame, most: int = MOST_BITMAPS) -> Sieve:
     at = F.explode(F.array(*[_position(key, p) for p in range(probes)])).alias("at")
     rows = keys.filter(key.isNotNull()).select(_bitmap(key, n).alias("bitmap"), at)
     return Sieve(cut(rows.groupBy("bitmap").agg(F.bitmap_construct_agg("at").alias("bits"))), n, probes)
+
+
+def matching(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join of `df` with `keys`, a written table with one row for each key; what has no key doesn't move."""
+    return build_sieve(keys.select(F.xxhash64(*on))).passing(df, F.xxhash64(*on)).join(keys, on)
+
+
+def others(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of `df` that have none of these keys (null ones never match); what surely has none doesn't move."""
+    sieve, key = build_sieve(keys.select(F.xxhash64(*on))), F.xxhash64(*on)
+    return sieve.failing(df, key).unionByName(sieve.passing(df, key).join(keys.select(*on), on, "left_anti"))

@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmer.llm.graph import connected_components
-from kinmer.llm.groups import BLOCK, FEW, Fingerprints, Sets, forest, group_links, large_group_links
+from kinmer.llm.groups import BLOCK, Fingerprints, Sets, forest, group_links, large_group_links
 from kinmer.llm.shared import cut, unused
+from kinmer.llm.sieve import build_sieve, matching, others
 
 
 BITS = 64
@@ -210,11 +211,6 @@ def hot_keys(keyed: DataFrame, hot: int = BLOCK, share: int = 16) -> DataFrame:
     return some.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("rep_id").alias("centre")).filter(F.col("n") > hot // share).select("group", "centre")
 
 
-def _sized(small: DataFrame, n: int) -> DataFrame:
-    """Broadcast a table of three numbers a row, but only up to FEW rows."""
-    return F.broadcast(small) if n <= FEW else small
-
-
 def simhash_components(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 4, radius: int = 4, hot: int = BLOCK
 ) -> DataFrame:
@@ -233,10 +229,10 @@ def simhash_components(
     keys = choice_keys(F.col("fp"), block_count(known.count(), radius), radius)
     keyed = known.select("rep_id", F.get("fp", 0).alias("w0"), F.explode(keys).alias("key")).select(F.xxhash64("key.which", "key.bits").alias("group"), "rep_id", "w0")
     busy = cut(hot_keys(keyed.select("rep_id", "group"), hot))
-    n_busy = busy.count()
-    links = fingerprint_links(keyed.join(_sized(busy, n_busy), "group", "left_anti") if n_busy else keyed, radius)
+    n_busy = len(busy.take(1))
+    links = fingerprint_links(others(keyed, busy, ["group"]) if n_busy else keyed, radius)
     if n_busy:
-        rows = keyed.join(_sized(busy, n_busy), "group").select("group", F.col("rep_id").alias("node"), as_bytes(F.col("w0")).alias("body"))
+        rows = matching(keyed, busy, ["group"]).select("group", F.col("rep_id").alias("node"), as_bytes(F.col("w0")).alias("body"))
         links = links.union(large_group_links(rows, lambda bodies: Fingerprints(bodies, radius), hot))
     found = connected_components(links)
     classes = reps.join(found, reps.rep_id == found.node, "left").select("fp", F.coalesce("component", "rep_id").alias("component_id"))
@@ -318,13 +314,12 @@ def candidate_links(reps: DataFrame, similarity: float, hot: int = BLOCK) -> Dat
     """
     rows = block_rows(reps, Blocks.suited(reps.count(), similarity))
     busy = cut(hot_keys(rows.select("rep_id", "group"), hot))
-    n_busy = busy.count()
     words = LONG_WORDS // 2
     radius = radius_of(similarity, words * BITS, 3.5)
-    if not n_busy:
+    if not busy.take(1):
         return fingerprint_links(rows, radius)
-    together = rows.select("rep_id", "group").join(_sized(busy, n_busy), "group").select(F.col("rep_id").alias("a"), F.col("centre").alias("b"))
-    return fingerprint_links(rows.join(_sized(busy, n_busy), "group", "left_anti"), radius).union(together.filter("a != b").distinct())
+    together = matching(rows.select("rep_id", "group"), busy, ["group"]).select(F.col("rep_id").alias("a"), F.col("centre").alias("b"))
+    return fingerprint_links(others(rows, busy, ["group"]), radius).union(together.filter("a != b").distinct())
 
 
 def set_marks(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5) -> DataFrame:
@@ -378,15 +373,15 @@ def _similar(docs: DataFrame, text: str, id_col: str, shingle: int, similarity:
     large = cut(near.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot))
     size = F.coalesce("n", F.lit(0)).cast("long")  # of a group that one task holds, its size is of no account
     wanted = cut(
-        near.join(_sized(large, large.count()), "component", "left")
+        near.join(large, "component", "left")
         .join(reps, "node")
         .select(F.col("component").alias("group"), "node", size.alias("n"), F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_body"))
     )
     whole = docs.select(F.col(id_col).cast("long").alias("_id"), body_digest(text).alias("_body"), F.col(text).alias("text"))
-    groups = whole.join(_sized(wanted, wanted.count()), ["_id", "_body"]).select("group", "node", "n", "text")
+    groups = matching(whole, wanted, ["_id", "_body"]).select("group", "node", "n", "text")
     found = connected_components(set_links(groups, shingle, similarity, hot))
     firsts = cut(reps.join(found, "node").groupBy("component").agg(F.min("first").alias("least")))
-    classes = reps.join(found, "node", "left").join(_sized(firsts, firsts.count()), "component", "left")
+    classes = reps.join(found, "node", "left").join(firsts, "component", "left")
     return marks.join(classes.select("sig", F.coalesce("least", "first").alias("keep")), "sig", "left").select("doc_id", "body", "keep")
 
 
@@ -415,5 +410,8 @@ def drop_near_duplicates(
     """
     gone_id, gone_body = unused(docs, "gone_id"), unused(docs, "gone_body")
     marked = _similar(docs, text, id_col, shingle, similarity, hot).filter("struct(doc_id, body) != keep")
-    gone = marked.select(F.col("doc_id").alias(gone_id), F.col("body").alias(gone_body)).distinct()
-    return docs.join(gone, (F.col(f"`{id_col}`") == F.col(gone_id)) & (body_digest(text) == F.col(gone_body)), "left_anti")
+    gone = cut(marked.select(F.col("doc_id").alias(gone_id), F.col("body").alias(gone_body)).distinct())
+    sieve = build_sieve(gone.select(F.xxhash64(gone_id, gone_body)))
+    key = F.xxhash64(F.col(f"`{id_col}`").cast("long"), body_digest(text))
+    same = (F.col(f"`{id_col}`") == F.col(gone_id)) & (body_digest(text) == F.col(gone_body))
+    return sieve.failing(docs, key).union(sieve.passing(docs, key).join(gone, same, "left_anti"))

@@ -15,6 +15,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from oracle import connect, same
 
 from kinmer.llm import bpe, exact_dedup, graph, groups, html_extract, licenses, media, packing, quality, sharding, simhash, url_filter, webp
@@ -147,6 +148,13 @@ def test_first_fit_decreasing():
     assert (bins == want).all()
 
 
+def test_equal_rows_are_packed_in_several_groups(spark):
+    docs = spark.range(20_000).select(F.lit(7).alias("doc_id"), F.lit("the same text").alias("text")).repartition(3)
+    packed = packing.pack_documents(docs)
+    sizes = packed.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()
+    assert sum(r["count"] for r in sizes) == 20_000 and len(sizes) == 10 and max(r["count"] for r in sizes) < 2500
+
+
 # 3: BPE
 
 
@@ -539,26 +547,43 @@ def test_media_rows(odd, empty):
 # 7: exact de-duplication
 
 
-@pytest.mark.parametrize("few", [0, exact_dedup.FEW])
-def test_exact_dedup(odd, empty, few):
+@pytest.mark.parametrize("most", [1, exact_dedup.MOST_BITMAPS])
+def test_exact_dedup(odd, empty, most):
     groups = defaultdict(list)
     for i, t in ODD:
         groups[t or ""].append(i)
-    rows = exact_dedup.mark_exact_duplicates(odd, few=few).collect()
+    rows = exact_dedup.mark_exact_duplicates(odd, most=most).collect()
     want = Counter()
     for i, t in ODD:
         ids = [k for k in groups[t or ""] if k is not None]
         best = max(ids) if ids else None
         want[(i, best, len(groups[t or ""]), i == best, hashlib.sha256((t or "").encode()).hexdigest())] += 1
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows) == want
-    assert exact_dedup.mark_exact_duplicates(empty, few=few).count() == 0
-    kept = exact_dedup.drop_exact_duplicates(odd, few=few)
+    assert exact_dedup.mark_exact_duplicates(empty, most=most).count() == 0
+    kept = exact_dedup.drop_exact_duplicates(odd, most=most)
     assert kept.columns == odd.columns
     assert sorted((r.text or "", r.doc_id or 0, r["_hash"]) for r in kept.collect()) == sorted((t, max((k for k in ids if k is not None), default=0), 7) for t, ids in groups.items())
-    least = exact_dedup.mark_exact_duplicates(odd, keep="smallest", few=few)
+    least = exact_dedup.mark_exact_duplicates(odd, keep="smallest", most=most)
     assert {r.keep_id for r in least.filter("doc_id = 5").collect()} == {4}
 
 
+def test_unique_texts_do_not_move(spark):
+    """Of 3000 texts, 30 of them twice, those that are grouped by their bytes are the repeated ones and few others."""
+    docs = spark.createDataFrame([(k, f"text number {k % 2970}") for k in range(3000)], "doc_id long, text string").repartition(4)
+    moved = exact_dedup.repeated_digests(docs, "text").passing(docs, exact_dedup._digest("text"))
+    assert {r.doc_id for r in moved.collect()} >= {*range(30), *range(2970, 3000)} and moved.count() < 60 + 90
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert {r.doc_id for r in kept.collect()} == set(range(30, 3000))
+
+
+def test_exact_dedup_with_columns_of_its_own_names(spark):
+    names = ["null", "NULL_", "_null", "_own", "_rank", "_text", "bits", "bitmap", "digest", "group_size", "keep_id"]
+    rows = [(k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate(["a", "b", "a", None, None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    assert sorted(tuple(r) for r in exact_dedup.drop_exact_duplicates(docs).collect()) == [rows[1], rows[2], rows[4]]
+    assert exact_dedup.mark_exact_duplicates(docs).count() == 5
+
+
 # 8: licences
 
 
