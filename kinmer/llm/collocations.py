@@ -175,6 +175,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str
     *prefix, last = columns = [f"w{k + 1}" for k in range(longest)]
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(1, math.ceil(size / group))
+    prefix_parts = max(1, math.ceil(parts / 4))  # of about as many rows as those of windows, since prefixes are fewer and counted once a group
 
     def out(names: pa.Array, keys: list[np.ndarray], n: np.ndarray, empty: int = 0) -> list[pa.Array]:
         """Columns of words, those of the shorter phrases' missing words null."""
@@ -185,7 +186,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str
         keys, n = _sums(keys, n)
         pad = names.index(pa.scalar("", names.type)).as_py()
         full = np.flatnonzero((n >= least) & (keys[-1] != pad))
-        shorter = list(_dealt(names, *_sums(keys[:-1], n), parts))
+        shorter = list(_dealt(names, *_sums(keys[:-1], n), prefix_parts))
         told = out(names, [k[full] for k in keys], n[full])
         told = [pa.concat_arrays([c, pa.nulls(len(shorter), c.type)]) for c in told]
         part = pa.array([None] * len(full) + [p for p, _ in shorter], pa.int64())
@@ -200,7 +201,8 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str
         return pa.table(out(names, keys, n), ["lang", *prefix, "n"])
 
     kinds = ", ".join(f"{c} string" for c in ["lang", *columns])
-    windows = cut(packed_windows(docs, longest, parts, text, lang, chunk).groupBy("part").applyInArrow(whole, f"{kinds}, n long, part long, blob binary"))
+    # Both uses of these share the shuffle below them.
+    windows = packed_windows(docs, longest, parts, text, lang, chunk).groupBy("part").applyInArrow(whole, f"{kinds}, n long, part long, blob binary")
     full = windows.filter("blob IS NULL").select("lang", *columns, F.lit(longest).alias("words"), "n")
     kept = windows.filter("blob IS NOT NULL").select("part", "blob").groupBy("part").applyInArrow(prefixes, ", ".join(f"{c} string" for c in ["lang", *prefix]) + ", n long")
     sums = kept.rollup("lang", *prefix).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
