@@ -35,12 +35,17 @@ from kinmer.llm.tokens import classes, cut_words, row_chunks
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
 GAPS = " \t"
 #: Bytes of text whose windows are counted together in a task.
-CHUNK = 12 << 20
+CHUNK = 8 << 20
 #: Bytes of text whose windows, wherever they occur, are summed together.
-GROUP = 8 << 20
+GROUP = 6 << 20
 ROWS_AT_ONCE = 100_000
 
 
+def _release() -> None:
+    """Give memory that Arrow keeps for later back to the system: workers live on, and wait beside other stages' tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def _hashes(names: pa.Array) -> np.ndarray:
     """A number for each word by its letters, the same in every task; equal numbers do no harm."""
     ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
@@ -162,6 +167,8 @@ def packed_windows(docs: DataFrame, longest: int, parts: int, text: str = "text"
                 names = pa.concat_arrays([words.dictionary.cast(pa.large_string()), pa.array([""], pa.large_string()), langs.dictionary.cast(pa.large_string())])
                 rows = list(_dealt(names, *_sums(leads), parts))
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["part", "blob"])
+                del cuts, langs, words, code, leads, names, rows
+                _release()
 
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return slim.mapInArrow(run, "part long, blob binary")
@@ -175,7 +182,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str
     *prefix, last = columns = [f"w{k + 1}" for k in range(longest)]
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(1, math.ceil(size / group))
-    prefix_parts = max(1, math.ceil(parts / 4))  # of about as many rows as those of windows, since prefixes are fewer and counted once a group
+    prefix_parts = max(1, math.ceil(parts / 3))  # of about as many rows as those of windows, since prefixes are fewer and counted once a group
 
     def out(names: pa.Array, keys: list[np.ndarray], n: np.ndarray, empty: int = 0) -> list[pa.Array]:
         """Columns of words, those of the shorter phrases' missing words null."""
@@ -184,6 +191,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str
     def whole(table: pa.Table) -> pa.Table:
         names, keys, n = _unpack(table["blob"])
         keys, n = _sums(keys, n)
+        _release()
         pad = names.index(pa.scalar("", names.type)).as_py()
         full = np.flatnonzero((n >= least) & (keys[-1] != pad))
         shorter = list(_dealt(names, *_sums(keys[:-1], n), prefix_parts))
@@ -195,6 +203,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str
     def prefixes(table: pa.Table) -> pa.Table:
         names, keys, n = _unpack(table["blob"])
         keys, n = _sums(keys, n)
+        _release()
         names, pad = pa.concat_arrays([names, pa.array([""], names.type)]), len(names)
         # A prefix too rare to count stands for its first words only.
         keys, n = _sums([*keys[:-1], np.where(n >= least, keys[-1], pad)], n)
