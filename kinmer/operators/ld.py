@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinmer.functions.names import parse_variant, variant_id
-from kinmer.operators.common import number_chunks
+from kinmer.operators.common import number_chunks, unused
 
 THRESHOLDS = (0.001, 0.005, 0.01, 0.05)
 
@@ -23,7 +23,8 @@ def threshold_variants(df: DataFrame, thresholds: Sequence[float] = THRESHOLDS,
     col = F.col(p or ("neglog10_pval_EUR" if mode == "neglog10" else "pval"))
     cuts = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(-math.log10(t)).alias("c")) for t in thresholds])
     passes = F.filter(cuts, lambda s: (col >= s["c"]) if mode == "neglog10" else (col <= s["t"]))
-    return df.withColumn("_cut", F.explode(passes)).withColumn("threshold", F.col("_cut.t")).drop("_cut")
+    own = unused(df, "cut")
+    return df.withColumn(own, F.explode(passes)).withColumn("threshold", F.col(f"{own}.t")).drop(own)
 
 
 def with_variant_id(df: DataFrame, name: str = "variant") -> DataFrame:
@@ -33,7 +34,8 @@ def with_variant_id(df: DataFrame, name: str = "variant") -> DataFrame:
 
 def split_variants(variants: DataFrame, keys: Sequence[str] = ("trait", "threshold"), size: int = 3000) -> DataFrame:
     """Chromosome and chunk of `size` variants within each list, in order of position and id."""
-    parts = variants.withColumns({"_v": parse_variant(F.col("variant"))}).withColumns({"chr": F.col("_v.chr"), "pos": F.col("_v.pos")}).drop("_v")
+    own = unused(variants, "parsed")
+    parts = variants.withColumn(own, parse_variant(F.col("variant"))).withColumns({c: F.col(f"{own}.{c}") for c in ("chr", "pos")}).drop(own)
     return number_chunks(parts, size, [*keys, "chr"], ["pos", "variant"])
 
 
@@ -42,8 +44,8 @@ def match_variants(variants: DataFrame, index: DataFrame) -> tuple[DataFrame, Ob
 
     The counts are there once an action has run; see `require_match`.
     """
-    part = F.col("_v")
-    split = variants.withColumn("_v", parse_variant(F.col("variant"))).withColumns({c: part[c] for c in ("chr", "pos", "ref", "alt")}).drop("_v")
+    own = unused(variants, "parsed")
+    split = variants.withColumn(own, parse_variant(F.col("variant"))).withColumns({c: F.col(f"{own}.{c}") for c in ("chr", "pos", "ref", "alt")}).drop(own)
     seen = Observation()
     matched = split.join(index.select("chr", "pos", "ref", "alt", "idx"), ["chr", "pos", "ref", "alt"], "left")
     return matched.observe(seen, F.count("idx").alias("matched"), F.count(F.lit(1)).alias("total")), seen
@@ -63,6 +65,33 @@ def subset_ld(triples: DataFrame, matched: DataFrame) -> DataFrame:
     return rows.join(ids.withColumnRenamed("idx", "j"), "j", "left_semi")
 
 
+#: Variants of a tile's side.
+TILE = 50_000
+
+
+def with_tiles(triples: DataFrame, tile: int = TILE) -> DataFrame:
+    """Triples with the folders (ti, tj) of the tile that each is stored in; see `write_ld_tiles`."""
+    return triples.withColumns({"ti": F.floor(F.col("i") / tile).cast("int"), "tj": F.floor(F.col("j") / tile).cast("int")})
+
+
+def subset_tiles(tiles: DataFrame, matched: DataFrame, tile: int = TILE) -> DataFrame:
+    """J14 on a tiled store: as `subset_ld`, but only tiles that hold wanted variants in both directions are read.
+
+    The wanted tiles follow from the list of indices, at most one for each, and choose the folders by dynamic partition
+    pruning: `explain` shows them at the scan. Indices are numbers from 0.
+    """
+    ids = matched.select("idx").dropna().distinct()
+    rows = tiles
+    for c in ("ti", "tj"):
+        own = ids.filter("idx >= 0").select(F.floor(F.col("idx") / tile).cast("int").alias(c)).distinct()
+        rows = rows.join(F.broadcast(own) if own.count() <= MOST_TILES else own, c, "left_semi")
+    return subset_ld(rows.drop("ti", "tj"), matched)
+
+
+#: Up to so many numbers of tiles are sent to the scan: indices up to TILE times as large.
+MOST_TILES = 100_000
+
+
 def complete_symmetric(subset: DataFrame, matched: DataFrame) -> DataFrame:
     """(i, j, r, r2) with the upper triangle mirrored and a diagonal of 1.
 

@@ -9,11 +9,11 @@ as it has segments.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -95,25 +95,48 @@ def number_lines(lines: DataFrame, place: str, counts: dict[str, str] | None = N
     return back.withColumns(whole).select(*lines.columns, *names)
 
 
-def carry_forward(df: DataFrame, col: str, keys: Sequence[str], pos: str, name: str) -> DataFrame:
-    """The last value that isn't null at or before each row of its group, in the order of `pos`.
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], part: str, at: str) -> DataFrame:
+    """`df` range-partitioned and sorted by keys and order, written once with its part and its place `at`."""
+    ranged = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn(at, F.monotonically_increasing_id()))
+    return ranged.withColumn(part, F.shiftright(at, 33))  # the identifier holds the partition above its 33 lowest bits
 
-    Rows are range-partitioned by group and place and written once, so a large group lies in many parts. Each part
-    is scanned by itself; only its last row goes on to the parts that begin in the same group.
+
+def _carried(local: DataFrame, keys: Sequence[str], part: str, at: str, value: str, how: Callable[[str], Column], name: str) -> DataFrame:
+    """`local` with `name`: what earlier parts leave to a row's group, `how` (an aggregate) of the values of their last rows.
+
+    Only a part's last group goes on in later parts, and only a part's first one has come from earlier ones: two rows a
+    part meet in a window, one row a part is broadcast.
     """
-    part, at, filled, place = (unused(df, n) for n in ("part", "at", "filled", "place"))
-    ranged = cut(df.repartitionByRange(*keys, pos).sortWithinPartitions(*keys, pos).withColumn(at, F.monotonically_increasing_id()))
-    # The identifier holds the partition above its 33 lowest bits.
-    local = scan_runs(ranged.withColumn(part, F.shiftright(at, 33)), [part, *keys], place, fills={filled: col})
     group = F.struct(*keys)
-    ends = local.groupBy(part).agg(F.min_by(group, at).alias("first"), F.max_by(group, at).alias("last"), F.max_by(F.struct(filled), at)[filled].alias("value"))
-    # What a part leaves to later ones, and, before that, what it asks of earlier ones: two rows a part.
+    ends = local.groupBy(part).agg(F.min_by(group, at).alias("first"), F.max_by(group, at).alias("last"), F.max_by(F.struct(value), at)[value].alias("value"))
     leaves = ends.select(F.col("last").alias("of"), part, F.lit(1).alias("side"), "value")
     asks = ends.select(F.col("first").alias("of"), part, F.lit(0).alias("side"), F.lit(None).cast(ends.schema["value"].dataType).alias("value"))
     before = Window.partitionBy("of").orderBy(part, "side").rowsBetween(Window.unboundedPreceding, -1)
-    carried = leaves.union(asks).withColumn("carried", F.last("value", ignorenulls=True).over(before)).filter("side = 0 AND carried IS NOT NULL")
-    own, of, value = (unused(local, n) for n in ("carried_part", "carried_of", "carried"))
-    carried = carried.select(F.col(part).alias(own), F.col("of").alias(of), F.col("carried").alias(value))
-    # One row for each part of the shuffle at most, so it is broadcast.
-    back = local.join(F.broadcast(carried), (F.col(part) == F.col(own)) & group.eqNullSafe(F.col(of)), "left")
-    return back.withColumn(name, F.coalesce(filled, value)).select(*df.columns, name)
+    found = leaves.union(asks).withColumn("carried", how("value").over(before)).filter("side = 0 AND carried IS NOT NULL")
+    own, of = unused(local, "carried_part"), unused(local, "carried_of")
+    found = found.select(F.col(part).alias(own), F.col("of").alias(of), F.col("carried").alias(name))
+    return local.join(F.broadcast(found), (F.col(part) == F.col(own)) & group.eqNullSafe(F.col(of)), "left")
+
+
+def carry_forward(df: DataFrame, col: str, keys: Sequence[str], pos: str, name: str) -> DataFrame:
+    """The last value that isn't null at or before each row of its group, in the order of `pos`.
+
+    Rows are range-partitioned by group and place and written once, so a large group lies in many parts. Each part
+    is scanned by itself; only its last row goes on to the parts that begin in the same group.
+    """
+    part, at, filled, place, before = (unused(df, n) for n in ("part", "at", "filled", "place", "before"))
+    local = scan_runs(_ranged(df, keys, [pos], part, at), [part, *keys], place, fills={filled: col})
+    back = _carried(local, keys, part, at, filled, lambda v: F.last(v, ignorenulls=True), before)
+    return back.withColumn(name, F.coalesce(filled, before)).select(*df.columns, name)
+
+
+def number_in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """0-based places of rows in their groups, in order; a group of any size is numbered by many tasks.
+
+    The ranges that `carry_forward` works on; a part's last group leaves the number of its rows there. Rows equal in
+    the order keep the place they got.
+    """
+    part, at, place, size, before = (unused(df, n) for n in ("part", "at", "place", "size", "before"))
+    local = scan_runs(_ranged(df, keys, order, part, at), [part, *keys], place).withColumn(size, F.col(place) + 1)
+    back = _carried(local, keys, part, at, size, F.sum, before)
+    return back.withColumn(name, F.col(place) + F.coalesce(before, F.lit(0))).select(*df.columns, name)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmer.functions.sequences import ALPHABET, BLOSUM62, alignment_of_pairs, kmer_strings, upper_letters
+from kinmer.operators.segments import number_in_groups
+from kinmer.shared import cut
 
 #: Windows cut from one block of a sequence.
 BLOCK = 256
@@ -33,30 +36,30 @@ def kmer_rows(proteins: DataFrame, k: int = 8, acc: str = "acc", seq: str = "seq
     return windows.filter(F.instr("kmer", " ") == 0)
 
 
-#: Most items of a list that is gathered in one row.
-MOST_LISTED = 1_000_000
+#: Hits or members in one row of a blocked list.
+LIST_BLOCK = 1000
 
 
-def _check_lists(keys: DataFrame, most: int) -> None:
-    """An error if a key of this one column has more than `most` rows; counted in the map tasks."""
-    counts = keys.groupBy(keys.columns[0]).agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.agg(F.max("n")).first()[0] or 0
-    if largest > most:
-        raise ValueError(f"a list of {largest} items passes {most}; use the long form")
+def kmer_index(proteins: DataFrame, k: int = 8, acc: str = "acc", seq: str = "seq", size: int = LIST_BLOCK) -> DataFrame:
+    """A1: the index in blocks: (kmer, block_no, n, postings), `size` hits a block in order of protein and offset.
 
+    `postings` has a struct for each protein of a block: acc, its first offset and the gaps to the next ones. A k-mer
+    of any frequency is that many more blocks, numbered by many tasks (`number_in_groups`); `kmer_counts` is the
+    directory, and `posting_rows` gives the hits back.
+    """
+    numbered = number_in_groups(kmer_rows(proteins, k, acc, seq), ["kmer"], ["acc", "pos0"], "at")
+    at = F.array_sort(F.collect_list("pos0"))
+    each = numbered.groupBy("kmer", F.floor(F.col("at") / size).alias("block_no"), "acc").agg(at.alias("p"))
+    gaps = F.slice(F.zip_with(F.slice("p", F.lit(2), F.size("p")), "p", lambda b, a: b - a), F.lit(1), F.size("p") - 1)
+    coded = F.struct("acc", F.get("p", 0).alias("first"), gaps.alias("gaps"))
+    return each.groupBy("kmer", "block_no").agg(F.sum(F.size("p")).alias("n"), F.array_sort(F.collect_list(coded)).alias("postings"))
 
-def kmer_index(proteins: DataFrame, k: int = 8, acc: str = "acc", seq: str = "seq", most: int = MOST_LISTED) -> DataFrame:
-    """A1: (kmer, hits, n_hits, n_proteins), hits sorted by protein and offset.
 
-    A k-mer's list is one row, as in the index asked for, and of at most `most` hits: k-mers are counted
-    first, and a more frequent one is an error. `kmer_rows` holds the same in long form without a bound.
-    """
-    rows = kmer_rows(proteins, k, acc, seq)
-    _check_lists(rows.select("kmer"), most)
-    hits = F.array_sort(F.collect_list(F.struct("acc", "pos0")))
-    return rows.groupBy("kmer").agg(
-        hits.alias("hits"), F.count(F.lit(1)).alias("n_hits"), F.count_distinct("acc").alias("n_proteins")
-    )
+def posting_rows(index: DataFrame) -> DataFrame:
+    """(kmer, acc, pos0) of a blocked index."""
+    each = index.select("kmer", F.explode("postings").alias("x")).select("kmer", "x.*")
+    places = F.transform(F.sequence(F.lit(0), F.size("gaps")), lambda i: F.col("first") + F.aggregate(F.slice("gaps", F.lit(1), i), F.lit(0), lambda s, g: s + g))
+    return each.select("kmer", "acc", F.explode(places).alias("pos0"))
 
 
 def kmer_counts(proteins: DataFrame, k: int = 8, acc: str = "acc", seq: str = "seq") -> DataFrame:
@@ -81,14 +84,86 @@ def shared_kmer_pairs(peptides: DataFrame, k: int = 3, peptide: str = "peptide")
     return shared.select("a", "b", (F.col("_m") / (F.col("n_a") + F.col("n_b") - F.col("_m"))).alias("jaccard"))
 
 
-def mean_similarity(peptides: DataFrame, k: int = 3, peptide: str = "peptide") -> DataFrame:
-    """Mean Jaccard over all pairs of distinct peptides, those that share nothing counted by arithmetic."""
-    n = peptides.select(F.count_distinct(peptide)).scalar()
-    pairs = n * (n - 1) / 2
-    total = F.coalesce(F.sum("jaccard"), F.lit(0.0))
-    return shared_kmer_pairs(peptides, k, peptide).agg(
-        F.count(F.lit(1)).alias("n_sharing"), F.coalesce(F.try_divide(total, F.first(pairs)), F.lit(0.0)).alias("mean_similarity")
-    )
+def similar_pairs(peptides: DataFrame, threshold: float, k: int = 3, peptide: str = "peptide") -> DataFrame:
+    """(a, b, jaccard) of distinct peptides a < b of at least this similarity of k-mer sets; threshold above 0.
+
+    Prefix filter: with k-mers in order from rare to frequent, two sets of that similarity share one of the first
+    n - ceil(threshold * n) + 1 of each, so frequent k-mers are hardly ever joined on. Length filter: the smaller set
+    has at least threshold times the larger one's size. What is left is compared exactly.
+    """
+    sets = cut(peptides.select(F.col(peptide).alias("p")).dropna().distinct().select("p", F.array_distinct(kmer_strings(F.col("p"), k)).alias("k")).filter(F.size("k") > 0))
+    rows = sets.select("p", F.explode("k").alias("kmer"))
+    frequency = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("f"))
+    ranked = F.array_sort(F.collect_list(F.struct("f", "kmer")))
+    n = F.size("s")
+    # A little below the threshold, so that rounding never shortens a prefix.
+    kept = F.slice("s", F.lit(1), (n - F.ceil(n * (threshold - 1e-9)) + 1).cast("int"))
+    first = rows.join(frequency, "kmer").groupBy("p").agg(ranked.alias("s")).select("p", n.alias("n"), F.explode(kept).alias("x")).select("p", "n", "x.kmer")
+    left, right = (first.select(F.col("p").alias(c), F.col("n").alias(f"n_{c}"), "kmer") for c in "ab")
+    likely = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (threshold - 1e-9)) & (F.col("a") < F.col("b"))
+    pairs = left.join(right, "kmer").filter(likely).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("p").alias("a"), F.col("k").alias("x")), "a").join(sets.select(F.col("p").alias("b"), F.col("k").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
+#: Peptides of a block whose k-mers meet those of another in one task, and k-mers multiplied at once.
+GRAM_BLOCK, GRAM_COLUMNS = 1024, 4096
+
+
+def _block_pairs(names: DataFrame, block: int) -> DataFrame:
+    """`names` once for each pair of blocks its own is in: (..., own, i, j), i <= j. All pairs of blocks are the definition's."""
+    n_blocks = max(1, -(-names.count() // block))
+    own = F.pmod(F.xxhash64("p"), F.lit(n_blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other")
+    return names.select("*", own.alias("own"), every).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+
+
+def _shared_sums(first: list[np.ndarray], second: list[np.ndarray], columns: int) -> np.ndarray:
+    """How many codes each set of the one side shares with each of the other: a product of two incidence matrices."""
+    out = np.zeros((len(first), len(second)), np.float32)
+
+    def incidence(sets: list[np.ndarray], low: int) -> np.ndarray:
+        matrix = np.zeros((len(sets), columns), np.float32)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        code = np.concatenate(sets)
+        inside = (code >= low) & (code < low + columns)
+        matrix[row[inside], code[inside] - low] = 1
+        return matrix
+
+    if first and second:
+        for low in range(0, int(max(s.max(initial=-1) for s in [*first, *second])) + 1, columns):
+            out += incidence(first, low) @ incidence(second, low).T
+    return out
+
+
+def mean_similarity(peptides: DataFrame, k: int = 3, peptide: str = "peptide", block: int = GRAM_BLOCK) -> DataFrame:
+    """(n_sharing, mean_similarity): pairs of distinct peptides that share a k-mer, and the mean Jaccard over all pairs.
+
+    A blocked Gram product: a task multiplies the k-mer incidence of two blocks of peptides, some columns at a time, and
+    only two sums leave it. The work of a pair of blocks is the same however frequent a k-mer is; no pair is a row.
+    Fewer than two peptides have a mean of 0.
+    """
+    sets = cut(peptides.select(F.col(peptide).alias("p")).dropna().distinct().select("p", F.array_distinct(kmer_strings(F.col("p"), k)).alias("k")))
+    pairs = sets.count()
+    pairs = pairs * (pairs - 1) / 2
+
+    def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, codes = np.unique(np.concatenate([np.array([], object), *rows["k"]]).astype(str), return_inverse=True)
+        each = np.split(codes, np.cumsum([len(x) for x in rows["k"]])[:-1])
+        own = rows["own"].to_numpy()
+        first = [c for c, o in zip(each, own) if o == key[0]]
+        second = first if key[0] == key[1] else [c for c, o in zip(each, own) if o == key[1]]
+        shared = _shared_sums(first, second, GRAM_COLUMNS).astype(np.float64)
+        if key[0] == key[1]:
+            shared = np.triu(shared, 1)
+        sizes = np.add.outer(np.array([len(x) for x in first]), np.array([len(x) for x in second])) - shared
+        jaccard = np.divide(shared, sizes, out=np.zeros_like(shared), where=shared > 0)
+        return pd.DataFrame({"n": [int((shared > 0).sum())], "total": [float(jaccard.sum())]})
+
+    sums = _block_pairs(sets, block).groupBy("i", "j").applyInPandas(total, "n long, total double")
+    mean = F.coalesce(F.try_divide(F.coalesce(F.sum("total"), F.lit(0.0)), F.lit(float(pairs))), F.lit(0.0))
+    return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_sharing"), mean.alias("mean_similarity"))
 
 
 def pfm(peptides: DataFrame, peptide: str = "peptide", letters: str = ALPHABET) -> DataFrame:
@@ -109,17 +184,17 @@ def _same(seq: str) -> Column:
     return F.sha2(F.col(seq).cast("binary"), 256)
 
 
-def cluster_identical(sequences: DataFrame, id_col: str = "id", seq: str = "seq", order: str = "input_pos", most: int = MOST_LISTED) -> DataFrame:
-    """(representative, members, n) of identical sequences; members in input order, the first represents.
+def cluster_identical(sequences: DataFrame, id_col: str = "id", seq: str = "seq", order: str = "input_pos", size: int = LIST_BLOCK) -> DataFrame:
+    """(representative, block_no, members, n) of identical sequences; members in input order, the first represents.
 
-    A cluster of more than `most` members is an error; `cluster_rows` has no bound.
+    A cluster's members are listed in blocks of `size`; n is the cluster's size. `cluster_rows` has a row a member.
     """
-    digests = sequences.select(_same(seq).alias("digest"), F.col(id_col).alias("id"), F.col(order).alias("at"))
-    _check_lists(digests.select("digest"), most)
+    digests = sequences.select(_same(seq).alias("digest"), F.col(id_col).alias("id"), F.col(order).alias("input"))
+    numbered = number_in_groups(digests, ["digest"], ["input", "id"], "at")
+    counts = numbered.groupBy("digest").agg(F.min_by("id", "at").alias("representative"), F.count(F.lit(1)).alias("n"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda s: s["id"])
-    return digests.groupBy("digest").agg(listed.alias("members")).select(
-        F.get("members", 0).alias("representative"), "members", F.size("members").alias("n")
-    )
+    blocks = numbered.groupBy("digest", F.floor(F.col("at") / size).alias("block_no")).agg(listed.alias("members"))
+    return blocks.join(counts, "digest").select("representative", "block_no", "members", "n")
 
 
 def cluster_rows(sequences: DataFrame, id_col: str = "id", seq: str = "seq", order: str = "input_pos") -> DataFrame:
@@ -135,11 +210,7 @@ def mean_alignment(peptides: DataFrame, scores: Mapping[tuple[str, str], float]
     All pairs are the definition, so the work is quadratic in the distinct peptides; these are dealt into
     blocks, a task holds two blocks at a time, and only sums leave it. Fewer than two peptides: no mean.
     """
-    names = peptides.select(F.col(peptide).alias("p")).dropna().distinct()
-    n_blocks = max(1, -(-names.count() // block))
-    own = F.pmod(F.xxhash64("p"), F.lit(n_blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other")
-    dealt = names.select("p", own.alias("own"), every).select("p", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = _block_pairs(cut(peptides.select(F.col(peptide).alias("p")).dropna().distinct()), block)
     score = alignment_of_pairs(scores)
 
     def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmer.functions.names import hla_letter
-from kinmer.operators.common import top_k, top_n_per_group, value_counts
+from kinmer.operators.common import number_rows, top_k, top_n_per_group, unused, value_counts
 from kinmer.operators.selection import exact_quantiles
 from kinmer.schemas import BOUND, CLASSES
 from kinmer.shared import cut
@@ -141,25 +141,45 @@ def volcano_points(categorised: DataFrame, colours: dict[str, str]) -> DataFrame
     return logs.withColumns({"colour": F.try_element_at(pairs, F.col("category")), "size": size})
 
 
+def dense_ids(values: DataFrame, name: str) -> DataFrame:
+    """(value, id): the distinct values of one column, nulls left out, numbered from 1 without gaps."""
+    col = values.columns[0]
+    return number_rows(values.filter(F.col(col).isNotNull()).distinct(), [col], name).withColumn(name, F.col(name) + 1)
+
+
+def distinct_by_bits(df: DataFrame, keys: Sequence[str], col: str, wanted: dict[str, Column]) -> DataFrame:
+    """Exact counts of distinct values of `col` by group, one for each condition of `wanted`, in one aggregation.
+
+    Values are numbered once and become bits of Spark's bitmaps, 32768 numbers each, which fold in the map tasks; with
+    several distinct counts Spark would multiply every row instead. For columns of few values: a group holds a bitmap
+    for every 32768 numbers that it meets.
+    """
+    number, bucket, at = unused(df, "number"), unused(df, "bucket"), unused(df, "at")
+    ids = dense_ids(df.select(col), number)
+    rows = df.join(ids, col).withColumns({bucket: F.bitmap_bucket_number(number), at: F.bitmap_bit_position(number)})
+    sets = rows.groupBy(*keys, bucket).agg(*[F.bitmap_construct_agg(F.when(c, F.col(at))).alias(n) for n, c in wanted.items()])
+    return sets.groupBy(*keys).agg(*[F.sum(F.bitmap_count(n)).alias(n) for n in wanted])
+
+
 def protein_dominance(annotated: DataFrame, protein: str = "uniprot_human", peptide: str = "peptide_human", cls: str = "Human_dominant") -> DataFrame:
     """Unique dominant and total peptides, percentage, and alleles of dominant rows for each protein.
 
     Proteins without a dominant row have null dominant counts and a percentage of 0.
     """
-    dominant = F.col("Binding_Class") == cls
-    out = annotated.groupBy(protein).agg(
-        F.nullif(F.count_distinct(F.when(dominant, F.col(peptide))), F.lit(0)).alias("dominant_peptides"),
-        F.count_distinct(peptide).alias("total_peptides"),
-        F.nullif(F.count_distinct(F.when(dominant, F.col("allele"))), F.lit(0)).alias("dominant_alleles"),
-    )
+    dominant = F.coalesce(F.col("Binding_Class") == cls, F.lit(False))
+    # Peptides are made distinct by grouping, which folds in the map tasks; alleles, which are few, are bits.
+    each = annotated.groupBy(protein, peptide).agg(F.bool_or(dominant).alias("_own"))
+    peptides = each.groupBy(protein).agg(F.nullif(F.count_if(F.col("_own") & F.col(peptide).isNotNull()), F.lit(0)).alias("dominant_peptides"), F.count(peptide).alias("total_peptides"))
+    alleles = distinct_by_bits(annotated.filter(dominant), [protein], "allele", {"dominant_alleles": F.lit(True)})
+    out = peptides.join(alleles.withColumnRenamed(protein, "_p"), F.col(protein).eqNullSafe(F.col("_p")), "left").drop("_p")
     return out.withColumn("dominant_pct", 100 * share(F.col("dominant_peptides"), F.col("total_peptides")))
 
 
 def hla_breakdown(annotated: DataFrame, protein: str = "uniprot_human", letters: str = "ABC", cls: str = "Human_dominant") -> DataFrame:
     """Distinct alleles of dominant rows by HLA type for each protein; alleles of no type drop."""
     typed = annotated.filter(F.col("Binding_Class") == cls).select(protein, "allele", hla_letter(F.col("allele"), letters, default=None, strict=True).alias("_t"))
-    counts = [F.count_distinct(F.when(F.col("_t") == t, F.col("allele"))).alias(f"HLA_{t}") for t in letters]
-    return typed.filter("_t IS NOT NULL").groupBy(protein).agg(*counts, F.count_distinct("allele").alias("total"))
+    wanted = {f"HLA_{t}": F.col("_t") == t for t in letters} | {"total": F.lit(True)}
+    return distinct_by_bits(typed.filter("_t IS NOT NULL"), [protein], "allele", wanted)
 
 
 def alleles_per_peptide(annotated: DataFrame, peptide: str = "peptide_human", cls: str = "Human_dominant") -> DataFrame:
@@ -196,7 +216,7 @@ def richest_protein(dominance_table: DataFrame, protein: str = "uniprot_human")
 
 def incidence(annotated: DataFrame, proteins: DataFrame, protein: str = "uniprot_human", peptide: str = "peptide_human", cls: str = "Human_dominant") -> DataFrame:
     """(peptide, allele, n) of dominant rows of the given proteins, in long form."""
-    rows = annotated.filter(F.col("Binding_Class") == cls).join(F.broadcast(proteins), protein, "left_semi")
+    rows = annotated.filter(F.col("Binding_Class") == cls).join(proteins, protein, "left_semi")  # sent to all tasks if Spark finds it small
     return rows.groupBy(peptide, "allele").agg(F.count(F.lit(1)).alias("n"))
 
 

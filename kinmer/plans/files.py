@@ -264,21 +264,42 @@ def ld_store(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     return ld.subset_ld(rows, matched).filter("i < j").select("i", "j", F.round("r", 6).alias("r"))
 
 
-@query("""
-SELECT CASE WHEN o_custkey = c THEN CAST(o_orderkey AS VARCHAR) END AS variant, 1.0 AS r
-FROM orders, (SELECT min(o_custkey) AS c FROM orders) WHERE o_custkey = c""")
+_BRAND = "Brand#11"
+_BRAND_SQL = LD_SQL.rstrip() + f""", own AS (
+  SELECT p_partkey AS idx, split_part(p_brand, '#', 2) || ':' || CAST(p_partkey AS VARCHAR) || ':A:C' AS variant
+  FROM part JOIN matched ON idx = p_partkey WHERE p_brand = '{_BRAND}')
+"""
+
+
+def _brand_matrix(spark: SparkSession, sf_dir: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The cells of one brand's sub-matrix, read from a store in tiles of 100 variants, and its matched variants."""
+    triples, index, asked = inputs.ld_tables(spark, sf_dir)
+    writers.write_ld_tiles(triples, f"{folder}/tiles", 100)
+    brand = asked.filter(F.col("variant").startswith(_BRAND.split("#")[1] + ":"))
+    matched, _ = ld.match_variants(brand, index)
+    matched = cut(matched)
+    cells = ld.subset_tiles(readers.read_ld_tiles(spark, f"{folder}/tiles"), matched, 100)
+    return cells, matched
+
+
+@query(_BRAND_SQL + "SELECT i, j, round(r, 6) AS r FROM stored JOIN own x ON x.idx = i JOIN own y ON y.idx = j")
+def ld_tiles(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The sub-matrix of one brand from a store in tiles, of which those that it needs are read."""
+    cells, _ = _brand_matrix(spark, sf_dir, folder)
+    return cells.filter("i < j").select("i", "j", F.round("r", 6).alias("r"))
+
+
+@query(_BRAND_SQL + """
+SELECT x.variant, y.variant AS other, round(CASE WHEN x.idx = y.idx THEN 1 ELSE coalesce(r, 0) END, 6) AS r
+FROM own x CROSS JOIN own y LEFT JOIN stored ON i = least(x.idx, y.idx) AND j = greatest(x.idx, y.idx)""")
 def matrix_file(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """The square matrix of one customer's orders, one of its diagonal read back from the file."""
-    orders = table(spark, sf_dir, "orders")
-    own = orders.join(orders.agg(F.min("o_custkey").alias("o_custkey")), "o_custkey", "left_semi")
-    matched = own.select(F.col("o_orderkey").alias("input_pos"), text("o_orderkey").alias("variant"), F.col("o_orderkey").alias("idx"))
-    none = matched.select(F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(0.0).alias("r")).limit(0)
-    matrix = ld.dense_matrix(ld.complete_symmetric(none, matched), matched)
-    writers.write_matrix(matrix, folder)
+    """The square matrix of one brand's variants as a file, all of its cells read back."""
+    cells, matched = _brand_matrix(spark, sf_dir, folder)
+    matrix = ld.dense_matrix(ld.complete_symmetric(cells, matched), matched)
+    writers.write_matrix(matrix, f"{folder}/matrix")
     labels = [c for c in matrix.columns if c != "variant"]
-    read = readers.read_tsv(spark, folder, ", ".join(["variant string", *[f"`{c}` double" for c in labels]]))
-    cells = F.map_from_arrays(F.array(*[F.lit(c) for c in labels]), F.array(*[F.col(f"`{c}`") for c in labels]))
-    return read.select("variant", F.try_element_at(cells, F.col("variant")).alias("r"))
+    read = readers.read_tsv(spark, f"{folder}/matrix", ", ".join(["variant string", *[f"`{c}` double" for c in labels]]))
+    return read.unpivot("variant", [F.col(f"`{c}`").alias(c) for c in labels], "other", "r").withColumn("r", F.round("r", 6))
 
 
 @query("SELECT CAST(o_custkey % 22 + 1 AS VARCHAR) || ':' || CAST(o_orderkey AS VARCHAR) AS variant, o_totalprice / 5000000 AS pval FROM orders")
@@ -347,7 +368,8 @@ def grouped_means(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     return parts.groupBy("allele").agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean"))
 
 
-@query(None)
+@query(inputs.alignment_sql("SELECT DISTINCT upper(p_name) AS a, upper(p_type) AS b FROM part") + """
+SELECT p_partkey, round(score, 6) AS score FROM part JOIN aligned ON a = upper(p_name) AND b = upper(p_type)""")
 def pair_scores(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """The alignment score of each part's name with its type."""
     score = sequences.alignment_score()

@@ -50,16 +50,20 @@ def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT kmer, count(*) AS n_hits, count(DISTINCT acc) AS n_proteins, string_agg(acc || '@' || CAST(pos0 AS VARCHAR), ',' ORDER BY acc, pos0) AS hits
+SELECT kmer, block_no, count(*) AS n, string_agg(acc || '@' || CAST(pos0 AS VARCHAR), ',' ORDER BY acc, pos0) AS hits FROM (
+SELECT *, (row_number() OVER (PARTITION BY kmer ORDER BY acc, pos0) - 1) // 25 AS block_no
 FROM (
   SELECT CAST(item_id AS VARCHAR) AS acc, p AS pos0, substr(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), CAST(p + 1 AS INT), 4) AS kmer
   FROM benchmark, LATERAL (SELECT unnest(range(0, len(text) - 4 + 1)) AS p)
-) WHERE regexp_full_match(kmer, '[ACDEFGHIKLMNPQRSTVWY]+') GROUP BY kmer""")
+) WHERE regexp_full_match(kmer, '[ACDEFGHIKLMNPQRSTVWY]+')) GROUP BY kmer, block_no""")
 def kmer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: the nested index of 4-mers over the benchmark's texts."""
+    """A1: the blocked index of 4-mers over the benchmark's texts, 25 hits a block, and its hits."""
     items = table(spark, sf_dir, "benchmark").select(text("item_id").alias("acc"), F.col("text").alias("seq"))
-    told = F.array_join(F.transform("hits", lambda h: F.concat_ws("@", h["acc"], text(h["pos0"]))), ",")
-    return sequences.kmer_index(items, 4).withColumn("hits", told)
+    index = cut(sequences.kmer_index(items, 4, size=25))
+    rows = sequences.posting_rows(index.select(F.concat_ws(":", "kmer", text("block_no")).alias("kmer"), "postings"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("acc", "pos0"))), lambda h: F.concat_ws("@", h["acc"], text(h["pos0"])))
+    told = rows.groupBy("kmer").agg(F.array_join(listed, ",").alias("hits")).withColumnRenamed("kmer", "key")
+    return index.join(told, F.concat_ws(":", "kmer", text("block_no")) == F.col("key")).select("kmer", "block_no", F.col("n").cast("long").alias("n"), "hits")
 
 
 _SETS_SQL = """
@@ -86,11 +90,19 @@ def mean_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 
-@query(None)
+@query(_SETS_SQL + "SELECT a, b, round(jaccard, 6) AS jaccard FROM scored WHERE jaccard >= 0.3")
+def similar_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of part names of a similarity of 0.3 or more, by prefix and length filters."""
+    df = sequences.similar_pairs(table(spark, sf_dir, "part"), 0.3, 3, "p_name")
+    return df.withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(inputs.alignment_sql("SELECT DISTINCT a.n AS a, b.n AS b FROM names a, names b WHERE a.n < b.n", "names AS (SELECT DISTINCT upper(p_name) AS n FROM part), ") + """
+SELECT count(*) AS n_pairs, round(avg(score), 6) AS mean_score FROM aligned""")
 def mean_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean alignment score of all pairs of part names, in capitals."""
     names = table(spark, sf_dir, "part").select(F.upper("p_name").alias("peptide"))
-    return sequences.mean_alignment(names)
+    return sequences.mean_alignment(names).withColumn("mean_score", F.round("mean_score", 6))
 
 
 _PFM_SQL = ", ".join(f"coalesce(round(count_if(c = '{c}') / nullif(count_if(contains('ACDEFGHIKLMNPQRSTVWY', c)), 0), 6), 0) AS {c}" for c in sequences.ALPHABET)
@@ -108,11 +120,12 @@ def position_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT min(doc_id) AS representative, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members, count(*) AS n
-FROM documents GROUP BY text""")
+SELECT first AS representative, (place - 1) // 3 AS block_no, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members, any_value(n) AS n
+FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS place, min(doc_id) OVER (PARTITION BY text) AS first, count(*) OVER (PARTITION BY text) AS n FROM documents)
+GROUP BY first, block_no""")
 def identical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A23 with listed members."""
-    df = sequences.cluster_identical(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_id")
+    df = sequences.cluster_identical(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_id", size=3)
     return df.withColumns({"members": F.array_join(F.col("members").cast("array<string>"), ","), "n": F.col("n").cast("long")})
 
 
@@ -252,11 +265,10 @@ def ld_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRID = "SELECT b AS chunk, s AS allele FROM (SELECT DISTINCT p_brand AS b FROM part), (SELECT DISTINCT p_size AS s FROM part)"
 
 
-def _work(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _work(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
     done = part.select(F.col("p_brand").alias("chunk"), F.col("p_size").alias("allele")).filter("allele < 30 OR length(chunk) = 7")
-    grid = inventory.work_grid(part.select(F.col("p_brand").alias("chunk")).distinct(), part.select(F.col("p_size").alias("allele")).distinct())
-    return grid, done
+    return part.select(F.col("p_brand").alias("chunk")).distinct(), part.select(F.col("p_size").alias("allele")).distinct(), done
 
 
 _DONE = "SELECT DISTINCT p_brand AS chunk, p_size AS allele FROM part WHERE p_size < 30 OR len(p_brand) = 7"
@@ -265,11 +277,17 @@ _DONE = "SELECT DISTINCT p_brand AS chunk, p_size AS allele FROM part WHERE p_si
 @query(f"SELECT chunk, allele // 10 AS allele_chunk, count(*) AS n_missing FROM (({_GRID}) EXCEPT ({_DONE})) GROUP BY 1, 2")
 def unprocessed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J15, J16, J17."""
-    grid, done = _work(spark, sf_dir)
-    missing = inventory.missing_work(grid, done).withColumn("allele_chunk", F.floor(F.col("allele") / 10).cast("int"))
+    missing = inventory.missing_work(*_work(spark, sf_dir)).withColumn("allele_chunk", F.floor(F.col("allele") / 10).cast("int"))
     return inventory.unprocessed_batches(missing)
 
 
+@query(f"SELECT chunk, allele, chunk || ':' || CAST(allele AS VARCHAR) AS task FROM ({_GRID})")
+def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid itself, as a list of tasks."""
+    chunks, alleles, _ = _work(spark, sf_dir)
+    return inventory.work_grid(chunks, alleles).withColumn("task", F.concat_ws(":", "chunk", text("allele")))
+
+
 @query(f"""
 SELECT chunk, count(d.allele) AS n_done, count(*) AS n_expected, round(100 * count(d.allele) / count(*), 6) AS percent,
        CASE WHEN count(d.allele) >= 30 THEN 'complete' WHEN count(d.allele) > 0 THEN 'partial' ELSE 'none' END AS status

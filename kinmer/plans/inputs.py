@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmer.functions.sequences import BLOSUM62
+
 # Two species in the OBO rendering of the NCBI taxonomy.
 HUMAN = "http://purl.obolibrary.org/obo/NCBITaxon_9606"
 MOUSE = "http://purl.obolibrary.org/obo/NCBITaxon_10090"
@@ -209,3 +211,25 @@ pairs AS (
   SELECT i, j, m / sqrt(x.n * y.n) AS r FROM pairs JOIN n x ON x.l_partkey = i JOIN n y ON y.l_partkey = j
 )
 """
+
+
+def alignment_sql(pairs: str, before: str = "") -> str:
+    """`WITH ... aligned(a, b, score)`: the alignment score of pairs (a, b) of strings, as `alignment_score` has it.
+
+    The dynamic programme is a recursive query: a row holds the best scores of a prefix of `a` with all prefixes of `b`.
+    """
+    scores = ", ".join(f"('{x}{y}', {v:g})" for (x, y), v in BLOSUM62.items())
+    return f"""
+WITH RECURSIVE {before}s AS (SELECT map_from_entries(list((k, CAST(v AS DOUBLE)))) AS m FROM (VALUES {scores}) t(k, v)),
+pairs AS ({pairs}),
+dp AS (
+  SELECT a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: CAST(0 AS DOUBLE)) AS best FROM pairs
+  UNION ALL
+  SELECT a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: greatest(CAST(0 AS DOUBLE), list_max(row[1:j])))
+  FROM (
+    SELECT a, b, i, list_transform(range(1, len(b) + 1), lambda j: greatest(best[j + 1], best[j] + coalesce(m[a[i + 1] || b[j]], 0))) AS row
+    FROM dp, s WHERE i < len(a)
+  )
+),
+aligned AS (SELECT a, b, best[len(b) + 1] / greatest(len(a), len(b)) AS score FROM dp WHERE i = len(a))
+"""

@@ -179,3 +179,8 @@ def read_ld(spark: SparkSession, triples: str, index: str, pop: str = "EUR") ->
     """(triples of a population, variant index), Parquet; the population's folder alone is read."""
     rows = spark.read.schema(LD_TRIPLES).parquet(triples).filter(F.col("pop") == pop)
     return rows.select("i", "j", "r"), spark.read.schema(LD_INDEX).parquet(index)
+
+
+def read_ld_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """(i, j, r, ti, tj) of a store in tiles; filters and joins on ti and tj choose its folders."""
+    return spark.read.schema("i long, j long, r double, ti int, tj int").parquet(path)

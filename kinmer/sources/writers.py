@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.fs  # noqa: F401 - makes pa.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmer.functions.sequences import pair_record_id
 from kinmer.operators.common import number_rows, observed, unused
+from kinmer.operators.ld import TILE, with_tiles
+from kinmer.shared import cut
 from kinmer.sources.formats import file_system, register_formats
 
 
@@ -22,14 +24,22 @@ def write_tsv_parts(df: DataFrame, path: str, max_rows: int = 1_000_000, mode: s
     df.write.mode(mode).option("maxRecordsPerFile", max_rows).csv(path, sep="\t", header=True, compression="gzip")
 
 
-def write_annotated(df: DataFrame, path: str, mode: str = "append", max_rows: int = 20_000_000) -> None:
-    """K4: Snappy Parquet in a folder for each allele.
+def write_annotated(df: DataFrame, path: str, mode: str = "append", max_rows: int = 20_000_000, rows_per_file: int = 2_000_000) -> None:
+    """K4: Snappy Parquet in a folder for each allele, in files of at most about `rows_per_file` rows.
 
-    Rows are first dealt by allele and a salt of their pair, so a folder gets a few files whatever
-    the number of tasks, and a frequent allele is written by several of them.
+    Alleles are counted first. One of n rows gets n / rows_per_file salts, so a frequent one is written by many
+    tasks, in files of even sizes; rare ones share tasks. Each salt has a place of its own, so no two of an allele meet.
     """
-    salt = F.pmod(F.xxhash64("pair_id"), F.lit(8))
-    df.repartition(F.col("allele_safe"), salt).write.mode(mode).option("maxRecordsPerFile", max_rows).partitionBy("allele_safe").parquet(path)
+    key, parts, first, salt = (unused(df, n) for n in ("allele_key", "parts", "first", "salt"))
+    counts = df.groupBy(F.col("allele_safe").alias(key)).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias(parts))
+    # A row an allele; an allele's salts are neighbours, whole runs of rare alleles follow one another.
+    upto = F.sum(parts).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    counts = cut(counts.withColumn(first, F.coalesce(upto, F.lit(0))))
+    n = counts.agg(F.sum(parts)).first()[0] or 1
+    tasks = min(n, 100_000)
+    place = F.pmod(F.col(first) + F.pmod(F.xxhash64("pair_id", "allele_safe"), F.col(parts)), F.lit(tasks)).cast("int")
+    dealt = df.join(counts, F.col("allele_safe").eqNullSafe(F.col(key))).repartitionById(tasks, place)
+    dealt.select(*df.columns).write.mode(mode).option("maxRecordsPerFile", max_rows).partitionBy("allele_safe").parquet(path)
 
 
 def fasta_record(header: Column, seq: Column, width: int | None = 60) -> Column:
@@ -96,6 +106,12 @@ def write_ids(df: DataFrame, path: str, col: str, by: list[str] | None = None, m
     (writer.partitionBy(*by) if by else writer).text(path)
 
 
+def write_ld_tiles(triples: DataFrame, path: str, tile: int | None = None, mode: str = "error") -> None:
+    """Triples in a folder for each tile of the matrix, (i // tile, j // tile); `read_ld_tiles` and `subset_tiles` read it."""
+    tiled = with_tiles(triples, tile or TILE)
+    tiled.repartition("ti", "tj").sortWithinPartitions("ti", "tj", "i", "j").write.mode(mode).partitionBy("ti", "tj").parquet(path)
+
+
 def write_matrix(matrix: DataFrame, path: str, mode: str = "error") -> None:
     """K9: a chunk's square matrix as one gz TSV with labels, in its order."""
     matrix.coalesce(1).write.mode(mode).csv(path, sep="\t", header=True, compression="gzip")

@@ -232,11 +232,10 @@ def test_frequent_kmers_and_long_lists(spark, monkeypatch):
     monkeypatch.setattr(sequences, "PART", 4)
     assert len(want) == 25 * 24 // 2 + 0 and rows(sequences.shared_kmer_pairs(df), "a", "b", "jaccard") == want
     same = spark.createDataFrame([(k, "S") for k in range(5)], "id int, seq string").withColumn("input_pos", F.col("id"))
-    assert sequences.cluster_identical(same, most=5).count() == 1
-    with pytest.raises(ValueError):
-        sequences.cluster_identical(same, most=4)
-    with pytest.raises(ValueError):
-        sequences.kmer_index(same.select(F.col("id").alias("acc"), F.lit("ACDE").alias("seq")), 4, most=4)
+    assert rows(sequences.cluster_identical(same, size=2), "block_no", "members", "n") == [(0, [0, 1], 5), (1, [2, 3], 5), (2, [4], 5)]
+    index = sequences.kmer_index(same.select(F.col("id").cast("string").alias("acc"), F.lit("ACDEACDE").alias("seq")), 4, size=3)
+    assert rows(index.filter("kmer = 'ACDE'"), "block_no", "n") == [(0, 3), (1, 3), (2, 3), (3, 1)]
+    assert rows(sequences.posting_rows(index).filter("kmer = 'ACDE'"), "acc", "pos0") == [(str(k), p) for k in range(5) for p in (0, 4)]
 
 
 def test_mean_alignment(spark):
@@ -319,10 +318,11 @@ def test_rows_and_metrics(spark):
 def test_compare_and_completeness(spark):
     left, right = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
     assert rows(common.compare_keys(left, right, "k"), "k", "side") == [(1, "left"), (2, "both"), (3, "right")]
-    grid = inventory.work_grid(spark.createDataFrame([("c1",), ("c2",)], "chunk string"), spark.createDataFrame([("a",), ("b",)], "allele string"))
+    grid = (spark.createDataFrame([("c1",), ("c2",)], "chunk string"), spark.createDataFrame([("a",), ("b",)], "allele string"))
+    assert rows(inventory.work_grid(*grid), "chunk", "allele") == [("c1", "a"), ("c1", "b"), ("c2", "a"), ("c2", "b")]
     done = spark.createDataFrame([("c1", "a"), ("c1", "a"), ("c1", "b"), ("zz", "a")], "chunk string, allele string")
-    assert rows(inventory.missing_work(grid, done), "chunk", "allele") == [("c2", "a"), ("c2", "b")]
-    assert rows(inventory.completeness(grid, done), "chunk", "n_done", "percent", "status") == [("c1", 2, 100.0, "complete"), ("c2", 0, 0.0, "none")]
+    assert rows(inventory.missing_work(*grid, done), "chunk", "allele") == [("c2", "a"), ("c2", "b")]
+    assert rows(inventory.completeness(*grid, done), "chunk", "n_done", "percent", "status") == [("c1", 2, 100.0, "complete"), ("c2", 0, 0.0, "none")]
 
 
 def test_identical_clusters(spark):
