@@ -1,7 +1,7 @@
 """Licence scans by digests of canonical texts.
 
-A text is brought to a canonical form - case, punctuation, copyright lines and equivalent spellings
-no longer matter - and its digest is joined to those of known licences, a table that the caller may
+A text is brought to a canonical form - case, punctuation, a title, copyright lines and equivalent
+spellings no longer matter - and its digest is joined to those of known licences, a table that the caller may
 give. Whole documents are looked up by a hash join, with the known table broadcast if it is small; notices of one line, such as
 "Released under the MIT License.", are whole texts too and are looked up the same way among the
 digests of a document's lines, without moving the document.
@@ -125,6 +125,16 @@ KNOWN_NOTICES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("0BSD", "BSD Zero Clause License"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("ISC", "ISC License"),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("Unlicense", "The Unlicense"),
+    ("Zlib", "zlib License"),
 )
 # Spellings taken as equal, as they stand in canonical text; the left becomes the right.
 SPELLINGS = (
@@ -139,8 +149,18 @@ SPELLINGS = (
     ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"),
     ("share alike", "sharealike"),
 )
-#: Lines that name a copyright's owner, in lower-cased text.
-COPYRIGHT = r"(^|\n)[ \t*#/;.-]*(copyright( ?\(c\)| ?©|[ :,]+[0-9])|\(c\)|©|all rights reserved)[^\n]*"
+# Words that go on after `copyright` in the prose of licences, where no owner is named.
+PROSE = (
+    "act", "and", "applies", "as", "disclaimer", "for", "grant", "grants", "holder", "holders", "in", "infringement", "interest",
+    "interests", "is", "law", "laws", "license", "licenses", "notice", "notices", "of", "on", "or", "owner", "owners", "permission",
+    "permissions", "protection", "registration", "right", "rights", "statement", "statements", "that", "to", "treaty", "under", "which", "with",
+)
+#: What such lines begin with is marked, so that COPYRIGHT leaves them.
+KEPT = r"(^|\n)([ \t*#/;.-]*copyright[ \t]+(" + "|".join(PROSE) + r")([^a-z]|$))"
+#: Lines that name a copyright's owner, in lower-cased text: by a year, a name, or a place for one in brackets.
+COPYRIGHT = r"(^|\n)[ \t*#/;.-]*(copyright([ \t,:]+|[(©:,])[^\n]*|\(c\)[^\n]*|©[^\n]*|all rights reserved[^\n]*)"
+#: A title before the text: its first line, if that is a name that ends in `license`.
+TITLE = r"^[\s*#=-]*(the )?[a-z0-9 ,.\"'-]{1,60} licen[sc]e([ \t]*\([^)\n]*\))?[ \t*#=-]*\n"
 #: Runs of ASCII control characters, spaces and punctuation but line feeds, and typographic quotes and dashes.
 _SINGLE = (*range(0, 10), *range(11, 32), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 128), 0xA9)
 _MARK = "".join(f"\\x{c:02X}" for c in _SINGLE) + r"\x{2013}-\x{201D}"  # one by one: a table lookup in Java's matcher
@@ -152,7 +172,8 @@ GAPS = r"\n[ \n]*| [ \n]+"
 
 def canonical(text: Column) -> Column:
     """The canonical form, its lines kept apart by line feeds."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "$1")
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), KEPT, "$1\x01$2")
+    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT, "$1"), TITLE, "")
     out = F.regexp_replace(out, MARKS, " ")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -217,7 +238,9 @@ def _quoted(text: str) -> str:
 
 def _sql_canonical(text: str) -> str:
     """The canonical form in DuckDB's SQL."""
-    out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(COPYRIGHT)}, '\\1', 'g')"
+    out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(KEPT)}, '\\1' || chr(1) || '\\2', 'g')"
+    out = f"regexp_replace({out}, {_quoted(COPYRIGHT)}, '\\1', 'g')"
+    out = f"regexp_replace({out}, {_quoted(TITLE)}, '')"
     out = f"regexp_replace({out}, {_quoted(MARKS)}, ' ', 'g')"
     for a, b in SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"

@@ -604,6 +604,19 @@ def test_licences(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licence_files_as_found(spark):
+    """Titles and owners' lines of all forms before the text, wrapped in other places; a line of prose that begins with copyright stays."""
+    mit, bsd = dict(licenses.KNOWN_TEXTS)["MIT"], dict(licenses.KNOWN_TEXTS)["BSD-3-Clause"]
+    heads = [
+        "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n", "The MIT License (MIT)\n\nCopyright © 2015-2020 A & B, Inc.\nAll rights reserved.\n\n", "Copyright Jane Doe 2020\n", "Copyright The Go Authors. All rights reserved.\n",
+        "Copyright [yyyy] [name]\n", "# MIT Licence\nCopyright <YEAR> <HOLDER>\n\n", "   The MIT License\n\n * Copyright: Some One\n(c) Other\n", "",
+    ]
+    wrapped = [re.sub(r"\s+", " ", mit), mit.replace(" ", "\n"), re.sub(r"\s+", " ", mit).replace("copyright", "\ncopyright").replace("COPYRIGHT", "\nCOPYRIGHT")]
+    docs = [(k, h + wrapped[k % 3]) for k, h in enumerate(heads)] + [(100, "BSD 3-Clause License\n\nCopyright (c) 2019, X\n\n" + bsd.replace(" ", "\n")), (101, "MIT License"), (102, "Copyright 2020 X\n" + mit + " not"), (103, "My License\n" + mit)]
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {**dict.fromkeys(range(len(heads)), "MIT"), 100: "BSD-3-Clause", 101: "MIT", 102: None, 103: "MIT"}
+
+
 def test_licences_of_a_folder(spark, tmp_path):
     """Whole texts by name, in other case, spelling, line breaks and with another owner, beside ones that differ by a word."""
     for name, text in licenses.KNOWN_TEXTS:
