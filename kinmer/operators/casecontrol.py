@@ -6,11 +6,11 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kinmer.operators.common import unused
+from kinmer.operators.common import unused, with_totals
 
 
 def confirm_hits(assay: DataFrame, z: float = 3.5, replicates: int = 2, timeser: str | None = None) -> DataFrame:
@@ -19,10 +19,9 @@ def confirm_hits(assay: DataFrame, z: float = 3.5, replicates: int = 2, timeser:
     A missing z-score makes the whole (person, peptide) unknown: its hit_both is null.
     """
     rows = assay if timeser is None else assay.filter(F.col("timeser") == timeser)
-    w = Window.partitionBy("id1", "pep_id")
-    hit = (F.col("zscore") > z).cast("int")
-    total = F.when(F.count(F.when(hit.isNull(), 1)).over(w) == 0, F.sum(hit).over(w))
-    return rows.withColumns({"hit": hit, "hit_both": (total == replicates).cast("int")})
+    rows = rows.withColumn("hit", (F.col("zscore") > z).cast("int"))
+    total = F.when(F.count_if(F.col("hit").isNull()) == 0, F.sum("hit"))
+    return with_totals(rows, ["id1", "pep_id"], hit_both=(total == replicates).cast("int"))
 
 
 def confirmed_once(confirmed: DataFrame) -> DataFrame:

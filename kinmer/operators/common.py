@@ -28,9 +28,21 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
+    """Each row with aggregates of its group; null keys are a group like any other.
+
+    Sums fold in the map tasks and are joined back, so a large group's rows are dealt out, where a window would bring
+    them together.
+    """
+    own = {k: unused(df, f"{k}_of") for k in keys}
+    found = df.groupBy(*[F.col(k).alias(o) for k, o in own.items()]).agg(*[c.alias(n) for n, c in totals.items()])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()])
+    return df.drop(*totals).join(found, same).drop(*own.values())
+
+
 def group_sum(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:
     """The group's sum on each of its rows."""
-    return df.withColumn(name, F.sum(col).over(Window.partitionBy(*keys)))
+    return with_totals(df, keys, **{name: F.sum(col)})
 
 
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:

@@ -134,3 +134,12 @@ def test_a_frequent_allele_is_written_in_even_files(spark, tmp_path):
     assert len(sizes) == 9 and sum(sizes) == 9000 and max(sizes) < 1.25 * min(sizes)
     assert all(len([*f.glob("*.parquet")]) == 1 for f in (tmp_path / "a").glob("allele_safe=R*"))
     assert rows(spark.read.parquet(str(tmp_path / "a")), "pair_id", "allele_safe", "parts") == rows(df, "pair_id", "allele_safe", "parts")
+
+
+def test_totals_without_a_window(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), (None, 3, 1), (None, None, 2)], "k string, v int, k_of int")
+    from kinmer.operators import common
+
+    got = common.group_sum(df, ["k"], "v", "s")
+    assert got.columns == ["k", "v", "k_of", "s"] and "Window" not in plan(got)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", 1, 5, 3), ("a", 2, 7, 3), (None, 3, 1, 3), (None, None, 2, 3)], key=repr)
