@@ -44,6 +44,12 @@ NAMES = frozenset(
     "promotion rail related recommended replies reply respond responses search secondary share sharing side sidebar "
     "signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+# Words that end a name and only say that it is of some box; what stands before them tells what is in it.
+BOXES = frozenset(
+    "area articles bar block body bottom box btn button buttons center col column container content div form fields group head header "
+    "heading icons inner inline item items label left link links list message module outer panel posts region right row section slot "
+    "space stories tab tabs title top unit widget widgets wrap wrapper zone".split()
+)
 #: Ends of names written as one word, such as sitefooter or topnav.
 NAME_ENDS = ("nav", "menu", "footer", "sidebar", "banner", "advert", "comments")
 # Names of furniture only outside the article, whose own head they may mark inside it.
@@ -65,6 +71,20 @@ MARKS = re.compile(r"""\b(?P<name>class|id|role|hidden|aria-hidden|style)\b(?:\s
 WORD = re.compile(r"[A-Za-z]+?(?=[A-Z][a-z]|[^A-Za-z]|\Z)")
 
 
+def _names_furniture(value: str) -> bool:
+    """Whether a class or id names furniture inside an article: one of its names does by its last word, of boxes left aside.
+
+    A cookie-notice or related-posts does, a notice-board, related-work or search-results-analysis doesn't.
+    """
+    for name in value.split():
+        words = [w.lower() for w in WORD.findall(name)]
+        while len(words) > 1 and words[-1] in BOXES:
+            words.pop()
+        if words and (words[-1] in NAMES or words[-1].endswith(NAME_ENDS)):
+            return True
+    return False
+
+
 def _is_furniture(tag: str, attrs: str, inside: bool = False) -> tuple[bool, bool, bool]:
     """(whether a tag stands around furniture, around reader comments, around content).
 
@@ -81,9 +101,10 @@ def _is_furniture(tag: str, attrs: str, inside: bool = False) -> tuple[bool, boo
             words = {w.lower() for w in WORD.findall(value)}
             comments |= not words.isdisjoint(COMMENTS)
             content |= not words.isdisjoint(CONTENT)
-            if tag != "article":
-                furniture |= not words.isdisjoint(NAMES) or any(w.endswith(NAME_ENDS) for w in words)
-                furniture |= not inside and not words.isdisjoint(OUTER_NAMES)
+            if tag != "article" and inside:
+                furniture |= _names_furniture(value)
+            elif tag != "article":
+                furniture |= not words.isdisjoint(NAMES | OUTER_NAMES) or any(w.endswith(NAME_ENDS) for w in words)
     return furniture or comments, comments, content and not furniture and not comments
 
 

@@ -652,6 +652,11 @@ def test_licences_of_a_folder(spark, tmp_path):
         ("<div class='siteheader'>Site</div><div id=content><h1>T</h1><p>Of.</p><p>One two</p><div class=topnav>m</div></div><div>tail</div>", "T\nOf.\nOne two"),
         ("<head><title>t</title><body><p>a long enough paragraph of text here</p><ul><li><a href=x>next</a></ul>", "a long enough paragraph of text here"),
         ("<p>" + "word " * 5000 + "</p>", ("word " * 5000).strip()),
+        (
+            "<article><h1>T</h1><section id='related-work'><p>one two three four</p></section><div class=\"search-results-analysis\"><p>five</p></div><p class='notice-board'>six</p>"
+            "<div class='related-posts'><a href=x>more</a></div><p class='cookie-notice'>seven</p><div class='ad-slot-3'>buy</div><div class='x share-buttons'>tell</div><div class='comment-body'>eight</div></article>",
+            "T\none two three four\nfive\nsix",
+        ),
     ],
 )
 def test_main_text(page, text):
