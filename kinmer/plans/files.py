@@ -172,6 +172,21 @@ def tsv_parts(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     return readers.read_tsv(spark, folder, rows.schema, "*.gz")
 
 
+@query("""
+WITH runs AS (SELECT *, o_orderstatus = 'F' AS first FROM orders),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY first ORDER BY o_orderkey) - 1) // 400 AS part FROM runs),
+parts AS (SELECT *, part + 1 + CASE WHEN first THEN 0 ELSE (SELECT coalesce(max(part) + 1, 0) FROM placed WHERE first) END AS no FROM placed)
+SELECT printf('part_%05d.tsv.gz', no) AS file, count(*) AS n_rows, min(o_orderkey) AS least, max(o_orderkey) AS most FROM parts GROUP BY no""")
+def numbered_parts(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Two runs of orders as numbered parts of 400 rows, the second going on where the first ended; the rows of each part."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    done = F.col("o_orderstatus") == "F"
+    told = [writers.write_numbered_parts(orders.filter(c), folder, ["o_orderkey"], 400) for c in (done, ~done)]
+    read = readers.read_tsv(spark, folder, orders.schema, "part_*.tsv.gz").groupBy(F.col("_metadata.file_name").alias("file"))
+    counted = read.agg(F.count(F.lit(1)).alias("n_rows"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("most"))
+    return counted.join(common.union_all(*told), ["file", "n_rows"])
+
+
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def csv_table(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """Customers with their key in front."""

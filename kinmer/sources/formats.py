@@ -288,6 +288,7 @@ class NamedFilesWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
+        self.header = f"{options['header']}\n".encode() if "header" in options else b""
         self.folder = f".job-{uuid.uuid4().hex}"
 
     def named(self, batch: pa.RecordBatch) -> Iterator[tuple[str, str]]:
@@ -301,14 +302,16 @@ class NamedFilesWriter(DataSourceArrowWriter):
         rows = itertools.chain.from_iterable(self.named(b) for b in iterator)
         for file, part in itertools.groupby(rows, key=lambda r: r[0]):
             fresh = uuid.uuid4().hex
+            packer = zlib.compressobj(wbits=31) if file.endswith(".gz") else None
+            pack = packer.compress if packer else bgzf if file.endswith(".bgz") else bytes
             with system.open_output_stream(f"{root}/{self.folder}/{fresh}", compression=None) as out:
-                held = b""
+                held = self.header
                 for _, line in part:
                     held += line.encode() + b"\n"
                     while len(held) >= BLOCK_BYTES:
-                        out.write(bgzf(held[:BLOCK_BYTES]) if file.endswith(".bgz") else held[:BLOCK_BYTES])
+                        out.write(pack(held[:BLOCK_BYTES]))
                         held = held[BLOCK_BYTES:]
-                out.write(bgzf(held) + bgzf(b"") if file.endswith(".bgz") else held)
+                out.write(pack(held) + (packer.flush() if packer else bgzf(b"") if file.endswith(".bgz") else b""))
             done.append((fresh, file))
         return Written(done)
 
@@ -336,7 +339,10 @@ class NamedFilesWriter(DataSourceArrowWriter):
 
 
 class NamedFiles(DataSource):
-    """Rows (file, value): lines of text files, those of a file one after the other in one task; .bgz names make block-gzip files."""
+    """Rows (file, value): lines of text files, those of a file one after the other in one task.
+
+    Names that end in .bgz or .gz make files of that form; the option `header` is a first line of each.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 import pyarrow.fs  # noqa: F401 - makes pa.fs
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +13,7 @@ from kinmer.functions.sequences import pair_record_id
 from kinmer.operators.common import number_rows, observed, unused
 from kinmer.operators.ld import TILE, with_tiles
 from kinmer.shared import cut
-from kinmer.sources.formats import file_system, register_formats
+from kinmer.sources.formats import file_system, list_files, register_formats
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -24,6 +26,27 @@ def write_tsv_parts(df: DataFrame, path: str, max_rows: int = 1_000_000, mode: s
     df.write.mode(mode).option("maxRecordsPerFile", max_rows).csv(path, sep="\t", header=True, compression="gzip")
 
 
+def write_numbered_parts(df: DataFrame, path: str, order: list[str], max_rows: int = 1_000_000, stem: str = "part") -> DataFrame:
+    """K3: gz TSV parts <stem>_00001.tsv.gz and so on, of max_rows rows each but the last, in a global order; (file, n_rows) of this run.
+
+    Numbers go on from the highest part that is there, so runs add to a folder. All parts of a run appear together
+    when its job is done (format `named_files`). Rows are placed by `number_rows`; no task holds more than a part.
+    """
+    register_formats(df.sparkSession)
+    system, root = file_system(path)
+    there = list_files(path) if system.get_file_info(root).type != pa.fs.FileType.NotFound else []
+    numbers = [int(m[1]) for name, _ in there if (m := re.search(rf"/{re.escape(stem)}_(\d+)\.tsv\.gz$", name))]
+    last, row = max(numbers, default=0), unused(df, "row")
+    file = F.format_string(f"{stem}_%05d.tsv.gz", F.floor(F.col("at") / max_rows) + 1 + last)
+    line = F.to_csv(F.struct(*df.columns), {"sep": "\t"}).alias("value")
+    rows = number_rows(df, order, row).select(F.col(row).alias("at"), line).withColumn("file", file)
+    dealt, seen = observed(rows.repartition("file").sortWithinPartitions("file", "at").select("file", "value"), n=F.count(F.lit(1)))
+    dealt.write.format("named_files").option("header", "\t".join(df.columns)).mode("append").save(path)
+    n = seen.get["n"]
+    told = df.sparkSession.range(-(-n // max_rows))
+    return told.select(F.format_string(f"{stem}_%05d.tsv.gz", F.col("id") + 1 + last).alias("file"), F.least(F.lit(max_rows), F.lit(n) - F.col("id") * max_rows).alias("n_rows"))
+
+
 def write_annotated(df: DataFrame, path: str, mode: str = "append", max_rows: int = 20_000_000, rows_per_file: int = 2_000_000) -> None:
     """K4: Snappy Parquet in a folder for each allele, in files of at most about `rows_per_file` rows.
 
