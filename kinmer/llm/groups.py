@@ -2,7 +2,8 @@
 
 Small groups are worked on in one task each: a spanning forest of their links, breadth first over what
 is not yet reached. A group beyond BLOCK members is never brought together. It is dealt into blocks and
-worked on in two passes, in each of which one task holds two blocks at most:
+worked on in two passes, in each of which one task holds two blocks at most. Long members count by their
+bytes, so that what a task holds is bounded whatever the lengths of texts:
 
 1. A few members are heads; every block is compared with them. In a group of near copies this links
    nearly all members to a head, their home, and the homes to one another.
@@ -28,6 +29,8 @@ from kinmer.llm.shared import cut
 
 #: Most members of a group, or of a part of a larger one, that a task holds.
 BLOCK = 1024
+#: Most bytes of members that a part holds, but for one member alone; a task holds two parts.
+BLOCK_BYTES = 64 << 20
 #: Heads of a large group in the first pass, on average.
 HEADS = 8
 
@@ -180,11 +183,15 @@ def _upto(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
+def _parts(block: int) -> Column:
+    """An aggregate: into how many parts members are dealt, by their number and by their bytes."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.octet_length("body")) / BLOCK_BYTES)).cast("int")
+
+
 def large_group_links(rows: DataFrame, members: Members, block: int = BLOCK) -> DataFrame:
     """(a, b) that connect what is linked in each group of (group, node, body), where groups are large."""
-    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / block).cast("int")
-    dealt = cut(rows.join(sizes, "group").select("group", "node", "body", "n", F.xxhash64("group", "node").alias("mix"), parts.alias("parts")))
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), _parts(block).alias("parts"))
+    dealt = cut(rows.join(sizes, "group").select("group", "node", "body", "n", F.xxhash64("group", "node").alias("mix"), "parts"))
     heads = dealt.filter(F.pmod(F.shiftright("mix", 20), F.col("n")) < HEADS)
     zero, own = F.lit(0), F.pmod("mix", "parts").cast("int")
     first = cut(_against(_side(heads, True, "group", zero, _upto("parts"), "node"), _side(dealt, False, "group", zero, own, "node"), members))
@@ -199,8 +206,7 @@ def large_group_links(rows: DataFrame, members: Members, block: int = BLOCK) ->
     placed = cut(placed)
 
     # Kinds of members: those of one home, and those without. All of a home are in one cluster.
-    kinds = placed.groupBy("group", "home", "alone").agg(F.count(F.lit(1)).alias("n"), F.min("cluster").alias("cluster"))
-    kinds = cut(kinds.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
+    kinds = cut(placed.groupBy("group", "home", "alone").agg(F.min("cluster").alias("cluster"), _parts(block).alias("blocks")))
     x, y, far = kinds.alias("x"), kinds.alias("y"), _far_homes(heads, members)
     between = F.col("x.alone") | (~F.col("y.alone") & (F.col("x.home") < F.col("y.home")) & (F.col("x.cluster") != F.col("y.cluster")))
     pairs = x.join(y, "group").filter(between).select(

@@ -77,12 +77,24 @@ def build_sieve(keys: DataFrame, most: int = MOST_BITMAPS) -> Sieve:
     return Sieve(cut(rows.groupBy("bitmap").agg(F.bitmap_construct_agg("at").alias("bits"))), n, probes)
 
 
-def matching(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """The inner join of `df` with `keys`, a written table with one row for each key; what has no key doesn't move."""
+#: A table of so many keys is small enough to be sent to all tasks as it is (some tens of bytes a row).
+FEW = 100_000
+
+
+def matching(df: DataFrame, keys: DataFrame, on: list[str], few: int = FEW) -> DataFrame:
+    """The inner join of `df` with `keys`, a written table with one row for each key.
+
+    Few keys are broadcast; beyond `few` of them a filter of bounded size is, and what passes it is joined by a
+    shuffle: at any size rows without a key stay where they are.
+    """
+    if keys.count() <= few:
+        return df.join(F.broadcast(keys), on)
     return build_sieve(keys.select(F.xxhash64(*on))).passing(df, F.xxhash64(*on)).join(keys, on)
 
 
-def others(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """The rows of `df` that have none of these keys (null ones never match); what surely has none doesn't move."""
+def others(df: DataFrame, keys: DataFrame, on: list[str], few: int = FEW) -> DataFrame:
+    """The rows of `df` that have none of these keys (null ones never match), in the way of `matching`."""
+    if keys.count() <= few:
+        return df.join(F.broadcast(keys.select(*on)), on, "left_anti")
     sieve, key = build_sieve(keys.select(F.xxhash64(*on))), F.xxhash64(*on)
     return sieve.failing(df, key).unionByName(sieve.passing(df, key).join(keys.select(*on), on, "left_anti"))

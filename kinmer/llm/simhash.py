@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmer.llm.graph import connected_components
-from kinmer.llm.groups import BLOCK, Fingerprints, Sets, forest, group_links, large_group_links
+from kinmer.llm.groups import BLOCK, BLOCK_BYTES, Fingerprints, Sets, forest, group_links, large_group_links
 from kinmer.llm.shared import cut, unused
-from kinmer.llm.sieve import build_sieve, matching, others
+from kinmer.llm.sieve import matching, others
 
 
 BITS = 64
@@ -323,24 +323,25 @@ def candidate_links(reps: DataFrame, similarity: float, hot: int = BLOCK) -> Dat
 
 
 def set_marks(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5) -> DataFrame:
-    """(doc_id, fp, sig, body): long fingerprint, MD5 of the shingle set and MD5 of the text, one row per input row."""
+    """(doc_id, fp, sig, body, size): long fingerprint, MD5 and size of the shingle set and MD5 of the text, one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, sigs, bodies = [np.zeros(0, np.uint64)], [], []
+            marks, sigs, bodies, sizes = [np.zeros(0, np.uint64)], [], [], []
             for cell in batch.column(1):
                 body = cell.as_py()
                 hashes = np.unique(shingle_hashes(body, shingle))  # the similarity is of sets: repeats count once
                 marks.append(_majority(hashes, LONG_WORDS))
                 sigs.append(hashlib.md5(hashes).digest())
+                sizes.append(len(hashes))
                 bodies.append(hashlib.md5((body or "").encode("utf-8", "surrogatepass")).digest())
             at = np.arange(len(sigs) + 1, dtype=np.int32) * LONG_WORDS
             fp = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(marks).view(np.int64)))
-            columns = [batch.column(0), fp, pa.array(sigs, pa.binary()), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sig", "body"])
+            columns = [batch.column(0), fp, pa.array(sigs, pa.binary()), pa.array(bodies, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sig", "body", "size"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp array<long>, sig binary, body binary")
+    return slim.mapInArrow(run, "doc_id long, fp array<long>, sig binary, body binary, size long")
 
 
 def body_digest(text: str) -> Column:
@@ -367,10 +368,12 @@ def _similar(docs: DataFrame, text: str, id_col: str, shingle: int, similarity:
     """(doc_id, body, keep) for each row: keep is (doc_id, body) of its component's first row, null without an id."""
     marks = cut(set_marks(docs, text, id_col, shingle))
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "body"))
-    reps = cut(marks.groupBy("fp", "sig").agg(F.min(named).alias("first")).select("*", F.monotonically_increasing_id().alias("node")))
+    reps = cut(marks.groupBy("fp", "sig").agg(F.min(named).alias("first"), F.max("size").alias("size")).select("*", F.monotonically_increasing_id().alias("node")))
     known = reps.filter("first IS NOT NULL").select(F.col("node").alias("rep_id"), "fp")
     near = connected_components(candidate_links(known, similarity, hot))
-    large = cut(near.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot))
+    sizes = near.join(reps.select("node", "size"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    # Groups that no task should hold: of many members, or of few whose sets fill more than a block.
+    large = cut(sizes.filter((F.col("n") > hot) | (F.col("shingles") * 8 > BLOCK_BYTES)).select("component", F.greatest("n", F.lit(hot + 1)).alias("n")))
     size = F.coalesce("n", F.lit(0)).cast("long")  # of a group that one task holds, its size is of no account
     wanted = cut(
         near.join(large, "component", "left")
@@ -411,7 +414,5 @@ def drop_near_duplicates(
     gone_id, gone_body = unused(docs, "gone_id"), unused(docs, "gone_body")
     marked = _similar(docs, text, id_col, shingle, similarity, hot).filter("struct(doc_id, body) != keep")
     gone = cut(marked.select(F.col("doc_id").alias(gone_id), F.col("body").alias(gone_body)).distinct())
-    sieve = build_sieve(gone.select(F.xxhash64(gone_id, gone_body)))
-    key = F.xxhash64(F.col(f"`{id_col}`").cast("long"), body_digest(text))
-    same = (F.col(f"`{id_col}`") == F.col(gone_id)) & (body_digest(text) == F.col(gone_body))
-    return sieve.failing(docs, key).union(sieve.passing(docs, key).join(gone, same, "left_anti"))
+    named = docs.withColumns({gone_id: F.col(f"`{id_col}`").cast("long"), gone_body: body_digest(text)})
+    return others(named, gone, [gone_id, gone_body]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -198,3 +198,34 @@ def test_sieve_of_nothing(spark):
     found = sieve.build_sieve(spark.range(0).select("id"))
     assert found.passing(spark.range(10), F.col("id")).count() == 0
     assert found.failing(spark.range(10), F.col("id")).count() == 10
+
+
+@pytest.mark.parametrize("few", [0, sieve.FEW])
+def test_joins_by_a_sieve(spark, few):
+    rows = spark.createDataFrame([(k % 50 if k % 7 else None, str(k % 3), k) for k in range(400)], "a long, b string, v int").repartition(3)
+    keys = spark.createDataFrame([(k, "1", -k) for k in range(0, 50, 2)], "a long, b string, w int")
+    want = {(a, b, v) for a, b, v in (tuple(r) for r in rows.collect()) if a is not None and a % 2 == 0 and b == "1"}
+    assert {(r.a, r.b, r.v) for r in sieve.matching(rows, keys, ["a", "b"], few).collect()} == want
+    assert {tuple(r) for r in sieve.others(rows, keys, ["a", "b"], few).collect()} == {tuple(r) for r in rows.collect()} - want
+
+
+# Groups of candidates, bounded by bytes
+
+
+def test_groups_of_few_long_members_are_dealt_out(spark, monkeypatch):
+    """Sixty texts of some hundred shingles each, where a part holds no more than five of them: the same components."""
+    from kinmer.llm import groups, simhash
+
+    rng = random.Random(21)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(150)] for _ in range(4)]
+    docs = []
+    for k in range(60):
+        words = list(base[k % 4])
+        words[rng.randrange(150)] = f"x{k}"
+        docs.append((k, " ".join(words)))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in simhash.similar_components(table).collect()}
+    assert {k: k % 4 for k in range(60)} == want
+    monkeypatch.setattr(groups, "BLOCK_BYTES", 5 * 8 * 150)
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 5 * 8 * 150)
+    assert {r.doc_id: r.component_id for r in simhash.similar_components(table).collect()} == want
