@@ -67,29 +67,34 @@ def subset_ld(triples: DataFrame, matched: DataFrame) -> DataFrame:
 
 #: Variants of a tile's side.
 TILE = 50_000
+#: Folders of a store in tiles, in each direction.
+FOLDERS = 16
 
 
 def with_tiles(triples: DataFrame, tile: int = TILE) -> DataFrame:
-    """Triples with the folders (ti, tj) of the tile that each is stored in; see `write_ld_tiles`."""
-    return triples.withColumns({"ti": F.floor(F.col("i") / tile).cast("int"), "tj": F.floor(F.col("j") / tile).cast("int")})
+    """Triples with the tile (ti, tj) that each lies in, and that tile's folder (fi, fj); see `write_ld_tiles`.
+
+    Tiles are dealt to FOLDERS x FOLDERS folders in turn: neighbours lie apart, and a store of any size has no more folders.
+    """
+    tiled = triples.withColumns({"ti": F.floor(F.col("i") / tile).cast("int"), "tj": F.floor(F.col("j") / tile).cast("int")})
+    return tiled.withColumns({"fi": F.pmod("ti", F.lit(FOLDERS)), "fj": F.pmod("tj", F.lit(FOLDERS))})
 
 
 def subset_tiles(tiles: DataFrame, matched: DataFrame, tile: int = TILE) -> DataFrame:
-    """J14 on a tiled store: as `subset_ld`, but only tiles that hold wanted variants in both directions are read.
+    """J14 on a tiled store: as `subset_ld`, but only what may hold wanted variants in both directions is read.
 
-    The wanted tiles follow from the list of indices, at most one for each, and choose the folders by dynamic partition
-    pruning: `explain` shows them at the scan. Indices are numbers from 0.
+    The wanted tiles follow from the list of indices. Their folders are chosen by dynamic partition pruning (`explain`
+    shows it at the scan); in these, files lie in order of tiles, and row groups outside the first and last wanted tile
+    are skipped by their statistics. Indices are numbers from 0.
     """
     ids = matched.select("idx").dropna().distinct()
+    own = ids.filter("idx >= 0").select(F.floor(F.col("idx") / tile).cast("int").alias("t"))
+    least, most = own.agg(F.min("t"), F.max("t")).first()
     rows = tiles
-    for c in ("ti", "tj"):
-        own = ids.filter("idx >= 0").select(F.floor(F.col("idx") / tile).cast("int").alias(c)).distinct()
-        rows = rows.join(F.broadcast(own) if own.count() <= MOST_TILES else own, c, "left_semi")
-    return subset_ld(rows.drop("ti", "tj"), matched)
-
-
-#: Up to so many numbers of tiles are sent to the scan: indices up to TILE times as large.
-MOST_TILES = 100_000
+    for c, folder in (("ti", "fi"), ("tj", "fj")):
+        rows = rows.filter(F.col(c).between(least, most))
+        rows = rows.join(F.broadcast(own.select(F.pmod("t", F.lit(FOLDERS)).alias(folder)).distinct()), folder, "left_semi")
+    return subset_ld(rows.select("i", "j", "r"), matched)
 
 
 def complete_symmetric(subset: DataFrame, matched: DataFrame) -> DataFrame:

@@ -182,5 +182,5 @@ def read_ld(spark: SparkSession, triples: str, index: str, pop: str = "EUR") ->
 
 
 def read_ld_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """(i, j, r, ti, tj) of a store in tiles; filters and joins on ti and tj choose its folders."""
-    return spark.read.schema("i long, j long, r double, ti int, tj int").parquet(path)
+    """(i, j, r, ti, tj, fi, fj) of a store in tiles; joins on fi and fj choose its folders, filters on ti and tj row groups."""
+    return spark.read.schema("i long, j long, r double, ti int, tj int, fi int, fj int").parquet(path)

@@ -130,9 +130,13 @@ def write_ids(df: DataFrame, path: str, col: str, by: list[str] | None = None, m
 
 
 def write_ld_tiles(triples: DataFrame, path: str, tile: int | None = None, mode: str = "error") -> None:
-    """Triples in a folder for each tile of the matrix, (i // tile, j // tile); `read_ld_tiles` and `subset_tiles` read it."""
-    tiled = with_tiles(triples, tile or TILE)
-    tiled.repartition("ti", "tj").sortWithinPartitions("ti", "tj", "i", "j").write.mode(mode).partitionBy("ti", "tj").parquet(path)
+    """Triples in order of the tiles of the matrix, (i // tile, j // tile), in at most 256 folders that tiles are dealt to.
+
+    `read_ld_tiles` and `subset_tiles` read it. Folders share tasks or, large ones, take several (a rebalance), so that
+    files are few however many tiles there are.
+    """
+    dealt = with_tiles(triples, tile or TILE).hint("rebalance", "fi", "fj")
+    dealt.sortWithinPartitions("fi", "fj", "ti", "tj", "i", "j").write.mode(mode).partitionBy("fi", "fj").parquet(path)
 
 
 def write_matrix(matrix: DataFrame, path: str, mode: str = "error") -> None:

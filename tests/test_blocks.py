@@ -120,6 +120,18 @@ def test_tiles_are_pruned(spark, tmp_path):
     assert rows(got, "i", "j", "r") == rows(ld.subset_ld(triples, matched), "i", "j", "r")
 
 
+def test_a_store_of_many_tiles_has_few_folders(spark, tmp_path):
+    triples = spark.range(40_000).select((F.col("id") * 7 % 4000).alias("i"), (4000 + F.col("id") * 11 % 4000).alias("j"), F.lit(0.5).alias("r")).distinct()
+    writers.write_ld_tiles(triples, str(tmp_path / "t"), 10)
+    store = readers.read_ld_tiles(spark, str(tmp_path / "t"))
+    assert store.select("ti", "tj").distinct().count() > 1000
+    assert len([*(tmp_path / "t").rglob("*.parquet")]) <= 256
+    matched = spark.range(0, 8000, 3).select(F.col("id").alias("idx"))
+    got = ld.subset_tiles(store, matched, 10)
+    assert rows(got, "i", "j", "r") == rows(ld.subset_ld(triples, matched), "i", "j", "r") and got.count() > 0
+    assert ld.subset_tiles(store, matched.limit(0), 10).count() == 0
+
+
 def test_own_columns_stay(spark):
     df = spark.createDataFrame([("1:5:A:C", 9.0, "x", "y")], "variant string, neglog10_pval_EUR double, cut string, parsed string")
     assert {r.cut for r in ld.threshold_variants(df).collect()} == {"x"}
