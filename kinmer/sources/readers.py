@@ -184,3 +184,12 @@ def read_ld(spark: SparkSession, triples: str, index: str, pop: str = "EUR") ->
 def read_ld_tiles(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, r, ti, tj, fi, fj) of a store in tiles; joins on fi and fj choose its folders, filters on ti and tj row groups."""
     return spark.read.schema("i long, j long, r double, ti int, tj int, fi int, fj int").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """K9: (variant, other, r), a row for each cell of matrix files whose first lines name their columns."""
+    numbered = number_lines(read_lines(spark, path, "\n").withColumn("value", F.split("value", "\t")), "line_no")
+    heads = numbered.filter("line_no = 0").select("file", F.col("value").alias("names"))
+    cells = F.arrays_zip(F.expr("slice(names, 2, size(names))").alias("other"), F.expr("slice(value, 2, size(value))").alias("r"))
+    rows = numbered.filter("line_no > 0").join(heads, "file").select(F.get("value", F.lit(0)).alias("variant"), F.explode(cells).alias("c"))
+    return rows.select("variant", F.col("c.other").alias("other"), F.col("c.r").cast("double").alias("r"))

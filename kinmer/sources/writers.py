@@ -144,6 +144,11 @@ def write_matrix(matrix: DataFrame, path: str, mode: str = "error") -> None:
     matrix.coalesce(1).write.mode(mode).csv(path, sep="\t", header=True, compression="gzip")
 
 
+def write_matrix_blocks(lines: DataFrame, path: str, mode: str = "error") -> int:
+    """K9: a square matrix of any size as TSV files of blocks, the lines of `matrix_blocks`; `read_matrix` reads it."""
+    return write_named_files(lines, path, mode)
+
+
 def write_mapping(mapping: DataFrame, path: str, mode: str = "error") -> None:
     """The representatives' mapping, tab separated, in its order."""
     mapping.write.mode(mode).csv(path, sep="\t", header=True)

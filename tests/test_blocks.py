@@ -132,6 +132,22 @@ def test_a_store_of_many_tiles_has_few_folders(spark, tmp_path):
     assert ld.subset_tiles(store, matched.limit(0), 10).count() == 0
 
 
+def test_a_matrix_of_more_variants_than_a_chunk(spark, tmp_path):
+    rng, n = random.Random(13), 3001
+    matched = spark.range(n).select(F.col("id").alias("input_pos"), F.format_string("1:%d:A:C", "id").alias("variant"), (F.col("id") * 7 % n).alias("idx"))
+    upper = {(i, j): rng.random() for i, j in ((rng.randrange(n), rng.randrange(n)) for _ in range(500)) if i < j}
+    cells = ld.complete_symmetric(spark.createDataFrame([(i, j, r) for (i, j), r in upper.items()], "i long, j long, r double"), matched)
+    assert writers.write_matrix_blocks(ld.matrix_blocks(cells, matched), str(tmp_path / "m")) == 4 * n + 16
+    assert sorted(f.name for f in (tmp_path / "m").iterdir())[:2] == ["rows_00000_cols_00000.tsv", "rows_00000_cols_00001.tsv"]
+    read = readers.read_matrix(spark, str(tmp_path / "m"))
+    assert read.count() == n * n
+    name = {k * 7 % n: f"1:{k}:A:C" for k in range(n)}
+    want = [(name[i], name[i], 1.0) for i in range(n)] + [(name[a], name[b], r) for (i, j), r in upper.items() for a, b in ((i, j), (j, i))]
+    assert rows(read.filter("r <> 0"), "variant", "other", "r") == sorted(want)
+    none = ld.matrix_blocks(cells, matched.filter("idx < 0"))
+    assert none.count() == 0
+
+
 def test_own_columns_stay(spark):
     df = spark.createDataFrame([("1:5:A:C", 9.0, "x", "y")], "variant string, neglog10_pval_EUR double, cut string, parsed string")
     assert {r.cut for r in ld.threshold_variants(df).collect()} == {"x"}
