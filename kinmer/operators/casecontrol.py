@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,6 +104,22 @@ def with_metadata(results: DataFrame, metadata: DataFrame) -> DataFrame:
     return results.withColumn("pep_id", F.col("pep_id").cast("string")).join(named, "pep_id", "left")
 
 
+#: Rows of a part of a group; a group of fewer is one part.
+ROWS_A_PART = 100_000
+
+
+def with_parts(df: DataFrame, keys: list[str], by: str, name: str, rows: int = ROWS_A_PART) -> DataFrame:
+    """`df` with a number from 0 that deals a group of n rows, by the hash of `by`, to n / rows parts; most groups are one.
+
+    Groups are counted first. Only those of several parts are broadcast: at most one for each `rows` rows.
+    """
+    own, parts = {k: unused(df, f"{k}_of") for k in keys}, unused(df, "parts")
+    counted = df.groupBy(*[F.col(k).alias(o) for k, o in own.items()]).agg(F.ceil(F.count(F.lit(1)) / rows).alias(parts))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()])
+    dealt = df.join(F.broadcast(counted.filter(F.col(parts) > 1)), same, "left")
+    return dealt.withColumn(name, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1))).cast("int")).drop(*own.values(), parts)
+
+
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str) -> DataFrame:
     """A function on each group's rows, for tests that no expression states. A group is held by one task."""
     return df.groupBy(*keys).applyInPandas(fn, schema)

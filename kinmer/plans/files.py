@@ -375,7 +375,8 @@ def grouped_means(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"allele": rows["allele"].iloc[:1], "part": rows["part"].iloc[:1], "n": [len(rows)], "total": [float(rows["l_tax"].sum())]})
 
-    lines = table(spark, sf_dir, "lineitem").select(inputs.allele_of().alias("allele"), F.pmod(F.xxhash64("l_orderkey"), F.lit(16)).cast("int").alias("part"), F.col("l_tax").cast("double").alias("l_tax"))
+    lines = table(spark, sf_dir, "lineitem").select(inputs.allele_of().alias("allele"), "l_orderkey", F.col("l_tax").cast("double").alias("l_tax"))
+    lines = casecontrol.with_parts(lines, ["allele"], "l_orderkey", "part").drop("l_orderkey")
     parts = casecontrol.map_groups(lines, ["allele", "part"], mean, "allele string, part int, n long, total double")
     return parts.groupBy("allele").agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean"))
 
