@@ -50,18 +50,22 @@ def write_numbered_parts(df: DataFrame, path: str, order: list[str], max_rows: i
 def write_annotated(df: DataFrame, path: str, mode: str = "append", max_rows: int = 20_000_000, rows_per_file: int = 2_000_000) -> None:
     """K4: Snappy Parquet in a folder for each allele, in files of at most about `rows_per_file` rows.
 
-    Alleles are counted first. One of n rows gets n / rows_per_file salts, so a frequent one is written by many
-    tasks, in files of even sizes; rare ones share tasks. Each salt has a place of its own, so no two of an allele meet.
+    Alleles are counted first. One of n rows more than `rows_per_file` gets n / rows_per_file salts, so it is written by
+    many tasks, in files of even sizes. Rare ones lie whole in tasks of several, filled in order of their names: tasks
+    follow the rows (a few for each core at least), not the number of alleles.
     """
-    key, parts, first, salt = (unused(df, n) for n in ("allele_key", "parts", "first", "salt"))
-    counts = df.groupBy(F.col("allele_safe").alias(key)).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias(parts))
-    # A row an allele; an allele's salts are neighbours, whole runs of rare alleles follow one another.
-    upto = F.sum(parts).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
-    counts = cut(counts.withColumn(first, F.coalesce(upto, F.lit(0))))
-    n = counts.agg(F.sum(parts)).first()[0] or 1
-    tasks = min(n, 100_000)
-    place = F.pmod(F.col(first) + F.pmod(F.xxhash64("pair_id", "allele_safe"), F.col(parts)), F.lit(tasks)).cast("int")
-    dealt = df.join(counts, F.col("allele_safe").eqNullSafe(F.col(key))).repartitionById(tasks, place)
+    key, n, parts, first, salt = (unused(df, c) for c in ("allele_key", "n", "parts", "first", "salt"))
+    counts = df.groupBy(F.col("allele_safe").alias(key)).agg(F.count(F.lit(1)).alias(n)).withColumn(parts, F.ceil(F.col(n) / rows_per_file))
+    counts = cut(counts)
+    rare, tasks = F.col(parts) == 1, 4 * df.sparkSession.sparkContext.defaultParallelism
+    total, n_salts = counts.agg(F.sum(F.when(rare, F.col(n))), F.sum(F.when(~rare, F.col(parts)))).first()
+    fill = min(rows_per_file, -(-(total or 1) // tasks))
+    # A row an allele: salts of frequent ones are neighbours, rare ones come after them by the rows before.
+    before = Window.partitionBy(rare.alias(salt)).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.sum(F.when(rare, F.col(n)).otherwise(F.col(parts))).over(before), F.lit(0))
+    counts = counts.select(key, parts, F.when(rare, F.floor(upto / fill) + (n_salts or 0)).otherwise(upto).alias(first))
+    place = (F.col(first) + F.pmod(F.xxhash64("pair_id", "allele_safe"), F.col(parts))).cast("int")
+    dealt = df.join(counts, F.col("allele_safe").eqNullSafe(F.col(key))).repartitionById((n_salts or 0) + -(-(total or 1) // fill), place)
     dealt.select(*df.columns).write.mode(mode).option("maxRecordsPerFile", max_rows).partitionBy("allele_safe").parquet(path)
 
 

@@ -164,6 +164,26 @@ def test_a_frequent_allele_is_written_in_even_files(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "a")), "pair_id", "allele_safe", "parts") == rows(df, "pair_id", "allele_safe", "parts")
 
 
+def test_many_rare_alleles_share_tasks(spark, tmp_path):
+    df = spark.range(6000).select(F.concat(F.lit("p"), "id").alias("pair_id"), F.format_string("R%04d", F.col("id") % 600).alias("allele_safe"))
+    df = df.union(spark.range(3000).select(F.concat(F.lit("q"), "id"), F.lit("HOT"))).union(spark.range(5).select(F.concat(F.lit("n"), "id"), F.lit(None).cast("string")))
+    writers.write_annotated(df, str(tmp_path / "a"), rows_per_file=1000)
+    files = [*(tmp_path / "a").rglob("*.parquet")]
+    assert len({f.name.split("-")[1] for f in files}) <= 4 * spark.sparkContext.defaultParallelism + 4  # tasks that wrote
+    assert len(files) == 604  # three of the frequent one, one of each other
+    assert rows(spark.read.parquet(str(tmp_path / "a")).na.fill("?"), "pair_id", "allele_safe") == rows(df.na.fill("?"), "pair_id", "allele_safe")
+
+
+def test_parts_of_groups_follow_their_rows(spark):
+    from kinmer.operators import casecontrol
+
+    df = spark.range(2500).select(F.when(F.col("id") < 2000, "hot").when(F.col("id") < 2400, F.concat(F.lit("r"), F.col("id") % 40)).alias("k"), "id")
+    told = casecontrol.with_parts(df, ["k"], "id", "part", rows=500)
+    assert told.columns == ["k", "id", "part"] and told.select("k", "id").exceptAll(df).isEmpty() and told.count() == 2500
+    parts = {r.k: (r.n, r.most) for r in told.groupBy("k", "part").count().groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most")).collect()}
+    assert parts.pop("hot")[0] == 4 and {n for n, _ in parts.values()} == {1} and len(parts) == 41
+
+
 def test_totals_without_a_window(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), (None, 3, 1), (None, None, 2)], "k string, v int, k_of int")
     from kinmer.operators import common
