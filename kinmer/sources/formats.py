@@ -78,8 +78,20 @@ class FileRange(InputPartition):
     value: None = field(default=None, repr=False)
 
 
+@dataclass
+class FileRanges(InputPartition):
+    ranges: list[FileRange]
+    value: None = field(default=None, repr=False)
+
+
+#: Partitions of a scan, unless a range each makes fewer.
+MOST_PARTITIONS = 2000
+
+
 class RangeReader(DataSourceReader):
-    """Plans a partition for each range of each file; the option pathGlobFilter chooses files by their names.
+    """Plans ranges of files of at most `split` bytes; the option pathGlobFilter chooses files by their names.
+
+    Neighbouring small ranges share a partition of up to `split` bytes, or of more where these would be over MOST_PARTITIONS.
 
     Filters on the file's name are not pushed down: Spark 4.1 keeps what a Python source was pushed in the relation,
     where other queries on the same DataFrame meet it, so that they would miss rows.
@@ -92,21 +104,33 @@ class RangeReader(DataSourceReader):
         self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
         self.split, self.pattern = int(options.get("split", SPLIT)), options.get("pathGlobFilter", "*")
 
-    def partitions(self) -> Sequence[FileRange]:
+    def partitions(self) -> Sequence[FileRanges]:
         files = [f for p in self.paths for f in list_files(p) if fnmatch.fnmatchcase(base_of(f[0]), self.pattern)]
-        return [FileRange(p, at, min(at + self.split, n), n) for p, n in files for at in range(0, max(n, 1), self.split)]
+        most, held, parts = max(self.split, -(-sum(n for _, n in files) // MOST_PARTITIONS)), 0, []
+        for path, n in files:
+            for at in range(0, max(n, 1), self.split):
+                end = min(at + self.split, n)
+                if not parts or held + end - at > most:
+                    parts.append(FileRanges([]))
+                    held = 0
+                parts[-1].ranges.append(FileRange(path, at, end, n))
+                held += end - at
+        return parts
 
     def rows(self, part: FileRange, f: pa.NativeFile) -> Iterator[list]:
         """Values of the schema's columns, row by row."""
         raise NotImplementedError
 
-    def read(self, part: FileRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: FileRanges) -> Iterator[pa.RecordBatch]:
         kinds = [{"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}[f.dataType.simpleString()] for f in self.schema]
+        rows = itertools.chain.from_iterable(self.rows_of(r) for r in part.ranges)
+        while some := list(itertools.islice(rows, LINES_AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], self.schema.names)
+
+    def rows_of(self, part: FileRange) -> Iterator[list]:
         system, place = file_system(part.path)
         with system.open_input_file(place) as f:
-            rows = self.rows(part, f)
-            while some := list(itertools.islice(rows, LINES_AT_ONCE)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], self.schema.names)
+            yield from self.rows(part, f)
 
 
 def typed(value: str | None, kind: str) -> str | float | int | None:

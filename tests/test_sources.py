@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinmer.operators import alleles, hits
 from kinmer.operators.casecontrol import map_groups
 from kinmer.schemas import GWAS_P, HITS, TCELL, WIDE
-from kinmer.sources import readers, writers
+from kinmer.sources import formats, readers, writers
 from kinmer.streaming import ingest
 
 
@@ -171,3 +171,17 @@ def test_predictions_format_agrees_and_prunes(spark, tmp_path):
     assert one == sum(1 for i in range(40) if i % 3 and i > 4) and every.count() == len(want)
     (tmp_path / "a_chunk_3.xls").unlink()  # a file that isn't chosen isn't opened
     assert some.count() == sum(r[0] in ("a_chunk_1.xls", "a_chunk_2.xls") for r in want)
+
+
+def test_small_files_share_partitions(spark, tmp_path, monkeypatch):
+    for k in range(300):
+        (tmp_path / f"a_chunk_{k}.xls").write_text(f"HLA-{k}\nPeptide\tBA_score\tBA_Rank\n" + "".join(f"P{i}\t{i}\t{k}\n" for i in range(k % 7)))
+    raw = spark.read.format("predictions").option("split", 4096).load(str(tmp_path))
+    assert 1 < raw.rdd.getNumPartitions() < 10
+    for split in (64, 4096):
+        got = readers.load_predictions(spark, str(tmp_path), split=split)
+        assert sorted((r.chunk, r.row_no, r.Peptide) for r in got.collect()) == sorted((k, i, f"P{i}") for k in range(300) for i in range(k % 7))
+    monkeypatch.setattr(formats, "MOST_PARTITIONS", 5)
+    reader = formats.PredictionReader({"path": str(tmp_path), "split": "64"}, raw.schema)
+    parts = reader.partitions()
+    assert len(parts) <= 6 and max(r.end - r.start for p in parts for r in p.ranges) <= 64
