@@ -80,9 +80,21 @@ def number_lines(lines: DataFrame, place: str, counts: dict[str, str] | None = N
     As `scan_runs`, but for a file instead of a run: a split's rows are numbered by the scan that reads them, and what
     its file has before it is joined from one row a split. Rows must not have been dealt anew since they were read.
     """
+    return join_splits(scan_splits(lines, place, counts, fills), place, counts, fills)
+
+
+def scan_splits(lines: DataFrame, place: str, counts: dict[str, str] | None = None, fills: dict[str, str] | None = None) -> DataFrame:
+    """The first half of `number_lines`: running columns over each split. Its rows may be written and dealt anew."""
+    one = unused(lines, "block")
+    return scan_runs(lines.withColumn(one, F.col("at.block")), ["file", one], place, counts, fills).drop(one)
+
+
+def join_splits(local: DataFrame, place: str, counts: dict[str, str] | None = None, fills: dict[str, str] | None = None) -> DataFrame:
+    """The second half of `number_lines`: the rows of `scan_splits`, and what their files have before their splits added."""
     counts, fills = counts or {}, fills or {}
-    flags, one = {n: f"count_if({c})" for n, c in counts.items()}, unused(lines, "block")
-    local = scan_runs(lines.withColumn(one, F.col("at.block")), ["file", one], place, counts, fills)
+    columns = [c for c in local.columns if c not in (place, *counts, *fills)]
+    flags, one = {n: f"count_if({c})" for n, c in counts.items()}, unused(local, "block")
+    local = local.withColumn(one, F.col("at.block"))
     order = Window.partitionBy("file").orderBy(one)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     totals = {place: F.count(F.lit(1)), **{n: F.expr(f) for n, f in flags.items()}, **{n: F.max_by(F.when(F.col(n).isNotNull(), F.col(n)), F.when(F.col(n).isNotNull(), F.col("at"))) for n in fills}}
@@ -92,7 +104,7 @@ def number_lines(lines: DataFrame, place: str, counts: dict[str, str] | None = N
     carried = split.select(F.col("file").alias(f"{one}_file"), F.col(one).alias(f"{one}_no"), *[c.alias(m) for m, c in running.items()])
     back = local.join(carried, (F.col("file") == F.col(f"{one}_file")) & (F.col(one) == F.col(f"{one}_no")))
     whole = {n: F.coalesce(F.col(n), F.col(m)) if n in fills else F.col(n) + F.col(m) for n, m in names.items()}
-    return back.withColumns(whole).select(*lines.columns, *names)
+    return back.withColumns(whole).select(*columns, *names)
 
 
 def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], part: str, at: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from kinmer.functions.names import chunk_no
 from kinmer.functions.sequences import accession, pair_header
-from kinmer.operators.segments import number_lines
+from kinmer.operators.segments import join_splits, number_lines, scan_splits
 from kinmer.schemas import HITS, LD_INDEX, LD_TRIPLES
 from kinmer.sources.formats import register_formats
 
@@ -58,10 +58,20 @@ def parse_predictions(lines: DataFrame, columns: dict[str, str] | None = None) -
     and columns a file lacks, are null. Blank lines don't count in `row_no`. A file is read by as many tasks
     as it has splits: each numbers its own lines, and one row a split says how many come before (`number_lines`).
     """
-    wanted = columns or {"Peptide": "string", "BA_score": "double", "BA_Rank": "double"}
+    return join_predictions(scan_predictions(lines), columns)
+
+
+def scan_predictions(lines: DataFrame) -> DataFrame:
+    """The first half of `parse_predictions`: lines, numbered within their splits by the tasks that read them. They may be kept."""
     clean = F.regexp_replace("value", "\r", "")
-    told = lines.select("file", "at", clean.alias("value"), (F.trim(clean) != "").alias("told"))
-    numbered = number_lines(told, "line_no", {"told_before": "told"})
+    told = lines.withColumns({"value": clean, "told": F.trim(clean) != ""})
+    return scan_splits(told, "line_no", {"told_before": "told"})
+
+
+def join_predictions(scanned: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
+    """The second half of `parse_predictions`: the rows of scanned lines of whole files."""
+    wanted = columns or {"Peptide": "string", "BA_score": "double", "BA_Rank": "double"}
+    numbered = join_splits(scanned.select("file", "at", "value", "told", "line_no", "told_before"), "line_no", {"told_before": "told"})
     head = numbered.filter("line_no < 2").groupBy("file").agg(
         F.max(F.when(F.col("line_no") == 0, F.col("value"))).alias("first"), F.max(F.when(F.col("line_no") == 1, F.col("value"))).alias("second"), F.count_if("told").alias("heads")
     )

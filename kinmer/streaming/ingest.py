@@ -1,7 +1,8 @@
 """New prediction files are paired, new wide files annotated; each file is read once.
 
 The state "which files were processed" is the stream's checkpoint. Micro-batches are written to a
-folder of their own number, which a retried batch overwrites: results are exact after a failure.
+folder of their own number, which a retried batch overwrites: results are exact after a failure. Prediction files
+land that way as lines, and are paired in one job at the end of a run (`_pair_landed`).
 
 State and results lie in folders of a generation. A run with `force` begins the next generation, in
 which everything is read anew, and removes the older ones when it is through; where it breaks off, the
@@ -21,8 +22,8 @@ from kinmer.functions.names import base_name
 from kinmer.operators.binding import annotate
 from kinmer.operators.predictions import drop_identical_peptides, guard_counts, pair_predictions, zip_with_headers
 from kinmer.schemas import WIDE
-from kinmer.shared import delete_folder, list_folder
-from kinmer.sources.readers import parse_predictions, read_lines
+from kinmer.shared import cut, delete_folder, list_folder
+from kinmer.sources.readers import join_predictions, parse_predictions, read_lines, scan_predictions
 
 
 def _generations(spark: SparkSession, folder: str) -> list[int]:
@@ -44,13 +45,24 @@ def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
     return query
 
 
+def _next_generation(spark: SparkSession, checkpoint: str, force: bool) -> int:
+    known = _generations(spark, checkpoint)
+    return (known[-1] if known else 0) + (1 if force and known else 0)
+
+
+def _drop_older(spark: SparkSession, generation: int, *folders: str) -> None:
+    for folder in folders:
+        for old in _generations(spark, folder):
+            if old < generation:
+                delete_folder(spark, f"{folder}/generation={old}")
+
+
 def run_generation(
     spark: SparkSession, stream: DataFrame, transform: Callable[[DataFrame], DataFrame], dst: str, checkpoint: str, force: bool = False,
     after: Callable[[DataFrame, int, str, str], None] | None = None,
 ) -> StreamingQuery:
     """`transform` each micro-batch into dst/generation=<g>/batch=<n>; `after` is called with each batch, its number and both folders."""
-    known = _generations(spark, checkpoint)
-    generation = (known[-1] if known else 0) + (1 if force and known else 0)
+    generation = _next_generation(spark, checkpoint, force)
     state, out = f"{checkpoint}/generation={generation}", f"{dst}/generation={generation}"
 
     def write(batch: DataFrame, number: int) -> None:
@@ -59,24 +71,40 @@ def run_generation(
             after(batch, number, out, state)
 
     query = run_available(stream, write, f"{state}/stream")
-    for folder in (dst, checkpoint):
-        for old in _generations(spark, folder):
-            if old < generation:
-                delete_folder(spark, f"{folder}/generation={old}")
+    _drop_older(spark, generation, dst, checkpoint)
     return query
 
 
-def pair_files(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    """The wide table of the lines (file, at, value) of whole prediction files."""
-    predictions = parse_predictions(lines)
+def pair_predictions_with(predictions: DataFrame, headers: DataFrame) -> DataFrame:
+    """The wide table of the predictions of whole files."""
     zipped = zip_with_headers(guard_counts(predictions, headers), headers.drop("file"))
     return drop_identical_peptides(pair_predictions(zipped))
 
 
-def _note_empty(batch: DataFrame, number: int, out: str, state: str) -> None:
-    """Remember the files of a batch that gave no rows."""
-    done = batch.sparkSession.read.parquet(f"{out}/batch={number}").select(F.col("source_file").alias("file")).distinct()
-    batch.select("path", "file").distinct().join(done, "file", "left_anti").write.mode("overwrite").parquet(f"{state}/empty/batch={number}")
+def pair_files(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """The same of the lines (file, at, value) of whole prediction files."""
+    return pair_predictions_with(parse_predictions(lines), headers)
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches in a folder whose writes were completed."""
+    return sorted(int(n.split("=")[1]) for n in list_folder(spark, folder) if n.startswith("batch=") and "_SUCCESS" in list_folder(spark, f"{folder}/{n}"))
+
+
+def _pair_landed(spark: SparkSession, headers: DataFrame, out: str, state: str) -> None:
+    """Pair the files of all batches that landed since the last pairing, in one job, and note the files that gave no rows.
+
+    Results go to the number of the first of these batches; the note, which ends the pairing, has the number of the last.
+    A run that broke off before the note is done again and writes over the same results, with what landed since.
+    """
+    paired = max(_numbers(spark, f"{state}/empty"), default=-1)
+    new = [n for n in _numbers(spark, f"{state}/landed") if n > paired]
+    if new:
+        landed = spark.read.parquet(*[f"{state}/landed/batch={n}" for n in new])
+        pair_predictions_with(cut(join_predictions(landed)), headers).write.mode("overwrite").parquet(f"{out}/batch={new[0]}")
+        done = spark.read.parquet(f"{out}/batch={new[0]}").select(F.col("source_file").alias("file")).distinct()
+        landed.select("path", "file").distinct().join(done, "file", "left_anti").write.mode("overwrite").parquet(f"{state}/empty/batch={new[-1]}")
+    delete_folder(spark, f"{state}/landed")
 
 
 def retry_empty(spark: SparkSession, headers: DataFrame, dst: str, checkpoint: str) -> int:
@@ -104,8 +132,9 @@ def aggregate_stream(
 ) -> StreamingQuery:
     """Prediction files that arrived in `src` since the last run, paired into `dst`; see `read_results`.
 
-    A file's lines, in any number of splits, are all in one batch. A file whose count doesn't match
-    its headers yields nothing; each later run reads it again until it does.
+    Micro-batches land lines, numbered within their splits, and cost no more than their own files; when the stream is
+    through, all that landed is paired with the headers at once. A file's lines, in any number of splits, are all in one
+    batch. A file whose count doesn't match its headers yields nothing; each later run reads it again until it does.
     """
     if not force:
         retry_empty(spark, headers, dst, checkpoint)
@@ -113,7 +142,16 @@ def aggregate_stream(
     path = F.col("_metadata.file_path").alias("path")
     lines = stream.select(path, F.col("_metadata.file_block_start").alias("block"), "value").withColumn("file", base_name(F.col("path")))
     at = F.struct("block", F.monotonically_increasing_id().alias("row")).alias("at")
-    return run_generation(spark, lines, lambda b: pair_files(b.select("file", at, "value"), headers), dst, checkpoint, force, _note_empty)
+    generation = _next_generation(spark, checkpoint, force)
+    out, state = f"{dst}/generation={generation}", f"{checkpoint}/generation={generation}"
+
+    def land(batch: DataFrame, number: int) -> None:
+        scan_predictions(batch.select("path", "file", at, "value")).write.mode("overwrite").parquet(f"{state}/landed/batch={number}")
+
+    query = run_available(lines, land, f"{state}/stream")
+    _pair_landed(spark, headers, out, state)
+    _drop_older(spark, generation, dst, checkpoint)
+    return query
 
 
 def annotate_stream(

@@ -185,3 +185,36 @@ def test_small_files_share_partitions(spark, tmp_path, monkeypatch):
     reader = formats.PredictionReader({"path": str(tmp_path), "split": "64"}, raw.schema)
     parts = reader.partitions()
     assert len(parts) <= 6 and max(r.end - r.start for p in parts for r in p.ranges) <= 64
+
+
+def test_files_of_many_batches_are_paired_at_once(spark, tmp_path, monkeypatch):
+    """Also when a run breaks off between its results and the note that ends it, and files come before the next."""
+    xls, out, state = tmp_path / "xls", str(tmp_path / "out"), str(tmp_path / "state")
+    xls.mkdir()
+    headers = spark.createDataFrame([("f", c, r, ("VIRAL", "HUMAN")[r], "p_0") for c in range(6) for r in range(2)], "file string, chunk long, row_no int, type string, pair_id string")
+
+    def add(*chunks):
+        for c in chunks:
+            (xls / f"x_chunk_{c}_A.xls").write_text(f"HLA-{c}\nPeptide\tBA_score\tBA_Rank\nP{c}\t1\t2\nQ{c}\t1\t2\n" + "R\t1\t2\n" * (c == 1))
+
+    def run():
+        ingest.aggregate_stream(spark, str(xls), headers, out, state, files_per_batch=1)
+
+    add(0, 1, 2)
+    with monkeypatch.context() as m:
+        real = ingest.list_folder
+        m.setattr(ingest, "delete_folder", lambda *a: (_ for _ in ()).throw(OSError("broken")))
+        with pytest.raises(OSError):
+            run()
+        assert real(spark, f"{state}/generation=0/landed")
+    add(3, 4)
+    run()
+    assert sorted(r.Allele for r in ingest.read_results(spark, out).collect()) == ["HLA-0", "HLA-2", "HLA-3", "HLA-4"]
+    assert sorted(n for n in real(spark, f"{out}/generation=0") if n.startswith("batch=")) == ["batch=-1", "batch=0", "batch=3"]
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "_numbers", lambda *a: (_ for _ in ()).throw(OSError("broken")))
+        add(5)
+        with pytest.raises(OSError):
+            run()
+    run()
+    assert sorted(r.Allele for r in ingest.read_results(spark, out).collect()) == ["HLA-0", "HLA-2", "HLA-3", "HLA-4", "HLA-5"]
