@@ -177,21 +177,31 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 VARIANT_SQL = "CAST(o_custkey % 22 + 1 AS VARCHAR) || ':' || CAST(o_orderkey AS VARCHAR) || ':A:' || substr(o_orderstatus, 1, 1)"
 
 
+#: Rows of a task that groups lines or pairs of parts.
+LINES_A_TASK = 500_000
+
+
 def ld_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(triples, index, variants): parts bought together are linked, r the cosine of their orders.
 
     An order has a few lines, so its pairs are few. The index lists parts that some order of several
-    parts has; the variants asked for are all parts, matched or not.
+    parts has; the variants asked for are all parts, matched or not. Lines are dealt by part, where the number of its
+    orders is joined, then by order; only pairs with both numbers move after that, in as many tasks as lines need.
     """
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    orders_of = lines.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    a, b = lines.withColumnRenamed("l_partkey", "i"), lines.withColumnRenamed("l_partkey", "j")
-    both = a.join(b, "l_orderkey").filter("i <= j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("m"))
-    n_i, n_j = (orders_of.select(F.col("l_partkey").alias(c), F.col("n").alias(f"n_{c}")) for c in "ij")
-    triples = both.join(n_i, "i").join(n_j, "j").select("i", "j", (F.col("m") / F.sqrt(F.col("n_i") * F.col("n_j"))).alias("r"))
+    read = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    tasks = max(1, -(-read.count() // LINES_A_TASK))  # the count comes from the files' footers
+    lines = read.repartition(tasks, "l_partkey").distinct()
+    counted = lines.join(lines.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).hint("shuffle_hash"), "l_partkey")
+    orders = counted.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_partkey").alias("k"), "n"))).alias("parts"))
+    first = orders.select("parts", F.posexplode("parts").alias("at", "a"))
+    both = first.select("a", F.explode(F.expr("slice(parts, at + 1, size(parts))")).alias("b"))
+    keys = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in "kn"]
+    counts = both.select(*keys).repartition(2 * tasks, "k_a").groupBy("k_a", "k_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("m"))
+    triples = counts.select(F.col("k_a").alias("i"), F.col("k_b").alias("j"), (F.col("m") / F.sqrt(F.col("n_a") * F.col("n_b"))).alias("r"))
     part = table(spark, sf_dir, "part")
     named = part.withColumns({"chr": F.substring_index("p_brand", "#", -1), "pos": F.col("p_partkey"), "ref": F.lit("A"), "alt": F.lit("C")})
-    together = triples.filter("i < j").select(F.explode(F.array("i", "j")).alias("p_partkey")).distinct()
+    several = read.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts")).filter(F.size("parts") > 1)
+    together = several.select(F.explode("parts").alias("p_partkey")).distinct()
     index = named.join(together, "p_partkey", "left_semi").select("chr", "pos", "ref", "alt", F.col("p_partkey").alias("idx"))
     asked = named.select(
         F.concat_ws(":", "chr", text("pos"), "ref", "alt").alias("variant"), F.col("p_partkey").alias("input_pos")
