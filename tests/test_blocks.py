@@ -191,3 +191,18 @@ def test_totals_without_a_window(spark):
     got = common.group_sum(df, ["k"], "v", "s")
     assert got.columns == ["k", "v", "k_of", "s"] and "Window" not in plan(got)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", 1, 5, 3), ("a", 2, 7, 3), (None, 3, 1, 3), (None, None, 2, 3)], key=repr)
+
+
+def test_pairs_are_neither_sorted_nor_made_twice(spark):
+    from kinmer.plans import inputs
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        triples, index, asked = inputs.ld_tables(spark, "/root/testdata/sf0.001")
+        matched, _ = ld.match_variants(asked, index)
+        assert "posexplode" not in plan(index) and plan(triples).count("posexplode(") == 1
+        subset = ld.subset_ld(spark.range(9).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"), F.lit(1.0).alias("r")), spark.range(5).withColumnRenamed("id", "idx"))
+        assert "SortMergeJoin" not in plan(subset) and rows(subset, "i", "j") == [(k, k + 1) for k in range(4)]
+        assert plan(ld.complete_symmetric(triples, matched)).count("posexplode(") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
