@@ -188,7 +188,7 @@ def test_small_files_share_partitions(spark, tmp_path, monkeypatch):
 
 
 def test_files_of_many_batches_are_paired_at_once(spark, tmp_path, monkeypatch):
-    """Also when a run breaks off between its results and the note that ends it, and files come before the next."""
+    """Also when a run breaks off after its note, or between micro-batches and pairing, and goes on in the next."""
     xls, out, state = tmp_path / "xls", str(tmp_path / "out"), str(tmp_path / "state")
     xls.mkdir()
     headers = spark.createDataFrame([("f", c, r, ("VIRAL", "HUMAN")[r], "p_0") for c in range(6) for r in range(2)], "file string, chunk long, row_no int, type string, pair_id string")
