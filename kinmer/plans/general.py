@@ -258,7 +258,9 @@ def ld_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The completed sub-matrix of parts bought together."""
     triples, index, asked = inputs.ld_tables(spark, sf_dir)
     matched, _ = ld.match_variants(asked, index)
-    cells = ld.complete_symmetric(ld.subset_ld(triples, matched), matched)
+    tasks = max(1, -(-asked.count() // inputs.LINES_A_TASK))
+    ends = matched.repartition(tasks, "idx")  # indices alone are few bytes, which adaptive execution would put in one task
+    cells = ld.complete_symmetric(ld.subset_ld(triples, matched), ends)
     return cells.select("i", "j", F.round("r", 6).alias("r"), F.round("r2", 6).alias("r2"))
 
 

@@ -187,12 +187,15 @@ def ld_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     An order has a few lines, so its pairs are few. The index lists parts that some order of several
     parts has; the variants asked for are all parts, matched or not. Lines are dealt by part, where the number of its
     orders is joined, then by order; only pairs with both numbers move after that, in as many tasks as lines need.
+    So are lines for the index, before they are grouped: the rows of a split, or of one of the session's partitions, grow
+    with the table.
     """
     read = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     tasks = max(1, -(-read.count() // LINES_A_TASK))  # the count comes from the files' footers
     lines = read.repartition(tasks, "l_partkey").distinct()
     counted = lines.join(lines.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).hint("shuffle_hash"), "l_partkey")
-    orders = counted.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_partkey").alias("k"), "n"))).alias("parts"))
+    linked = F.when(F.col("l_orderkey").isNotNull(), F.struct(F.col("l_partkey").alias("k"), "n"))  # lines without an order count in n alone
+    orders = counted.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(linked)).alias("parts"))
     first = orders.select("parts", F.posexplode("parts").alias("at", "a"))
     both = first.select("a", F.explode(F.expr("slice(parts, at + 1, size(parts))")).alias("b"))
     keys = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in "kn"]
@@ -200,8 +203,8 @@ def ld_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     triples = counts.select(F.col("k_a").alias("i"), F.col("k_b").alias("j"), (F.col("m") / F.sqrt(F.col("n_a") * F.col("n_b"))).alias("r"))
     part = table(spark, sf_dir, "part")
     named = part.withColumns({"chr": F.substring_index("p_brand", "#", -1), "pos": F.col("p_partkey"), "ref": F.lit("A"), "alt": F.lit("C")})
-    several = read.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts")).filter(F.size("parts") > 1)
-    together = several.select(F.explode("parts").alias("p_partkey")).distinct()
+    several = read.dropna().repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts")).filter(F.size("parts") > 1)
+    together = several.select(F.explode("parts").alias("p_partkey")).repartition(tasks, "p_partkey").distinct().hint("shuffle_hash")
     index = named.join(together, "p_partkey", "left_semi").select("chr", "pos", "ref", "alt", F.col("p_partkey").alias("idx"))
     asked = named.select(
         F.concat_ws(":", "chr", text("pos"), "ref", "alt").alias("variant"), F.col("p_partkey").alias("input_pos")

@@ -206,3 +206,31 @@ def test_pairs_are_neither_sorted_nor_made_twice(spark):
         assert plan(ld.complete_symmetric(triples, matched)).count("posexplode(") == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_index_groups_lines_in_tasks_of_their_number(spark, monkeypatch):
+    from kinmer.plans import inputs
+
+    monkeypatch.setattr(inputs, "LINES_A_TASK", 1000)
+    _, index, _ = inputs.ld_tables(spark, "/root/testdata/sf0.001")
+    shuffles = [line for line in plan(index).splitlines() if "Exchange" in line]
+    assert len(shuffles) == 3 and all(", 6)" in line for line in shuffles)  # not the session's number of partitions
+    assert plan(index).rindex("ObjectHashAggregate") < plan(index).index("Exchange hashpartitioning(l_orderkey")  # nothing is grouped in the scan
+    assert index.rdd.getNumPartitions() == 6 and index.count() > 0
+
+
+def test_lines_without_an_order_link_no_parts(spark, tmp_path):
+    import duckdb
+    from oracle import same
+
+    from kinmer.plans import general
+
+    lines = [(1, 1), (1, 2), (1, 2), (2, 1), (2, 3), (3, 4), (3, 4), (None, 4), (None, 5), (None, 1), (4, None), (4, 6), (5, 7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, f"Brand#{k % 2}") for k in range(1, 9)], "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    db = duckdb.connect()
+    for name in ("lineitem", "part"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = general.ld_matrix(spark, str(tmp_path))
+    same(got, db, general.ORACLES["ld_matrix"])
+    assert rows(got.filter("i < j"), "i", "j") == [(1, 2), (1, 3)]
