@@ -197,9 +197,16 @@ def read_ld_tiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """K9: (variant, other, r), a row for each cell of matrix files whose first lines name their columns."""
-    numbered = number_lines(read_lines(spark, path, "\n").withColumn("value", F.split("value", "\t")), "line_no")
-    heads = numbered.filter("line_no = 0").select("file", F.col("value").alias("names"))
-    cells = F.arrays_zip(F.expr("slice(names, 2, size(names))").alias("other"), F.expr("slice(value, 2, size(value))").alias("r"))
-    rows = numbered.filter("line_no > 0").join(heads, "file").select(F.get("value", F.lit(0)).alias("variant"), F.explode(cells).alias("c"))
-    return rows.select("variant", F.col("c.other").alias("other"), F.col("c.r").cast("double").alias("r"))
+    """K9: (variant, other, r), a row for each cell of matrix files, plain or .gz, whose first lines name their columns.
+
+    A file is a block, bounded by its writer (`write_matrix_blocks`, `write_matrix`), and is read as one value, so a
+    header meets its rows without a join and no cell moves. A row that is short has nulls. Lines are chosen by a lambda, which
+    Spark doesn't compile with what follows: of a file's cells, a line's are made at a time.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("lines"))
+    lines = F.filter(F.expr("slice(lines, 2, size(lines))"), lambda line: line != "")
+    told = files.select(F.split(F.get("lines", F.lit(0)), "\t").alias("names"), "lines").select(F.expr("slice(names, 2, size(names))").alias("names"), "lines")
+    rows = told.select("names", F.explode(lines).alias("line")).select("names", F.split("line", "\t").alias("cells"))
+    cells = rows.select(F.get("cells", F.lit(0)).alias("variant"), "cells", F.posexplode("names").alias("k", "other"))
+    cell = F.get("cells", F.col("k") + 1)
+    return cells.select("variant", "other", F.when(cell == "0.0", F.lit(0.0)).otherwise(cell.cast("double")).alias("r"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinmer.functions.sequences import pair_record_id
 from kinmer.operators.common import number_rows, observed, unused
-from kinmer.operators.ld import TILE, with_tiles
+from kinmer.operators.ld import TILE, matrix_line, with_tiles
 from kinmer.shared import cut
 from kinmer.sources.formats import file_system, list_files, register_formats
 
@@ -80,9 +80,11 @@ def write_fasta(df: DataFrame, path: str, id_col: str = "id", seq: str = "seq",
     df.select(fasta_record(F.col(id_col), F.col(seq)).alias("value")).write.mode(mode).text(path)
 
 
-def write_named_files(rows: DataFrame, path: str, mode: str = "error") -> int:
+def write_named_files(rows: DataFrame, path: str, mode: str = "error", line: Column | None = None) -> int:
     """Text files with names of the caller's: rows (file, at, value) are lines, in the order of `at`; how many were written.
 
+    With `line` rows have any columns beside file and at, and are made into lines once they lie in their files' tasks, in order.
+
     `file` may name folders too; an ending .bgz makes block-gzip files. A file is written by one task, line by
     line, in a file system that executors share. With mode `overwrite` files of these names are replaced; otherwise
     the folder must not exist. The format `named_files` makes all files visible when the job is done, and none if it fails.
@@ -91,8 +93,8 @@ def write_named_files(rows: DataFrame, path: str, mode: str = "error") -> int:
     if mode != "overwrite" and system.get_file_info(root).type != pa.fs.FileType.NotFound:
         raise ValueError(f"{path} exists")
     register_formats(rows.sparkSession)
-    ordered = rows.select("file", "at", "value").repartition("file").sortWithinPartitions("file", "at")
-    lines, seen = observed(ordered.select("file", "value"), n=F.count(F.lit(1)))
+    ordered = (rows.select("file", "at", "value") if line is None else rows).repartition("file").sortWithinPartitions("file", "at")
+    lines, seen = observed(ordered.select("file", (F.col("value") if line is None else line).alias("value")), n=F.count(F.lit(1)))
     lines.write.format("named_files").mode("overwrite" if mode == "overwrite" else "append").save(path)
     return seen.get["n"]
 
@@ -149,8 +151,11 @@ def write_matrix(matrix: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_matrix_blocks(lines: DataFrame, path: str, mode: str = "error") -> int:
-    """K9: a square matrix of any size as TSV files of blocks, the lines of `matrix_blocks`; `read_matrix` reads it."""
-    return write_named_files(lines, path, mode)
+    """K9: a square matrix of any size as files of blocks, of the lines of `matrix_blocks` or the rows of `matrix_rows`; `read_matrix` reads it.
+
+    Rows become lines behind the shuffle. With the ending .tsv.gz the zeros take next to nothing on disk either.
+    """
+    return write_named_files(lines, path, mode, None if "value" in lines.columns else matrix_line())
 
 
 def write_mapping(mapping: DataFrame, path: str, mode: str = "error") -> None:

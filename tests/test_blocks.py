@@ -148,6 +148,31 @@ def test_a_matrix_of_more_variants_than_a_chunk(spark, tmp_path):
     assert none.count() == 0
 
 
+def test_a_matrix_moves_and_keeps_its_stored_cells(spark, tmp_path):
+    """Whole lines, dense text files and the checkpoint of all cells each grew with the square of the variants."""
+    from kinmer.plans import files
+
+    n = 2500
+    matched = spark.range(n).select(F.col("id").alias("input_pos"), F.format_string("1:%d:A:C", "id").alias("variant"), F.col("id").alias("idx"))
+    cells = ld.complete_symmetric(spark.createDataFrame([(0, 1, 0.25), (0, 999, 0.5), (1000, 2499, -0.125), (3, 4, None)], "i long, j long, r double"), matched)
+    told = ld.matrix_rows(cells, matched, ending=".tsv.gz")
+    assert told.agg(F.sum(F.size("cells"))).first()[0] == n + 8 and "value" not in told.columns
+    assert writers.write_matrix_blocks(told, str(tmp_path / "m")) == 3 * n + 9
+    assert sum(f.stat().st_size for f in (tmp_path / "m").iterdir()) < n * n // 20  # bytes, 0.05 a cell; four before
+    got = readers.read_matrix(spark, str(tmp_path / "m"))
+    assert "Exchange" not in plan(got) and got.count() == n * n
+    want = [(k, k, 1.0) for k in range(n)] + [(0, 1, 0.25), (1, 0, 0.25), (0, 999, 0.5), (999, 0, 0.5), (1000, 2499, -0.125), (2499, 1000, -0.125)]
+    assert rows(got.filter("r <> 0"), "variant", "other", "r") == sorted((f"1:{i}:A:C", f"1:{j}:A:C", r) for i, j, r in want)
+    assert got.filter("r IS NULL").count() == 0
+    lines = {(r.file, r.at): r.value for r in ld.matrix_blocks(cells, matched).collect()}
+    assert lines["rows_00000_cols_00000.tsv", 0].split("\t") == ["1:0:A:C", "1.0", "0.25", *["0.0"] * 997, "0.5"]
+    assert lines["rows_00002_cols_00000.tsv", 2000].split("\t") == ["1:2000:A:C", *["0.0"] * 1000]
+    with pytest.raises(Exception, match="[Dd]uplicat"):
+        ld.matrix_blocks(cells.union(cells), matched).collect()
+    got = files.matrix_file(spark, "/root/testdata/sf0.001")
+    assert "ExistingRDD" not in plan(got) and got.count() > 0  # read from its files, not written as rows once more
+
+
 def test_own_columns_stay(spark):
     df = spark.createDataFrame([("1:5:A:C", 9.0, "x", "y")], "variant string, neglog10_pval_EUR double, cut string, parsed string")
     assert {r.cut for r in ld.threshold_variants(df).collect()} == {"x"}
