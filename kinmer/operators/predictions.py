@@ -12,7 +12,7 @@ def guard_counts(predictions: DataFrame, headers: DataFrame, file: str = "source
     """Prediction files with as many rows as their chunk has header records, whole files only."""
     have = predictions.groupBy(file, chunk).agg(F.count(F.lit(1)).alias("_n"))
     want = headers.groupBy(chunk).agg(F.count(F.lit(1)).alias("_n"))
-    return predictions.join(have.join(want, [chunk, "_n"]).select(file), file, "left_semi")
+    return predictions.join(have.join(want, [chunk, "_n"]).select(file).hint("shuffle_hash"), file, "left_semi")  # names are hashed, rows stream by
 
 
 def zip_with_headers(predictions: DataFrame, headers: DataFrame, chunk: str = "chunk") -> DataFrame:

@@ -16,7 +16,7 @@ from kinmer.plans import inputs
 from kinmer.plans.inputs import ALLELE_SQL, ANNOTATED_SQL, LD_SQL, table, text
 from kinmer.schemas import HITS, LD_INDEX, LD_TRIPLES, WIDE, GWAS_P, ID_MAPPING
 from kinmer.shared import cut, delete_folder, shared_folder
-from kinmer.sources import readers, writers
+from kinmer.sources import formats, readers, writers
 from kinmer.streaming import ingest
 
 QUERIES, ORACLES = {}, {}
@@ -96,15 +96,18 @@ FROM lineitem"""
 
 
 def _prediction_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """Writes a prediction file for each supplier and flag; the headers of a supplier are as many as its A rows."""
+    """Writes a prediction file for each supplier and flag; the headers of a supplier are as many as its A rows.
+
+    The window that numbers a file's rows leaves them in order in one task, which writes them; its first row brings the head along.
+    """
     lines = table(spark, sf_dir, "lineitem").withColumns({"chunk": F.col("l_suppkey"), "flag": F.col("l_returnflag")})
     numbered = common.number_chunks(lines, 1, ["chunk", "flag"], _LINE_ORDER, "row_no")
     file = F.concat(F.lit("x_chunk_"), text("chunk"), F.lit("_"), "flag", F.lit(".xls"))
-    rows = _lines(file, F.col("row_no"), F.concat_ws("\t", F.concat(F.lit("P"), text("l_partkey")), text("l_quantity"), text("l_tax")), numbered)
-    head = F.concat(F.lit("HLA-"), "flag", F.lit("\nPeptide\tBA_score\tBA_Rank"))
-    files = numbered.select("chunk", "flag").distinct()
-    writers.write_named_files(rows.union(_lines(file, F.lit(-1), head, files)), folder)
-    return numbered.filter("flag = 'A'").select(
+    head = F.when(F.col("row_no") == 0, F.concat(F.lit("HLA-"), "flag", F.lit("\nPeptide\tBA_score\tBA_Rank\n"))).otherwise("")
+    line = F.concat_ws("\t", F.concat(F.lit("P"), text("l_partkey")), text("l_quantity"), text("l_tax"))
+    writers.write_named_files(_lines(file, F.col("row_no"), F.concat(head, line), numbered), folder, dealt=True)
+    counted = lines.filter("flag = 'A'").groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("row_no")).select(
         F.lit("f").alias("file"), "chunk", "row_no",
         F.when(F.col("row_no") % 2 == 0, "VIRAL").otherwise("HUMAN").alias("type"),
         F.concat(F.lit("p_"), text(F.floor(F.col("row_no") / 2))).alias("pair_id"),
@@ -124,6 +127,7 @@ def streamed_predictions(spark: SparkSession, sf_dir: str, folder: str) -> DataF
     """Prediction files that arrive, zipped with their headers and paired."""
     headers = _prediction_files(spark, sf_dir, f"{folder}/in")
     ingest.aggregate_stream(spark, f"{folder}/in", headers, f"{folder}/out", f"{folder}/state", files_per_batch=2000)
+    formats.delete_files(f"{folder}/in")
     rows = ingest.read_results(spark, f"{folder}/out")
     told = ["source_file", "Allele", "pair_id", *[f"{c}_{side}" for c in ("Peptide", "BA_score", "BA_Rank") for side in ("viral", "human")]]
     return rows.select(*[F.col(c).alias(c.lower()) for c in told])

@@ -65,6 +65,12 @@ def list_files(path: str) -> list[tuple[str, int]]:
     return sorted((scheme + f.path, f.size) for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
 
 
+def delete_files(path: str) -> None:
+    """Remove a folder of very many files, by the file system that wrote them; `shared.delete_folder` looks at each file first."""
+    system, root = file_system(path)
+    system.delete_dir(root)
+
+
 def base_of(path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
@@ -272,6 +278,23 @@ class PredictionReader(RangeReader):
                 row += 1
 
 
+#: Endings of files that are read as one stream, which can't be entered midway.
+PACKED = r"\.(gz|bz2|zst|lz4)$"
+
+
+def prediction_text(path: str, start: int, end: int | None) -> tuple[str, str, str]:
+    """Both first lines of a prediction file and the text of its other lines that begin in [start, end), to the file's end if that is None."""
+    system, place = file_system(path)
+    with system.open_input_stream(place) if re.search(PACKED, path) else system.open_input_file(place) as f:
+        if end is None:
+            first, second, text = (*f.read().split(b"\n", 2), b"", b"")[:3]
+        else:
+            heads = list(itertools.islice(lines_between(f, 0, 1 << 62), 2))
+            first, second = heads
+            text = b"\n".join(lines_between(f, max(start, sum(len(h) + 1 for h in heads)), end))
+    return tuple(t.decode(errors="replace") for t in (first, second, text))
+
+
 class Predictions(DataSource):
     """Rows of prediction files: line 1 begins with the allele, line 2 names the columns; `row` counts from 0 in each `block`."""
 
@@ -321,11 +344,12 @@ class NamedFilesWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = file_system(self.path)
-        system.create_dir(f"{root}/{self.folder}", recursive=True)
+        own = uuid.uuid4().hex  # tasks don't wait for each other at one folder
+        system.create_dir(f"{root}/{self.folder}/{own}", recursive=True)
         done = []
         rows = itertools.chain.from_iterable(self.named(b) for b in iterator)
         for file, part in itertools.groupby(rows, key=lambda r: r[0]):
-            fresh = uuid.uuid4().hex
+            fresh = f"{own}/{len(done)}"
             packer = zlib.compressobj(wbits=31) if file.endswith(".gz") else None
             pack = packer.compress if packer else bgzf if file.endswith(".bgz") else bytes
             with system.open_output_stream(f"{root}/{self.folder}/{fresh}", compression=None) as out:
@@ -344,14 +368,17 @@ class NamedFilesWriter(DataSourceArrowWriter):
         files = [f for m in messages if m is not None for f in m.files]
         names = [name for _, name in files]
         twice = len(names) - len(set(names))
-        there = [n for n in names if not self.overwrite and system.get_file_info(f"{root}/{n}").type != pa.fs.FileType.NotFound]
+        folders = {f"{root}/{n.rpartition('/')[0]}".rstrip("/") for n in names}
+        old = {i.path for folder in folders for i in system.get_file_info(pa.fs.FileSelector(folder, allow_not_found=True))}  # one listing, not a look at each name
+        there = [n for n in names if not self.overwrite and f"{root}/{n}" in old]
         if twice or there:
             self.abort(messages)
             raise ValueError(f"{twice} names of files come from several tasks" if twice else f"{there[0]} exists")
-        for folder in {n.rpartition("/")[0] for n in names}:
-            system.create_dir(f"{root}/{folder}" if folder else root, recursive=True)
+        for folder in folders:
+            system.create_dir(folder, recursive=True)
+
         for fresh, name in files:
-            if self.overwrite and system.get_file_info(f"{root}/{name}").type != pa.fs.FileType.NotFound:
+            if f"{root}/{name}" in old:
                 system.delete_file(f"{root}/{name}")
             system.move(f"{root}/{self.folder}/{fresh}", f"{root}/{name}")
         self.abort([])

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,7 +14,7 @@ from kinmer.functions.names import chunk_no
 from kinmer.functions.sequences import accession, pair_header
 from kinmer.operators.segments import join_splits, number_lines, scan_splits
 from kinmer.schemas import HITS, LD_INDEX, LD_TRIPLES
-from kinmer.sources.formats import register_formats
+from kinmer.sources.formats import PACKED, SPLIT, prediction_text, register_formats
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str], sep: str | None = None) -> DataFrame:
@@ -89,6 +90,61 @@ def join_predictions(scanned: DataFrame, columns: dict[str, str] | None = None)
     )
 
 
+#: Small files of a task of `read_prediction_files`, and bytes of a range of a large one.
+FILES_A_TASK, RANGE = 1000, 4 << 20
+
+
+def read_prediction_files(files: DataFrame, columns: dict[str, str] | None = None, split: int = RANGE) -> DataFrame:
+    """S4 of the files that a table (path, file, size) lists, however many: the rows of `parse_predictions`.
+
+    The list is data that is dealt to tasks: these open many small files each, and large ones in ranges of `split` bytes. Python
+    brings a range's text and its file's first lines, Spark takes it apart. Of a file of several ranges each counts its rows,
+    and a row a range says how many come before.
+    """
+    wanted = columns or {"Peptide": "string", "BA_score": "double", "BA_Rank": "double"}
+    n, total, most = files.agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
+    tasks = max(min(n, files.sparkSession.sparkContext.defaultParallelism), -(-n // FILES_A_TASK), -(-(total or 0) // SPLIT), 1)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, n_bytes = [], 0
+            for path, file, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append((path, file, start, *prediction_text(path, start, end)))
+                n_bytes += len(held[-1][-1])
+                if n_bytes >= split:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], names)
+                    held, n_bytes = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], names)
+
+    names = ["path", "file", "start", "first", "second", "text"]
+    one = (F.col("size") <= split) | F.col("path").rlike(PACKED)
+
+    def ranges(listed: DataFrame, start: Column, end: Column) -> DataFrame:
+        dealt = listed.select("path", "file", start.alias("start"), "size").select("path", "file", "start", end.alias("end")).repartition(tasks)
+        told = dealt.mapInArrow(texts, "path string, file string, start long, first string, second string, text string")
+        clean = told.select("path", "file", "start", *[F.regexp_replace(c, "\r", "").alias(c) for c in ("first", "second", "text")])
+        allele = F.coalesce(F.nullif(F.get(F.split(F.trim("first"), r"\s+"), 0), F.lit("")), F.lit("Unknown"))
+        places = F.transform(F.split("second", "\t"), F.trim)
+        at = F.array(*[F.array_position(places, c).cast("int") for c in wanted])
+        return clean.select("path", "file", "start", chunk_no(F.col("file")).alias("chunk"), allele.alias("Allele"), at.alias("places"), "text")
+
+    lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line) != "")
+    told = ranges(files.filter(one), F.lit(0).cast("long"), F.lit(None).cast("long")).withColumn("before", F.lit(0).cast("long"))
+    if (most or 0) > split:
+        large = ranges(files.filter(~one), F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))), F.least(F.col("start") + split, F.col("size")))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = large.select("path", "start", F.size(lines).cast("long").alias("n")).select("path", "start", before.alias("before"))
+        told = told.unionByName(large.join(counts.hint("shuffle_hash"), ["path", "start"]))
+    rows = told.select("file", "chunk", "Allele", "places", "before", F.posexplode(lines).alias("k", "line")).withColumn("line", F.split("line", "\t"))
+
+    def field(k: int, name: str, kind: str) -> Column:
+        place = F.col("places")[k]
+        return F.when(place > 0, F.trim(F.get("line", place - 1))).try_cast(kind).alias(name)
+
+    return rows.select(F.col("file").alias("source_file"), "chunk", "Allele", (F.col("before") + F.col("k")).cast("int").alias("row_no"), *[field(k, *w) for k, w in enumerate(wanted.items())])
+
+
 def read_predictions(spark: SparkSession, path: str | Sequence[str], columns: dict[str, str] | None = None) -> DataFrame:
     """S4 from files."""
     return parse_predictions(read_lines(spark, path, "\n"), columns)

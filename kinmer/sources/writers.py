@@ -80,10 +80,11 @@ def write_fasta(df: DataFrame, path: str, id_col: str = "id", seq: str = "seq",
     df.select(fasta_record(F.col(id_col), F.col(seq)).alias("value")).write.mode(mode).text(path)
 
 
-def write_named_files(rows: DataFrame, path: str, mode: str = "error", line: Column | None = None) -> int:
+def write_named_files(rows: DataFrame, path: str, mode: str = "error", line: Column | None = None, dealt: bool = False) -> int:
     """Text files with names of the caller's: rows (file, at, value) are lines, in the order of `at`; how many were written.
 
     With `line` rows have any columns beside file and at, and are made into lines once they lie in their files' tasks, in order.
+    Rows that are `dealt` lie so already, as a window over files leaves them, and don't move again.
 
     `file` may name folders too; an ending .bgz makes block-gzip files. A file is written by one task, line by
     line, in a file system that executors share. With mode `overwrite` files of these names are replaced; otherwise
@@ -93,7 +94,8 @@ def write_named_files(rows: DataFrame, path: str, mode: str = "error", line: Col
     if mode != "overwrite" and system.get_file_info(root).type != pa.fs.FileType.NotFound:
         raise ValueError(f"{path} exists")
     register_formats(rows.sparkSession)
-    ordered = (rows.select("file", "at", "value") if line is None else rows).repartition("file").sortWithinPartitions("file", "at")
+    ordered = rows.select("file", "at", "value") if line is None else rows
+    ordered = ordered if dealt else ordered.repartition("file").sortWithinPartitions("file", "at")
     lines, seen = observed(ordered.select("file", (F.col("value") if line is None else line).alias("value")), n=F.count(F.lit(1)))
     lines.write.format("named_files").mode("overwrite" if mode == "overwrite" else "append").save(path)
     return seen.get["n"]

@@ -2,7 +2,7 @@
 
 The state "which files were processed" is the stream's checkpoint. Micro-batches are written to a
 folder of their own number, which a retried batch overwrites: results are exact after a failure. Prediction files
-land that way as lines, and are paired in one job at the end of a run (`_pair_landed`).
+land that way by name, and are read and paired in one job at the end of a run (`_pair_landed`): a batch costs next to nothing.
 
 State and results lie in folders of a generation. A run with `force` begins the next generation, in
 which everything is read anew, and removes the older ones when it is through; where it breaks off, the
@@ -22,8 +22,8 @@ from kinmer.functions.names import base_name
 from kinmer.operators.binding import annotate
 from kinmer.operators.predictions import drop_identical_peptides, guard_counts, pair_predictions, zip_with_headers
 from kinmer.schemas import WIDE
-from kinmer.shared import cut, delete_folder, list_folder
-from kinmer.sources.readers import join_predictions, parse_predictions, read_lines, scan_predictions
+from kinmer.shared import delete_folder, list_folder
+from kinmer.sources.readers import parse_predictions, read_lines, read_prediction_files
 
 
 def _generations(spark: SparkSession, folder: str) -> list[int]:
@@ -39,9 +39,18 @@ def read_results(spark: SparkSession, dst: str) -> DataFrame:
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Process all files there are in micro-batches, then stop."""
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """Process all files there are in micro-batches, then stop.
+
+    The source looks up each file of a batch in a task of its own; meanwhile the session has it look in a few tasks a core.
+    """
+    spark, key = stream.sparkSession, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), 2 * spark.sparkContext.defaultParallelism))
+    try:
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return query
 
 
@@ -100,11 +109,13 @@ def _pair_landed(spark: SparkSession, headers: DataFrame, out: str, state: str)
     paired = max(_numbers(spark, f"{state}/empty"), default=-1)
     new = [n for n in _numbers(spark, f"{state}/landed") if n > paired]
     if new:
-        landed = spark.read.parquet(*[f"{state}/landed/batch={n}" for n in new])
-        pair_predictions_with(cut(join_predictions(landed)), headers).write.mode("overwrite").parquet(f"{out}/batch={new[0]}")
+        landed = spark.read.schema("path string, file string, size long").parquet(*[f"{state}/landed/batch={n}" for n in new])
+        read_prediction_files(landed).write.mode("overwrite").parquet(f"{state}/parsed")
+        pair_predictions_with(spark.read.parquet(f"{state}/parsed"), headers).write.mode("overwrite").parquet(f"{out}/batch={new[0]}")
         done = spark.read.parquet(f"{out}/batch={new[0]}").select(F.col("source_file").alias("file")).distinct()
         landed.select("path", "file").distinct().join(done, "file", "left_anti").write.mode("overwrite").parquet(f"{state}/empty/batch={new[-1]}")
-    delete_folder(spark, f"{state}/landed")
+    for folder in ("parsed", "landed"):
+        delete_folder(spark, f"{state}/{folder}")
 
 
 def retry_empty(spark: SparkSession, headers: DataFrame, dst: str, checkpoint: str) -> int:
@@ -132,23 +143,22 @@ def aggregate_stream(
 ) -> StreamingQuery:
     """Prediction files that arrived in `src` since the last run, paired into `dst`; see `read_results`.
 
-    Micro-batches land lines, numbered within their splits, and cost no more than their own files; when the stream is
-    through, all that landed is paired with the headers at once. A file's lines, in any number of splits, are all in one
-    batch. A file whose count doesn't match its headers yields nothing; each later run reads it again until it does.
+    Micro-batches land names and sizes, no contents; when the stream is through, all files that landed are read and paired with
+    the headers at once (`read_prediction_files`), by pyarrow's file systems, so they must stay until then. A file whose count doesn't
+    match its headers yields nothing; each later run reads it again until it does.
     """
     if not force:
         retry_empty(spark, headers, dst, checkpoint)
-    stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("lineSep", "\n").text(src)
-    path = F.col("_metadata.file_path").alias("path")
-    lines = stream.select(path, F.col("_metadata.file_block_start").alias("block"), "value").withColumn("file", base_name(F.col("path")))
-    at = F.struct("block", F.monotonically_increasing_id().alias("row")).alias("at")
+    listed = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.schema(listed).format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(src)
+    files = files.select("path", base_name(F.col("path")).alias("file"), F.col("length").alias("size"))  # contents aren't opened
     generation = _next_generation(spark, checkpoint, force)
     out, state = f"{dst}/generation={generation}", f"{checkpoint}/generation={generation}"
 
     def land(batch: DataFrame, number: int) -> None:
-        scan_predictions(batch.select("path", "file", at, "value")).write.mode("overwrite").parquet(f"{state}/landed/batch={number}")
+        batch.coalesce(2).write.mode("overwrite").parquet(f"{state}/landed/batch={number}")
 
-    query = run_available(lines, land, f"{state}/stream")
+    query = run_available(files, land, f"{state}/stream")
     _pair_landed(spark, headers, out, state)
     _drop_older(spark, generation, dst, checkpoint)
     return query

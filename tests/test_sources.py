@@ -218,3 +218,40 @@ def test_files_of_many_batches_are_paired_at_once(spark, tmp_path, monkeypatch):
             run()
     run()
     assert sorted(r.Allele for r in ingest.read_results(spark, out).collect()) == ["HLA-0", "HLA-2", "HLA-3", "HLA-4", "HLA-5"]
+
+
+@pytest.mark.parametrize("split", [40, 1 << 20])
+def test_listed_prediction_files_are_read_as_lines_are(spark, tmp_path, split):
+    for k in range(40):
+        names = ["Pos", "Peptide", "BA_score", "BA_Rank"][k % 2 :: 1 + k % 3 // 2] if k % 5 else ["BA_Rank", " Peptide ", "Peptide"]
+        body = [["1\tP1\t0.5\t2", "", "  ", "\t", "é\tQ\r", "x\t y \t 1e1 \t1.0d"][(k + i) % 6] for i in range(k % 9)]
+        (tmp_path / f"a_chunk_{k % 7}_{k}.xls").write_bytes(("\n".join([["HLA-A more", "", " \r"][k % 3], "\t".join(names), *body]) + "\n" * (k % 2)).encode())
+    (tmp_path / "empty_chunk_1.xls").write_text("")
+    (tmp_path / "one_chunk_1.xls").write_text("HLA-B")
+    with gzip.open(tmp_path / "packed_chunk_2.xls.gz", "wt") as f:
+        f.write("HLA-Z\nPeptide\tBA_score\n" + "PP\t1\n" * 30)
+    listed = spark.createDataFrame([(str(f), f.name, f.stat().st_size) for f in tmp_path.iterdir()], "path string, file string, size long")
+    got, want = readers.read_prediction_files(listed, split=split), readers.read_predictions(spark, str(tmp_path))
+    assert got.schema.names == want.schema.names
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 100
+
+
+def test_micro_batches_cost_names_only(spark, tmp_path):
+    """Each batch read its files by Spark's text scan, after a task for each of them that looked it up."""
+    xls, state = tmp_path / "xls", tmp_path / "state"
+    rows = spark.range(120).select(F.format_string("x_chunk_%d_A.xls", F.col("id")).alias("file"), F.lit(0).alias("at"), F.lit("HLA-A\nPeptide\tBA_score\tBA_Rank\nP\t1\t2\nQ\t1\t2").alias("value"))
+    writers.write_named_files(rows.repartition(3, "file").sortWithinPartitions("file"), str(xls), dealt=True)
+    headers = spark.range(120).select(F.lit("f").alias("file"), F.col("id").alias("chunk"), F.explode(F.expr("array(0, 1)")).alias("row_no")).withColumns({"type": F.when(F.col("row_no") == 0, "VIRAL").otherwise("HUMAN"), "pair_id": F.lit("p")})
+    key, landed, look = "spark.sql.sources.parallelPartitionDiscovery.parallelism", [], spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    real = ingest._pair_landed
+
+    def pair(spark, headers, out, state):
+        landed.extend(sorted(spark.read.parquet(f"{state}/landed").columns))
+        real(spark, headers, out, state)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ingest, "_pair_landed", pair)
+        ran = ingest.aggregate_stream(spark, str(xls), headers, str(tmp_path / "out"), str(state), files_per_batch=50)
+    assert landed == ["batch", "file", "path", "size"] and spark.conf.get(key) == look
+    assert [p["numInputRows"] for p in ran.recentProgress if p["numInputRows"]] == [50, 50, 20]  # a row a file
+    assert ingest.read_results(spark, str(tmp_path / "out")).count() == 120
